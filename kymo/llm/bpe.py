@@ -17,6 +17,7 @@ repeated rows are encoded each; other columns are not read.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from bisect import bisect_right
 from heapq import heapify, heappop, heappush
@@ -28,8 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers between batches; beyond it, it starts anew.
-REMEMBERED = 400_000
+#: Words in each of the two generations that a worker remembers between blocks: when the younger is full, the older goes.
+REMEMBERED = 300_000
+#: Words whose merges are replayed together.
+REPLAYED = 2_000
 #: Longest word, in characters, that is remembered.
 REMEMBERED_CHARS = 48
 #: Characters of text, and words of one long text, that are handled at once.
@@ -65,10 +68,18 @@ class Codec:
         self.pairs = _PairRanks(self.ranks, self.tokens, size)
         # \s of the pattern is the White_Space property, without the control separators that Python adds
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word."""
+        gc.disable()  # these lists of integers hold no cycles
+        try:
+            return self._replay(words)
+        finally:
+            gc.enable()
+
+    def _replay(self, words: list[bytes]) -> list[list[int]]:
         wall, pairs, single = len(self.tokens), self.pairs, self.single
         gone = wall + 1
         tokens, starts = [wall], []
@@ -143,27 +154,31 @@ class Codec:
                 heappush(heap, (made, before[i]))
         return [t for t in tokens if t != gone]
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """The packed ids of words; short ones are remembered, within the bound."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        new = {}
-        later, raw = [], []
+    def _table(self, words: set[str]) -> dict[str, bytes]:
+        """The packed ids of words, replayed or remembered."""
+        young, old, table, raw = self.young, self.old, {}, []
         for word in words:
-            as_bytes = word.encode()
-            whole = self.ranks.get(as_bytes)
-            if whole is not None:
-                new[word] = whole.to_bytes(4, "little")
-            else:
-                later.append(word)
-                raw.append(as_bytes)
-        for word, ids in zip(later, self.replay(raw), strict=True):
-            new[word] = np.array(ids, dtype="<u4").tobytes()
-        self.known.update((w, x) for w, x in new.items() if len(w) <= REMEMBERED_CHARS)
-        return new
-
-    def _packed(self, words: list[str], known: dict[str, bytes]) -> bytes:
-        return b"".join(map(known.__getitem__, words))
+            packed = young.get(word)
+            if packed is None:
+                packed = old.get(word)
+                if packed is None:
+                    as_bytes = word.encode()
+                    whole = self.ranks.get(as_bytes)
+                    if whole is None:
+                        raw.append((word, as_bytes))
+                        continue
+                    packed = whole.to_bytes(4, "little")
+                young[word] = packed
+            table[word] = packed
+        for start in range(0, len(raw), REPLAYED):
+            part = raw[start : start + REPLAYED]
+            for (word, _), ids in zip(part, self.replay([x for _, x in part]), strict=True):
+                packed = table[word] = np.array(ids, dtype="<u4").tobytes()
+                if len(word) <= REMEMBERED_CHARS:
+                    young[word] = packed
+        if len(young) > REMEMBERED:
+            self.young, self.old = {}, young
+        return table
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as packed little-endian 32-bit integers."""
@@ -186,21 +201,8 @@ class Codec:
         return out
 
     def _block(self, parts: list[list[str]]) -> list[bytes]:
-        distinct = set().union(*parts)
-        fresh = distinct.difference(self.known)
-        before = self.known
-        if fresh:
-            kept = {w: before[w] for w in distinct if w in before} if len(before) + len(fresh) > REMEMBERED else None
-            new = self._learn(fresh)
-            if kept is not None:
-                known = kept | new
-            elif all(len(w) <= REMEMBERED_CHARS for w in fresh):
-                known = self.known
-            else:
-                known = {w: self.known[w] if w in self.known else new[w] for w in distinct}
-        else:
-            known = before
-        return [self._packed(words, known) for words in parts]
+        table = self._table(set().union(*parts))
+        return [b"".join(map(table.__getitem__, words)) for words in parts]
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes that packed ids stand for."""
