@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kymo.llm import bpe
+from kymo.llm import bpe, lines, rules, shards
 from kymo.llm.common import table_of
 
 
@@ -14,5 +15,44 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table_of(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLES: dict[str, str] = {}
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24, near equal in bytes, equal texts together."""
+    return shards.shard_by_bytes(table_of(spark, sf_dir, "documents"), 24)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, lines dropped and the digest of what stays."""
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    done = lines.apply(docs, lines.repeated_lines(docs))
+    return done.select("row.doc_id", "kept.n_lines", "kept.n_dropped", F.sha2("kept.text", 256).alias("kept_sha256"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts and the verdict of the base rules and the learned list."""
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = rules.learn_from(docs, table_of(spark, sf_dir, "labels"))
+    return rules.judged(docs, learned).select("row.doc_id", *[f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "rule")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_shards": op4_shards, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality}
+
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": f"""
+with split as (
+    select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents
+), numbered as (
+    select doc_id, unnest(parts) as line, unnest(generate_series(1, len(parts))) as pos from split
+), keyed as (
+    select *, {_LOWER.format(f"trim(line, {_BLANK})")} as key from numbered
+), common as (
+    select key, max(doc_id) as top from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3
+), judged as (
+    select k.doc_id, k.pos, k.line, c.key is not null and k.doc_id <> c.top as dropped from keyed k left join common c on k.key = c.key
+)
+select doc_id, count(*)::bigint as n_lines, sum(dropped::int)::bigint as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '')) as kept_sha256
+from judged group by doc_id""",
+}
