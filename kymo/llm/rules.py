@@ -122,8 +122,8 @@ def _covers(rule: tuple[Condition, ...], x: dict[str, np.ndarray], n: int) -> np
     return out
 
 
-def _best_condition(x: dict[str, np.ndarray], poor: np.ndarray, rows: np.ndarray) -> tuple[float, Condition] | None:
-    """The condition of the most information gain on rows; of equal ones that in the widest gap between values."""
+def _best_condition(x: dict[str, np.ndarray], poor: np.ndarray, rows: np.ndarray, barred: set[tuple[str, bool]]) -> tuple[float, Condition] | None:
+    """The condition of the most information gain on rows; of equal ones that in the widest gap between values. barred: features and directions left out."""
     p0, n0 = int(poor[rows].sum()), int((~poor[rows]).sum())
     if not p0 or not n0:
         return None
@@ -139,6 +139,8 @@ def _best_condition(x: dict[str, np.ndarray], poor: np.ndarray, rows: np.ndarray
         spread = max(float(v[-1] - v[0]), 1e-12)
         gap = (v[ends + 1] - v[ends]) / spread
         for above, p, n in ((True, p0 - below_p, n0 - below_n), (False, below_p, below_n)):
+            if (feature, above) in barred:
+                continue
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1e-9) / np.maximum(p + n, 1e-9)) - base), -np.inf)
             k = max(np.flatnonzero(gain >= gain.max() * (1 - 1e-9)), key=lambda i: gap[i]) if gain.max() > 0 else None
@@ -152,10 +154,11 @@ def learn(counts: np.ndarray, poor: np.ndarray) -> list[Rule]:
     x, n = ratios(counts), len(poor)
     grow, prune = np.arange(n) % 3 != 2, np.arange(n) % 3 == 2
     left, rules = np.ones(n, dtype=bool), []
+    barred: set[tuple[str, bool]] = set()  # first conditions that led to no rule on the rows that are left
     while len(rules) < MOST_RULES and (poor & left & grow).any():
         rule: list[Condition] = []
         while len(rule) < MOST_CONDITIONS:
-            found = _best_condition(x, poor, np.flatnonzero(left & grow & _covers(tuple(rule), x, n)))
+            found = _best_condition(x, poor, np.flatnonzero(left & grow & _covers(tuple(rule), x, n)), set() if rule else barred)
             if found is None:
                 break
             rule.append(found[1])
@@ -171,7 +174,9 @@ def learn(counts: np.ndarray, poor: np.ndarray) -> list[Rule]:
         covered = _covers(tuple(rule[:k]), x, n) & left
         p, m = int((covered & poor).sum()), int((covered & ~poor).sum())
         if p < LEAST_COVER or p < LEAST_PRECISION * (p + m):
-            break
+            barred.add((rule[0].feature, rule[0].above))
+            continue
+        barred.clear()
         rules.append(Rule(tuple(rule[:k])))
         left &= ~covered
     return rules
