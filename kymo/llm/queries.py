@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import bpe, lines, rules, shards
+from kymo.llm import bpe, lines, nearcopies, rules, shards
 from kymo.llm.common import table_of
 
 
@@ -34,7 +34,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(docs, learned).select("row.doc_id", *[f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "rule")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_shards": op4_shards, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality}
+def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count and near-copy component."""
+    return nearcopies.near_copies(table_of(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_shards": op4_shards, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op10_near_copies": op10_near_copies}
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -55,4 +60,23 @@ with split as (
 select doc_id, count(*)::bigint as n_lines, sum(dropped::int)::bigint as n_dropped,
     sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '')) as kept_sha256
 from judged group by doc_id""",
+    "op10_near_copies": f"""
+with recursive worded as (
+    select doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[' || chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ']+'), lambda w: w <> '') as words from documents
+), shingled as (
+    select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, chr(10))]
+        else list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i:i + 4], chr(10))) end) as shingle from worded
+), sized as (
+    select doc_id, count(*) as n from shingled group by doc_id
+), common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as n from shingled a join shingled b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all
+), links as (
+    select c.a, c.b from common c join sized x on c.a = x.doc_id join sized y on c.b = y.doc_id where 100 * c.n >= 85 * (x.n + y.n - c.n)
+), reach as (
+    select doc_id as start, doc_id as node from documents union select r.start, l.b from reach r join links l on r.node = l.a
+), least as (
+    select start, min(node) as component_id from reach group by start
+)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, l.component_id, d.doc_id = l.component_id as kept
+from documents d left join sized s on d.doc_id = s.doc_id join least l on d.doc_id = l.start""",
 }
