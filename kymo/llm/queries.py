@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import bpe, lines, nearcopies, rules, shards
+from kymo.llm import bpe, html_text, lines, nearcopies, rules, shards
 from kymo.llm.common import table_of
 
 
@@ -15,6 +15,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table_of(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    done = html_text.extract(table_of(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 24, near equal in bytes, equal texts together."""
     return shards.shard_by_bytes(table_of(spark, sf_dir, "documents"), 24)
@@ -39,7 +45,7 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table_of(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_shards": op4_shards, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op10_near_copies": op10_near_copies}
+QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_shards": op4_shards, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op10_near_copies": op10_near_copies}
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
