@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import bpe, html_text, lines, nearcopies, rules, shards
+from kymo.llm import bpe, html_text, lines, nearcopies, rules, shards, vectors
 from kymo.llm.common import table_of
 
 
@@ -26,6 +26,11 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(table_of(spark, sf_dir, "documents"), 24)
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component."""
+    return vectors.near_vectors(table_of(spark, sf_dir, "embeddings"))[0]
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines, lines dropped and the digest of what stays."""
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,12 +50,24 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table_of(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_shards": op4_shards, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op10_near_copies": op10_near_copies}
+QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_shards": op4_shards, "op5_near_vectors": op5_near_vectors, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op10_near_copies": op10_near_copies}
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op5_near_vectors": """
+with recursive links as (
+    select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id <> b.vec_id and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.95
+), reach as (
+    select vec_id as start, vec_id as node from embeddings union select r.start, l.b from reach r join links l on r.node = l.a
+), least as (
+    select start, min(node) as component_id from reach group by start
+), counted as (
+    select a, count(*) as n from links group by a
+)
+select e.vec_id, coalesce(c.n, 0)::bigint as n_links, l.component_id, e.vec_id = l.component_id as kept
+from embeddings e left join counted c on e.vec_id = c.a join least l on e.vec_id = l.start""",
     "op6_line_dedup": f"""
 with split as (
     select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents
