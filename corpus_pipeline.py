@@ -1,3 +1,53 @@
-STAGES = []
+"""The corpus pipeline: quality rules, line dedup, near-copies, mixing and tokens, each over all that the last one kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kymo.llm import bpe, lines, mixing, nearcopies, rules
+from kymo.llm.common import stored, table_of
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned list keep."""
+    learned = rules.learn_from(docs, table_of(spark, sf_dir, "labels"))
+    return rules.judged(docs, learned).where("kept").select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that a later one repeats; n_chars follows, and documents left without a word go."""
+    done = lines.apply(docs, lines.repeated_lines(docs))
+    columns = [F.col("kept.text").alias(c) if c == "text" else F.char_length("kept.text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns]
+    return done.where(F.btrim("kept.text", F.lit(lines.BLANK)) != "").select(*columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; documents without an id stay."""
+    kept = nearcopies.near_copies(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the fitted rates say."""
+    return mixing.mixed(docs, table_of(spark, sf_dir, "labels"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token count and the digests of its ids and of what they decode to."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_copies", near_copies), ("mix", mix), ("tokens", tokens)]
+
+#: The learned rules and the fitted mix are not expressible in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stored before the next."""
+    done = table_of(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        done = stored(stage(spark, done, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, done, sf_dir)

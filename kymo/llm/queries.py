@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import bpe, html_text, lines, nearcopies, rules, shards, vectors
+from kymo.llm import bpe, chat, html_text, licences, lines, mixing, nearcopies, rules, shards, vectors
 from kymo.llm.common import table_of
 
 
@@ -21,6 +21,11 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's turns, with recovered roles, as canonical text."""
+    return chat.turns_of(table_of(spark, sf_dir, "conversations"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 24, near equal in bytes, equal texts together."""
     return shards.shard_by_bytes(table_of(spark, sf_dir, "documents"), 24)
@@ -45,16 +50,51 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(docs, learned).select("row.doc_id", *[f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "rule")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's digest, the licence that it is, and the licence notices among its lines."""
+    done = licences.scanned(table_of(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's domain posteriors, rate and copies in the mix."""
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    done = mixing.rated(docs, table_of(spark, sf_dir, "labels"))
+    return done.select("row.doc_id", "n_tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate", "copies")
+
+
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle count and near-copy component."""
     return nearcopies.near_copies(table_of(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_shards": op4_shards, "op5_near_vectors": op5_near_vectors, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op10_near_copies": op10_near_copies}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_html": op2_html,
+    "op3_chat": op3_chat,
+    "op4_shards": op4_shards,
+    "op5_near_vectors": op5_near_vectors,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_quality": op7_quality,
+    "op8_licences": op8_licences,
+    "op9_mixing": op9_mixing,
+    "op10_near_copies": op10_near_copies,
+}
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _canonical_sql(column: str) -> str:
+    out = f"regexp_replace(lower({column}), '{licences.COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"regexp_replace({out}, '{licences.ALL_RIGHTS}', ' ', 'g')"
+    out = f"' ' || trim(regexp_replace({out}, '{licences.GAPS}', ' ', 'g')) || ' '"
+    for spelling, word in licences.EQUIVALENTS:
+        out = f"replace({out}, ' {spelling} ', ' {word} ')"
+    return out
+
+
 ORACLES: dict[str, str] = {
     "op5_near_vectors": """
 with recursive links as (
@@ -83,6 +123,21 @@ with split as (
 select doc_id, count(*)::bigint as n_lines, sum(dropped::int)::bigint as n_dropped,
     sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '')) as kept_sha256
 from judged group by doc_id""",
+    "op8_licences": f"""
+with texts as (
+    select row_number() over () as n, doc_id, text from documents
+), units as (
+    select n, doc_id, true as whole, text as unit from texts
+    union all
+    select n, doc_id, false, unnest(string_split(text, chr(10))) from texts where contains(lower(text), 'licen') or contains(lower(text), 'released under')
+), digested as (
+    select n, doc_id, whole, sha256({_canonical_sql("unit")}) as digest from units
+), known(digest, licence) as (
+    values {", ".join(f"('{d}', '{n}')" for d, n in sorted(licences.digests().items()))}
+)
+select d.doc_id, max(d.digest) filter (where d.whole) as digest, max(k.licence) filter (where d.whole) as licence,
+    coalesce(string_agg(distinct k.licence, ',' order by k.licence) filter (where not d.whole and k.licence is not null), '') as notices
+from digested d left join known k on d.digest = k.digest group by d.n, d.doc_id""",
     "op10_near_copies": f"""
 with recursive worded as (
     select doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[' || chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ']+'), lambda w: w <> '') as words from documents
