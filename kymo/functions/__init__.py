@@ -1 +1 @@
-
+"""Scalar expressions and small driver-side functions."""

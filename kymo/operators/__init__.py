@@ -1 +1 @@
-
+"""Operators on the tables of kymo.schema."""

@@ -1 +1 @@
-
+"""Registered queries and jobs."""

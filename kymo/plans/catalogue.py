@@ -1,4 +1,614 @@
 """Registered queries over the driver's tables and the SQL they are compared with."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kymo.functions.canonical import json_entries
+from kymo.functions.scalars import first_failure, is_finite, nearest_frame, rounded, worst
+from kymo.operators import checks, encode, grid, infer, lags, relate, summary
+from kymo.plans import stand_ins as S
+from kymo.plans.stand_ins import EVENTS_SQL, FRAMES, GRID_SQL, INTERVALS_SQL, RATE, USERS_SQL, events, intervals, recordings, table
+from kymo.schema import FAMILIES
+from kymo.sources.textgrid import parse_intervals
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a query by its name; oracle: its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _r(x: str) -> str:
+    return f"round({x}, 6) + 0e0"
+
+
+_PLACED = f"placed as (select recording_id, least(greatest(round_even(t * (1e0 / 3600e0), 0), 0), {FRAMES - 1})::int as frame, value from ev)"
+_COUNTS = f"with {EVENTS_SQL}, {USERS_SQL}, {GRID_SQL}, {_PLACED}, sums as (select recording_id, frame, count(*)::double as n, sum(value) as v from placed group by all), gridded as (select g.recording_id, g.frame, g.t, coalesce(s.n, 0e0) as n, coalesce(s.v, 0e0) as v from grid g left join sums s using (recording_id, frame))"
+
+
+def _hourly(spark: SparkSession, sf_dir: str, weight=None) -> DataFrame:
+    return grid.events_to_grid(events(spark, sf_dir), recordings(spark, sf_dir), RATE, weight, "n")
+
+
+# --- time grids
+
+
+@query(f"""with {EVENTS_SQL}, d as (select recording_id, max(t) as duration from ev group by all)
+select recording_id, f::int as frame, {_r("f / (1e0 / 3600e0)")} as t from d, generate_series(0, {FRAMES}) g(f) where f < floor(duration * (1e0 / 3600e0) + 1e-9)""")
+def time_grid(spark, sf_dir):
+    durations = events(spark, sf_dir).groupBy("recording_id").agg(F.max("t").alias("duration_seconds"))
+    return grid.time_grid(durations, RATE).select("recording_id", "frame", rounded("t").alias("t"))
+
+
+@query(f"with {EVENTS_SQL}, {_PLACED.replace('select recording_id,', 'select event_id,')} select event_id, frame from placed")
+def nearest_frames(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", nearest_frame(F.col("t"), RATE, F.lit(FRAMES)).alias("frame"))
+
+
+@query(f"{_COUNTS} select recording_id, frame, n from gridded")
+def events_to_grid(spark, sf_dir):
+    return _hourly(spark, sf_dir).select("recording_id", "frame", "n")
+
+
+@query(f"{_COUNTS} select recording_id, frame, {_r('v')} as weighted from gridded")
+def events_to_grid_weighted(spark, sf_dir):
+    return _hourly(spark, sf_dir, F.col("value")).select("recording_id", "frame", rounded("n").alias("weighted"))
+
+
+@query(f"""{_COUNTS}, lags as (select l::int as lag from generate_series(-2, 2) g(l)),
+shifted as (select g.recording_id, l.lag, g.n, coalesce(h.v, 0e0) as at_lag from gridded g cross join lags l left join gridded h on h.recording_id = g.recording_id and h.frame = g.frame - l.lag)
+select recording_id, lag, {_r("sum(n * at_lag)")} as cross_sum, {_r("sum(at_lag)")} as lag_sum, count(*) as frames from shifted group by all""")
+def events_lagged_grid(spark, sf_dir):
+    """Flagship: scan, rasterise, lag, and one row of a cross-moment block for each recording."""
+    placed = events(spark, sf_dir).groupBy("recording_id", nearest_frame(F.col("t"), RATE, F.lit(FRAMES)).alias("frame")).agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("v"))
+    full = grid.time_grid(recordings(spark, sf_dir), RATE).join(placed, ["recording_id", "frame"], "left").select("recording_id", "frame", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("v", F.lit(0.0)).alias("v"))
+    long = lags.lagged_value(full, "v", [-2, -1, 0, 1, 2])
+    return long.groupBy("recording_id", "lag").agg(rounded(F.sum(F.col("n") * F.col("value_at_lag"))).alias("cross_sum"), rounded(F.sum("value_at_lag")).alias("lag_sum"), F.count("*").alias("frames"))
+
+
+_SAMPLES = "samples as (select recording_id, t, avg(value) as value from ev group by all)"
+
+
+@query(f"""with {EVENTS_SQL}, {USERS_SQL}, {GRID_SQL}, {_SAMPLES},
+back as (select g.recording_id, g.frame, g.t, s.t as bk, s.value as av from grid g asof left join samples s on g.recording_id = s.recording_id and g.t >= s.t),
+both_sides as (select b.*, s.t as bt, s.value as bv from back b asof left join samples s on b.recording_id = s.recording_id and b.t <= s.t)
+select recording_id, frame, {_r("case when bk is null then bv when bt is null or bk = t then av else av + (t - bk) * ((bv - av) / (bt - bk)) end")} as value from both_sides""")
+def resample_linear(spark, sf_dir):
+    samples = events(spark, sf_dir).groupBy("recording_id", "t").agg(F.avg("value").alias("value"))
+    targets = grid.time_grid(recordings(spark, sf_dir), RATE).select("recording_id", "frame", (F.col("frame") * 3600.0).alias("t"))
+    return grid.resample_linear(samples, targets).select("recording_id", "frame", rounded("value").alias("value"))
+
+
+_HELD = f"with {EVENTS_SQL}, {USERS_SQL}, {GRID_SQL}, {INTERVALS_SQL}, held as (select g.recording_id, g.frame, max_by(i.value, i.interval_idx) as value from grid g join iv i on g.recording_id = i.recording_id and g.frame / (1e0 / 3600e0) >= i.start and g.frame / (1e0 / 3600e0) < i.\"end\" group by all), done as (select g.recording_id, g.frame, coalesce(h.value, 0e0) as value, h.value is not null as covered from grid g left join held h using (recording_id, frame))"
+
+
+def _held(spark, sf_dir):
+    return grid.hold_on_grid(intervals(spark, sf_dir), grid.time_grid(recordings(spark, sf_dir), RATE), RATE, "value")
+
+
+@query(f"{_HELD} select recording_id, frame, value, covered from done")
+def hold_on_grid(spark, sf_dir):
+    return _held(spark, sf_dir).select("recording_id", "frame", "value", "covered")
+
+
+@query(f"{_HELD} select recording_id, {_r('avg(covered::int)')} as coverage from done group by all")
+def hold_coverage(spark, sf_dir):
+    return grid.hold_coverage(_held(spark, sf_dir)).select("recording_id", rounded("coverage").alias("coverage"))
+
+
+@query(f"""with {EVENTS_SQL}, w as (select recording_id, event_id, t as start, t + value * 60 as "end", event_type || case when event_id % 7 = 0 then '。' else '' end as label from ev),
+m as (select *, coalesce(start - lag("end") over o >= 14400 or right(lag(label) over o, 1) = '。', false)::int as s from w window o as (partition by recording_id order by start, event_id))
+select recording_id, event_id, (sum(s) over (partition by recording_id order by start, event_id rows unbounded preceding))::int as sentence from m""")
+def segment_words(spark, sf_dir):
+    e = events(spark, sf_dir)
+    words = e.select("recording_id", F.col("event_id").alias("interval_idx"), F.col("t").alias("start"), (F.col("t") + F.col("value") * 60).alias("end"), F.concat("event_type", F.when(F.col("event_id") % 7 == 0, "。").otherwise("")).alias("label"))
+    return grid.segment_words(words, 14400.0).select("recording_id", F.col("interval_idx").alias("event_id"), "sentence")
+
+
+_LAGGED = f"{_COUNTS} select recording_id, frame, " + ", ".join(f"lag(n, {k}, 0e0) over w as lag_{k}" if k >= 0 else f"lead(n, {-k}, 0e0) over w as lead_{-k}" for k in (-2, 0, 1, 3)) + " from gridded window w as (partition by recording_id order by frame)"
+
+
+@query(_LAGGED)
+def lagged_design(spark, sf_dir):
+    frames = _hourly(spark, sf_dir).select("recording_id", "frame", F.array("n").alias("x"))
+    done = lags.lagged(frames, [-7200.0, 0.0, 3600.0, 10800.0], RATE)
+    return done.select("recording_id", "frame", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(("lead_2", "lag_0", "lag_1", "lag_3"))])
+
+
+_GRAD = "case when {b} is null and {a} is null then 0e0 when {b} is null then {a} - {v} when {a} is null then {v} - {b} else ({a} - {b}) / 2 end"
+_GRAD1 = f"{_COUNTS}, g1 as (select recording_id, frame, {_GRAD.format(b='lag(v) over w', a='lead(v) over w', v='v')} as d from gridded window w as (partition by recording_id order by frame))"
+
+
+@query(f"{_GRAD1} select recording_id, frame, {_r('d')} as slope from g1")
+def gradient(spark, sf_dir):
+    return grid.gradient(_hourly(spark, sf_dir, F.col("value")), "n", 1.0).select("recording_id", "frame", rounded("n").alias("slope"))
+
+
+@query(f"{_GRAD1} select recording_id, frame, {_r(_GRAD.format(b='lag(d) over w', a='lead(d) over w', v='d'))} as curvature from g1 window w as (partition by recording_id order by frame)")
+def second_gradient(spark, sf_dir):
+    return grid.gradient(_hourly(spark, sf_dir, F.col("value")), "n", 1.0, 2).select("recording_id", "frame", rounded("n").alias("curvature"))
+
+
+def _family_frames(spark, sf_dir) -> DataFrame:
+    """(recording_id, frame, t, x): hourly counts of the five families."""
+    placed = events(spark, sf_dir).groupBy("recording_id", nearest_frame(F.col("t"), RATE, F.lit(FRAMES)).alias("frame")).pivot("family", list(FAMILIES)).count()
+    full = grid.time_grid(recordings(spark, sf_dir), RATE).join(placed, ["recording_id", "frame"], "left")
+    return full.select("recording_id", "frame", "t", F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in FAMILIES]).alias("x"))
+
+
+_FAMILY_COUNTS = f"with {EVENTS_SQL}, {USERS_SQL}, {GRID_SQL}, placed as (select recording_id, family, least(greatest(round_even(t * (1e0 / 3600e0), 0), 0), {FRAMES - 1})::int as frame from ev), cnt as (select recording_id, frame, " + ", ".join(f"count(*) filter (where family = '{f}')::double as {f}" for f in FAMILIES) + " from placed group by all), ff as (select g.recording_id, g.frame, " + ", ".join(f"coalesce({f}, 0e0) as {f}" for f in FAMILIES) + " from grid g left join cnt using (recording_id, frame))"
+
+
+@query(f"{_FAMILY_COUNTS} select recording_id, frame, {_r('sqrt((' + ' + '.join(f'pow(greatest({f} - coalesce(lag({f}) over w, {f}), 0), 2)' for f in FAMILIES) + ') / 5)')} as flux from ff window w as (partition by recording_id order by frame)")
+def positive_flux(spark, sf_dir):
+    return grid.positive_flux(_family_frames(spark, sf_dir)).select("recording_id", "frame", rounded("flux").alias("flux"))
+
+
+@query(f"""{_FAMILY_COUNTS}, o as (select recording_id, 48 + (recording_id::bigint * 7919) % 625 as k from users),
+moved as (select f.*, (frame + k) % 720 as fp, (frame + k + 1) % 720 as fq, (frame + k + 2) % 720 as fw from ff f join o on f.recording_id = o.recording_id)
+select f.recording_id, f.frame, f.acoustic, p.prosodic, q.phonetic, w.word, f.onset from moved f
+join moved p on p.recording_id = f.recording_id and p.fp = f.frame join moved q on q.recording_id = f.recording_id and q.fq = f.frame join moved w on w.recording_id = f.recording_id and w.fw = f.frame""")
+def circular_shift(spark, sf_dir):
+    """The shift with offsets from arithmetic on the id, which SQL can repeat; null_shift_exact draws them as the reference does."""
+    ids = recordings(spark, sf_dir).select("recording_id")
+    offset = lambda n: F.lit(48) + F.pmod(F.col("recording_id").cast("long") * 7919, F.lit(625)) + n
+    offsets = ids.select("recording_id", F.lit(0).alias("null_index"), F.lit(FRAMES).alias("frames"), F.inline(F.array(*[F.struct(F.lit(f).alias("family"), offset(n).cast("int").alias("offset_frames")) for n, f in enumerate(lags.SUBSTANTIVE)])))
+    done = lags.circular_shift(_family_frames(spark, sf_dir), offsets, list(FAMILIES))
+    return done.select("recording_id", "frame", *[F.get("x", F.lit(i)).alias(f) for i, f in enumerate(FAMILIES)])
+
+
+@query()
+def null_shift_exact(spark, sf_dir):
+    """Offsets of three draws, from NumPy's generator."""
+    sizes = recordings(spark, sf_dir).select("recording_id", F.lit(FRAMES).alias("frames"))
+    return lags.shift_manifest(sizes, [0, 1, 2], seed=17, rate=1.0, lags=(-2.0, 0.0, 2.0))
+
+
+@query(f"""with r as (select c_custkey as recording_id, (c_custkey % 5 + 1) * 16000 + c_custkey % 977 as n from customer), c as (select *, (32000 / 320) * 320 as core, 16000 as overlap from r),
+x as (select *, unnest(generate_series(0, (ceil(n / core::double) - 1)::int)) as chunk from c)
+select recording_id, chunk::int as chunk, (chunk * core)::bigint as core_start, least(n, (chunk + 1) * core)::bigint as core_end, greatest(0, chunk * core - overlap)::bigint as context_start, least(n, (chunk + 1) * core + overlap)::bigint as context_end from x""")
+def chunk_windows(spark, sf_dir):
+    r = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording_id"), ((F.col("c_custkey") % 5 + 1) * 16000 + F.col("c_custkey") % 977).alias("n_samples"), F.lit(16000).alias("sample_rate"))
+    done = grid.chunk_windows(r, 2.0, 1.0, 320)
+    return done.select("recording_id", "chunk", *[F.col(c).cast("long").alias(c) for c in ("core_start", "core_end", "context_start", "context_end")])
+
+
+@query(f"select p_partkey as recording_id, f::int as frame, {_r('(f + 0.5e0) * p_retailprice / p_size')} as t from part, generate_series(0, 60) g(f) where f < p_size")
+def frame_centres(spark, sf_dir):
+    r = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("recording_id"), F.col("p_retailprice").alias("duration_seconds"), F.col("p_size").alias("frames"))
+    return grid.frame_centres(r).select("recording_id", "frame", rounded("t").alias("t"))
+
+
+# --- checks
+
+
+@query(f"with {EVENTS_SQL}, s as (select recording_id, t, t - lag(t) over (partition by recording_id order by t) as d from ev) select recording_id, {_r('quantile_cont(d, 0.5)')} as step, {_r('max(t) + quantile_cont(d, 0.5)')} as duration_seconds from s group by all")
+def median_step(spark, sf_dir):
+    return checks.median_step(events(spark, sf_dir)).select("recording_id", rounded("step").alias("step"), rounded("duration_seconds").alias("duration_seconds"))
+
+
+@query(f"""with {EVENTS_SQL}, s as (select recording_id, event_id, t, t > lag(t) over (partition by recording_id order by event_id) as up from ev)
+select recording_id, count(*) as n, {_r("min_by(t, event_id)")} as first_t, {_r("max_by(t, event_id)")} as last_t, bool_and(coalesce(up, true)) as strictly_increasing from s group by all""")
+def timestamp_summary(spark, sf_dir):
+    done = checks.timestamp_summary(events(spark, sf_dir), ["recording_id"], "event_id")
+    return done.select("recording_id", "n", rounded("first_t").alias("first_t"), rounded("last_t").alias("last_t"), "strictly_increasing")
+
+
+@query(f"""with {EVENTS_SQL}, a as (select recording_id, event_id, t from ev where event_id % 5 <> 0), b as (select recording_id, event_id, t + (event_id % 3) * 1e-7 as t from ev where event_id % 7 <> 0),
+j as (select coalesce(a.recording_id, b.recording_id) as recording_id, a.t as ta, b.t as tb from a full join b on a.recording_id = b.recording_id and a.event_id = b.event_id)
+select recording_id, count(ta) as n_a, count(tb) as n_b, {_r("max(abs(ta - tb))")} as largest, count(ta) = count(tb) and coalesce(max(abs(ta - tb)) <= 1e-6, false) as matches from j group by all""")
+def timestamp_mismatch(spark, sf_dir):
+    e = events(spark, sf_dir).withColumnRenamed("event_id", "frame")
+    done = checks.timestamp_mismatch(e.where("frame % 5 <> 0"), e.where("frame % 7 <> 0").withColumn("t", F.col("t") + (F.col("frame") % 3) * 1e-7), ["recording_id"], 1e-6)
+    return done.withColumn("largest", rounded("largest"))
+
+
+_SPANS = f"with {EVENTS_SQL}, sp as (select recording_id, (row_number() over (partition by recording_id order by event_id) - 1)::int as interval_idx, case when event_id % 2 = 0 then 'words' else 'phones' end as tier, t as start, t + value * 30 - case when event_id % 13 = 0 then 5000 else 0 end as \"end\", case when event_id % 11 = 0 then ' ' else event_type end as label from ev), dur as (select recording_id, max(t) as duration_seconds from ev group by all)"
+
+
+def _spans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = events(spark, sf_dir)
+    order = Window.partitionBy("recording_id").orderBy("event_id")
+    spans = e.select("recording_id", (F.row_number().over(order) - 1).alias("interval_idx"), F.when(F.col("event_id") % 2 == 0, "words").otherwise("phones").alias("tier"), F.col("t").alias("start"), (F.col("t") + F.col("value") * 30 - F.when(F.col("event_id") % 13 == 0, 5000).otherwise(0)).alias("end"), F.when(F.col("event_id") % 11 == 0, " ").otherwise(F.col("event_type")).alias("label"))
+    return spans, e.groupBy("recording_id").agg(F.max("t").alias("duration_seconds"))
+
+
+@query(f"""{_SPANS}, x as (select sp.*, duration_seconds, lag(start) over (partition by sp.recording_id, tier order by interval_idx) as before from sp join dur using (recording_id))
+select recording_id, interval_idx, tier, 'invalid_interval' as code, 'error' as severity from x where start < 0 or "end" < start
+union all select recording_id, interval_idx, tier, case when trim(label) = '' and "end" <= duration_seconds + 2000 then 'empty_trailing_interval_overhang' else 'outside_audio_duration' end, case when trim(label) = '' and "end" <= duration_seconds + 2000 then 'warning' else 'error' end from x where "end" > duration_seconds + 1e-6
+union all select recording_id, interval_idx, tier, 'non_monotonic', 'error' from x where start < before""")
+def validate_intervals(spark, sf_dir):
+    return checks.validate_intervals(*_spans(spark, sf_dir), 2000.0)
+
+
+@query(f"""{_SPANS}, x as (select recording_id, coalesce(start < lag("end") over (partition by recording_id, tier order by start, "end") - 1e-9, false) as o from sp) select recording_id, sum(o::int)::bigint as overlap_count from x group by all""")
+def interval_overlap(spark, sf_dir):
+    return checks.overlap_counts(_spans(spark, sf_dir)[0])
+
+
+_QC = f"""{_SPANS}, b as (select sp.*, duration_seconds as d, trim(label) <> '' as labelled, coalesce(start < lag("end") over (partition by recording_id, tier order by start, "end") - 1e-9, false) as o from sp join dur using (recording_id)),
+m as (select *, not (start >= -1e-9 and start <= d + 1e-9 and "end" >= -1e-9 and "end" <= d + 1e-9) as oob from b),
+k as (select *, oob and start >= -1e-9 and start <= d + 1e-9 and "end" >= -1e-9 and "end" <= d + 1e-6 as num, oob and not labelled and start >= -1e-9 and start <= d + 2000 and "end" >= -1e-9 and "end" <= d + 2000 as blk from m),
+ends as (select recording_id, tier, max("end") as e, max(d) as d from k group by all), mis as (select recording_id, max(abs(e - d)) as endpoint_mismatch from ends group by all),
+q as (select recording_id, count(*)::bigint as interval_count, sum((tier = 'phones' and labelled)::int)::bigint as phone_count, sum((tier = 'words' and labelled)::int)::bigint as word_count, sum((not labelled)::int)::bigint as empty_count, sum(("end" < start)::int)::bigint as reversed_count, sum(oob::int)::bigint as out_of_bounds_count,
+sum((oob and not num and not blk)::int)::bigint as fatal_out_of_bounds_count, sum(o::int)::bigint as overlap_count from k group by all),
+st as (select q.*, {_r("endpoint_mismatch")} as endpoint_mismatch, case when reversed_count > 0 or fatal_out_of_bounds_count > 0 or phone_count = 0 or word_count = 0 then 'FAIL' when out_of_bounds_count > 0 or overlap_count > 0 then 'WARN' else 'PASS' end as status from q join mis using (recording_id))"""
+
+
+@query(f"{_QC} select * from st")
+def annotation_qc(spark, sf_dir):
+    done = checks.annotation_qc(*_spans(spark, sf_dir), 2000.0)
+    return done.select("recording_id", "interval_count", "phone_count", "word_count", "empty_count", "reversed_count", "out_of_bounds_count", "fatal_out_of_bounds_count", "overlap_count", rounded("endpoint_mismatch").alias("endpoint_mismatch"), "status")
+
+
+@query(f"{_QC} select case max(case status when 'FAIL' then 2 when 'WARN' then 1 else 0 end) when 2 then 'FAIL' when 1 then 'WARN' else 'PASS' end as status, sum(interval_count)::bigint as intervals, count(*) as recordings from st")
+def worst_status(spark, sf_dir):
+    return checks.annotation_qc(*_spans(spark, sf_dir), 2000.0).agg(worst("status").alias("status"), F.sum("interval_count").alias("intervals"), F.count("*").alias("recordings"))
+
+
+@query("select o_orderkey, case when o_totalprice is null then 'missing' when o_totalprice < 1000 then 'too_small' when o_orderstatus = 'P' then 'pending' when o_totalprice > 400000 then 'too_large' else 'ok' end as reason from orders")
+def failure_code(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", first_failure((F.col("o_totalprice").isNull(), "missing"), (F.col("o_totalprice") < 1000, "too_small"), (F.col("o_orderstatus") == "P", "pending"), (F.col("o_totalprice") > 400000, "too_large")).alias("reason"))
+
+
+@query(f"with {EVENTS_SQL}, {INTERVALS_SQL} select recording_id, label, count(*) as n from iv where trim(label) <> '' group by grouping sets ((recording_id, label), (label))")
+def category_counts(spark, sf_dir):
+    return checks.category_counts(intervals(spark, sf_dir))
+
+
+@query(f"with {EVENTS_SQL}, {INTERVALS_SQL} select distinct label from iv where lower(tier) = 'phones' and trim(label) <> ''")
+def global_categories(spark, sf_dir):
+    return grid.words_of(intervals(spark, sf_dir), ("phone", "phones")).select("label").distinct().orderBy("label")
+
+
+@query("select vec_id, len(list_filter(embedding, lambda v: isfinite(v))) = 64 as finite from embeddings")
+def finite_vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.forall("embedding", is_finite).alias("finite"))
+
+
+# --- joins and comparisons
+
+
+@query("""with a as (select o_custkey as k, min(o_orderkey) as p, count(*) as n from orders where o_orderkey % 3 = 0 group by all), b as (select o_custkey as k, min(o_orderkey) as p, count(*) as n from orders where o_orderkey % 3 = 1 group by all)
+select coalesce(a.k, b.k)::varchar as recording_id, case when a.n = 1 then a.p::varchar end as audio_path, case when b.n = 1 then b.p::varchar end as alignment_path, coalesce(a.n, 0)::int as audio_matches, coalesce(b.n, 0)::int as alignment_matches from a full join b on a.k = b.k""")
+def manifest_outer(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    files = lambda r: o.where(F.col("o_orderkey") % 3 == r).select(F.col("o_custkey").cast("string").alias("stem"), F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderkey").cast("string").alias("filename"))
+    return relate.matched_files(files(0), files(1)).select("recording_id", "audio_path", "alignment_path", "audio_matches", "alignment_matches")
+
+
+@query("""with a as (select n_name as field, n_regionkey::varchar as value from nation where n_nationkey % 4 <> 1), b as (select n_name as field, case when n_nationkey % 5 = 0 then null else n_regionkey::varchar end as value from nation where n_nationkey % 6 <> 2)
+select coalesce(a.field, b.field) as field, a.value as reference, b.value as candidate, a.value is not distinct from b.value as matches from a full join b on a.field = b.field""")
+def contract_diff(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    value = F.col("n_regionkey").cast("string")
+    a = n.where("n_nationkey % 4 <> 1").select(F.col("n_name").alias("field"), value.alias("value"))
+    b = n.where("n_nationkey % 6 <> 2").select(F.col("n_name").alias("field"), F.when(F.col("n_nationkey") % 5 != 0, value).alias("value"))
+    return relate.contract_diff(a, b)
+
+
+@query("""with a as (select o_orderkey, o_totalprice as v from orders where o_orderkey % 10 <> 3), b as (select o_orderkey, o_totalprice * (1 + (o_orderkey % 7) * 3e-5) as v from orders where o_orderkey % 10 <> 4)
+select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, case when a.o_orderkey is null then 'candidate' when b.o_orderkey is null then 'reference' else 'both' end as side, coalesce(a.o_orderkey is not null and b.o_orderkey is not null and abs(b.v - a.v) <= 1e-4 + 1e-4 * abs(a.v), false) as close from a full join b on a.o_orderkey = b.o_orderkey""")
+def regression_allclose(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"))
+    b = o.where("o_orderkey % 10 <> 4").withColumn("v", F.col("v") * (1 + (F.col("o_orderkey") % 7) * 3e-5))
+    return relate.regression(o.where("o_orderkey % 10 <> 3"), b, ["o_orderkey"], ["v"])
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def expected_missing(spark, sf_dir):
+    return relate.missing_of(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+
+
+@query("""with e as (select distinct s_nationkey as k from supplier), o as (select c_nationkey as k, count(*) as n from customer where c_custkey % 40 = 1 group by all)
+select coalesce(e.k, o.k) as k, case when o.n is null then 'missing' when e.k is null then 'unexpected' else 'duplicate' end as problem from e full join o on e.k = o.k where o.n is null or e.k is null or o.n > 1""")
+def exact_set(spark, sf_dir):
+    expected = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
+    return relate.exact_set(expected, table(spark, sf_dir, "customer").where("c_custkey % 40 = 1").select(F.col("c_nationkey").alias("k")), "k")
+
+
+@query("select user_id as recording_id, max_by(event_id, event_id) as event_id, max_by(value, event_id) as value from events group by all")
+def latest_row(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("recording_id"), "event_id", "value").withColumn("load_seq", F.col("event_id"))
+    return relate.latest_rows(e, ["recording_id"], "load_seq").select("recording_id", "event_id", "value")
+
+
+@query("""with d(key, value) as (values ('rate', '50'), ('layers', 'all'), ('batch', '20')), o as (select n_name as model, case when n_nationkey % 2 = 0 then 'rate' else 'device' end as key, n_nationkey::varchar as value from nation),
+m as (select distinct model from o), e as (select m.model, d.key, d.value from m, d)
+select coalesce(e.model, o.model) as model, coalesce(e.key, o.key) as key, coalesce(o.value, e.value) as value from e full join o on e.model = o.model and e.key = o.key""")
+def merged_settings(spark, sf_dir):
+    defaults = spark.createDataFrame([("rate", "50"), ("layers", "all"), ("batch", "20")], "key string, value string")
+    own = table(spark, sf_dir, "nation").select(F.col("n_name").alias("model"), F.when(F.col("n_nationkey") % 2 == 0, "rate").otherwise("device").alias("key"), F.col("n_nationkey").cast("string").alias("value"))
+    return relate.merged_settings(defaults, own)
+
+
+@query(f"""with {EVENTS_SQL}, {INTERVALS_SQL} select recording_id, interval_idx, tier, {_r('start')} as start, {_r('"end"')} as "end", label from iv where interval_idx < 12""")
+def textgrid_round_trip(spark, sf_dir):
+    """Intervals written as long text and parsed again; tiers in alternation are one tier a row of the text."""
+    rows = intervals(spark, sf_dir).where("interval_idx < 12")
+    lines = F.concat(F.lit('item ['), F.col("interval_idx") + 1, F.lit(']:\n class = "IntervalTier"\n name = "'), F.col("tier"), F.lit('"\n intervals: size = 1\n intervals [1]:\n xmin = '), F.format_string("%.6f", "start"), F.lit("\n xmax = "), F.format_string("%.6f", "end"), F.lit('\n text = "'), F.col("label"), F.lit('"\n'))
+    texts = rows.groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("interval_idx", lines.alias("l")))), lambda x: x["l"]), "").alias("text"))
+    done = parse_intervals(texts.select("recording_id", F.concat(F.lit('File type = "ooTextFile"\n'), "text").alias("text")))
+    return done.select("recording_id", "interval_idx", "tier", rounded("start").alias("start"), rounded("end").alias("end"), "label")
+
+
+@query("select event_id::varchar as id, 'k' as path, 'k' as key, json_extract(props, '$.k')::varchar as value_json from events")
+def json_walk(spark, sf_dir):
+    return json_entries(table(spark, sf_dir, "events"), "event_id", "props")
+
+
+# --- summaries
+
+_FOLDS = "fr as (select l_returnflag as model, 'layer_' || l_linenumber as layer, (l_linenumber - 1)::int as layer_idx, (l_orderkey % 4)::int as outer_fold, l_linestatus as feature_family, avg(l_discount) as full_r2, avg(l_tax) as conditional_delta_r2 from lineitem group by all)"
+
+
+def _fold_rows(spark, sf_dir) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.groupBy(F.col("l_returnflag").alias("model"), F.concat(F.lit("layer_"), "l_linenumber").alias("layer"), (F.col("l_linenumber") - 1).alias("layer_idx"), (F.col("l_orderkey") % 4).cast("int").alias("outer_fold"), F.col("l_linestatus").alias("feature_family")).agg(F.avg("l_discount").alias("full_r2"), F.avg("l_tax").alias("conditional_delta_r2"))
+
+
+@query(f"with {_FOLDS} select layer, feature_family, {_r('avg(full_r2)')} as mean_full_r2, {_r('avg(conditional_delta_r2)')} as mean_delta_r2, {_r('stddev_samp(conditional_delta_r2)')} as sd_delta_r2, count(distinct outer_fold) as outer_folds from fr group by all")
+def layer_summary(spark, sf_dir):
+    done = summary.layer_summary(_fold_rows(spark, sf_dir))
+    return done.select("layer", "feature_family", *[rounded(c).alias(c) for c in ("mean_full_r2", "mean_delta_r2", "sd_delta_r2")], "outer_folds")
+
+
+_MODELS = f"""with {_FOLDS}, pf as (select model, layer, layer_idx, outer_fold, max(full_r2) as full_r2 from fr group by all),
+ly as (select model, layer, layer_idx, avg(full_r2) as m, stddev_samp(full_r2) as sd, stddev_samp(full_r2) / sqrt(count(full_r2)) as sem, count(full_r2) as n from pf group by all),
+best as (select model, arg_max(layer, m) as best_layer, max(m) as best_full_r2 from ly group by all), ov as (select model, avg(m) as mean_full_r2, max(m) as max_full_r2, stddev_samp(m) as sd_full_r2, count(distinct layer) as layers from ly group by all),
+ce as (select model, feature_family, layer, layer_idx, avg(conditional_delta_r2) as delta from fr group by all),
+fa as (select model, feature_family, avg(delta) as mean_delta_r2, arg_max(layer, delta) as peak_layer, max(delta) as peak_delta_r2 from ce group by all)"""
+
+
+@query(f"{_MODELS} select model, layer, layer_idx, {_r('m')} as mean_full_r2, {_r('sd')} as sd_full_r2, {_r('sem')} as sem_full_r2, n as n_full_r2, {_r('layer_idx / greatest(max(layer_idx) over (partition by model), 1)::double')} as relative_depth from ly")
+def model_layers(spark, sf_dir):
+    done = summary.model_summary(_fold_rows(spark, sf_dir), "A")["layers"]
+    return done.select("model", "layer", "layer_idx", *[rounded(c).alias(c) for c in ("mean_full_r2", "sd_full_r2", "sem_full_r2")], "n_full_r2", rounded("relative_depth").alias("relative_depth"))
+
+
+@query(f"{_MODELS}, j as (select * from ov join best using (model)), ref as (select * from j where model = 'A') select j.model, {_r('j.mean_full_r2')} as mean_full_r2, {_r('j.max_full_r2')} as max_full_r2, {_r('j.sd_full_r2')} as sd_full_r2, j.layers, j.best_layer, {_r('j.mean_full_r2 - ref.mean_full_r2')} as mean_difference, {_r('j.best_full_r2 - ref.best_full_r2')} as best_difference from j, ref")
+def model_comparison(spark, sf_dir):
+    done = summary.model_summary(_fold_rows(spark, sf_dir), "A")["models"]
+    return done.select("model", *[rounded(c).alias(c) for c in ("mean_full_r2", "max_full_r2", "sd_full_r2", "mean_difference", "best_difference")], "layers", "best_layer")
+
+
+@query(f"{_MODELS}, ref as (select feature_family, mean_delta_r2 as r from fa where model = 'A') select model, fa.feature_family, {_r('mean_delta_r2')} as mean_delta_r2, peak_layer, {_r('peak_delta_r2')} as peak_delta_r2, {_r('mean_delta_r2 - r')} as difference from fa left join ref on fa.feature_family = ref.feature_family")
+def model_families(spark, sf_dir):
+    done = summary.model_summary(_fold_rows(spark, sf_dir), "A")["families"]
+    return done.select("model", "feature_family", rounded("mean_delta_r2").alias("mean_delta_r2"), "peak_layer", rounded("peak_delta_r2").alias("peak_delta_r2"), rounded("difference").alias("difference"))
+
+
+@query(f"{_MODELS}, b as (select pf.model, pf.outer_fold, pf.full_r2 from pf join best on pf.model = best.model and pf.layer = best.best_layer) select x.outer_fold, x.model, {_r('x.full_r2')} as full_r2, {_r('r.full_r2')} as reference_full_r2, {_r('x.full_r2 - r.full_r2')} as difference from b x join b r on x.outer_fold = r.outer_fold and r.model = 'A' where x.model <> 'A'")
+def fold_differences(spark, sf_dir):
+    done = summary.model_summary(_fold_rows(spark, sf_dir), "A")["folds"]
+    return done.select("outer_fold", "model", *[rounded(c).alias(c) for c in ("full_r2", "reference_full_r2", "difference")])
+
+
+@query(f"{_MODELS} select model, {_r("max(mean_delta_r2) filter (where feature_family = 'F')")} as \"F\", {_r("max(mean_delta_r2) filter (where feature_family = 'O')")} as \"O\" from fa group by all")
+def family_pivot(spark, sf_dir):
+    return summary.model_summary(_fold_rows(spark, sf_dir), "A")["wide"].select("model", rounded("F").alias("F"), rounded("O").alias("O"))
+
+
+_EFFECTS = f"{EVENTS_SQL}, sc as (select 'm' || (event_id % 2) as model, 'l' || (event_id % 3) as layer, recording_id, family, (event_id % 4)::int as null_index, value / 97e0 as delta_r2 from ev), cells as (select model, layer, recording_id, family, avg(delta_r2) as delta_r2 from sc group by all), du as (select recording_id, max(t) as duration_seconds from ev group by all)"
+
+
+def _scores(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Score rows with null draws, their cell means, and durations."""
+    e = events(spark, sf_dir)
+    rows = e.select(F.concat(F.lit("m"), F.col("event_id") % 2).alias("model"), F.concat(F.lit("l"), F.col("event_id") % 3).alias("layer"), "recording_id", "family", (F.col("event_id") % 4).cast("int").alias("null_index"), (F.col("value") / 97).alias("delta_r2"))
+    cells = rows.groupBy("model", "layer", "recording_id", "family").agg(F.avg("delta_r2").alias("delta_r2"))
+    return rows, cells, e.groupBy("recording_id").agg(F.max("t").alias("duration_seconds"))
+
+
+@query(f"with {_EFFECTS} select model, recording_id, family, {_r('avg(delta_r2)')} as effect, count(*) as layers, {_r('max(duration_seconds)')} as duration_seconds from cells join du using (recording_id) group by all")
+def aggregate_effects(spark, sf_dir):
+    _, cells, durations = _scores(spark, sf_dir)
+    done = summary.aggregate_effects(cells.join(durations, "recording_id").withColumnRenamed("delta_r2", "effect"))
+    return done.select("model", "recording_id", "family", rounded("effect").alias("effect"), "layers", rounded("duration_seconds").alias("duration_seconds"))
+
+
+@query(f"with {EVENTS_SQL}, o as (select recording_id, avg(value) as v from ev where family = 'word' group by all), n as (select recording_id, avg(value) as v from ev where family <> 'word' group by all) select recording_id, {_r('o.v - n.v')} as difference from o join n using (recording_id)")
+def paired_difference(spark, sf_dir):
+    e = events(spark, sf_dir)
+    done = infer.paired_differences(e.where("family = 'word'").groupBy("recording_id").agg(F.avg("value").alias("value")), e.where("family <> 'word'"))
+    return done.select("recording_id", rounded("difference").alias("difference"))
+
+
+@query(f"with {_EFFECTS}, nm as (select model, layer, recording_id, family, avg(delta_r2) as mean_null, count(distinct null_index) as nulls from sc where null_index > 0 group by all), ob as (select model, layer, recording_id, family, avg(delta_r2) as delta_r2 from sc where null_index = 0 group by all) select model, recording_id, family, {_r('avg(delta_r2 - mean_null)')} as effect, count(*) as layers from ob join nm using (model, layer, recording_id, family) group by all")
+def null_contrast(spark, sf_dir):
+    rows, _, _ = _scores(spark, sf_dir)
+    observed = rows.where("null_index = 0").groupBy("model", "layer", "recording_id", "family").agg(F.avg("delta_r2").alias("delta_r2"))
+    return summary.null_contrast(observed, rows.where("null_index > 0")).select("model", "recording_id", "family", rounded("effect").alias("effect"), "layers")
+
+
+@query(f"with {_EFFECTS} select model, layer, count(distinct null_index) as nulls, count(distinct null_index) = 4 and min(null_index) = 0 and max(null_index) = 3 as complete from sc group by all")
+def null_completeness(spark, sf_dir):
+    return summary.null_completeness(_scores(spark, sf_dir)[0], 4)
+
+
+@query(f"with {_EFFECTS} select model, layer, family, count(distinct recording_id) as recordings, {_r('avg(delta_r2)')} as equal_mean, {_r('sum(delta_r2 * duration_seconds) / sum(duration_seconds)')} as weighted_mean from cells join du using (recording_id) group by all")
+def weighted_means(spark, sf_dir):
+    _, cells, durations = _scores(spark, sf_dir)
+    done = cells.join(durations, "recording_id").groupBy("model", "layer", "family").agg(F.count_distinct("recording_id").alias("recordings"), rounded(F.avg("delta_r2")).alias("equal_mean"), rounded(summary.weighted_mean("delta_r2", "duration_seconds")).alias("weighted_mean"))
+    return done
+
+
+@query(f"with {_EFFECTS}, u as (select distinct model, layer, recording_id, first_value(delta_r2) over (partition by model, layer, recording_id order by family) as full_r2 from cells) select 'original' as variant, model, layer, {_r('avg(full_r2)')} as mean, {_r('stddev_samp(full_r2)')} as sd, {_r('min(full_r2)')} as least, {_r('max(full_r2)')} as most, count(distinct recording_id) as recordings from u group by all")
+def full_r2_diagnostic(spark, sf_dir):
+    _, cells, _ = _scores(spark, sf_dir)
+    one = cells.groupBy("model", "layer", "recording_id").agg(F.min_by("delta_r2", "family").alias("full_r2"))
+    rows = cells.join(one, ["model", "layer", "recording_id"]).withColumn("variant", F.lit("original"))
+    done = summary.full_r2_diagnostic(rows)
+    return done.select("variant", "model", "layer", *[rounded(c).alias(c) for c in ("mean", "sd", "least", "most")], "recordings")
+
+
+@query(f"with {_FOLDS}, r as (select model, layer, outer_fold, count(*)::int as components, max(full_r2) as coverage from fr group by all) select model, layer, min(components) as least_components, max(components) as most_components, {_r('avg(coverage)')} as mean_coverage, {_r('stddev_samp(coverage)')} as sd_coverage, {_r('min(coverage)')} as least_coverage, {_r('max(coverage)')} as most_coverage, count(distinct outer_fold) as folds from r group by all")
+def coverage_summary(spark, sf_dir):
+    reports = _fold_rows(spark, sf_dir).groupBy("model", "layer", "outer_fold").agg(F.count("*").cast("int").alias("components"), F.max("full_r2").alias("coverage"))
+    done = summary.coverage_summary(reports)
+    return done.select("model", "layer", "least_components", "most_components", *[rounded(c).alias(c) for c in ("mean_coverage", "sd_coverage", "least_coverage", "most_coverage")], "folds")
+
+
+@query("select floor(sum(c_acctbal::double) * 50 * 3 * 4 * 2)::bigint as bytes from customer where c_acctbal > 0")
+def storage_bytes(spark, sf_dir):
+    return summary.storage_bytes(table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_acctbal").alias("duration_seconds")), 50.0, 3, 4, 2)
+
+
+@query("select sha256(string_agg(r, chr(10) order by r)) as sha256 from (select n_nationkey || ',' || n_name || ',' || n_regionkey as r from nation)")
+def manifest_sha256(spark, sf_dir):
+    return summary.manifest_sha256(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+
+
+@query(f"with {_EFFECTS}, e as (select model, family, avg(delta_r2) as effect from cells group by all) select model, string_agg(family, '>' order by effect desc, family) as family_order from e group by all")
+def family_order(spark, sf_dir):
+    _, cells, _ = _scores(spark, sf_dir)
+    return summary.family_order(cells.groupBy("model", "family").agg(F.avg("delta_r2").alias("effect")))
+
+
+@query("""with l as (select p_brand as model, p_size as layer_idx, case when p_size = min(p_size) over (partition by p_brand) then 'layer_input' else 'layer_' || p_size end as layer from (select distinct p_brand, p_size from part)),
+e as (select *, row_number() over (partition by model order by layer_idx) as i, count(*) over (partition by model) as depth from l where layer <> 'layer_input')
+select model, 'layer_input' as input, arg_min(layer, abs(2 * i - depth) * 1000 + i) as middle, arg_max(layer, i) as final from e group by all""")
+def middle_layer(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("model"), F.col("p_size").alias("layer_idx")).distinct()
+    first = F.min("layer_idx").over(Window.partitionBy("model"))
+    return summary.depth_layers(p.withColumn("layer", F.when(F.col("layer_idx") == first, "layer_input").otherwise(F.concat(F.lit("layer_"), F.col("layer_idx")))))
+
+
+# --- splits and inference
+
+_TWELVE = f"with {EVENTS_SQL}, top as (select recording_id from (select distinct recording_id::bigint as recording_id from ev) order by recording_id limit 12), ef as (select family, recording_id::bigint as r, round(avg(value), 2) - 25 as effect from ev where recording_id::bigint in (select recording_id from top) group by all)"
+
+
+def _twelve(spark, sf_dir) -> DataFrame:
+    """(family, recording_id, effect, duration_seconds) of the twelve first users, effects at two decimals."""
+    e = events(spark, sf_dir).withColumn("recording_id", F.col("recording_id").cast("long"))
+    first = e.select("recording_id").distinct().orderBy("recording_id").limit(12)
+    return e.join(F.broadcast(first), "recording_id").groupBy("family", "recording_id").agg((F.round(F.avg("value"), 2) - 25).alias("effect"), F.max("t").alias("duration_seconds"))  # twelve rows
+
+
+@query(f"""{_TWELVE}, v as (select family, list(effect order by r) as v from ef group by all), masks as (select m from generate_series(0, 4095) g(m)),
+s as (select family, v, m, list_reduce(list_transform(generate_series(1, len(v)), lambda i: case when (m >> (i - 1)) & 1 = 1 then v[i] else -v[i] end), lambda a, b: a + b) as total from v, masks),
+o as (select family, list_reduce(v, lambda a, b: a + b) as observed from v)
+select s.family, {_r("max(o.observed) / 12")} as effect, sum((abs(total) >= abs(observed))::int)::bigint as extreme, count(*) as assignments, {_r("sum((abs(total) >= abs(observed))::int) / count(*)::double")} as p_value from s join o using (family) group by all""")
+def sign_flip_exact(spark, sf_dir):
+    done = infer.sign_flip(infer.value_arrays(_twelve(spark, sf_dir), ["family"]), ["family"])
+    return done.select("family", rounded("effect").alias("effect"), "extreme", "assignments", rounded("p_value").alias("p_value"))
+
+
+@query(f"""with {_EFFECTS}, p as (select model, layer, family, count(*) as n, (count(*) * 37 % 101) / 101e0 as p_value from cells where delta_r2 > 0.2 group by all), k as (select *, row_number() over (partition by model order by p_value) as rk, count(*) over (partition by model) as m from p)
+select model, layer, family, {_r("p_value")} as p_value, {_r("least(1e0, min(p_value * m / rk) over (partition by model order by rk desc rows unbounded preceding))")} as q_value from k""")
+def bh_adjust(spark, sf_dir):
+    _, cells, _ = _scores(spark, sf_dir)
+    p = cells.where("delta_r2 > 0.2").groupBy("model", "layer", "family").agg(F.count("*").alias("n")).withColumn("p_value", F.col("n") * 37 % 101 / F.lit(101.0)).drop("n")
+    return infer.benjamini_hochberg(p, ["model"]).select("model", "layer", "family", rounded("p_value").alias("p_value"), rounded("q_value").alias("q_value"))
+
+
+@query()
+def bootstrap_intervals(spark, sf_dir):
+    """Intervals from NumPy's own draws, which SQL has not; the tests hold them against NumPy."""
+    return infer.bootstrap_interval(infer.value_arrays(_twelve(spark, sf_dir), ["family"]), ["family"], 12, seed=17)
+
+
+@query()
+def group_inference(spark, sf_dir):
+    """Sign flips, both intervals and adjusted p over the five families of one model."""
+    return infer.analyse(_twelve(spark, sf_dir).withColumns({"model": F.lit("m"), "layer": F.lit("l")}), 12, seed=17)
+
+
+@query(f"with {_EFFECTS}, a as (select model, family, avg(delta_r2) - 0.25 as effect, (count(*) % 10) / 100e0 as q from cells where layer = 'l0' group by all), b as (select model, family, avg(delta_r2) - 0.25 as effect, (count(*) % 10) / 100e0 as q from cells where layer = 'l1' group by all) select model, family, sign(a.effect) <> sign(b.effect) as sign_changed, (a.q < 0.05) <> (b.q < 0.05) as significance_changed, not (sign(a.effect) <> sign(b.effect)) and not ((a.q < 0.05) <> (b.q < 0.05)) as stable from a join b using (model, family)")
+def conclusion_flags(spark, sf_dir):
+    _, cells, _ = _scores(spark, sf_dir)
+    part = lambda layer: cells.where(F.col("layer") == layer).groupBy("model", "family").agg((F.avg("delta_r2") - 0.25).alias("effect"), (F.count("*") % 10 / F.lit(100.0)).alias("q_value"))
+    return infer.conclusion_flags(part("l0"), part("l1"), ["model", "family"]).select("model", "family", "sign_changed", "significance_changed", "stable")
+
+
+@query(f"with {EVENTS_SQL}, {USERS_SQL} select a.recording_id as held_out, b.recording_id, case when a.recording_id = b.recording_id then 'test' else 'train' end as role from users a, users b where a.recording_id::bigint < 40 and b.recording_id::bigint < 40")
+def loro_splits(spark, sf_dir):
+    ids = [r.recording_id for r in recordings(spark, sf_dir).where("cast(recording_id as long) < 40").orderBy("recording_id").collect()]
+    rows = [(test[0], i, role) for _, _, train, test in encode.outer_splits(dict.fromkeys(ids, 1)) for part, role in ((train, "train"), (test, "test")) for i in part]
+    return spark.createDataFrame(rows, "held_out string, recording_id string, role string")
+
+
+@query()
+def group_folds(spark, sf_dir):
+    """Grouped folds of users weighed by their events, and each fold's load."""
+    sizes = {r.recording_id: r.n for r in events(spark, sf_dir).groupBy("recording_id").agg(F.count("*").alias("n")).collect()}  # a row for each recording
+    return spark.createDataFrame([(i, f, sizes[i]) for i, f in encode.group_folds(sizes, 5).items()], "recording_id string, fold int, weight long")
+
+
+# --- encoding
+
+
+def _fit_frames(spark, sf_dir) -> DataFrame:
+    """Hourly family counts of eight users as predictors; their lagged mixture with a ripple as three targets."""
+    frames = _family_frames(spark, sf_dir).where("cast(recording_id as long) < 8").select("recording_id", "frame", F.transform("x", lambda v, i: v + ((F.col("frame") * (i + 2) * 37) % 101) / 101.0).alias("x"))
+    w = Window.partitionBy("recording_id").orderBy("frame")
+    before = F.coalesce(F.lag("x", 1).over(w), F.col("x"))
+    mix = [F.get("x", F.lit(0)) + 0.5 * F.get(before, F.lit(k + 1)) - 0.3 * F.get("x", F.lit(k + 2)) + (F.col("frame") * (k + 3) % 17) / 17.0 for k in range(3)]
+    return frames.select(F.lit("m").alias("model"), F.lit("l").alias("layer"), "recording_id", "frame", "x", F.array(*mix).alias("y"))
+
+
+def _plan(**options) -> encode.Plan:
+    return encode.Plan(list(FAMILIES), lags=(-1.0, 0.0, 1.0), rate=1.0, **options)
+
+
+@query()
+def ridge_nested_cv(spark, sf_dir):
+    plan = _plan(sensitivity_folds=4, components=2)
+    unit = ["model", "layer"]
+    return encode.fit_scores(encode.recording_moments(_fit_frames(spark, sf_dir), plan, unit), plan, unit)
+
+
+@query()
+def ridge_fixed_alpha(spark, sf_dir):
+    alphas = {f: dict.fromkeys(("full", *FAMILIES), 10.0) for f in range(4)}
+    plan = _plan(sensitivity_folds=4, components=2, kinds=("sensitivity",), fixed_alphas=alphas)
+    unit = ["model", "layer"]
+    return encode.fit_scores(encode.recording_moments(_fit_frames(spark, sf_dir), plan, unit), plan, unit).drop("full_inner_cv_scores", "reduced_inner_cv_scores")
+
+
+@query()
+def pooled_fit(spark, sf_dir):
+    plan, unit = _plan(), ["model", "layer"]
+    return encode.pooled_results(encode.recording_moments(_fit_frames(spark, sf_dir), plan, unit), plan, unit, 4)
+
+
+@query()
+def capacity_reports(spark, sf_dir):
+    plan, unit = _plan(capacity=True, components=2), ["model", "layer"]
+    return encode.fit_reports(encode.recording_moments(_fit_frames(spark, sf_dir), plan, unit), plan, unit)
+
+
+@query()
+def held_out_predictions(spark, sf_dir):
+    plan, unit = _plan(components=2), ["model", "layer"]
+    frames = _fit_frames(spark, sf_dir)
+    return encode.predictions(frames, encode.recording_moments(frames, plan, unit), plan, unit)
+
+
+@query(f"select l_returnflag as k, count(*) as n, {_r('avg(l_quantity)')} as mean_x, {_r('avg(l_tax)')} as mean_y, {_r('stddev_pop(l_quantity)')} as scale_x, {_r('sum((l_quantity - mx) * (l_tax - my)) / count(*)')} as cov_xy, {_r('sum((l_quantity - mx) * (l_discount - md)) / count(*)')} as cov_xd from lineitem join (select l_returnflag as k, avg(l_quantity) as mx, avg(l_tax) as my, avg(l_discount) as md from lineitem group by all) on k = l_returnflag group by all")
+def standardised_moments(spark, sf_dir):
+    """Centred second moments by group, natively: what the fits standardise with."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.groupBy(F.col("l_returnflag").alias("k")).agg(F.count("*").alias("n"), rounded(F.avg("l_quantity")).alias("mean_x"), rounded(F.avg("l_tax")).alias("mean_y"), rounded(F.stddev_pop("l_quantity")).alias("scale_x"), rounded(F.covar_pop("l_quantity", "l_tax")).alias("cov_xy"), rounded(F.covar_pop("l_quantity", "l_discount")).alias("cov_xd"))
+
+
+@query(f"select l_returnflag as k, {_r('1 - sum(pow(l_extendedprice - l_quantity * 1500, 2)) / sum(pow(l_extendedprice - m, 2))')} as r2 from lineitem join (select l_returnflag as k, avg(l_extendedprice) as m from lineitem group by all) on k = l_returnflag group by all")
+def variance_weighted_r2(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    error = F.sum(F.pow(F.col("l_extendedprice") - F.col("l_quantity") * 1500, F.lit(2)))
+    return l.groupBy(F.col("l_returnflag").alias("k")).agg(rounded(1 - error / (F.var_pop("l_extendedprice") * F.count("*"))).alias("r2"))

@@ -1 +1 @@
-
+"""Readers and writers: annotations, audio, tables, stores, and atomic publishing."""
