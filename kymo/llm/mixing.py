@@ -147,9 +147,11 @@ def fitted_steps(cells: DataFrame, targets: dict[str, float]) -> list[tuple[floa
 def rated(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS) -> DataFrame:
     """A struct column row with the columns of docs, n_tokens, p_ of each domain, rate, and copies."""
     scored = posteriors(docs, weights_from(docs, labels, id_col, text_col), text_col)
-    cells = stored(scored.groupBy(*[f"q_{d}" for d in DOMAINS]).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    rate = rate_after(fitted_steps(cells, targets))
-    done = scored.select("row", "n_tokens", *[share(d).alias(f"p_{d}") for d in DOMAINS], rate.alias("rate"))
+    keys = [f"q_{d}" for d in DOMAINS]
+    cells = stored(scored.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
+    rates = stored(cells.select(*keys, rate_after(fitted_steps(cells, targets)).alias("rate")), "mix-rates")
+    # at most (LEVELS + 1) (LEVELS + 2) / 2 cells; joined in, the rate is a column that no predicate takes apart
+    done = scored.join(F.broadcast(rates), keys).select("row", "n_tokens", *[share(d).alias(f"p_{d}") for d in DOMAINS], "rate")
     whole = F.rint("rate")
     chance = F.pmod(F.xxhash64(f"row.{id_col}", F.xxhash64(f"row.{text_col}")), F.lit(1_000_003)) / 1_000_003
     return done.withColumn("copies", F.when(F.abs(F.col("rate") - whole) <= ROUND, whole).otherwise(F.floor(F.col("rate") + chance)).cast("int"))
