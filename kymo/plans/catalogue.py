@@ -195,9 +195,9 @@ def frame_centres(spark, sf_dir):
 # --- checks
 
 
-@query(f"with {EVENTS_SQL}, s as (select recording_id, t, t - lag(t) over (partition by recording_id order by t) as d from ev) select recording_id, {_r('quantile_cont(d, 0.5)')} as step, {_r('max(t) + quantile_cont(d, 0.5)')} as duration_seconds from s group by all")
+@query(f"with {EVENTS_SQL}, s as (select recording_id, t, t - lag(t) over (partition by recording_id order by t) as d from ev) select recording_id, round(quantile_cont(d, 0.5), 7) as step, round(max(t) + quantile_cont(d, 0.5), 7) as duration_seconds from s group by all")
 def median_step(spark, sf_dir):
-    return checks.median_step(events(spark, sf_dir)).select("recording_id", rounded("step").alias("step"), rounded("duration_seconds").alias("duration_seconds"))
+    return checks.median_step(events(spark, sf_dir)).select("recording_id", rounded("step", 7).alias("step"), rounded("duration_seconds", 7).alias("duration_seconds"))
 
 
 @query(f"""with {EVENTS_SQL}, s as (select recording_id, event_id, t, t > lag(t) over (partition by recording_id order by event_id) as up from ev)
@@ -490,14 +490,14 @@ def middle_layer(spark, sf_dir):
 
 # --- splits and inference
 
-_TWELVE = f"with {EVENTS_SQL}, top as (select recording_id from (select distinct recording_id::bigint as recording_id from ev) order by recording_id limit 12), ef as (select family, recording_id::bigint as r, round(avg(value), 2) - 25 as effect from ev where recording_id::bigint in (select recording_id from top) group by all)"
+_TWELVE = f"with {EVENTS_SQL}, top as (select recording_id from (select distinct recording_id::bigint as recording_id from ev) order by recording_id limit 12), ef as (select family, recording_id::bigint as r, floor(avg(value) * 100) / 100 - 25 as effect from ev where recording_id::bigint in (select recording_id from top) group by all)"
 
 
 def _twelve(spark, sf_dir) -> DataFrame:
     """(family, recording_id, effect, duration_seconds) of the twelve first users, effects at two decimals."""
     e = events(spark, sf_dir).withColumn("recording_id", F.col("recording_id").cast("long"))
     first = e.select("recording_id").distinct().orderBy("recording_id").limit(12)
-    return e.join(F.broadcast(first), "recording_id").groupBy("family", "recording_id").agg((F.round(F.avg("value"), 2) - 25).alias("effect"), F.max("t").alias("duration_seconds"))  # twelve rows
+    return e.join(F.broadcast(first), "recording_id").groupBy("family", "recording_id").agg((F.floor(F.avg("value") * 100) / 100 - 25).alias("effect"), F.max("t").alias("duration_seconds"))  # twelve rows
 
 
 @query(f"""{_TWELVE}, v as (select family, list(effect order by r) as v from ef group by all), masks as (select m from generate_series(0, 4095) g(m)),
