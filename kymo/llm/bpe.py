@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kymo.llm.common import claim
+
 #: Words in each of the two generations that a worker remembers between blocks: when the younger is full, the older goes.
 REMEMBERED = 300_000
 #: Words whose merges are replayed together.
@@ -214,6 +216,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 def codec_of(rank_lines: bytes, pattern: str) -> Codec:
     """A codec that lives as long as the worker process."""
+    claim("bpe", _codecs.clear)
     key = (hashlib.sha256(rank_lines).hexdigest(), pattern)
     if key not in _codecs:
         _codecs[key] = Codec(rank_lines, pattern)

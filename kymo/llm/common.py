@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: dict[str, str] = {}
+#: In a worker process: the operator whose task ran last, and how to drop what it remembers.
+_holder: list = []
 _stored: list[str] = []
 
 
@@ -61,6 +64,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def claim(owner: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called as an operator's task begins in a worker: what another operator remembers there is dropped.
+
+    Workers are used again and again; memory is thus bounded by one operator's, not by all that ran before.
+    """
+    if _holder and _holder[0] != owner:
+        _holder[1]()
+        gc.collect()
+    _holder[:] = [owner, forget]
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Batches sorted by keys, dealt anew so that no group of equal keys spans two tables."""
     carry: list[pa.Table] = []

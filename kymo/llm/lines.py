@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import group_starts, partitions, stored
+from kymo.llm.common import claim, group_starts, partitions, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space.
@@ -51,6 +51,7 @@ def _mark(min_docs: int):
         )
 
     def run(batches):
+        claim("lines")
         hash_now = None  # the run that goes on
         first_run, seen, waiting = True, [], []
 
@@ -146,6 +147,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _bitmaps(batches):
+    claim("lines")
     for batch in batches:
         keep = []
         for dropped in batch.column("dropped"):
@@ -175,6 +177,7 @@ def apply(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col:
 
     @F.arrow_udf("n_lines long, n_dropped long, text string")
     def applied(texts: pa.Array, keeps: pa.Array) -> pa.Array:
+        claim("lines")
         n_lines, dropped, kept = [], [], []
         for t, keep in zip(texts, keeps, strict=True):
             lines = t.as_py().split("\n")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import group_starts, partitions, stored, whole_groups
+from kymo.llm.common import claim, group_starts, partitions, stored, whole_groups
 from kymo.llm.components import components
 
 #: Words of a shingle; similarity in percent from which sets are linked.
@@ -40,7 +40,7 @@ PLACES, BITS, CHUNKS, MOST_ERRORS = 48, 16, 9, 17
 #: Members of a block under one key, and shingles and members of a block of a family.
 KEY_BLOCK, FAMILY_SHINGLES, FAMILY_BLOCK = 1_024, 400_000, 512
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 _rng = np.random.default_rng(20240229)
 _WORD_FACTORS = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,6 +111,7 @@ def signature_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches):
+    claim("near", _hashes.clear)
     for batch in batches:
         n, first, second, signs = [], [], [], []
         for text in batch.column(1):
@@ -126,6 +127,7 @@ def _sketch(batches):
 
 
 def _postings(batches):
+    claim("near", _hashes.clear)
     width = len(_omissions())
     for batch in batches:
         if not batch.num_rows:
@@ -179,6 +181,7 @@ def _cells(df: DataFrame, blocks: str) -> DataFrame:
 
 def _near_by_signature(batches):
     """Groups of (key, bi, bj), sorted: a spanning forest of the pairs under the distance."""
+    claim("near-pairs")
     for table in whole_groups(batches, ["key", "bi", "bj"]):
         cols = {c: table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "bi", "bj", "block", "id", "n")}
         signs = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint16).reshape(-1, PLACES)
@@ -235,6 +238,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _confirmed(batches):
     """Groups of (family, bi, bj), sorted: a spanning forest of the pairs whose full sets are similar enough."""
+    claim("near-pairs")
     for table in whole_groups(batches, ["family", "bi", "bj"]):
         cols = {c: table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("family", "bi", "bj", "block", "id")}
         raw = table["shingles"]
@@ -267,6 +271,7 @@ def _confirmed(batches):
 
 
 def _sets(batches):
+    claim("near", _hashes.clear)
     for batch in batches:
         raw = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("family"), pa.array(raw, pa.binary())], ["id", "family", "shingles"])

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kymo.llm.common import claim
+
 #: Labelled rows that the driver may hold for training, taken in the order of a hash of their id.
 LABELLED_ROWS = 10_000
 #: A document is rejected outright below so many words, or above so many percent of repeated words.
@@ -81,6 +83,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def _measure_all(texts: pa.Array) -> pa.Array:
+    claim("rules")
     rows = [measure(t.as_py()) for t in texts]
     columns = np.array(rows, dtype=np.int64).reshape(-1, len(COUNTS)).T
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], COUNTS)
