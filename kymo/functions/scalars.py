@@ -58,7 +58,10 @@ def rounded(x: Column | str, places: int = 6) -> Column:
 def percent_encoded(text: Column | str) -> Column:
     """A path component: everything but letters, digits and -_.~ encoded."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    out = F.url_encode(c)
+    for form, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):  # form encoding differs in these
+        out = F.replace(out, F.lit(form), F.lit(wanted))
+    return out
 
 
 def path_safe(text: Column | str) -> Column:

@@ -379,7 +379,9 @@ def pooled_results(moments: DataFrame, plan: Plan, unit: list[str], outer_folds:
             done.insert(0, k, rows[k].iloc[0])
         return done
 
-    return moments.groupBy(*unit).applyInPandas(of, "".join(f"{k} string, " for k in unit) + "outer_fold int, feature_family string, alpha double, full_r2 double, reduced_r2 double, conditional_delta_r2 double, conditional_proportion double")
+    done = moments.groupBy(*unit).applyInPandas(of, "".join(f"{k} string, " for k in unit) + "outer_fold int, feature_family string, alpha double, full_r2 double, reduced_r2 double, conditional_delta_r2 double, conditional_proportion double")
+    # pandas hands NaN over as null; here it tells of an undefined figure
+    return done.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("reduced_r2", "conditional_delta_r2", "conditional_proportion")})
 
 
 def predictions(frames: DataFrame, moments: DataFrame, plan: Plan, unit: list[str]) -> DataFrame:

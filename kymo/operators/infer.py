@@ -138,8 +138,8 @@ def summarise_nulls(observed: DataFrame, nulls: DataFrame, expected: int, record
 
 
 def lag_contrast(longer: DataFrame, zero: DataFrame, recordings: int, **options) -> DataFrame:
-    """Inference on the longer lags' effects minus those at zero lag, with the direction."""
+    """Inference on the effects at zero lag minus those of the longer lags, with the direction."""
     keys = ["model", "recording_id", "family"]
     both = longer.select(*keys, F.col("effect").alias("_a"), "duration_seconds").join(zero.select(*keys, F.col("effect").alias("_b")), keys)
-    out = infer(both.withColumn("effect", F.col("_a") - F.col("_b")), ["model", "family"], ["model"], recordings, **options)
-    return out.withColumn("direction", F.when(F.col("effect") > 0, "longer lags add").when(F.col("effect") < 0, "zero lag is better").otherwise("equal"))
+    out = infer(both.withColumn("effect", F.col("_b") - F.col("_a")), ["model", "family"], ["model"], recordings, **options)
+    return out.withColumn("direction", F.when(F.col("effect") > 0, "zero lag higher").when(F.col("effect") < 0, "longer lags higher").otherwise("equal"))

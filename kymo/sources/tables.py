@@ -40,7 +40,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, required: list[str] |
 def read_tsv(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
     """TSV of strings. With fields it is strict: LF line ends only, no NUL, exactly this header."""
     if fields is not None:
-        raw = spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit("utf-8")).alias("text"))
+        raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "utf-8").alias("text"))
         bad = raw.where(F.col("text").contains("\r") | F.col("text").contains("\0") | (F.substring_index("text", "\n", 1) != "\t".join(fields)))
         if not bad.isEmpty():
             raise ValueError(f"{path}: not plain LF text with the header {fields}")
