@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import claim
+from kymo.llm.common import claim, slices
 
 #: Words in each of the two generations that a worker remembers between blocks: when the younger is full, the older goes.
-REMEMBERED = 300_000
+REMEMBERED = 160_000
 #: Words whose merges are replayed together.
 REPLAYED = 2_000
 #: Longest word, in characters, that is remembered.
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches):
         codec = codec_of(lines.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             packed = codec.encode(batch.column(1).to_pylist())
             ids = pa.array([np.frombuffer(p, dtype="<i4") for p in packed], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
@@ -249,7 +249,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         codec = codec_of(lines.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             data = [codec.decode(np.asarray(ids or [], dtype="<u4").tobytes()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, type=pa.binary())], ["doc_id", "data"])
 
@@ -262,7 +262,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def run(batches):
         codec = codec_of(lines.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             n, ids, decoded = [], [], []
             for packed in codec.encode(batch.column(1).to_pylist()):
                 n.append(len(packed) // 4)

@@ -75,6 +75,13 @@ def claim(owner: str, forget: Callable[[], None] = lambda: None) -> None:
     _holder[:] = [owner, forget]
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of so many rows, so that a piece's Python objects are few."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Batches sorted by keys, dealt anew so that no group of equal keys spans two tables."""
     carry: list[pa.Table] = []

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import claim, group_starts, partitions, stored, whole_groups
+from kymo.llm.common import claim, group_starts, partitions, slices, stored, whole_groups
 from kymo.llm.components import components
 
 #: Words of a shingle; similarity in percent from which sets are linked.
@@ -112,7 +112,7 @@ def signature_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _sketch(batches):
     claim("near", _hashes.clear)
-    for batch in batches:
+    for batch in slices(batches):
         n, first, second, signs = [], [], [], []
         for text in batch.column(1):
             s = shingle_set(text.as_py())
@@ -272,7 +272,7 @@ def _confirmed(batches):
 
 def _sets(batches):
     claim("near", _hashes.clear)
-    for batch in batches:
+    for batch in slices(batches):
         raw = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("family"), pa.array(raw, pa.binary())], ["id", "family", "shingles"])
 
