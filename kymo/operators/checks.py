@@ -166,3 +166,19 @@ def panel_problems(panel: DataFrame) -> DataFrame:
     return panel.agg(
         F.count("*").alias("rows"), n(~F.col("family").isin(*FAMILIES))("unknown_families"), n(~(is_finite("effect") & is_finite("ci_low") & is_finite("ci_high")))("nonfinite"), n(F.col("ci_low") > F.col("ci_high"))("reversed_intervals")
     ).crossJoin(cells)  # one row each
+
+
+def saved_fields(entries: DataFrame, ids: DataFrame, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(id, field, value_json, values, status) of documents' entries (id, path, key, value_json).
+
+    wanted: for each field the keys that may hold it, best first; the first key that is saved anywhere counts. What is not
+    saved is 'missing', what is saved with different values is a 'conflict'; nothing is inferred.
+    """
+    spark = entries.sparkSession
+    keys = spark.createDataFrame([(f, k, n) for f, ks in wanted.items() for n, k in enumerate(ks)], "field string, key string, place int")
+    found = entries.join(F.broadcast(keys), "key").groupBy("id", "field", "place").agg(F.min("value_json").alias("value_json"), F.count_distinct("value_json").alias("values"))  # as many rows as wanted keys
+    best = found.groupBy("id", "field").agg(F.min_by(F.struct("value_json", "values"), "place").alias("r"))
+    every = ids.select("id").crossJoin(keys.select("field").distinct())
+    rows = every.join(best, ["id", "field"], "left")
+    status = F.when(F.col("r").isNull(), "missing").when(F.col("r.values") > 1, "conflict").otherwise("saved")
+    return rows.select("id", "field", F.when(status == "saved", F.col("r.value_json")).alias("value_json"), F.coalesce("r.values", F.lit(0)).alias("values"), status.alias("status"))

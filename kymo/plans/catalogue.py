@@ -351,6 +351,13 @@ def json_walk(spark, sf_dir):
     return json_entries(table(spark, sf_dir, "events"), "event_id", "props")
 
 
+@query("select event_id::varchar as id, 'level' as field, case when event_id % 3 <> 0 then json_extract(props, '$.k')::varchar end as value_json, (event_id % 3 <> 0)::bigint as \"values\", case when event_id % 3 = 0 then 'missing' else 'saved' end as status from events")
+def saved_fields(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    ids = e.select(F.col("event_id").cast("string").alias("id"))
+    return checks.saved_fields(json_entries(e.where("event_id % 3 <> 0"), "event_id", "props"), ids, {"level": ("depth", "k")})
+
+
 # --- summaries
 
 _FOLDS = "fr as (select l_returnflag as model, 'layer_' || l_linenumber as layer, (l_linenumber - 1)::int as layer_idx, (l_orderkey % 4)::int as outer_fold, l_linestatus as feature_family, avg(l_discount) as full_r2, avg(l_tax) as conditional_delta_r2 from lineitem group by all)"

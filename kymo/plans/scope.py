@@ -64,3 +64,21 @@ def fixed_alphas(results: DataFrame, fold: str = "outer_fold", family: str = "fe
     if len({frozenset(v) for v in out.values()}) > 1:
         raise ValueError("every fold needs the same families")
     return out
+
+
+def publish_tasks(tasks: DataFrame, path: str, replace: bool = False) -> str:
+    """Writes a task table as TSV: 'unchanged' if the same rows are there; other rows are refused, or set aside with replace."""
+    import os
+
+    from kymo.sources import publish
+
+    if os.path.exists(path):
+        names = tasks.columns
+        old = tasks.sparkSession.read.csv(path, sep="\t", header=True, inferSchema=False)
+        if old.columns == names and same_rows(old, tasks.select(*[F.col(c).cast("string") for c in names])):
+            return "unchanged"
+        if not replace:
+            raise ValueError(f"{path} holds other tasks")
+        publish.preserve(path, "stale")
+    publish.write_table(tasks.coalesce(1), path, sep="\t")
+    return "written"

@@ -99,3 +99,9 @@ def load_recordings(features: DataFrame, activations: DataFrame, tolerance: floa
     both = features.join(activations.select("recording_id", "frame", F.col("t").alias("_t"), "y"), ["recording_id", "frame"], "full_outer")
     same = F.coalesce(F.abs(F.col("t") - F.col("_t")) <= tolerance, F.lit(False))
     return both.withColumn("_ok", F.assert_true(same, F.lit("features and activations have different grids"))).where("_ok is null").select("recording_id", "frame", "t", "x", "y")
+
+
+def log_findings(spark: SparkSession, path: str, pattern: str = r"(?i)\b(error|exception|traceback|warning|killed|out of memory)\b") -> DataFrame:
+    """(path, line, severity, text) of the lines of all logs under path that tell of trouble."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    return files.where(F.col("text").rlike(pattern)).select("path", (F.col("line") + 1).alias("line"), F.when(F.col("text").rlike(r"(?i)warning"), "warning").otherwise("error").alias("severity"), "text")

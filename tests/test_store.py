@@ -171,11 +171,19 @@ def test_registry():
         adapters.registry_entry(config, "z")
 
 
-def test_tasks(spark):
+def test_tasks(spark, tmp_path):
     layers = spark.createDataFrame([(m, f"layer_{i:02d}" if i else "layer_00_input", i) for m in scope.ALL for i in range(13)], "model string, layer string, layer_idx int")
     made = {"primary": scope.primary_tasks(layers), "controls": scope.control_tasks(layers), "nulls": scope.null_tasks(layers)}
     assert {k: v.count() for k, v in made.items()} == {"primary": 8, "controls": 21, "nulls": 80}
     assert all(scope.tasks_unchanged(v, layers, k) for k, v in made.items()) and not scope.tasks_unchanged(made["nulls"].limit(79), layers, "nulls")
+    at = str(tmp_path / "tasks")
+    assert [scope.publish_tasks(made["primary"], at), scope.publish_tasks(made["primary"], at)] == ["written", "unchanged"]
+    with pytest.raises(ValueError):
+        scope.publish_tasks(made["primary"].limit(2), at)
+    assert scope.publish_tasks(made["primary"].limit(2), at, replace=True) == "written"
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.log").write_text("fine\nWARNING: low\nValueError: no\nTraceback (most recent)\n")
+    assert [(r.line, r.severity) for r in tables.log_findings(spark, str(tmp_path / "log")).orderBy("line").collect()] == [(2, "warning"), (4, "error")]
     folds = spark.createDataFrame([(f, k, 0.1 + f) for f in range(5) for k in ("full", "word")], "outer_fold int, feature_family string, alpha double")
     assert scope.fixed_alphas(folds)[3]["full"] == pytest.approx(3.1)
     with pytest.raises(ValueError):
