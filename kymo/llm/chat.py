@@ -42,8 +42,9 @@ MARKERS = [
     re.compile(rf"^\s*<\|?(?:im_start\|>)?\s*{_NAMES}\s*(?:\|?>|$)\s*", re.I),
     re.compile(rf"^\s*#{{1,6}}\s*{_NAMES}\s*$", re.I),
 ]
-#: Rows of the training sample; log-weight of a marker for its role; smoothing of the counts; bounds of line lengths.
-SAMPLE_ROWS, MARKER_WEIGHT, SMOOTHING, LENGTHS = 20_000, 8.0, 0.5, (0, 40, 120, 300, 700)
+#: Rows of the training sample, conversations that it draws on, and rows of each at most; log-weight of a marker for its role; smoothing of the counts; bounds of line lengths.
+SAMPLE_ROWS, SAMPLE_CONVERSATIONS, CONVERSATION_ROWS = 20_000, 4_000, 1_000
+MARKER_WEIGHT, SMOOTHING, LENGTHS = 8.0, 0.5, (0, 40, 120, 300, 700)
 NO_ID = -(2**63)
 
 
@@ -242,7 +243,9 @@ def turns_of(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     """conv_id, turn, piece, role, text and rendered of every turn. role_col: named roles, which only train the model."""
     role = F.lower(F.col(role_col).cast("string")) if role_col else F.lit(None).cast("string")
     given = rows.select(F.coalesce(F.col(conv_col).cast("long"), F.lit(NO_ID)).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).cast("string").alias("text"), role.alias("role"))
-    sample = given.where("role is not null").orderBy(F.xxhash64("conv"), "conv", "turn", F.xxhash64("text")).limit(SAMPLE_ROWS)
+    named = given.where("role is not null")
+    drawn = named.groupBy("conv").count().where(F.col("count") <= CONVERSATION_ROWS).orderBy(F.xxhash64("conv"), "conv").limit(SAMPLE_CONVERSATIONS).select("conv")
+    sample = named.join(F.broadcast(drawn), "conv").orderBy(F.xxhash64("conv"), "conv", "turn", F.xxhash64("text")).limit(SAMPLE_ROWS)  # SAMPLE_CONVERSATIONS ids
     model = Model([(r.conv, r.turn, r.role, r.text) for r in sample.collect()])
     order = [F.col("conv"), F.col("turn"), F.xxhash64("text")]
     n = partitions(rows.sparkSession)
