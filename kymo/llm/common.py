@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -17,6 +18,12 @@ _holder: list = []
 _stored: list[str] = []
 
 
+try:  # glibc keeps what is freed unless it is asked
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _trim = None
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
     conf = spark.sparkContext.getConf()
@@ -72,6 +79,9 @@ def claim(owner: str, forget: Callable[[], None] = lambda: None) -> None:
     if _holder and _holder[0] != owner:
         _holder[1]()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
     _holder[:] = [owner, forget]
 
 
