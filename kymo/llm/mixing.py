@@ -104,7 +104,8 @@ def posteriors(docs: DataFrame, weights: dict[str, list[int]], text_col: str) ->
     scored = binned.select("row", "n_tokens", *scores)
     odds = {d: F.exp(F.col(f"s_{d}") / UNIT) for d in DOMAINS[1:]}
     whole = sum(odds.values(), F.lit(1.0))
-    level = [F.floor(LEVELS * odds[d] / whole).cast("int").alias(f"q_{d}") for d in DOMAINS[1:]]
+    # never null, so that a join on them has no null test to push down into the scores
+    level = [F.coalesce(F.floor(LEVELS * odds[d] / whole).cast("int"), F.lit(0)).alias(f"q_{d}") for d in DOMAINS[1:]]
     return scored.select("row", "n_tokens", *level).withColumn(f"q_{DOMAINS[0]}", LEVELS - sum((F.col(f"q_{d}") for d in DOMAINS[1:]), F.lit(0)))
 
 
@@ -151,7 +152,7 @@ def rated(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     cells = stored(scored.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     rates = stored(cells.select(*keys, rate_after(fitted_steps(cells, targets)).alias("rate")), "mix-rates")
     # at most (LEVELS + 1) (LEVELS + 2) / 2 cells; joined in, the rate is a column that no predicate takes apart
-    done = scored.join(F.broadcast(rates), keys).select("row", "n_tokens", *[share(d).alias(f"p_{d}") for d in DOMAINS], "rate")
+    done = scored.join(F.broadcast(rates.drop(f"q_{DOMAINS[0]}")), keys[1:]).select("row", "n_tokens", *[share(d).alias(f"p_{d}") for d in DOMAINS], "rate")
     whole = F.rint("rate")
     chance = F.pmod(F.xxhash64(f"row.{id_col}", F.xxhash64(f"row.{text_col}")), F.lit(1_000_003)) / 1_000_003
     return done.withColumn("copies", F.when(F.abs(F.col("rate") - whole) <= ROUND, whole).otherwise(F.floor(F.col("rate") + chance)).cast("int"))
