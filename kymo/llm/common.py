@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -30,11 +32,13 @@ def shared_root(spark: SparkSession) -> str:
     root = conf.get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
-        _own_root[app] = "file://" + tempfile.mkdtemp(prefix="kymo-")
+        folder = tempfile.mkdtemp(prefix="kymo-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_root[app] = f"file://{folder}"
     return _own_root[app]
 
 
