@@ -2,12 +2,12 @@
 
 A page is read once by the standard library's event parser. Its events are cut into lines, one for each
 block of running text, with the tags met in it and the element that holds it. Each line's ratio of
-text to tags is smoothed by a Gaussian over its neighbours; lines above a threshold that two-means
-clustering puts between the low and the high ratios vote, with their characters, for the elements
-that hold them. The innermost element with nearly all votes, or the article around it, is the content
-region, and all its lines are the text, short ones too. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, hidden elements and reader comments are recognised by element, role and
-class and never belong to it.
+text to tags, up to SATURATION, is smoothed by a Gaussian over its neighbours; two-means clustering puts a
+threshold between the low and the high ratios. The lowest common ancestor of all lines above it, or the article
+around that, is the content region, and all its lines are the text, short ones too. Menus, headers, footers,
+sidebars, adverts, forms, scripts, styles, hidden elements and reader comments are recognised by element,
+role and class and never belong to it. Words of a class or id that articles may have as well (NAMES without
+SURE) remove an element only if most of its text has a low ratio too.
 
 Defined cases: a null or empty html has an empty text; text outside any element counts as the
 body's; unclosed elements end with the element around them; repeated rows are read each; the other
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Reach and width of the smoothing, in lines; share of the votes that the content region holds.
-REACH, SIGMA, REGION_SHARE = 2, 1.0, 0.8
+#: Reach and width of the smoothing, in lines; characters a tag from which a line is text and no more so, however long it is.
+REACH, SIGMA, SATURATION = 2, 1.0, 200.0
 
 # Element and attribute names of HTML, and words that sites use in class, id and role.
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
@@ -40,29 +40,41 @@ NAMES = frozenset(
     "header masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promos promotion recommended related replies respond responses "
     "search share sharing sidebar signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tagcloud toolbar topbar trending widget widgets".split()
 )
+#: Those that name what is never part of an article, whatever its ratio.
+SURE = frozenset(
+    "ad ads adv adbox adunit advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus footer gdpr nav navbar navigation pager pagination replies respond "
+    "sidebar skyscraper".split()
+)
 STARTS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navbar", "newsletter", "pagination", "sidebar", "sponsor")
 #: Words of names that articles use for their own parts, and that tell of a layout around the text.
 OF_ARTICLES, LAYOUT = frozenset("header masthead".split()), frozenset("has no with without".split())
+#: Elements that are parts of a text: a region does not end with one of them.
+PARTS = frozenset("blockquote dd details dl figure li ol section ul".split())
+KEPT, NAMED, OUT = 0, 1, 2
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _unwanted(tag: str, attrs: list, inside_article: bool) -> bool:
-    """Whether an element and all that it holds lie outside the main text."""
+def _unwanted(tag: str, attrs: list, inside_article: bool) -> int:
+    """Whether an element and all that it holds lie outside the main text (OUT), or do so if its ratio is low (NAMED)."""
     if tag in SKIPPED or (tag == "header" and not inside_article):
-        return True
+        return OUT
     if tag in ("html", "body", "main", "article") or not attrs:
-        return tag not in ("html", "body") and any(k == "hidden" for k, _ in attrs)
+        return OUT if tag not in ("html", "body") and any(k == "hidden" for k, _ in attrs) else KEPT
+    found = KEPT
     for key, value in attrs:
         value = (value or "").lower()
         if key == "hidden" and value != "false" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN_STYLE.search(value):
-            return True
+            return OUT
         if key == "role" and value in ROLES:
-            return True
+            return OUT
         if key in ("class", "id"):
             words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value))
-            if LAYOUT.isdisjoint(words) and any((w in NAMES or w.startswith(STARTS)) and not (inside_article and w in OF_ARTICLES) for w in words if w):
-                return True
-    return False
+            named = [w for w in words if (w in NAMES or w.startswith(STARTS)) and not (inside_article and w in OF_ARTICLES)] if LAYOUT.isdisjoint(words) else []
+            if not SURE.isdisjoint(named):
+                return OUT
+            if named:
+                found = NAMED
+    return found
 
 
 class Lines(HTMLParser):
@@ -71,9 +83,11 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parents, self.kinds = [-1], ["body"]
-        # tag, unwanted, holder, inside an article
-        self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
-        self.lines: list[tuple[str, int, int, bool]] = []
+        # the element with a name around each element with one; 0 is none
+        self.named = [0]
+        # tag, unwanted, holder, inside an article, element with a name around it
+        self.open: list[tuple[str, bool, int, bool, int]] = [("", False, 0, False, 0)]
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.paragraphs = 0
@@ -82,8 +96,8 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, unwanted, holder, _ = self.open[-1]
-                self.lines.append((text, self.tags, holder, unwanted))
+                _, unwanted, holder, _, named = self.open[-1]
+                self.lines.append((text, self.tags, holder, unwanted, named))
                 self.tags = 0
             self.parts = []
 
@@ -102,21 +116,25 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, unwanted, holder, article = self.open[-1]
+        _, unwanted, holder, article, named = self.open[-1]
         if not unwanted:
             out = _unwanted(tag, attrs, article)
             if out:
                 self.flush()
+            if out == NAMED:
+                self.named.append(named)
+                named = len(self.named) - 1
+            if out == OUT:
                 unwanted = True
             elif tag in HOLDERS:
                 self.parents.append(holder)
                 self.kinds.append(tag)
                 holder = len(self.parents) - 1
         self.paragraphs += tag == "p"
-        self.open.append((tag, unwanted, holder, article or tag in ("article", "main")))
+        self.open.append((tag, unwanted, holder, article or tag in ("article", "main"), named))
 
     def _close(self, k: int) -> None:
-        if self.open[-1][1] and not self.open[k - 1][1]:
+        if self.open[-1][1] and not self.open[k - 1][1] or self.open[-1][4] != self.open[k - 1][4]:
             self.flush()
         self.paragraphs -= sum(x[0] == "p" for x in self.open[k:])
         del self.open[k:]
@@ -163,6 +181,21 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _low_named(lines: list, readable: list[int], high: np.ndarray, named: list[int]) -> list[bool]:
+    """Of each element with a name, whether it, or one with a name around it, has most of its text in lines of a low ratio."""
+    size, text = [0] * len(named), [0] * len(named)
+    for k in readable:
+        size[lines[k][4]] += len(lines[k][0])
+        text[lines[k][4]] += len(lines[k][0]) * bool(high[k])
+    for e in range(len(named) - 1, 0, -1):  # inner ones come after those around them
+        size[named[e]] += size[e]
+        text[named[e]] += text[e]
+    out = [False] * len(named)
+    for e in range(1, len(named)):
+        out[e] = out[named[e]] or 2 * text[e] < size[e]
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the content region, joined by empty lines."""
     if not html:
@@ -172,21 +205,24 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     lines, parents, kinds = parser.lines, parser.parents, parser.kinds
-    wanted = [k for k, x in enumerate(lines) if not x[3]]
-    if not wanted:
+    readable = [k for k, x in enumerate(lines) if not x[3]]
+    if not readable:
         return ""
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
+    own = np.minimum(np.array([len(x[0]) / max(1, x[1]) for x in lines]), SATURATION)
+    ratios = smoothed(own)
     at = threshold(ratios)
-    votes = [0] * len(parents)
-    chosen = [k for k in wanted if ratios[k] > at] or wanted
+    dropped = _low_named(lines, readable, own > at, parser.named)
+    wanted = [k for k in readable if not dropped[lines[k][4]]] or readable
+    # a short line between long ones has a high mean, but does not tell where the region ends
+    chosen = [k for k in wanted if own[k] > at and ratios[k] > at] or [k for k in wanted if ratios[k] > at] or wanted
+    below = [0] * len(parents)
     for k in chosen:
-        votes[lines[k][2]] += len(lines[k][0])
+        below[lines[k][2]] += 1
     for holder in range(len(parents) - 1, 0, -1):  # children come after their parents
-        votes[parents[holder]] += votes[holder]
-    region, most = 0, votes[0]
-    for holder in range(1, len(parents)):
-        if parents[holder] == region and votes[holder] >= REGION_SHARE * most:
-            region = holder
+        below[parents[holder]] += below[holder]
+    region = max(holder for holder, n in enumerate(below) if n == len(chosen))
+    while kinds[region] in PARTS and kinds[parents[region]] not in ("html", "body"):
+        region = parents[region]
     around = region
     while around > 0:
         if kinds[around] in ("article", "main"):

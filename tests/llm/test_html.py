@@ -42,3 +42,31 @@ def test_smoothing_and_threshold():
 
     assert np.allclose(H.smoothed(np.full(7, 3.0)), 3.0)
     assert 1 < H.threshold(np.array([1.0, 1.1, 0.9, 50.0, 60.0])) < 50
+
+
+def text_of(*blocks):
+    return "\n\n".join(" ".join(b.split()) for b in blocks)
+
+
+def test_all_parts_of_an_article_without_article_element():
+    long, short = WORDS * 20, WORDS * 2
+    body = f"<div id=top><a>a</a> <a>b</a> <a>c</a></div><div id=post><h1>Head</h1><p>Intro.</p><section><p>{long}</p><p>{long}</p></section><section><p>{short}</p></section></div><div id=bottom><a>x</a> <a>y</a></div>"
+    assert H.main_text(page(body)) == text_of("Head", "Intro.", long, long, short)
+
+
+def test_one_very_long_paragraph_does_not_silence_the_others():
+    p = WORDS * 3
+    for part in ("<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li></ul>", "<table><tr><td>{}</td></tr></table>"):
+        body = f"<div id=top><a>a</a> <a>b</a> <a>c</a></div><div id=post><h1>Head</h1><p>{p}</p>{part.format(WORDS * 400)}<p>{p}</p><p>Tiny</p></div>"
+        assert H.main_text(page(body)) == text_of("Head", p, WORDS * 400, p, "Tiny")
+
+
+def test_two_articles():
+    a, b = WORDS * 20, WORDS * 5
+    assert H.main_text(page(f"<nav>n</nav><main><article><h1>A</h1><p>{a}</p></article><article><h1>B</h1><p>{b}</p></article></main>")) == text_of("A", a, "B", b)
+
+
+def test_names_that_articles_have_too():
+    p = WORDS * 4
+    for name in ("widget text", "related-work", "search-results", "commentary", "social"):
+        assert H.main_text(page(f'<div class="{name}"><h2>Head</h2><p>{p}</p><p>{p}</p></div><div class="widget"><a>x</a> <a>y</a></div>')) == text_of("Head", p, p)
