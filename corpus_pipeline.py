@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; of rows that share an id the one with the smallest text hash, documents without an id all."""
-    kept = nearcopies.near_copies(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = nearcopies.near_copies(docs, percent=nearcopies.STANDARD).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     chosen = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     one = chosen.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))

@@ -2,10 +2,10 @@
 
 Each text becomes the set of its five-word shingles and a signature of PLACES b-bit minhash symbols.
 Texts with equal sets are one class at once. Two sets whose similarity reaches the threshold differ in few
-places; signatures that differ in at most MOST_ERRORS places agree, by the pigeonhole principle, in
-at least one of CHUNKS chunks but for floor(MOST_ERRORS / CHUNKS) places, so every chunk is entered in
+places; signatures that differ in at most so many places agree, by the pigeonhole principle, in
+at least one of the chunks but for floor(places / chunks) places, so every chunk is entered in
 the index once for each choice of that many omitted places, and every pair under the distance meets
-under some key. (At similarity 0.85, 17 differing places of 48 are four standard deviations above the mean.)
+under some key. The distance and the chunks follow from the similarity, see distance_of().
 
 Under each key the distances are taken in blocks and only a spanning forest of the pairs under the threshold is
 emitted, so a key's output is linear in its members. The forests' components are families;
@@ -22,6 +22,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -33,9 +35,9 @@ from pyspark.sql import functions as F
 from kymo.llm.common import claim, group_starts, partitions, slices, stored, whole_groups
 from kymo.llm.components import components
 
-#: Words of a shingle; similarity in percent from which sets are linked.
-SHINGLE, PERCENT = 5, 85
-#: Places and bits of a signature, chunks, and the distance up to which pairs are guaranteed to meet.
+#: Words of a shingle; similarity in percent from which sets are linked: where no contract says otherwise, and by op10's.
+SHINGLE, STANDARD, PERCENT = 5, 80, 85
+#: Places and bits of a signature; of op10's similarity the chunks, and the distance up to which pairs are guaranteed to meet.
 PLACES, BITS, CHUNKS, MOST_ERRORS = 48, 16, 9, 17
 #: Members of a block under one key, and shingles and members of a block of a family.
 KEY_BLOCK, FAMILY_SHINGLES, FAMILY_BLOCK = 1_024, 400_000, 512
@@ -45,7 +47,7 @@ REMEMBERED = 250_000
 _rng = np.random.default_rng(20240229)
 _WORD_FACTORS = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE_FACTORS = _rng.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_KEY_FACTORS = _rng.integers(1, 2**63, (CHUNKS, PLACES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KEY_FACTORS = _rng.integers(1, 2**63, (PLACES, PLACES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -94,19 +96,27 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (_mixed(least) & np.uint64(2**BITS - 1)).astype(np.uint16)
 
 
-def _omissions() -> list[tuple[int, np.ndarray]]:
+def distance_of(percent: int) -> tuple[int, int]:
+    """(chunks, distance) for a similarity: four standard deviations above the mean of differing places, as an odd number, so that one omitted place a chunk suffices."""
+    differ = 1 - percent / 100
+    most = min(PLACES - 1, math.floor(PLACES * differ + 4 * math.sqrt(PLACES * differ * (1 - differ))))
+    most += 1 - most % 2
+    return (most + 1) // 2, most
+
+
+def _omissions(chunks: int, most: int) -> list[tuple[int, np.ndarray]]:
     """(chunk, places that count) of every key: chunks without each choice of so many places as may differ in them."""
     out = []
-    for number, chunk in enumerate(np.array_split(np.arange(PLACES), CHUNKS)):
-        for left_out in combinations(range(len(chunk)), MOST_ERRORS // CHUNKS):
+    for number, chunk in enumerate(np.array_split(np.arange(PLACES), chunks)):
+        for left_out in combinations(range(len(chunk)), most // chunks):
             out.append((number, np.delete(chunk, left_out)))
     return out
 
 
-def signature_keys(signatures: np.ndarray) -> np.ndarray:
+def signature_keys(signatures: np.ndarray, chunks: int = CHUNKS, most: int = MOST_ERRORS) -> np.ndarray:
     """The index keys, one column for each omission, of rows of signatures."""
     wide = signatures.astype(np.uint64) + np.uint64(1)
-    keys = [_mixed((wide[:, at] * _KEY_FACTORS[number, at]).sum(axis=1, dtype=np.uint64) + np.uint64(k)) for k, (number, at) in enumerate(_omissions())]
+    keys = [_mixed((wide[:, at] * _KEY_FACTORS[number, at]).sum(axis=1, dtype=np.uint64) + np.uint64(k)) for k, (number, at) in enumerate(_omissions(chunks, most))]
     return np.stack(keys, axis=1)
 
 
@@ -126,14 +136,14 @@ def _sketch(batches):
         )
 
 
-def _postings(batches):
+def _postings(batches, chunks: int, most: int):
     claim("near", _hashes.clear)
-    width = len(_omissions())
+    width = len(_omissions(chunks, most))
     for batch in batches:
         if not batch.num_rows:
             continue
         signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, PLACES)
-        keys = signature_keys(signs).astype(np.int64).ravel()
+        keys = signature_keys(signs, chunks, most).astype(np.int64).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), width))], ["key", "id"])
 
 
@@ -179,7 +189,7 @@ def _cells(df: DataFrame, blocks: str) -> DataFrame:
     )
 
 
-def _near_by_signature(batches):
+def _near_by_signature(batches, percent: int, most: int):
     """Groups of (key, bi, bj), sorted: a spanning forest of the pairs under the distance."""
     claim("near-pairs")
     for table in whole_groups(batches, ["key", "bi", "bj"]):
@@ -190,9 +200,9 @@ def _near_by_signature(batches):
         found_a, found_b = [], []
         two = starts[ends - starts == 2]
         if len(two):
-            ok = (signs[two] != signs[two + 1]).sum(axis=1) <= MOST_ERRORS
+            ok = (signs[two] != signs[two + 1]).sum(axis=1) <= most
             x, y = cols["n"][two], cols["n"][two + 1]
-            ok &= 100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
+            ok &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
             found_a.append(cols["id"][two[ok]])
             found_b.append(cols["id"][two[ok] + 1])
         for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
@@ -209,7 +219,7 @@ def _near_by_signature(batches):
                     for p in range(PLACES):
                         far += signs[part, p][:, None] != signs[others, p][None, :]
                 x, y = cols["n"][part][:, None], cols["n"][others][None, :]
-                near = (far <= MOST_ERRORS) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y))
+                near = (far <= most) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
                 links = spanning(near, forest, part - s, others - s)
                 if links:
                     at = np.array(links) + s
@@ -236,7 +246,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _confirmed(batches):
+def _confirmed(batches, percent: int):
     """Groups of (family, bi, bj), sorted: a spanning forest of the pairs whose full sets are similar enough."""
     claim("near-pairs")
     for table in whole_groups(batches, ["family", "bi", "bj"]):
@@ -251,7 +261,7 @@ def _confirmed(batches):
             sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in raw.slice(s, e - s)]
             if e - s == 2:
                 n = len(np.intersect1d(*sets, assume_unique=True))
-                if 100 * n >= PERCENT * (len(sets[0]) + len(sets[1]) - n):
+                if 100 * n >= percent * (len(sets[0]) + len(sets[1]) - n):
                     a.append(cols["id"][s])
                     b.append(cols["id"][s + 1])
                 continue
@@ -262,7 +272,7 @@ def _confirmed(batches):
             for k in range(0, len(rows), 64):
                 part = rows[k : k + 64]
                 n = overlaps([sets[i] for i in part], [sets[i] for i in others]).astype(np.int64)
-                linked = 100 * n >= PERCENT * (size[part][:, None] + size[others][None, :] - n)
+                linked = 100 * n >= percent * (size[part][:, None] + size[others][None, :] - n)
                 for i, j in spanning(linked, forest, part, others):
                     a.append(cols["id"][s + i])
                     b.append(cols["id"][s + j])
@@ -277,22 +287,25 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("family"), pa.array(raw, pa.binary())], ["id", "family", "shingles"])
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; sets whose similarity is at least percent are linked."""
+    if not 50 <= percent <= 99:
+        raise ValueError("the similarity must be between 50 and 99 percent")
     spark = docs.sparkSession
+    chunks, most = distance_of(percent)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = stored(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, d1 long, d2 long, signature binary"), "near-sketch")
-    # a class is a set; sets of fewer than six shingles only equal sets can match at 85 percent
+    # a class is a set; small sets (at 85 percent, of fewer than six shingles) only equal sets can match
     classes = stored(sketch.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "near-classes")
-    open_classes = classes.where((F.col("n") * (100 - PERCENT) >= PERCENT) & F.col("id").isNotNull()).select("id", "n", "signature")
-    postings = open_classes.mapInArrow(_postings, "key long, id long")
+    open_classes = classes.where((F.col("n") * (100 - percent) >= percent) & F.col("id").isNotNull()).select("id", "n", "signature")
+    postings = open_classes.mapInArrow(partial(_postings, chunks=chunks, most=most), "key long, id long")
     crowded = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     crowded = crowded.select("key", F.ceil(F.col("members") / KEY_BLOCK).cast("int").alias("blocks"))
     members = postings.join(crowded, "key").join(open_classes, "id")
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     order = ["key", "bi", "bj"]
     cells = _cells(members, "blocks").select(*order, "block", "id", "n", "signature")
-    pairs = cells.repartition(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_near_by_signature, "a long, b long")
+    pairs = cells.repartition(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(partial(_near_by_signature, percent=percent, most=most), "a long, b long")
     families = components(pairs, "near-family")
 
     # the full sets of the families' members
@@ -304,7 +317,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     blocked = sets.join(size, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     order = ["family", "bi", "bj"]
     cells = _cells(blocked, "blocks").select(*order, "block", "id", "shingles")
-    links = cells.repartition(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_confirmed, "a long, b long")
+    links = cells.repartition(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(partial(_confirmed, percent=percent), "a long, b long")
     linked = components(links, "near-copy")
 
     of_class = classes.join(linked, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))

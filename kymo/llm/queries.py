@@ -65,7 +65,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle count and near-copy component."""
-    return nearcopies.near_copies(table_of(spark, sf_dir, "documents"))
+    return nearcopies.near_copies(table_of(spark, sf_dir, "documents"), percent=nearcopies.PERCENT)
 
 
 QUERIES = {

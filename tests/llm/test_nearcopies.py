@@ -89,3 +89,44 @@ def test_components(spark):
         assert got[start] == min(seen)
     assert len(got) == len(near)
     assert components(spark.createDataFrame([], "a long, b long"), "t").collect() == []
+
+
+def components_at(docs, percent):
+    sets, near = [shingles(t) for _, t in docs], {}
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                near.setdefault(i, set()).add(j)
+                near.setdefault(j, set()).add(i)
+    out = {}
+    for start in range(len(docs)):
+        seen, todo = {start}, [start]
+        while todo:
+            for x in near.get(todo.pop(), set()) - seen:
+                seen.add(x)
+                todo.append(x)
+        out[docs[start][0]] = min(docs[x][0] for x in seen)
+    return out
+
+
+def test_other_similarities_equal_brute_force(spark, prose):
+    docs = [(i * 37 % 1009, t) for i, t in enumerate(prose)]
+    df, found = spark.createDataFrame(docs, "doc_id long, text string"), []
+    for percent in (N.STANDARD, N.PERCENT):
+        got = {r.doc_id: r.component_id for r in N.near_copies(df, percent=percent).collect()}
+        assert got == components_at(docs, percent)
+        found.append(len(set(got.values())))
+    assert found[0] < found[1]
+
+
+def test_close_signatures_share_a_key_at_every_similarity():
+    rng = np.random.default_rng(1)
+    assert N.distance_of(N.PERCENT) == (N.CHUNKS, N.MOST_ERRORS)
+    for percent in (50, 65, 80, 90, 99):
+        chunks, most = N.distance_of(percent)
+        a = rng.integers(0, 2**16, N.PLACES, dtype=np.uint16)
+        for _ in range(100):
+            b = a.copy()
+            b[rng.permutation(N.PLACES)[:most]] ^= np.uint16(1)
+            keys = N.signature_keys(np.stack([a, b]), chunks, most)
+            assert (keys[0] == keys[1]).any()

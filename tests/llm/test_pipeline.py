@@ -70,3 +70,12 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_copies_stage_takes_four_fifths(spark):
+    """Of two texts with a similarity of 0.818 one stays, of two with 0.786 both."""
+    words = [f"w{i}" for i in range(104)]
+    alike = [" ".join(words), " ".join([*words[:-10], *(f"x{i}" for i in range(10))])]  # 90 common shingles of 110: 0.818
+    apart = [" ".join(f"a{i}" for i in range(104)), " ".join([*(f"a{i}" for i in range(92)), *(f"y{i}" for i in range(12))])]  # 88 of 112: 0.786
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(alike + apart)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 2, 3]
