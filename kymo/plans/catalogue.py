@@ -497,6 +497,18 @@ def middle_layer(spark, sf_dir):
 
 # --- splits and inference
 
+
+def _cells(spark, sf_dir, most: int) -> DataFrame:
+    """(recording_id, cell): all users dealt by rank into cells of equal size, but for one, and at most so many."""
+    ids = recordings(spark, sf_dir).select(F.col("recording_id").cast("long").alias("id")).orderBy("id")
+    ranked = spark.createDataFrame(ids.rdd.map(lambda r: r.id).zipWithIndex(), "id long, rank long")  # no partition holds all ids
+    cells = max(1, -(-ids.count() // most))
+    return ranked.select(F.col("id").cast("string").alias("recording_id"), (F.col("rank") % cells).cast("int").alias("cell"))
+
+
+def _cells_sql(most: int) -> str:
+    return f"cells as (select recording_id, ((row_number() over (order by recording_id::bigint) - 1) % (select ceil(count(*) / {most}e0)::bigint from users))::int as cell from users)"
+
 _TWELVE = f"with {EVENTS_SQL}, top as (select recording_id from (select distinct recording_id::bigint as recording_id from ev) order by recording_id limit 12), ef as (select family, recording_id::bigint as r, floor(avg(value) * 100) / 100 - 25 as effect from ev where recording_id::bigint in (select recording_id from top) group by all)"
 
 
@@ -561,12 +573,12 @@ def group_folds(spark, sf_dir):
 
 
 def _fit_frames(spark, sf_dir) -> DataFrame:
-    """Hourly family counts of eight users as predictors; their lagged mixture with a ripple as three targets."""
-    frames = _family_frames(spark, sf_dir).where("cast(recording_id as long) < 8").select("recording_id", "frame", F.transform("x", lambda v, i: v + ((F.col("frame") * (i + 2) * 37) % 101) / 101.0).alias("x"))
+    """Hourly family counts as predictors; their lagged mixture with a ripple as three targets. All users, a layer for each eight at most."""
+    frames = _family_frames(spark, sf_dir).join(_cells(spark, sf_dir, 8), "recording_id").select("cell", "recording_id", "frame", F.transform("x", lambda v, i: v + ((F.col("frame") * (i + 2) * 37) % 101) / 101.0).alias("x"))
     w = Window.partitionBy("recording_id").orderBy("frame")
     before = F.coalesce(F.lag("x", 1).over(w), F.col("x"))
     mix = [F.get("x", F.lit(0)) + 0.5 * F.get(before, F.lit(k + 1)) - 0.3 * F.get("x", F.lit(k + 2)) + (F.col("frame") * (k + 3) % 17) / 17.0 for k in range(3)]
-    return frames.select(F.lit("m").alias("model"), F.lit("l").alias("layer"), "recording_id", "frame", "x", F.array(*mix).alias("y"))
+    return frames.select(F.lit("m").alias("model"), F.concat(F.lit("l"), "cell").alias("layer"), "recording_id", "frame", "x", F.array(*mix).alias("y"))
 
 
 def _plan(**options) -> encode.Plan:
