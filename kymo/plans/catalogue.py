@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -562,6 +563,16 @@ def loro_splits(spark, sf_dir):
     return spark.createDataFrame(rows, "held_out string, recording_id string, role string")
 
 
+@query(f"with {EVENTS_SQL}, {USERS_SQL}, {_cells_sql(40)} select a.cell, a.recording_id as held_out, b.recording_id, case when a.recording_id = b.recording_id then 'test' else 'train' end as role from cells a join cells b using (cell)")
+def loro_splits_all(spark, sf_dir):
+    """Leave-one-recording-out within cells of at most 40 users that hold every user; loro_splits has the users that its SQL has."""
+
+    def of(rows):
+        return pd.DataFrame([(rows["cell"].iloc[0], test[0], i, role) for _, _, train, test in encode.outer_splits(dict.fromkeys(rows["recording_id"], 1)) for part, role in ((train, "train"), (test, "test")) for i in part])
+
+    return _cells(spark, sf_dir, 40).groupBy("cell").applyInPandas(of, "cell int, held_out string, recording_id string, role string")
+
+
 @query()
 def group_folds(spark, sf_dir):
     """Grouped folds of users weighed by their events, and each fold's load."""
