@@ -322,6 +322,14 @@ def exact_set(spark, sf_dir):
     return relate.exact_set(expected, table(spark, sf_dir, "customer").where("c_custkey % 40 = 1").select(F.col("c_nationkey").alias("k")), "k")
 
 
+@query("""with e as (select distinct s_nationkey as k from supplier), o as (select c_nationkey as k, count(*) as n from customer group by all)
+select coalesce(e.k, o.k) as k, case when o.n is null then 'missing' when e.k is null then 'unexpected' else 'duplicate' end as problem from e full join o on e.k = o.k where o.n is null or e.k is null or o.n > 1""")
+def exact_set_all(spark, sf_dir):
+    """All customers' nations; exact_set has the customers that its SQL has."""
+    expected = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
+    return relate.exact_set(expected, table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), "k")
+
+
 @query("select user_id as recording_id, max_by(event_id, event_id) as event_id, max_by(value, event_id) as value from events group by all")
 def latest_row(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("recording_id"), "event_id", "value").withColumn("load_seq", F.col("event_id"))
@@ -337,16 +345,25 @@ def merged_settings(spark, sf_dir):
     return relate.merged_settings(defaults, own)
 
 
-@query(f"""with {EVENTS_SQL}, {INTERVALS_SQL} select recording_id, interval_idx, tier, {_r('start')} as start, {_r('"end"')} as "end", label from iv where interval_idx < 12""")
-def textgrid_round_trip(spark, sf_dir):
+def _round_trip(rows: DataFrame) -> DataFrame:
     """Intervals written as long text and parsed again; tiers in alternation are one tier a row of the text."""
-    rows = intervals(spark, sf_dir).where("interval_idx < 12")
     lines = F.concat(F.lit('item ['), F.col("interval_idx") + 1, F.lit(']:\n class = "IntervalTier"\n name = "'), F.col("tier"), F.lit('"\n intervals: size = 1\n intervals [1]:\n xmin = '), F.format_string("%.6f", "start"), F.lit("\n xmax = "), F.format_string("%.6f", "end"), F.lit('\n text = "'), F.col("label"), F.lit('"\n'))
     texts = rows.groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("interval_idx", lines.alias("l")))), lambda x: x["l"]), "").alias("text"))
     done = parse_intervals(texts.select("recording_id", F.concat(F.lit('File type = "ooTextFile"\n'), "text").alias("text")))
     return done.select("recording_id", "interval_idx", "tier", rounded("start").alias("start"), rounded("end").alias("end"), "label")
 
 
+@query(f"""with {EVENTS_SQL}, {INTERVALS_SQL} select recording_id, interval_idx, tier, {_r('start')} as start, {_r('"end"')} as "end", label from iv""")
+def textgrid_round_trip_all(spark, sf_dir):
+    return _round_trip(intervals(spark, sf_dir))
+
+
+@query(f"""with {EVENTS_SQL}, {INTERVALS_SQL} select recording_id, interval_idx, tier, {_r('start')} as start, {_r('"end"')} as "end", label from iv where interval_idx < 12""")
+def textgrid_round_trip(spark, sf_dir):
+    """Each recording's first intervals, as its SQL has them; textgrid_round_trip_all has all."""
+    return _round_trip(intervals(spark, sf_dir).where("interval_idx < 12"))
+
+
 @query("select event_id::varchar as id, 'k' as path, 'k' as key, json_extract(props, '$.k')::varchar as value_json from events")
 def json_walk(spark, sf_dir):
     return json_entries(table(spark, sf_dir, "events"), "event_id", "props")
