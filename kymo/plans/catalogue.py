@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
@@ -537,6 +538,34 @@ def _twelve(spark, sf_dir) -> DataFrame:
     return e.join(F.broadcast(first), "recording_id").groupBy("family", "recording_id").agg((F.floor(F.avg("value") * 100) / 100 - 25).alias("effect"), F.max("t").alias("duration_seconds"))  # twelve rows
 
 
+def _effects(spark, sf_dir) -> DataFrame:
+    """(family, recording_id, effect, duration_seconds) of all users, effects at two decimals."""
+    e = events(spark, sf_dir).withColumn("recording_id", F.col("recording_id").cast("long"))
+    return e.groupBy("family", "recording_id").agg((F.floor(F.avg("value") * 100) / 100 - 25).alias("effect"), F.max("t").alias("duration_seconds"))
+
+
+def _celled_effects(spark, sf_dir) -> DataFrame:
+    """_effects() with the cell of at most twelve users, and its users."""
+    cells = _cells(spark, sf_dir, 12).select(F.col("recording_id").cast("long").alias("recording_id"), "cell")
+    return _effects(spark, sf_dir).join(cells.join(cells.groupBy("cell").agg(F.count("*").alias("users")), "cell"), "recording_id")
+
+
+def _by_size(rows: DataFrame, size: str, of: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """of() each part of rows with an equal size, as one table; there are few sizes."""
+    out = [of(rows.where(F.col(size) == n).drop(size), n) for n in sorted(r[0] for r in rows.select(size).distinct().collect())]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query(f"""with {EVENTS_SQL}, {USERS_SQL}, {_cells_sql(12)}, ef as (select cell, family, recording_id::bigint as r, floor(avg(value) * 100) / 100 - 25 as effect from ev join cells using (recording_id) group by all), v as (select cell, family, list(effect order by r) as v from ef group by all),
+s as (select cell, family, v, m, list_reduce(list_transform(generate_series(1, len(v)), lambda i: case when (m >> (i - 1)) & 1 = 1 then v[i] else -v[i] end), lambda a, b: a + b) as total from (select *, unnest(generate_series(0, (1 << len(v)) - 1)) as m from v)),
+o as (select cell, family, list_reduce(v, lambda a, b: a + b) as observed from v)
+select s.cell, s.family, {_r("max(o.observed / len(s.v))")} as effect, sum((abs(total) >= abs(observed))::int)::bigint as extreme, count(*) as assignments, {_r("sum((abs(total) >= abs(observed))::int) / count(*)::double")} as p_value from s join o using (cell, family) group by all""")
+def sign_flip_exact_all(spark, sf_dir):
+    """The exact test of every cell of users; sign_flip_exact has the twelve that its SQL has."""
+    done = infer.sign_flip(infer.value_arrays(_celled_effects(spark, sf_dir), ["cell", "family"]), ["cell", "family"])
+    return done.select("cell", "family", rounded("effect").alias("effect"), "extreme", "assignments", rounded("p_value").alias("p_value"))
+
+
 @query(f"""{_TWELVE}, v as (select family, list(effect order by r) as v from ef group by all), masks as (select m from generate_series(0, 4095) g(m)),
 s as (select family, v, m, list_reduce(list_transform(generate_series(1, len(v)), lambda i: case when (m >> (i - 1)) & 1 = 1 then v[i] else -v[i] end), lambda a, b: a + b) as total from v, masks),
 o as (select family, list_reduce(v, lambda a, b: a + b) as observed from v)
@@ -556,14 +585,16 @@ def bh_adjust(spark, sf_dir):
 
 @query()
 def bootstrap_intervals(spark, sf_dir):
-    """Intervals from NumPy's own draws, which SQL has not; the tests hold them against NumPy."""
-    return infer.bootstrap_interval(infer.value_arrays(_twelve(spark, sf_dir), ["family"]), ["family"], 12, seed=17)
+    """Intervals over all users from NumPy's own draws, which SQL has not; the tests hold them against NumPy."""
+    arrays = infer.value_arrays(_effects(spark, sf_dir), ["family"]).withColumn("users", F.size("v"))  # a size for each family at most
+    return _by_size(arrays, "users", lambda part, n: infer.bootstrap_interval(part, ["family"], n, seed=17))
 
 
 @query()
 def group_inference(spark, sf_dir):
-    """Sign flips, both intervals and adjusted p over the five families of one model."""
-    return infer.analyse(_twelve(spark, sf_dir).withColumns({"model": F.lit("m"), "layer": F.lit("l")}), 12, seed=17)
+    """Sign flips, both intervals and adjusted p over the five families of each model; every cell of users is one."""
+    effects = _celled_effects(spark, sf_dir).withColumns({"model": F.concat(F.lit("m"), "cell"), "layer": F.lit("l")}).drop("cell")
+    return _by_size(effects, "users", lambda part, n: infer.analyse(part, n, seed=17))  # cells have one of two sizes
 
 
 @query(f"with {_EFFECTS}, a as (select model, family, avg(delta_r2) - 0.25 as effect, (count(*) % 10) / 100e0 as q from cells where layer = 'l0' group by all), b as (select model, family, avg(delta_r2) - 0.25 as effect, (count(*) % 10) / 100e0 as q from cells where layer = 'l1' group by all) select model, family, sign(a.effect) <> sign(b.effect) as sign_changed, (a.q < 0.05) <> (b.q < 0.05) as significance_changed, not (sign(a.effect) <> sign(b.effect)) and not ((a.q < 0.05) <> (b.q < 0.05)) as stable from a join b using (model, family)")
