@@ -14,8 +14,8 @@ document's rate depends on its posteriors alone: the steps run over the distinct
 33,153 cells), each an aggregate over the cells, and the fitted steps then give every document its rate.
 
 A target share is relative to the tokens of the clean domain, which keep their amount; a domain that has less than its
-share keeps all it has. Whole copies are drawn by a hash of the document: a rate within ROUND of a
-whole number is that number.
+share keeps all it has. Whole copies are drawn by a hash of the document, without bias: their mean is the rate,
+however small that is.
 
 Defined cases: a null or empty text has no tokens and the prior posteriors; labels without values are
 left out, and without labels every document is clean; repeated rows are judged alike; a null
@@ -40,8 +40,8 @@ LABELLED_ROWS, BINS = 10_000, 32_768
 LEAST_DEVIATION, LEAST_DOCUMENTS, LEAST_RATIO, MOST_WEIGHT, UNIT = 7.5, 8, 0.5, 5.0, 10_000
 #: Posteriors are multiples of 1 / LEVELS.
 LEVELS = 256
-#: Rates this near a whole number are whole; steps at most, and the residual, relative to a domain's tokens, that ends them.
-ROUND, MOST_STEPS, TOLERANCE = 0.05, 40, 1e-6
+#: Steps at most, and the residual, relative to a domain's tokens, that ends them.
+MOST_STEPS, TOLERANCE = 40, 1e-6
 
 
 def words_of(text: Column) -> Column:
@@ -153,9 +153,8 @@ def rated(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rates = stored(cells.select(*keys, rate_after(fitted_steps(cells, targets)).alias("rate")), "mix-rates")
     # at most (LEVELS + 1) (LEVELS + 2) / 2 cells; joined in, the rate is a column that no predicate takes apart
     done = scored.join(F.broadcast(rates.drop(f"q_{DOMAINS[0]}")), keys[1:]).select("row", "n_tokens", *[share(d).alias(f"p_{d}") for d in DOMAINS], "rate")
-    whole = F.rint("rate")
     chance = F.pmod(F.xxhash64(f"row.{id_col}", F.xxhash64(f"row.{text_col}")), F.lit(1_000_003)) / 1_000_003
-    return done.withColumn("copies", F.when(F.abs(F.col("rate") - whole) <= ROUND, whole).otherwise(F.floor(F.col("rate") + chance)).cast("int"))
+    return done.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

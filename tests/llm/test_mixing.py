@@ -73,3 +73,16 @@ def test_odd_rows(spark, odd_docs, no_docs, no_labels):
     labels = spark.createDataFrame([(3, None, None), (None, 1, 0), (5, 1, 0), (6, 0, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
     assert len(M.rated(odd_docs, labels).collect()) == len(rows)
     assert M.rated(no_docs, labels).collect() == [] and M.mixed(no_docs, no_labels).collect() == []
+
+
+def test_small_rates_are_drawn(spark):
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(50)) + ("$$$" if i % 5 < 3 else "") for _ in range(60))) for i in range(5000)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 >= 3), 0) for i in range(0, 5000, 3)], "doc_id long, quality int, toxic int")
+    rows = M.rated(docs, labels).collect()
+    poor = [r for r in rows if r.p_poor > 0.9]
+    want = sum(r.rate for r in poor)
+    assert len(poor) == 3000 and max(r.rate for r in poor) < 0.05 and want > 20
+    assert abs(sum(r.copies for r in poor) - want) < 4 * want**0.5
+    assert sum(r.copies for r in rows) == pytest.approx(sum(r.rate for r in rows), rel=0.03)
