@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,26 @@ Permission is granted to anyone to use this software for any purpose, including
     "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
     "MPL-2.0-notice": "This work is licensed under the Mozilla Public License, version 2.0.",
 }
+# The lines that speak of the licence in standard headers of source files, and SPDX tags.
+KNOWN |= {
+    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License");',
+    "GPL-header": "it under the terms of the GNU General Public License as published by",
+    "LGPL-header": "it under the terms of the GNU Lesser General Public License as published by",
+    "AGPL-header": "it under the terms of the GNU Affero General Public License as published by",
+    "MPL-2.0-header": "License, v. 2.0. If a copy of the MPL was not distributed with this",
+}
+SPDX = (
+    "AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later "
+    "LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
+).split()
+KNOWN |= {f"{x}-tag": f"SPDX-License-Identifier: {x}" for x in SPDX}
+#: Where the terms end in texts that tell after them how to apply them; many copies end there.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+for _file in sorted(resources.files("kymo.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+    _name, _text = _file.name.removesuffix(".txt"), _file.read_text(encoding="utf-8")
+    KNOWN[_name] = _text
+    if _text.partition(END_OF_TERMS)[2].strip():
+        KNOWN[f"{_name}-terms"] = _text.partition(END_OF_TERMS)[0] + END_OF_TERMS
 #: Lines that only claim a copyright; a claim of all rights; runs of what is neither letter nor digit; words that speak of licences.
 COPYRIGHT_LINE, ALL_RIGHTS, GAPS, SPEAKS = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$", r"all rights reserved", r"[^\p{L}\p{N}]+", ("licen", "released under")
 
@@ -87,9 +108,12 @@ def digests() -> dict[str, str]:
     return {hashlib.sha256(canonical_of(t).encode()).hexdigest(): name for name, t in KNOWN.items()}
 
 
-def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """A struct column row with the columns of docs, digest, licence (of the entire text, or null) and notices (of entire lines, sorted)."""
-    known = digests()
+def scanned(docs: DataFrame, text_col: str = "text", known: dict[str, str] | None = None) -> DataFrame:
+    """A struct column row with the columns of docs, digest, licence (of the entire text, or null) and notices (of entire lines, sorted).
+
+    known: digest of each text's canonical form -> its name; digests() unless given.
+    """
+    known = digests() if known is None else known
     table = docs.sparkSession.createDataFrame(sorted(known.items()), "digest string, licence string")
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -98,4 +122,4 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = F.transform(F.filter(F.split(text, "\n", -1), speaks), lambda x: F.element_at(names, F.sha2(canonical(x), 256)))
     notices = F.when(speaks(text), F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))).otherwise(F.array().cast("array<string>"))
     rows = packed.select("row", F.sha2(canonical(text), 256).alias("digest"), notices.alias("notices"))
-    return rows.join(F.broadcast(table), "digest", "left").select("row", "digest", "licence", "notices")  # as many rows as KNOWN
+    return rows.join(F.broadcast(table), "digest", "left").select("row", "digest", "licence", "notices")  # as many rows as known

@@ -26,3 +26,20 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r.licence is None and r.notices == [] for r in rows if r.row.text is not None)
     assert all(r.digest is None and r.licence is None for r in rows if r.row.text is None)
     assert L.scanned(no_docs).collect() == []
+
+
+def test_full_texts_and_headers(spark):
+    full = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"]
+    texts = [(n, L.KNOWN[n]) for n in L.KNOWN if not n.endswith(("-notice", "-header", "-tag"))]
+    assert set(full) <= {n for n, _ in texts} and all(len(L.KNOWN[n]) > 1000 for n in full)
+    texts += [(n, L.KNOWN[n].replace("  ", " ").upper()) for n in full] + [(None, L.KNOWN["GPL-3.0"].replace("freedom", "liberty"))]
+    rows = L.scanned(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.row.doc_id: r.licence for r in rows} == {i: n for i, (n, _) in enumerate(texts)}
+    header = "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n// SPDX-License-Identifier: MPL-2.0"
+    assert L.scanned(spark.createDataFrame([(1, header)], "doc_id long, text string")).first().notices == ["Apache-2.0-header", "MPL-2.0-tag"]
+
+
+def test_a_table_of_digests_given(spark):
+    own = {L.hashlib.sha256(L.canonical_of("Our Own Licence").encode()).hexdigest(): "Own"}
+    rows = L.scanned(spark.createDataFrame([(1, "OUR own license!"), (2, L.KNOWN["MIT"])], "doc_id long, text string"), known=own).collect()
+    assert {r.row.doc_id: r.licence for r in rows} == {1: "Own", 2: None}
