@@ -58,8 +58,7 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's domain posteriors, rate and copies in the mix."""
-    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
-    done = mixing.rated(docs, table_of(spark, sf_dir, "labels"))
+    done = mixing.rated(table_of(spark, sf_dir, "documents"), table_of(spark, sf_dir, "labels"), keep=["doc_id"])
     return done.select("row.doc_id", "n_tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate", "copies")
 
 
