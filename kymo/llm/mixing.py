@@ -4,7 +4,7 @@ A classifier learned from the table of labels gives every document posteriors of
 toxic. Words, and the beginnings of longer words, are hashed into bins, and a document counts as the set of its
 bins. Bins whose shares differ between domains far beyond chance have the logarithm of the ratio as their weight,
 the rest share one weight for what is left of the domains' mass, so that a long document without evidence counts
-as its ordinary bins do. A document's integer weights add up and the softmax is kept to 1/256. Non-negative rates
+as its ordinary bins do. That a document has none of the bins that speak for a domain is evidence of its own. A document's integer weights add up and the softmax is kept to 1/256. Non-negative rates
 r minimise
 
     sum over domains of (sum of r n p - target)^2 / (sum of n p)
@@ -48,6 +48,8 @@ LABELLED_ROWS, BINS = 10_000, 65_536
 BEGINNING = 4
 #: Deviations from chance, documents and log-ratio that a bin's weight needs; its largest value; units of a weight.
 LEAST_DEVIATION, LEAST_DOCUMENTS, LEAST_RATIO, MOST_WEIGHT, UNIT = 7.5, 8, 0.5, 5.0, 10_000
+#: Added to the weight of each bin that speaks for a domain, so that a sum of weights tells their number too.
+SPEAKS = 2**40
 #: Posteriors are multiples of 1 / LEVELS.
 LEVELS = 256
 #: Steps at most, and the residual, relative to a domain's tokens, that ends them; lengths that are tried for a step; how much a rate near 1 counts against the targets.
@@ -77,7 +79,7 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def weights_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> dict[str, list[int]]:
-    """Integer weights of the bins, and of the prior as last entry, for each domain but the first."""
+    """Integer weights of the bins, of the prior, and of having no bin that speaks for the domain, for each domain but the first."""
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("label_id is not null and domain is not null")
     known = known.groupBy("label_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("label_id"), "label_id").limit(LABELLED_ROWS)
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
@@ -90,9 +92,9 @@ def weights_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str)
     mass = {d: sum(counts[d].values()) for d in DOMAINS}
     for domain in DOMAINS[1:]:
         if not mass[domain] or not mass[base]:
-            out[domain] = [0] * BINS + [round(UNIT * (-20 if mass[base] or not mass[domain] else 20))]
+            out[domain] = [0] * BINS + [round(UNIT * (-20 if mass[base] or not mass[domain] else 20)), 0]
             continue
-        ratios, rest = {}, [mass[domain], mass[base]]
+        ratios, rest, speak = {}, [mass[domain], mass[base]], set()
         for b in counts[domain].keys() | counts[base].keys():
             x, y = counts[domain].get(b, 0), counts[base].get(b, 0)
             part = mass[domain] / (mass[domain] + mass[base])
@@ -100,14 +102,30 @@ def weights_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str)
             ratio = math.log((x + 0.5) / mass[domain]) - math.log((y + 0.5) / mass[base])
             if x + y >= LEAST_DOCUMENTS and abs(ratio) >= LEAST_RATIO and deviation >= LEAST_DEVIATION:
                 ratios[b] = max(-MOST_WEIGHT, min(MOST_WEIGHT, ratio))
+                if ratio > 0:
+                    speak.add(b)
                 rest[0] -= x
                 rest[1] -= y
         other = math.log(max(rest[0], 1) / mass[domain]) - math.log(max(rest[1], 1) / mass[base])
         prior = math.log((total[domain] + 0.5) / (total[base] + 0.5))
-        out[domain] = [*(round(UNIT * ratios.get(b, other)) for b in range(BINS)), round(UNIT * prior)]
+        out[domain] = [*(round(UNIT * ratios.get(b, other)) + SPEAKS * (b in speak) for b in range(BINS)), round(UNIT * prior), 0]
+        silent = {r["domain"]: r["count"] for r in sample.where(_spoken(_total(out[domain])) == 0).groupBy("domain").count().collect()}
+        shares = [(silent.get(d, 0) + 0.5) / (total[d] + 1) for d in (domain, base)]
+        out[domain][-1] = round(UNIT * math.log(shares[0] / shares[1])) if speak else 0
     return out
 
 
+def _total(weights: list[int]) -> Column:
+    """The sum of the weights of a document's bins, and of the prior."""
+    table = F.split(F.lit(",".join(map(str, weights[:BINS]))), ",").cast("array<long>")
+    return F.aggregate("bins", F.lit(weights[BINS]).cast("long"), lambda a, b: a + F.get(table, b))
+
+
+def _spoken(total: Column) -> Column:
+    """How many of the bins in a sum of weights speak for the domain."""
+    return F.shiftright(total + F.lit(SPEAKS // 2), SPEAKS.bit_length() - 1)
+
+
 def posteriors(docs: DataFrame, weights: dict[str, list[int]], text_col: str, id_col: str, keep: list[str]) -> DataFrame:
     """A struct column row with the kept columns of docs, n_tokens, a draw in [0, 1), and the posteriors as whole numbers of LEVELS."""
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).alias("none"))
@@ -117,12 +135,12 @@ def posteriors(docs: DataFrame, weights: dict[str, list[int]], text_col: str, id
     binned = worded.select("row", "chance", F.size("words").cast("long").alias("n_tokens"), bins_of(F.array_distinct("words")).alias("bins"))
 
     def score(domain: str) -> Column:
-        table = F.split(F.lit(",".join(map(str, weights[domain][:-1]))), ",").cast("array<int>")
-        total = F.aggregate("bins", F.lit(weights[domain][-1]).cast("long"), lambda a, b: a + F.get(table, b))
+        spoken = _spoken(F.col(f"t_{domain}"))
+        total = F.col(f"t_{domain}") - spoken * F.lit(SPEAKS) + F.when(spoken == 0, F.lit(weights[domain][-1])).otherwise(F.lit(0))
         return F.least(F.greatest(total, F.lit(-30 * UNIT)), F.lit(30 * UNIT)).alias(f"s_{domain}")
 
-    scores = [score(d) for d in DOMAINS[1:]]
-    scored = binned.select("row", "chance", "n_tokens", *scores)
+    summed = binned.select("row", "chance", "n_tokens", *[_total(weights[d]).alias(f"t_{d}") for d in DOMAINS[1:]])
+    scored = summed.select("row", "chance", "n_tokens", *[score(d) for d in DOMAINS[1:]])
     odds = {d: F.exp(F.col(f"s_{d}") / UNIT) for d in DOMAINS[1:]}
     whole = sum(odds.values(), F.lit(1.0))
     level = [F.floor(LEVELS * odds[d] / whole).cast("int").alias(f"q_{d}") for d in DOMAINS[1:]]
