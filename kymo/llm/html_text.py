@@ -2,15 +2,17 @@
 
 A page is read once by the standard library's event parser. Its events are cut into lines, one for each
 block of running text, with the tags met in it and the element that holds it. Each line's ratio of
-text to tags, up to SATURATION, is smoothed by a Gaussian over its neighbours; two-means clustering puts a
-threshold between the low and the high ratios. The lowest common ancestor of all lines above it, or the article
-around that, is the content region, and all its lines are the text, short ones too. Menus, headers, footers,
-sidebars, adverts, forms, scripts, styles, hidden elements and reader comments are recognised by element,
-role and class and never belong to it. Words of a class or id that articles may have as well (NAMES without
-SURE) remove an element only if most of its text has a low ratio too.
-
-Defined cases: a null or empty html has an empty text; text outside any element counts as the
-body's; unclosed elements end with the element around them; repeated rows are read each; the other
+text to tags, up to SATURATION, is weighed by what the elements around it are: text of menus, headers, footers, sidebars,
+adverts, notices, forms and reader comments, told by element, role and class, weighs nothing. The ratios are smoothed by a Gaussian over
+neighbours, and two-means clustering puts a threshold between the low and the high ones. The lowest common
+ancestor of all lines above it, or the article around that, is the content region. All its lines are the text, short ones
+too, but for those of suspect elements most of whose text lies below the threshold. Suspect are the elements whose text weighs nothing and
+those with a word in class or id that articles may have as well (NAMES without SURE). Only what is no running text (scripts, styles,
+hidden elements, controls) is left out beforehand.
+
+Defined cases: a null or empty html has an empty text, as has a page whose text weighs nothing; text outside any element counts as the
+body's; unclosed elements end with the element around them; an element that is left open or is a form, and holds an article, is not suspect;
+repeated rows are read each; the other
 columns of the input stay as they are; very long pages are parsed in one pass in memory of their own size.
 """
 
@@ -30,64 +32,65 @@ REACH, SIGMA, SATURATION = 2, 1.0, 200.0
 
 # Element and attribute names of HTML, and words that sites use in class, id and role.
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("aside button canvas datalist dialog footer form head iframe input label map math menu meter nav noframes noscript object optgroup option output progress script select style svg template textarea title".split())
-BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre search section summary table tbody tfoot thead tr ul".split()) | SKIPPED - frozenset("button canvas datalist input label map math meter object optgroup option output progress select svg".split())
-HOLDERS = frozenset("article blockquote body center dd details div dl figure html li main ol section table tbody td th tr ul".split())
+SKIPPED = frozenset("button canvas datalist head iframe input label map math meter noframes noscript object optgroup option output progress script select style svg template textarea title".split())
+AROUND = frozenset("aside dialog footer form header menu nav".split())
+BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol p pre search section summary table tbody tfoot thead tr ul head iframe noframes noscript script style template textarea title".split()) | AROUND
+HOLDERS = frozenset("article blockquote body center dd details div dl figure html li main ol section table tbody td th tr ul".split()) | AROUND
 ENDS_P = BLOCKS - frozenset("script style noscript template iframe title head".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
 NAMES = frozenset(
-    "ad ads adv adbox adunit advert adverts advertisement advertising aside banner breadcrumb breadcrumbs byline-share comment comments commentlist cookie cookies consent copyright disclaimer disqus footer gdpr "
-    "header masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promos promotion recommended related replies respond responses "
-    "search share sharing sidebar signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tagcloud toolbar topbar trending widget widgets".split()
+    "ad ads adv adbox adunit advert adverts advertisement advertisements advertising aside banner breadcrumb breadcrumbs comment comments commentlist cookie cookiebar cookies consent copyright disclaimer disqus footer gdpr "
+    "header masthead menu menus modal nav navbar navigation newsletter newsletters notice notices notification overlay pager pagination paywall popup promo promos promotion recommended related replies respond responses "
+    "search share sharing sidebar sidebars signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tagcloud toolbar topbar trending widget widgets".split()
 )
 #: Those that name what is never part of an article, whatever its ratio.
 SURE = frozenset(
-    "ad ads adv adbox adunit advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus footer gdpr nav navbar navigation pager pagination replies respond "
-    "sidebar skyscraper".split()
+    "ad ads adv adbox adunit advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments commentlist cookie cookiebar cookies disqus footer gdpr nav navbar navigation pager pagination replies respond "
+    "sidebar sidebars skyscraper".split()
 )
-STARTS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navbar", "newsletter", "pagination", "sidebar", "sponsor")
 #: Words of names that articles use for their own parts, and that tell of a layout around the text.
 OF_ARTICLES, LAYOUT = frozenset("header masthead".split()), frozenset("has no with without".split())
 #: Elements that are parts of a text: a region does not end with one of them.
 PARTS = frozenset("blockquote dd details dl figure li ol section ul".split())
-KEPT, NAMED, OUT = 0, 1, 2
+#: What an element's text is: as any other, of a suspect name, of no weight, no running text at all.
+KEPT, NAMED, WEIGHTLESS, OUT = range(4)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_CAMEL, _APART = re.compile(r"([a-z])([A-Z])"), re.compile(r"[^a-z]+")
 
 
-def _unwanted(tag: str, attrs: list, inside_article: bool) -> int:
-    """Whether an element and all that it holds lie outside the main text (OUT), or do so if its ratio is low (NAMED)."""
-    if tag in SKIPPED or (tag == "header" and not inside_article):
+def _kind(tag: str, attrs: list, inside_article: bool) -> int:
+    """What the text of an element is: KEPT, NAMED, WEIGHTLESS or OUT."""
+    if tag in SKIPPED:
         return OUT
-    if tag in ("html", "body", "main", "article") or not attrs:
-        return OUT if tag not in ("html", "body") and any(k == "hidden" for k, _ in attrs) else KEPT
-    found = KEPT
+    found = WEIGHTLESS if tag in AROUND and not (tag == "header" and inside_article) else KEPT
+    whole = tag in ("html", "body", "main", "article")
     for key, value in attrs:
-        value = (value or "").lower()
-        if key == "hidden" and value != "false" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN_STYLE.search(value):
-            return OUT
-        if key == "role" and value in ROLES:
+        low = (value or "").lower()
+        if tag not in ("html", "body") and (key == "hidden" and low != "false" or not whole and (key == "aria-hidden" and low == "true" or key == "style" and HIDDEN_STYLE.search(low))):
             return OUT
+        if whole:
+            continue
+        if key == "role" and low in ROLES:
+            found = WEIGHTLESS
         if key in ("class", "id"):
-            words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value))
-            named = [w for w in words if (w in NAMES or w.startswith(STARTS)) and not (inside_article and w in OF_ARTICLES)] if LAYOUT.isdisjoint(words) else []
-            if not SURE.isdisjoint(named):
-                return OUT
-            if named:
-                found = NAMED
+            words = _APART.split(_CAMEL.sub(r"\1 \2", value or "").lower())
+            named = [w for w in words if w in NAMES and not (inside_article and w in OF_ARTICLES)] if LAYOUT.isdisjoint(words) else []
+            found = max(found, KEPT if not named else NAMED if SURE.isdisjoint(named) else WEIGHTLESS)
     return found
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, tags met, and the element that holds it; the elements know their parents."""
+    """Collects lines: text, tags met, the element that holds it, and the suspect element around it; the elements know their parents."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parents, self.kinds = [-1], ["body"]
-        # the element with a name around each element with one; 0 is none
-        self.named = [0]
-        # tag, unwanted, holder, inside an article, element with a name around it
+        # of each suspect element the suspect one around it, and whether its text weighs nothing; 0 is none
+        self.around, self.weightless = [0], [False]
+        # tag, no running text, holder, inside an article, suspect element
         self.open: list[tuple[str, bool, int, bool, int]] = [("", False, 0, False, 0)]
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.with_article: set[int] = set()
         self.parts: list[str] = []
         self.tags = 0
         self.paragraphs = 0
@@ -96,8 +99,9 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, unwanted, holder, _, named = self.open[-1]
-                self.lines.append((text, self.tags, holder, unwanted, named))
+                _, out, holder, _, suspect = self.open[-1]
+                if not out:
+                    self.lines.append((text, self.tags, holder, suspect))
                 self.tags = 0
             self.parts = []
 
@@ -116,22 +120,28 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, unwanted, holder, article, named = self.open[-1]
-        if not unwanted:
-            out = _unwanted(tag, attrs, article)
-            if out:
+        _, out, holder, article, suspect = self.open[-1]
+        if not out:
+            kind = _kind(tag, attrs, article)
+            if kind:
                 self.flush()
-            if out == NAMED:
-                self.named.append(named)
-                named = len(self.named) - 1
-            if out == OUT:
-                unwanted = True
-            elif tag in HOLDERS:
+            if kind == OUT:
+                out = True
+            elif kind:
+                self.around.append(suspect)
+                self.weightless.append(kind == WEIGHTLESS)
+                suspect = len(self.around) - 1
+            elif tag in ("article", "main"):
+                e = suspect
+                while e:
+                    self.with_article.add(e)
+                    e = self.around[e]
+            if not out and tag in HOLDERS:
                 self.parents.append(holder)
                 self.kinds.append(tag)
                 holder = len(self.parents) - 1
         self.paragraphs += tag == "p"
-        self.open.append((tag, unwanted, holder, article or tag in ("article", "main"), named))
+        self.open.append((tag, out, holder, article or tag in ("article", "main"), suspect))
 
     def _close(self, k: int) -> None:
         if self.open[-1][1] and not self.open[k - 1][1] or self.open[-1][4] != self.open[k - 1][4]:
@@ -152,6 +162,8 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
+                if tag != "form" and self.open[k][4] != self.open[k - 1][4]:  # closed by its own end: what it holds is its own
+                    self.with_article.discard(self.open[k][4])
                 self._close(k)
                 return
 
@@ -181,18 +193,18 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _low_named(lines: list, readable: list[int], high: np.ndarray, named: list[int]) -> list[bool]:
-    """Of each element with a name, whether it, or one with a name around it, has most of its text in lines of a low ratio."""
-    size, text = [0] * len(named), [0] * len(named)
-    for k in readable:
-        size[lines[k][4]] += len(lines[k][0])
-        text[lines[k][4]] += len(lines[k][0]) * bool(high[k])
-    for e in range(len(named) - 1, 0, -1):  # inner ones come after those around them
-        size[named[e]] += size[e]
-        text[named[e]] += text[e]
-    out = [False] * len(named)
-    for e in range(1, len(named)):
-        out[e] = out[named[e]] or 2 * text[e] < size[e]
+def _dropped(lines: list, high: list[bool], around: list[int], suspect: list[bool]) -> list[bool]:
+    """Of each element whether it, or a suspect one around it, is suspect and has most of its text in lines below the threshold."""
+    size, text = [0] * len(around), [0] * len(around)
+    for (words, _, _, e), above in zip(lines, high, strict=True):
+        size[e] += len(words)
+        text[e] += len(words) * above
+    for e in range(len(around) - 1, 0, -1):  # inner ones come after those around them
+        size[around[e]] += size[e]
+        text[around[e]] += text[e]
+    out = [False] * len(around)
+    for e in range(1, len(around)):
+        out[e] = out[around[e]] or suspect[e] and 2 * text[e] < size[e]
     return out
 
 
@@ -204,15 +216,20 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines, parents, kinds = parser.lines, parser.parents, parser.kinds
-    readable = [k for k, x in enumerate(lines) if not x[3]]
-    if not readable:
+    lines, parents, kinds, around = parser.lines, parser.parents, parser.kinds, parser.around
+    if not lines:
         return ""
-    own = np.minimum(np.array([len(x[0]) / max(1, x[1]) for x in lines]), SATURATION)
+    suspect = [e not in parser.with_article for e in range(len(around))]
+    weightless = [False] * len(around)
+    for e in range(1, len(around)):
+        weightless[e] = weightless[around[e]] or suspect[e] and parser.weightless[e]
+    own = np.minimum(np.array([0.0 if weightless[x[3]] else len(x[0]) / max(1, x[1]) for x in lines]), SATURATION)
     ratios = smoothed(own)
     at = threshold(ratios)
-    dropped = _low_named(lines, readable, own > at, parser.named)
-    wanted = [k for k in readable if not dropped[lines[k][4]]] or readable
+    dropped = _dropped(lines, (own > at).tolist(), around, suspect)
+    wanted = [k for k, x in enumerate(lines) if not dropped[x[3]]] or [k for k, x in enumerate(lines) if not weightless[x[3]]]
+    if not wanted:
+        return ""
     # a short line between long ones has a high mean, but does not tell where the region ends
     chosen = [k for k in wanted if own[k] > at and ratios[k] > at] or [k for k in wanted if ratios[k] > at] or wanted
     below = [0] * len(parents)
@@ -223,13 +240,13 @@ def main_text(html: str | None) -> str:
     region = max(holder for holder, n in enumerate(below) if n == len(chosen))
     while kinds[region] in PARTS and kinds[parents[region]] not in ("html", "body"):
         region = parents[region]
-    around = region
-    while around > 0:
-        if kinds[around] in ("article", "main"):
-            region = around
-            if kinds[around] == "article":
+    outer = region
+    while outer > 0:
+        if kinds[outer] in ("article", "main"):
+            region = outer
+            if kinds[outer] == "article":
                 break
-        around = parents[around]
+        outer = parents[outer]
     inside = [False] * len(parents)
     inside[region] = True
     for holder in range(region + 1, len(parents)):

@@ -1,3 +1,10 @@
+import os
+import random
+import re
+from html import unescape
+
+import pytest
+
 from kymo.llm import html_text as H
 
 WORDS = "plain words that make up the running text of an article, one after another, "
@@ -70,3 +77,71 @@ def test_names_that_articles_have_too():
     p = WORDS * 4
     for name in ("widget text", "related-work", "search-results", "commentary", "social"):
         assert H.main_text(page(f'<div class="{name}"><h2>Head</h2><p>{p}</p><p>{p}</p></div><div class="widget"><a>x</a> <a>y</a></div>')) == text_of("Head", p, p)
+
+
+def test_the_threshold_decides(monkeypatch):
+    """With the threshold switched off every line is high: suspect elements stay and the region is the body."""
+    p = WORDS * 4
+    pages = [
+        page(f'<nav><ul><li><a href=/>Home</a></ul></nav><div class="ad">Buy</div><article><h1>Head</h1><p>{p}</p></article><footer>&copy;</footer>'),
+        page(f"<div id=top>Menu <a>a</a> <a>b</a></div><div id=content><h2>Head</h2><p>{p}</p></div><div id=bottom><a>x</a> <a>y</a></div>"),
+        page(f'<article><h1>Head</h1><p>{p}</p><section id="comments"><p>{p}</p></section></article>'),
+        page(f'<article><h1>Head</h1><p>{p}</p><div class="related"><a>x</a> <a>y</a></div></article>'),
+    ]
+    with_it = [H.main_text(x) for x in pages]
+    assert with_it == [text_of("Head", p)] * 4
+    monkeypatch.setattr(H, "threshold", lambda values: -1.0)
+    assert all(H.main_text(x) != y and "Head" in H.main_text(x) for x, y in zip(pages, with_it))
+
+
+def test_the_threshold_decides_on_the_table(spark, monkeypatch):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the tables")
+    pages = [r.html for r in spark.read.parquet(path).select("html").collect()]
+    with_it = [H.main_text(x) for x in pages]
+    # an independent reading of these pages: what stands between the article's tags, cut at block tags
+    for html, got in zip(pages, with_it):
+        article = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", html, re.S).group(1)
+        blocks = [" ".join(unescape(re.sub(r"<br[^>]*>", " ", re.sub(r"</?(?:b|i|a)\b[^>]*>", "", x))).split()) for x in re.split(r"</?(?:p|h\d|ul|li|div)\b[^>]*>", re.sub(r"<!--.*?-->", "", article, flags=re.S))]
+        assert got == "\n\n".join(x for x in blocks if x)
+    monkeypatch.setattr(H, "threshold", lambda values: -1.0)
+    assert sum(H.main_text(x) != y for x, y in zip(pages, with_it)) == len(pages)
+
+
+def test_random_articles_against_their_source():
+    """Blocks written out with inline elements, references and white space come back as they were."""
+    rng = random.Random(11)
+    inline = ["<b>{}</b>", "<i class=x>{}</i>", "<span>{}</span>", "<a href='/'>{}</a>", "{}", "{}<!-- c -->", "<code>{}</code>"]
+    spaces = [" ", "\n", "\t ", "&#32;", "<br>", "&nbsp;"]
+    quote = lambda w: w.replace("&", "&amp;").replace("<", "&lt;").replace("é", "&eacute;")
+    for _ in range(200):
+        blocks, body = [], []
+        for _ in range(rng.randrange(1, 9)):
+            words = [rng.choice(["word", "été", "a<b", "x&y", "12", "“so”", "long" * 9]) + rng.choice(["", ".", ","]) for _ in range(rng.randrange(3, 60))]
+            blocks.append(" ".join(words))
+            text = "".join(rng.choice(inline).format(quote(w)) + rng.choice(spaces) for w in words)
+            body.append(rng.choice(["<p>{}", "<p>{}</p>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<section><div>{}</div></section>", "<pre>{}</pre>"]).format(text))
+        around = rng.choice([("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<div class='post'><article>", "</article></div>")])
+        html = page(f"<header>Site</header><nav><a href=/>Home</a></nav>{around[0]}{''.join(body)}{around[1]}<aside>{WORDS}</aside><footer>&copy; {WORDS}</footer>")
+        assert H.main_text(html) == "\n\n".join(blocks)
+
+
+def test_names_in_camel_case_and_names_that_only_begin_alike():
+    p = WORDS * 4
+    for name in ("relatedPosts", "mainNav", "related-posts", "shareBox"):
+        assert H.main_text(page(f'<article><h2>Head</h2><p>{p}</p><div class="{name}"><a>x</a> <a>y</a></div></article>')) == text_of("Head", p)
+    for name in ("commentary", "advertence", "navigator", "footers-of-mountains"):
+        got = H.main_text(page(f'<article><h2>Head</h2><p>{p}</p><section class="{name}"><p>{p}</p></section></article>'))
+        assert got == text_of("Head", p, p)
+
+
+def test_unclosed_nested_and_very_long_pages():
+    p = WORDS * 4
+    assert H.main_text(page(f'<div class="sidebar"><ul><li><a>x</a></ul><article><h1>Head</h1><p>{p}</p></article>')) == text_of("Head", p)
+    assert H.main_text(page(f"<form action=/><nav>n</nav><main><h1>Head</h1><p>{p}</p></main></form>")) == text_of("Head", p)
+    assert H.main_text(page(f"<article><p>{p}</p></article><footer>left open {p}")) == text_of(p)
+    assert H.main_text(page("<div>" * 3000 + f"<p>{p}</p>" + "</div>" * 3000)) == text_of(p)
+    assert H.main_text(page("<aside>" * 500 + p + "</aside>" * 500 + f"<article><p>{p}</p></article>")) == text_of(p)
+    long = [f"{WORDS * 3} {i}" for i in range(12_000)]  # 3 MB
+    assert H.main_text(page("<nav>n</nav><article>" + "".join(f"<p>{x}" for x in long) + "</article>")) == text_of(*long)
