@@ -13,6 +13,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with more than one in so many rows is hot.
+HOT_SHARE = 1_000
 
 _own_root: dict[str, str] = {}
 #: In a worker process: the operator whose task ran last, and how to drop what it remembers.
@@ -53,10 +57,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """many joined with the row that one has for its key; one counts the key's rows in its column n, which is left out.
+
+    Keys with more than a thousandth of the total rows of many, fewer than a thousand, are joined by broadcast, so that their rows stay
+    spread; the others by a shuffle, none of whose keys then holds more than that thousandth.
+    """
+    hot = F.broadcast(one.where(F.col("n") > total / HOT_SHARE).drop("n"))
+    few = many.join(hot, keys, "inner")
+    rest = many.join(hot.select(*keys), keys, "left_anti")
+    return few.unionByName(rest.join(one.where(F.col("n") <= total / HOT_SHARE).drop("n"), keys, how))
+
+
 def discard(df: DataFrame) -> None:
     """Delete what stored() wrote for df; only for tables that no later plan reads."""
     path = getattr(df, "stored_at", None)
-    if path:
+    if path and path in _stored:
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

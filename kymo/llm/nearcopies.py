@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import claim, group_starts, partitions, slices, stored, whole_groups
+from kymo.llm.common import claim, discard, group_starts, partitions, slices, spread_join, stored, whole_groups
 from kymo.llm.components import components
 
 #: Words of a shingle; similarity in percent from which sets are linked: where no contract says otherwise, and by op10's.
@@ -296,31 +296,37 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = stored(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, d1 long, d2 long, signature binary"), "near-sketch")
     # a class is a set; small sets (at 85 percent, of fewer than six shingles) only equal sets can match
-    classes = stored(sketch.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "near-classes")
+    classes = stored(sketch.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "near-classes")
     open_classes = classes.where((F.col("n") * (100 - percent) >= percent) & F.col("id").isNotNull()).select("id", "n", "signature")
-    postings = open_classes.mapInArrow(partial(_postings, chunks=chunks, most=most), "key long, id long")
-    crowded = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    crowded = crowded.select("key", F.ceil(F.col("members") / KEY_BLOCK).cast("int").alias("blocks"))
-    members = postings.join(crowded, "key").join(open_classes, "id")
+    postings = stored(open_classes.mapInArrow(partial(_postings, chunks=chunks, most=most), "key long, id long"), "near-postings")
+    crowded = stored(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / KEY_BLOCK).cast("int")), "near-crowded")
+    total = crowded.agg(F.sum("n")).first()[0] or 0
+    # the rows of a key are spread over its blocks, so only the lookup of its block count meets a hot key
+    members = spread_join(postings, crowded, ["key"], total).join(open_classes, "id")
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     order = ["key", "bi", "bj"]
     cells = _cells(members, "blocks").select(*order, "block", "id", "n", "signature")
     pairs = cells.repartition(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(partial(_near_by_signature, percent=percent, most=most), "a long, b long")
     families = components(pairs, "near-family")
+    discard(postings)
+    discard(crowded)
 
     # the full sets of the families' members
     wanted = families.select("id", F.col("component").alias("family"))
     found = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "family", "text")
     sets = stored(found.mapInArrow(_sets, "id long, family long, shingles binary"), "near-sets")
-    size = sets.groupBy("family").agg(F.count("*").alias("members"), F.sum(F.octet_length("shingles") / 8).alias("total"))
-    size = size.select("family", F.greatest(F.ceil(F.col("members") / FAMILY_BLOCK), F.ceil(F.col("total") / FAMILY_SHINGLES)).cast("int").alias("blocks"))
-    blocked = sets.join(size, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    size = sets.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles") / 8).alias("total"))
+    size = stored(size.select("family", "n", F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.ceil(F.col("total") / FAMILY_SHINGLES)).cast("int").alias("blocks")), "near-sizes")
+    total = size.agg(F.sum("n")).first()[0] or 0
+    blocked = spread_join(sets, size, ["family"], total).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     order = ["family", "bi", "bj"]
     cells = _cells(blocked, "blocks").select(*order, "block", "id", "shingles")
     links = cells.repartition(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(partial(_confirmed, percent=percent), "a long, b long")
     linked = components(links, "near-copy")
+    discard(sets)
+    discard(size)
 
-    of_class = classes.join(linked, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    joined = sketch.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
-    joined = joined.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    of_class = classes.join(linked, "id", "left").select("d1", "d2", F.col("copies").alias("n"), F.coalesce("component", "id").alias("component_id"))
+    joined = spread_join(sketch.select("doc_id", "n_shingles", "d1", "d2").where("n_shingles > 0"), of_class, ["d1", "d2"], sketch.count())
+    empty = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", "d1", "d2", F.col("doc_id").alias("component_id"))
+    return joined.unionByName(empty).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
