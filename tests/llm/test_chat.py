@@ -1,7 +1,10 @@
+import os
 import random
+from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kymo.llm import chat as C
 
@@ -18,16 +21,11 @@ def model():
     return C.Model([(c, t, r, x) for c in range(20) for t, (r, x) in enumerate([("system", "be brief"), ("user", "what is it?"), ("assistant", "a long answer " * 30), ("user", "and why?"), ("assistant", "because " * 40)])])
 
 
-def best_by_enumeration(m, lines):
-    from itertools import product
-
-    def score(states):
-        s = m.start[states[0]] + m.emission(lines[0].text, lines[0].marker)[states[0]]
-        for a, b, x in zip(states, states[1:], lines[1:]):
-            s += m.transition(x.first, x.marker)[a, b] + m.emission(x.text, x.marker)[b]
-        return s
-
-    return list(max(product(range(3), repeat=len(lines)), key=score))
+def score_of(m, lines, states):
+    s = m.start[states[0]] + lines[0].emission(m)[states[0]]
+    for a, b, x in zip(states, states[1:], lines[1:]):
+        s += m.transition(x.first, x.marker)[a, b] + x.emission(m)[b]
+    return s
 
 
 def test_viterbi_is_the_best_path_also_in_parts():
@@ -37,9 +35,10 @@ def test_viterbi_is_the_best_path_also_in_parts():
         lines = C.lines_of(texts)
         whole = C.viterbi(m, lines)
         if len(lines) <= 8:
-            assert whole == best_by_enumeration(m, lines)
+            # by enumeration; of equally good paths any
+            assert score_of(m, lines, whole) == pytest.approx(max(score_of(m, lines, x) for x in product(range(3), repeat=len(lines))), abs=1e-9)
         k = rng.randrange(1, len(lines))
-        edges = [{"conv": 1, "part": n, "matrix": C.summary(m, p).ravel(), "opening": ((m.start + m.emission(p[0].text, p[0].marker))[:, None] + C.summary(m, p[1:])).max(axis=0)} for n, p in enumerate((lines[:k], lines[k:]))]
+        edges = [{"conv": 1, "part": n, "matrix": C.summary(m, p).ravel(), "opening": ((m.start + p[0].emission(m))[:, None] + C.summary(m, p[1:])).max(axis=0)} for n, p in enumerate((lines[:k], lines[k:]))]
         borders = C._borders(edges)
         assert C.viterbi(m, lines[:k], *borders[0, 1]) + C.viterbi(m, lines[k:], *borders[1, 1]) == whole
 
@@ -69,11 +68,40 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = C.turns_of(df).collect()
     assert len(got) == len(rows) and {r.role for r in got} <= set(C.ROLES)
-    assert sorted(r.text for r in got) == sorted((t or "").strip() for *_, t in rows)
+    assert sorted(r.text for r in got) == sorted(t or "" for *_, t in rows)
     assert C.turns_of(spark.createDataFrame([], df.schema)).collect() == []
 
 
 def test_model_is_normalised():
     m = model()
-    for x in (m.start, m.across, m.within, m.length, m.question):
+    for x in (m.start, m.across, m.within, m.length, m.question, m.row):
         assert np.allclose(np.exp(x).sum(axis=-1), 1)
+
+
+def test_named_roles_stay_and_text_is_left_as_it_is(spark):
+    texts = ["Context: the reader should know", "Q: why?", "  spaced \n", "me: too", "User: quoted"]
+    rows = [(7, t, ("assistant", "user")[t % 2], x) for t, x in enumerate(texts)] + [(8, t, "system", x) for t, x in enumerate(texts)]
+    got = C.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in got) == sorted(rows)
+
+
+def test_names_that_ordinary_lines_begin_with(spark):
+    rows = [(1, 0, "Context: the reader should know"), (2, 0, "Q: why?\nA: because\nof that"), (3, 0, "A: one\nB: two")]
+    got = C.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, text string"), role_col=None).collect()
+    assert sorted((r.conv_id, r.piece, r.text) for r in got) == [(1, 0, "Context: the reader should know"), (2, 0, "why?"), (2, 1, "because\nof that"), (3, 0, "A: one\nB: two")]
+    assert [r.role for r in sorted(got, key=lambda r: (r.conv_id, r.piece)) if r.conv_id == 2] == ["user", "assistant"]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the tables")
+def test_held_out_roles_of_the_table(spark):
+    """Every fifth conversation's roles, and every fifth row's of the others, are hidden from model and decoder."""
+    given = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    whole = F.pmod(F.xxhash64("conv_id"), F.lit(5)) == 0
+    hidden = given.withColumn("role", F.when(~whole & (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) != 0), F.col("role")))
+    got = C.turns_of(hidden).where("piece = 0").select("conv_id", "turn", F.col("role").alias("found"))
+    rows = given.join(got, ["conv_id", "turn"]).join(hidden.where("role is null").select("conv_id", "turn"), ["conv_id", "turn"]).select((F.col("role") == F.col("found")).cast("int").alias("ok"), whole.alias("whole")).groupBy("whole").agg(F.avg("ok").alias("share"), F.count("*").alias("n")).collect()
+    share = {r.whole: r.share for r in rows}
+    print(rows)
+    assert share[False] >= 0.98 and share[True] >= 0.9
+    named = given.join(C.turns_of(given).select("conv_id", "turn", "piece", F.col("role").alias("found"), F.col("text").alias("body")), ["conv_id", "turn"])
+    assert named.count() == given.count() == named.where("piece = 0 and role = found and text = body").count()
