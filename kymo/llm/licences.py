@@ -1,8 +1,8 @@
 """Licence scans by canonical digest lookup, with DataFrame operations only.
 
 A text is normalised (letter case, copyright lines, punctuation, white space, equivalent spellings) and its
-SHA-256 digest is looked up among those of known licence texts: entire documents by a hash join, and
-entire lines of documents that speak of licences by their digests. Nothing is compared by parts.
+SHA-256 digest is looked up among those of known licence texts: entire documents by a hash join, and every
+entire line by the same digests in a table that each task holds. Nothing is compared by parts.
 
 Defined cases: a null text has no digest and no licence; an empty one has the digest of nothing, which is no
 licence's; repeated rows are looked up each; a null doc_id stays; an empty table gives no rows; the
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 EQUIVALENTS = (
     ("acknowledgement", "acknowledgment"), ("analyse", "analyze"), ("authorisation", "authorization"), ("authorised", "authorized"), ("behaviour", "behavior"), ("catalogue", "catalog"), ("centre", "center"),
     ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("favour", "favor"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("honour", "honor"), ("initialise", "initialize"),
-    ("judgement", "judgment"), ("labour", "labor"), ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"),
-    ("offence", "offense"), ("organisation", "organization"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"), ("recognise", "recognize"), ("sub license", "sublicense"), ("whilst", "while"), ("wilful", "willful"),
+    ("judgement", "judgment"), ("labour", "labor"), ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencee", "licensee"), ("licencees", "licensees"), ("licencing", "licensing"), ("licencor", "licensor"), ("licencors", "licensors"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"),
+    ("offence", "offense"), ("organisation", "organization"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"), ("recognise", "recognize"), ("sub license", "sublicense"), ("sublicence", "sublicense"), ("sublicenced", "sublicensed"), ("sublicences", "sublicenses"), ("sublicencing", "sublicensing"), ("unlicence", "unlicense"), ("whilst", "while"), ("wilful", "willful"),
 )
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
@@ -79,28 +79,47 @@ for _file in sorted(resources.files("kymo.llm").joinpath("licence_texts").iterdi
     KNOWN[_name] = _text
     if _text.partition(END_OF_TERMS)[2].strip():
         KNOWN[f"{_name}-terms"] = _text.partition(END_OF_TERMS)[0] + END_OF_TERMS
-#: Lines that only claim a copyright; a claim of all rights; runs of what is neither letter nor digit; words that speak of licences.
-COPYRIGHT_LINE, ALL_RIGHTS, GAPS, SPEAKS = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$", r"all rights reserved", r"[^\p{L}\p{N}]+", ("licen", "released under")
+#: Lines that claim a copyright, with a year or the sign; a claim of all rights; runs of what is neither letter nor digit, but for line ends.
+COPYRIGHT_LINE, ALL_RIGHTS, GAPS = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|\(c\)|©)[^\n]*$", r"all rights reserved", r"[^\p{L}\p{N}\n]+"
 
 
-def canonical(text: Column) -> Column:
-    """The normalised text, with one space at each end."""
+def _spelled(text: Column, pairs: tuple) -> Column:
+    """Equivalent spellings replaced. Each word has two spaces around it, one of its own on either side, so that neighbours are found as well."""
+    for spelling, word in pairs:
+        text = F.replace(text, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {word.replace(' ', '  ')} "))
+    return text
+
+
+def _lines(text: Column) -> Column:
+    """Normalised lines, their words two spaces apart, each line in spaces, with a line end between them."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     out = F.regexp_replace(out, ALL_RIGHTS, " ")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, GAPS, " ")), F.lit(" "))
-    for spelling, word in EQUIVALENTS:
-        out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {word} "))
-    return out
+    out = F.replace(F.regexp_replace(out, GAPS, "  "), F.lit("\n"), F.lit(" \n "))
+    return _spelled(F.concat(F.lit(" "), out, F.lit(" ")), EQUIVALENTS)
+
+
+def _canonical(lines: Column) -> Column:
+    """The normalised text of normalised lines, its words one space apart; spellings of several words may span lines."""
+    text = F.concat(F.lit(" "), F.trim(F.regexp_replace(lines, "[ \n]+", "  ")), F.lit(" "))
+    return F.trim(F.replace(_spelled(text, tuple(p for p in EQUIVALENTS if " " in p[0])), F.lit("  "), F.lit(" ")))
+
+
+def canonical(text: Column) -> Column:
+    """The normalised text."""
+    return _canonical(_lines(text))
 
 
 def canonical_of(text: str) -> str:
     """canonical() for one Python string of the known texts."""
     out = re.sub(COPYRIGHT_LINE, " ", text.lower())
-    out = re.sub(r"[\W_]+", " ", re.sub(ALL_RIGHTS, " ", out))
-    out = f" {out.strip()} "
+    words = re.sub(r"[\W_]+", " ", re.sub(ALL_RIGHTS, " ", out)).split()
+    single = dict(p for p in EQUIVALENTS if " " not in p[0])
+    out = "  ".join(single.get(w, w) for w in words)
+    out = f" {out} "
     for spelling, word in EQUIVALENTS:
-        out = out.replace(f" {spelling} ", f" {word} ")
-    return out
+        if " " in spelling:
+            out = out.replace(f" {spelling.replace(' ', '  ')} ", f" {word.replace(' ', '  ')} ")
+    return out.strip().replace("  ", " ")
 
 
 def digests() -> dict[str, str]:
@@ -115,11 +134,10 @@ def scanned(docs: DataFrame, text_col: str = "text", known: dict[str, str] | Non
     """
     known = digests() if known is None else known
     table = docs.sparkSession.createDataFrame(sorted(known.items()), "digest string, licence string")
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    text = F.col(f"row.{text_col}").cast("string")
-    speaks = lambda t: F.lower(t).contains(SPEAKS[0]) | F.lower(t).contains(SPEAKS[1])
-    found = F.transform(F.filter(F.split(text, "\n", -1), speaks), lambda x: F.element_at(names, F.sha2(canonical(x), 256)))
-    notices = F.when(speaks(text), F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))).otherwise(F.array().cast("array<string>"))
-    rows = packed.select("row", F.sha2(canonical(text), 256).alias("digest"), notices.alias("notices"))
+    lined = packed.select("row", _lines(F.col(f"row.{text_col}").cast("string")).alias("lines"))
+    found = F.transform(F.split("lines", "\n", -1), lambda x: F.element_at(names, F.sha2(F.replace(F.trim(x), F.lit("  "), F.lit(" ")), 256)))
+    notices = F.coalesce(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), F.array().cast("array<string>"))
+    rows = lined.select("row", F.sha2(_canonical(F.col("lines")), 256).alias("digest"), notices.alias("notices"))
     return rows.join(F.broadcast(table), "digest", "left").select("row", "digest", "licence", "notices")  # as many rows as known

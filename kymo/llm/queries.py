@@ -85,13 +85,61 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 
 
+# The licence SQL's own table of spellings and of known lines; digests of entire texts as of their files.
+_SPELLINGS = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in (x.split("/") for x in (
+    "acknowledgement/acknowledgment analyse/analyze authorisation/authorization authorised/authorized behaviour/behavior catalogue/catalog centre/center favour/favor fulfil/fulfill fulfilment/fulfillment honour/honor "
+    "initialise/initialize judgement/judgment labour/labor licence/license licences/licenses licenced/licensed licencee/licensee licencees/licensees licencing/licensing licencor/licensor licencors/licensors merchantibility/merchantability offence/offense organisation/organization practise/practice "
+    "programme/program recognise/recognize sublicence/sublicense sublicenced/sublicensed sublicences/sublicenses sublicencing/sublicensing unlicence/unlicense whilst/while wilful/willful"
+).split())) + "}"
+_PHRASES = ("copyright owner/copyright holder", "copyright owners/copyright holders", "non commercial/noncommercial", "non infringement/noninfringement", "per cent/percent", "sub license/sublicense")
+_LINES = (
+    ("Apache-2.0-notice", "licensed under the apache license version 2 0"), ("MIT-notice", "released under the mit license"), ("GPL-3.0-notice", "this work is licensed under the gnu general public license version 3"),
+    ("CC-BY-NC-4.0-notice", "licensed under cc by nc 4 0"), ("CC-BY-4.0-notice", "licensed under cc by 4 0"), ("CC-BY-SA-4.0-notice", "licensed under cc by sa 4 0"), ("CC0-1.0-notice", "released under cc0 1 0"),
+    ("BSD-3-Clause-notice", "released under the bsd 3 clause license"), ("MPL-2.0-notice", "this work is licensed under the mozilla public license version 2 0"),
+    ("Apache-2.0-header", "licensed under the apache license version 2 0 the license"), ("GPL-header", "it under the terms of the gnu general public license as published by"),
+    ("LGPL-header", "it under the terms of the gnu lesser general public license as published by"), ("AGPL-header", "it under the terms of the gnu affero general public license as published by"),
+    ("MPL-2.0-header", "license v 2 0 if a copy of the mpl was not distributed with this"),
+    *((f"{x}-tag", "spdx license identifier " + x.lower().replace("-", " ").replace(".", " ")) for x in (
+        "AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later "
+        "LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib").split()),
+)
+_TEXTS = (
+    ("MIT", "35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164"),
+    ("BSD-2-Clause", "a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30"),
+    ("BSD-3-Clause", "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2"),
+    ("ISC", "f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee"),
+    ("Zlib", "1b8c5cd52eceb19ab0bc3cb40be110b1c0e7fa2671a3fe5866e59dd1502e69c7"),
+    ("Apache-2.0", "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25"),
+    ("Apache-2.0-terms", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0-terms", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0-terms", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("GPL-3.0-terms", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0-terms", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1-terms", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("Unlicense", "e2380bdfe57ca73b01d0b1848a4ee630998d729b260e63082b9267100b4a7229"),
+)
+
+
 def _canonical_sql(column: str) -> str:
-    out = f"regexp_replace(lower({column}), '{licences.COPYRIGHT_LINE}', ' ', 'g')"
-    out = f"regexp_replace({out}, '{licences.ALL_RIGHTS}', ' ', 'g')"
-    out = f"' ' || trim(regexp_replace({out}, '{licences.GAPS}', ' ', 'g')) || ' '"
-    for spelling, word in licences.EQUIVALENTS:
-        out = f"replace({out}, ' {spelling} ', ' {word} ')"
-    return out
+    """Word by word, unlike the operator: words are cut out, looked up and put together again."""
+    words = f"regexp_extract_all(regexp_replace(regexp_replace(lower({column}), '(?m)^[ \\t]*(?:copyright|\\(c\\)|©)[^\\n]*(?:[0-9]{{4}}|\\(c\\)|©)[^\\n]*$', ' ', 'g'), 'all rights reserved', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+    out = f"'  ' || array_to_string(list_transform({words}, lambda w: coalesce({_SPELLINGS}[w], w)), '  ') || '  '"
+    for phrase in _PHRASES:
+        a, b = (x.replace(" ", "  ") for x in phrase.split("/"))
+        out = f"replace({out}, ' {a} ', ' {b} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 ORACLES: dict[str, str] = {
@@ -126,13 +174,12 @@ from judged group by doc_id""",
 with texts as (
     select row_number() over () as n, doc_id, text from documents
 ), units as (
-    select n, doc_id, true as whole, text as unit from texts
-    union all
-    select n, doc_id, false, unnest(string_split(text, chr(10))) from texts where contains(lower(text), 'licen') or contains(lower(text), 'released under')
+    select n, doc_id, true as whole, text as unit from texts union all select n, doc_id, false, unnest(string_split(text, chr(10))) from texts
 ), digested as (
     select n, doc_id, whole, sha256({_canonical_sql("unit")}) as digest from units
 ), known(digest, licence) as (
-    values {", ".join(f"('{d}', '{n}')" for d, n in sorted(licences.digests().items()))}
+    select sha256(words), licence from (values {", ".join(f"('{n}', '{w}')" for n, w in _LINES)}) as l(licence, words)
+    union all select digest, licence from (values {", ".join(f"('{n}', '{d}')" for n, d in _TEXTS)}) as t(licence, digest)
 )
 select d.doc_id, max(d.digest) filter (where d.whole) as digest, max(k.licence) filter (where d.whole) as licence,
     coalesce(string_agg(distinct k.licence, ',' order by k.licence) filter (where not d.whole and k.licence is not null), '') as notices

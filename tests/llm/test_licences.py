@@ -21,6 +21,40 @@ def test_digests_differ():
     assert len(L.digests()) == len(L.KNOWN)
 
 
+def test_neighbouring_spellings_and_lines_of_any_words(spark):
+    own = {L.hashlib.sha256(x.encode()).hexdigest(): n for n, x in (("twice", "licensed licensed under the mit"), ("plain", "free for all uses"), ("two", "for noncommercial noncommercial use"), ("over", "this is noninfringement"))}
+    texts = ["Licenced licenced under the MIT", "intro\n*** Free, for ALL uses! ***\nout", "for non-commercial non commercial use", "This is non-\ninfringement", "licenced\nlicensed under the MIT"]
+    rows = L.scanned(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), known=own).collect()
+    assert {r.row.doc_id: (r.licence, r.notices) for r in rows} == {0: ("twice", ["twice"]), 1: (None, ["plain"]), 2: ("two", ["two"]), 3: ("over", []), 4: ("twice", [])}
+    for t in texts:
+        assert L.canonical_of(t) == spark.range(1).select(L.canonical(L.F.lit(t))).first()[0]
+
+
+def test_whole_licences_among_documents(spark):
+    """Planted whole texts, with other cases, spacing and spellings, among documents that only quote them."""
+    import random
+
+    rng = random.Random(3)
+    whole = [n for n in L.KNOWN if not n.endswith(("-notice", "-header", "-tag"))]
+    rows, want = [], {}
+    for i in range(200):
+        name = rng.choice(whole)
+        text = L.KNOWN[name]
+        kind = i % 4
+        if kind == 0:
+            text = "Copyright (c) 2011 A. Body\n" + text.replace("license", "licence").replace(", ", ",\t  ")
+        elif kind == 1:
+            text = text.swapcase()
+        elif kind == 2:
+            text = text + "\nAnd one more sentence."
+        else:
+            text = "word " * 40
+        rows.append((i, text))
+        want[i] = name if kind < 2 else None
+    got = {r.row.doc_id: r.licence for r in L.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = L.scanned(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r.licence is None and r.notices == [] for r in rows if r.row.text is not None)
