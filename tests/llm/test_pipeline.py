@@ -4,6 +4,7 @@ import random
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kymo.llm import bpe, rules
@@ -79,3 +80,23 @@ def test_near_copies_stage_takes_four_fifths(spark):
     apart = [" ".join(f"a{i}" for i in range(104)), " ".join([*(f"a{i}" for i in range(92)), *(f"y{i}" for i in range(12))])]  # 88 of 112: 0.786
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(alike + apart)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 2, 3]
+
+
+def test_near_copies_without_ids(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(4, text), (None, text + " end"), (None, other), (None, other), (None, None), (None, None), (6, None), (4, text)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(4, text), (None, other), (None, None), (6, None)], key=str)
+
+
+def test_clashing_columns_and_long_texts(spark, odd_docs, tmp_path):
+    """Every stage on nulls in every column, empty and very long texts, ties, repeated rows and columns that operators use themselves."""
+    extra = [F.lit(1).alias(c) for c in ("near_id", "near_hash", "copies", "rate", "words", "bins", "counts.x", "domain", "n_tokens", "lang", "source", "n_chars")]
+    docs = odd_docs.select("*", *extra)
+    spark.createDataFrame([(5, 1, 0), (None, None, None), (7, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in docs.collect()}
+    assert corpus_pipeline.tokens(spark, docs, str(tmp_path)).count() == docs.count()
