@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kymo.functions.scalars import frame_count, is_blank, nearest_frame
 from kymo.schema import WORD_TIERS
@@ -34,22 +35,26 @@ def events_to_grid(events: DataFrame, recordings: DataFrame, rate: float = 50.0,
     return time_grid(recordings, rate).join(placed, ["recording_id", "frame"], "left").select("recording_id", "frame", "t", F.coalesce(name, F.lit(0.0)).alias(name))
 
 
-def resample_linear(samples: DataFrame, targets: DataFrame, value: str = "value") -> DataFrame:
-    """Linear interpolation of samples (recording_id, t, value) at targets (recording_id, frame, t).
+def resample_linear(samples: DataFrame, targets: DataFrame, value: str = "value", keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """Linear interpolation of samples (keys, t, value) at targets (keys, frame, t); value is a number or an array of them.
 
-    Beyond the first and last sample their values are held; a recording without samples is zero. Both
-    neighbours are found in one sort by time: an as-of join to each side.
+    Beyond the first and last sample their values are held; a series without samples is zero (an array of it empty). Each side's
+    neighbour is the last sample seen in a sort by time, up or down: an as-of join that passes over a series once in either direction.
     """
-    both = samples.select("recording_id", "t", F.struct(F.col("t").alias("st"), F.col(value).cast("double").alias("sv")).alias("s"), F.lit(None).cast("int").alias("frame")).unionByName(
-        targets.select("recording_id", "t", F.lit(None).cast("struct<st:double,sv:double>").alias("s"), F.col("frame").cast("int").alias("frame"))
+    many = isinstance(samples.schema[value].dataType, T.ArrayType)
+    kind = "array<double>" if many else "double"
+    both = samples.select(*keys, "t", F.struct(F.col("t").alias("st"), F.col(value).cast(kind).alias("sv")).alias("s"), F.lit(None).cast("int").alias("frame")).unionByName(
+        targets.select(*keys, "t", F.lit(None).cast(f"struct<st:double,sv:{kind}>").alias("s"), F.col("frame").cast("int").alias("frame"))
     )
-    order = Window.partitionBy("recording_id").orderBy("t", F.col("frame").isNotNull())
-    back = F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("s", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    near = both.select("recording_id", "frame", "t", back.alias("a"), ahead.alias("b")).where("frame is not null")
-    between = F.col("a.sv") + (F.col("t") - F.col("a.st")) * ((F.col("b.sv") - F.col("a.sv")) / (F.col("b.st") - F.col("a.st")))
-    out = F.when(F.col("a").isNull() & F.col("b").isNull(), F.lit(0.0)).when(F.col("a").isNull(), F.col("b.sv")).when(F.col("b").isNull() | (F.col("a.st") == F.col("t")), F.col("a.sv")).otherwise(between)
-    return near.select("recording_id", "frame", "t", out.alias(value))
+    is_target = F.col("frame").isNotNull()  # at equal times samples come first, so that they are neighbours behind
+    seen = lambda *order: F.last("s", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    near = both.select(*keys, "frame", "t", seen("t", is_target).alias("a"), seen(F.col("t").desc(), is_target.desc()).alias("b")).where("frame is not null")
+    slope = lambda x, y: (y - x) / (F.col("b.st") - F.col("a.st"))
+    line = lambda x, y: x + (F.col("t") - F.col("a.st")) * slope(x, y)
+    between = F.zip_with("a.sv", "b.sv", line) if many else line(F.col("a.sv"), F.col("b.sv"))
+    none = F.array().cast(kind) if many else F.lit(0.0)
+    out = F.when(F.col("a").isNull() & F.col("b").isNull(), none).when(F.col("a").isNull(), F.col("b.sv")).when(F.col("b").isNull() | (F.col("a.st") == F.col("t")), F.col("a.sv")).otherwise(between)
+    return near.select(*keys, "frame", "t", out.alias(value))
 
 
 def held_frames(intervals: DataFrame, rate: float) -> DataFrame:

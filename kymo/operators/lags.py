@@ -136,24 +136,23 @@ def shift_manifest(
 def circular_shift(frames: DataFrame, offsets: DataFrame, column_families: list[str], array: str = "x", shifted: tuple[str, ...] = SUBSTANTIVE) -> DataFrame:
     """frames (recording_id, frame, t, array) with each shifted family's columns rolled by its offset as one block.
 
-    offsets: (null_index, recording_id, family, frames, offset_frames). Each family's source frame is an
-    equi-join key, so a draw is a join and not a loop over arrays.
+    offsets: (null_index, recording_id, family, frames, offset_frames). Every frame is cut into blocks, the columns that stay and
+    one for each shifted family; a block is sent to the frame that it moves to, where the blocks are put together. Frames are
+    dealt by recording once, and that serves the grouping as well.
     """
-    wide = offsets.groupBy("null_index", "recording_id").agg(F.max("frames").alias("n"), F.map_from_entries(F.collect_list(F.struct("family", "offset_frames"))).alias("offsets"))
-    out = frames.join(wide, "recording_id")
-    parts = out
-    for family in shifted:
-        source = frames.select("recording_id", F.col("frame").alias(f"_f_{family}"), picked(array, [i for i, f in enumerate(column_families) if f == family]).alias(f"_x_{family}"))
-        parts = parts.withColumn(f"_f_{family}", F.pmod(F.col("frame") - F.element_at("offsets", F.lit(family)), F.col("n"))).join(source, ["recording_id", f"_f_{family}"])
-    place: dict[str, int] = {}
-    pieces = []
-    for i, f in enumerate(column_families):
-        if f in shifted:
-            pieces.append(F.get(f"_x_{f}", F.lit(place.get(f, 0))))
-            place[f] = place.get(f, 0) + 1
-        else:
-            pieces.append(F.get(array, F.lit(i)))
-    return parts.select("null_index", "recording_id", "frame", "t", F.array(*pieces).alias(array))
+    moving = [f for f in shifted if f in column_families]
+    staying = [i for i, f in enumerate(column_families) if f not in shifted]
+    draws = offsets.groupBy("recording_id", "null_index").agg(F.max("frames").alias("n"), F.map_from_entries(F.collect_list(F.struct("family", "offset_frames"))).alias("by")).groupBy("recording_id").agg(F.collect_list(F.struct("null_index", "n", "by")).alias("draws"))
+    block = lambda number, by, positions: F.struct(F.lit(number).alias("block"), by.alias("by"), picked(array, positions).alias("v"))
+    each = frames.join(draws, "recording_id").select("recording_id", "frame", "t", array, F.explode("draws").alias("d"))
+    blocks = [block(0, F.lit(0), staying)] + [block(k, F.element_at("d.by", F.lit(f)), [i for i, c in enumerate(column_families) if c == f]) for k, f in enumerate(moving, 1)]
+    sent = each.select("recording_id", "d.null_index", "d.n", "frame", "t", F.explode(F.array(*blocks)).alias("b"))
+    at = F.when(F.col("b.block") == 0, F.col("frame")).otherwise(F.pmod(F.col("frame") + F.col("b.by"), F.col("n"))).cast("int")
+    sent = sent.select("null_index", "recording_id", at.alias("frame"), F.when(F.col("b.block") == 0, F.col("t")).alias("t"), "b.block", "b.v")
+    whole = sent.groupBy("null_index", "recording_id", "frame").agg(F.max("t").alias("t"), F.map_from_entries(F.collect_list(F.struct("block", "v"))).alias("m"))
+    # where each column stands: its block, and its place in that
+    places = {i: (0, n) for n, i in enumerate(staying)} | {i: (k, n) for k, f in enumerate(moving, 1) for n, i in enumerate(j for j, c in enumerate(column_families) if c == f)}
+    return whole.select("null_index", "recording_id", "frame", "t", F.array(*[F.get(F.element_at("m", F.lit(places[i][0])), F.lit(places[i][1])) for i in range(len(column_families))]).alias(array))
 
 
 def circular_shift_sparse(cells: DataFrame, offsets: DataFrame, shifted: tuple[str, ...] = SUBSTANTIVE) -> DataFrame:

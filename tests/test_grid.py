@@ -80,3 +80,19 @@ def test_timing():
     assert grid.frame_timing([10, 3, 3, 3, 3, 2, 2], [5, 2, 2, 2, 2, 2, 2]) == (320, 199.5)
     with pytest.raises(ValueError):
         grid.frame_timing([1], [1, 2])
+
+
+def test_interpolation_grows_with_the_length_only(spark):
+    """Eight times the samples take nowhere near the sixty-four times that a window over the rest of the series would."""
+    import time
+
+    def seconds(n):
+        samples = spark.range(n).select(F.lit("r").alias("recording_id"), (F.col("id") * 1.0).alias("t"), F.col("id").cast("double").alias("value"))
+        targets = spark.range(n).select(F.lit("r").alias("recording_id"), F.col("id").cast("int").alias("frame"), (F.col("id") + 0.25).alias("t"))
+        start = time.perf_counter()
+        worst = grid.resample_linear(samples, targets).select(F.max(F.abs(F.col("value") - F.least(F.col("t"), F.lit(n - 1.0))))).first()[0]
+        assert worst < 1e-9
+        return time.perf_counter() - start
+
+    seconds(2_000)
+    assert seconds(64_000) < 20 * max(seconds(8_000), 0.25)

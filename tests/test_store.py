@@ -229,3 +229,47 @@ def test_streams(spark, tmp_path):
             q.stop()
         if name == "frames":
             assert len(got) == count and sum(r.n for r in got) == 5
+
+
+def test_contract_digests_and_wording(spark):
+    """Digests of the raw bytes, folds of whole recordings, and the wording that published contracts share."""
+    import hashlib
+
+    rows = [(r, i, i / 50, [float(i), float(n)]) for n, r in enumerate(("b", "a", "c")) for i in range(4 + n)]
+    f = spark.createDataFrame(rows, "recording_id string, frame int, t double, x array<double>").repartition(5)
+    analysis = {"analysis_rate_hz": 50, "analysis": {"target_mode": "pca", "n_components": 2, "lags_seconds": [0.0], "outer_folds": 3, "inner_folds": 2, "alphas": [1.0]}}
+    got = contract.build_contract(f, ["x", "y"], ["word", "acoustic"], {"a": 1}, analysis)
+    for n, r in enumerate(("b", "a", "c")):
+        t, x = np.arange(4 + n) / 50, np.array([[i, n] for i in range(4 + n)], dtype=np.float32)
+        assert got["canonical_grid_sha256"][r] == hashlib.sha256(t.tobytes()).hexdigest()
+        assert got["feature_matrix_sha256"][r] == hashlib.sha256(x.tobytes()).hexdigest()
+    assert got["stimulus_ids"] == ["a", "b", "c"] and sorted(map(tuple, got["outer_test_groups"])) == [("a",), ("b",), ("c",)]
+    assert got["cross_validation"] == {"outer_folds": 3, "inner_folds": 2, "alphas": [1.0], "splitter": "GroupKFold"}
+    assert got["feature_preprocessing"] == {"definition": {"a": 1}, "regression_scaling": "StandardScaler fitted on each training fold only"}
+    assert got["reduced_model_specifications"] == [{"omitted_family": x, "comparison": "full_minus_reduced"} for x in ("acoustic", "word")]
+    assert len(got["result_schema"]) == 8 and len(contract.FIELDS) == 18 and set(got) == set(contract.FIELDS)
+
+
+def test_registry_rules_one_by_one(spark):
+    good = {"model_id": "x", "revision": "r", "family": "f", "input_modality": "audio", "sample_rate_hz": 16_000, "adapter": "generic_speech", "loading_class": "c", "layers": "all", "enabled": True, "license_notes": "", "limitations": ""}
+    text = {**good, "input_modality": "text", "sample_rate_hz": None, "adapter": "bert_text", **dict.fromkeys(adapters.TEXT_FIELDS, "x")}
+    for change, base, word in (
+        ({"input_modality": "video"}, good, "audio or text"), ({"sample_rate_hz": None}, good, "needs a sample rate"), ({"sample_rate_hz": 8000}, text, "no sample rate"), ({"adapter": "x"}, good, "unknown"),
+        ({"locked_reference": True}, good, "output folder"), ({"adapter": "whisper_encoder"}, good, "30 seconds"), ({"layers": 3}, good, "all or a list"),
+    ):
+        config = {"default_model": "m", "runtime_defaults": {"batch_seconds": 40}, "models": {"m": {**base, **change}}}
+        assert [word in p for p in adapters.registry_problems(config)] == [True], (change, adapters.registry_problems(config))
+    lacking = {k: v for k, v in text.items() if k != "context_policy"}
+    assert "context_policy" in adapters.registry_problems({"default_model": "m", "models": {"m": lacking}})[0]
+    assert adapters.registry_problems({"default_model": "m", "models": {"m": text}}) == []
+
+
+def test_canonical_states_of_several_layers(spark):
+    """Whole arrays, of different widths by layer, between samples and held beyond them."""
+    rows = [("m", layer, "r", t, [t * (k + 1) for k in range(width)]) for layer, width in (("a", 2), ("b", 3)) for t in (0.1, 0.3, 0.7)]
+    native = spark.createDataFrame(rows, "model string, layer string, recording_id string, t double, y array<float>")
+    done = adapters.canonicalise(native, spark.createDataFrame([("r", 1.0)], "recording_id string, duration_seconds double"), 10.0).collect()
+    assert len(done) == 20
+    for r in done:
+        at = min(max(r.t, 0.1), 0.7)
+        assert r.y == pytest.approx([at * (k + 1) for k in range(2 if r.layer == "a" else 3)], abs=1e-6)
