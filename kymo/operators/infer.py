@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,15 +47,17 @@ def sign_flip(arrays: DataFrame, keys: list[str]) -> DataFrame:
     return own.join(counts, keys).withColumn("p_value", F.col("extreme") / F.col("assignments"))
 
 
+def drawn_slots(recordings: int, resamples: int, seed: int) -> np.ndarray:
+    """The resampled positions of each draw, from NumPy's default generator in its reference order."""
+    generator = np.random.default_rng(seed)
+    return np.concatenate([generator.integers(0, recordings, size=(min(DRAWS_AT_ONCE, resamples - s), recordings)) for s in range(0, resamples, DRAWS_AT_ONCE)]).astype(np.int32)
+
+
 def resample_table(spark, recordings: int, resamples: int, seed: int) -> DataFrame:
-    """(draw, slots): the resampled positions of each draw, from NumPy's default generator in its reference order. Drawn once for all cells of so many recordings."""
+    """(draw, slots) of drawn_slots(), drawn once for all cells of so many recordings."""
     if resamples < LEAST_RESAMPLES:
         raise ValueError(f"at least {LEAST_RESAMPLES} resamples are needed")
-    generator = np.random.default_rng(seed)
-    parts = [generator.integers(0, recordings, size=(min(DRAWS_AT_ONCE, resamples - s), recordings)) for s in range(0, resamples, DRAWS_AT_ONCE)]
-    import pyarrow as pa
-
-    rows = np.concatenate(parts).astype(np.int32)
+    rows = drawn_slots(recordings, resamples, seed)
     return spark.createDataFrame(pa.table({"draw": pa.array(np.arange(resamples), pa.int32()), "slots": pa.array(list(rows), pa.list_(pa.int32()))}))
 
 

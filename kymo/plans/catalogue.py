@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -160,9 +161,9 @@ def positive_flux(spark, sf_dir):
 
 
 @query(f"""{_FAMILY_COUNTS}, o as (select recording_id, 48 + (recording_id::bigint * 7919) % 625 as k from users),
-moved as (select f.*, (frame + k) % 720 as fp, (frame + k + 1) % 720 as fq, (frame + k + 2) % 720 as fw from ff f join o on f.recording_id = o.recording_id)
-select f.recording_id, f.frame, f.acoustic, p.prosodic, q.phonetic, w.word, f.onset from moved f
-join moved p on p.recording_id = f.recording_id and p.fp = f.frame join moved q on q.recording_id = f.recording_id and q.fq = f.frame join moved w on w.recording_id = f.recording_id and w.fw = f.frame""")
+series as (select recording_id, {", ".join(f"list({f} order by frame) as {f}" for f in FAMILIES)} from ff group by all),
+each as (select s.*, k, unnest(generate_series(0, {FRAMES - 1}))::int as frame from series s join o using (recording_id))
+select recording_id, frame, acoustic[frame + 1] as acoustic, prosodic[(frame - k + 1440) % 720 + 1] as prosodic, phonetic[(frame - k + 1439) % 720 + 1] as phonetic, word[(frame - k + 1438) % 720 + 1] as word, onset[frame + 1] as onset from each""")
 def circular_shift(spark, sf_dir):
     """The shift with offsets from arithmetic on the id, which SQL can repeat; null_shift_exact draws them as the reference does."""
     ids = recordings(spark, sf_dir).select("recording_id")
@@ -316,17 +317,9 @@ def expected_missing(spark, sf_dir):
     return relate.missing_of(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
 
 
-@query("""with e as (select distinct s_nationkey as k from supplier), o as (select c_nationkey as k, count(*) as n from customer where c_custkey % 40 = 1 group by all)
-select coalesce(e.k, o.k) as k, case when o.n is null then 'missing' when e.k is null then 'unexpected' else 'duplicate' end as problem from e full join o on e.k = o.k where o.n is null or e.k is null or o.n > 1""")
-def exact_set(spark, sf_dir):
-    expected = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
-    return relate.exact_set(expected, table(spark, sf_dir, "customer").where("c_custkey % 40 = 1").select(F.col("c_nationkey").alias("k")), "k")
-
-
 @query("""with e as (select distinct s_nationkey as k from supplier), o as (select c_nationkey as k, count(*) as n from customer group by all)
 select coalesce(e.k, o.k) as k, case when o.n is null then 'missing' when e.k is null then 'unexpected' else 'duplicate' end as problem from e full join o on e.k = o.k where o.n is null or e.k is null or o.n > 1""")
-def exact_set_all(spark, sf_dir):
-    """All customers' nations; exact_set has the customers that its SQL has."""
+def exact_set(spark, sf_dir):
     expected = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
     return relate.exact_set(expected, table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), "k")
 
@@ -355,14 +348,8 @@ def _round_trip(rows: DataFrame) -> DataFrame:
 
 
 @query(f"""with {EVENTS_SQL}, {INTERVALS_SQL} select recording_id, interval_idx, tier, {_r('start')} as start, {_r('"end"')} as "end", label from iv""")
-def textgrid_round_trip_all(spark, sf_dir):
-    return _round_trip(intervals(spark, sf_dir))
-
-
-@query(f"""with {EVENTS_SQL}, {INTERVALS_SQL} select recording_id, interval_idx, tier, {_r('start')} as start, {_r('"end"')} as "end", label from iv where interval_idx < 12""")
 def textgrid_round_trip(spark, sf_dir):
-    """Each recording's first intervals, as its SQL has them; textgrid_round_trip_all has all."""
-    return _round_trip(intervals(spark, sf_dir).where("interval_idx < 12"))
+    return _round_trip(intervals(spark, sf_dir))
 
 
 @query("select event_id::varchar as id, 'k' as path, 'k' as key, json_extract(props, '$.k')::varchar as value_json from events")
@@ -528,20 +515,15 @@ def _cells(spark, sf_dir, most: int) -> DataFrame:
 def _cells_sql(most: int) -> str:
     return f"cells as (select recording_id, ((row_number() over (order by recording_id::bigint) - 1) % (select ceil(count(*) / {most}e0)::bigint from users))::int as cell from users)"
 
-_TWELVE = f"with {EVENTS_SQL}, top as (select recording_id from (select distinct recording_id::bigint as recording_id from ev) order by recording_id limit 12), ef as (select family, recording_id::bigint as r, floor(avg(value) * 100) / 100 - 25 as effect from ev where recording_id::bigint in (select recording_id from top) group by all)"
 
-
-def _twelve(spark, sf_dir) -> DataFrame:
-    """(family, recording_id, effect, duration_seconds) of the twelve first users, effects at two decimals."""
-    e = events(spark, sf_dir).withColumn("recording_id", F.col("recording_id").cast("long"))
-    first = e.select("recording_id").distinct().orderBy("recording_id").limit(12)
-    return e.join(F.broadcast(first), "recording_id").groupBy("family", "recording_id").agg((F.floor(F.avg("value") * 100) / 100 - 25).alias("effect"), F.max("t").alias("duration_seconds"))  # twelve rows
+#: Effects are whole cents, so that no sum or comparison depends on an order of adding.
+_CENTS = f"{EVENTS_SQL}, {USERS_SQL}, {_cells_sql(12)}, ef as (select cell, family, recording_id::bigint as r, (sum(floor(value * 100e0 + 0.5e0)::bigint) // count(*) - 2500)::double as effect, max(t) as w from ev join cells using (recording_id) group by all)"
 
 
 def _effects(spark, sf_dir) -> DataFrame:
-    """(family, recording_id, effect, duration_seconds) of all users, effects at two decimals."""
+    """(family, recording_id, effect, duration_seconds) of all users, effects in whole cents."""
     e = events(spark, sf_dir).withColumn("recording_id", F.col("recording_id").cast("long"))
-    return e.groupBy("family", "recording_id").agg((F.floor(F.avg("value") * 100) / 100 - 25).alias("effect"), F.max("t").alias("duration_seconds"))
+    return e.groupBy("family", "recording_id").agg(F.expr("cast(sum(cast(floor(value * 100D + 0.5D) as bigint)) div count(*) - 2500 as double)").alias("effect"), F.max("t").alias("duration_seconds"))
 
 
 def _celled_effects(spark, sf_dir) -> DataFrame:
@@ -556,23 +538,31 @@ def _by_size(rows: DataFrame, size: str, of: Callable[[DataFrame, int], DataFram
     return functools.reduce(DataFrame.unionByName, out)
 
 
-@query(f"""with {EVENTS_SQL}, {USERS_SQL}, {_cells_sql(12)}, ef as (select cell, family, recording_id::bigint as r, floor(avg(value) * 100) / 100 - 25 as effect from ev join cells using (recording_id) group by all), v as (select cell, family, list(effect order by r) as v from ef group by all),
+_FLIPS = f"""with {_CENTS}, v as (select cell, family, list(effect order by r) as v, list(w order by r) as w from ef group by all),
 s as (select cell, family, v, m, list_reduce(list_transform(generate_series(1, len(v)), lambda i: case when (m >> (i - 1)) & 1 = 1 then v[i] else -v[i] end), lambda a, b: a + b) as total from (select *, unnest(generate_series(0, (1 << len(v)) - 1)) as m from v)),
-o as (select cell, family, list_reduce(v, lambda a, b: a + b) as observed from v)
-select s.cell, s.family, {_r("max(o.observed / len(s.v))")} as effect, sum((abs(total) >= abs(observed))::int)::bigint as extreme, count(*) as assignments, {_r("sum((abs(total) >= abs(observed))::int) / count(*)::double")} as p_value from s join o using (cell, family) group by all""")
-def sign_flip_exact_all(spark, sf_dir):
-    """The exact test of every cell of users; sign_flip_exact has the twelve that its SQL has."""
+o as (select cell, family, len(v) as n, list_reduce(v, lambda a, b: a + b) as observed from v),
+fl as (select cell, family, max(o.observed / n) as effect, sum((abs(total) >= abs(observed))::int)::bigint as extreme, count(*) as assignments, sum((abs(total) >= abs(observed))::int) / count(*)::double as p_value from s join o using (cell, family) group by all)"""
+
+
+@query(f"""{_FLIPS} select cell, family, {_r("effect")} as effect, extreme, assignments, {_r("p_value")} as p_value from fl""")
+def sign_flip_exact(spark, sf_dir):
+    """The exact test of every cell of at most twelve users; all users are in one."""
     done = infer.sign_flip(infer.value_arrays(_celled_effects(spark, sf_dir), ["cell", "family"]), ["cell", "family"])
     return done.select("cell", "family", rounded("effect").alias("effect"), "extreme", "assignments", rounded("p_value").alias("p_value"))
 
 
-@query(f"""{_TWELVE}, v as (select family, list(effect order by r) as v from ef group by all), masks as (select m from generate_series(0, 4095) g(m)),
-s as (select family, v, m, list_reduce(list_transform(generate_series(1, len(v)), lambda i: case when (m >> (i - 1)) & 1 = 1 then v[i] else -v[i] end), lambda a, b: a + b) as total from v, masks),
-o as (select family, list_reduce(v, lambda a, b: a + b) as observed from v)
-select s.family, {_r("max(o.observed) / 12")} as effect, sum((abs(total) >= abs(observed))::int)::bigint as extreme, count(*) as assignments, {_r("sum((abs(total) >= abs(observed))::int) / count(*)::double")} as p_value from s join o using (family) group by all""")
-def sign_flip_exact(spark, sf_dir):
-    done = infer.sign_flip(infer.value_arrays(_twelve(spark, sf_dir), ["family"]), ["family"])
-    return done.select("family", rounded("effect").alias("effect"), "extreme", "assignments", rounded("p_value").alias("p_value"))
+def _draws_sql(sizes: tuple[int, ...] = (11, 12), seed: int = 17) -> str:
+    """The bootstrap's draws for cells of those sizes, a letter for each slot: NumPy's generator has no like in SQL. Those are the sizes at 150 and at 1,500 users."""
+    rows = []
+    for n in sizes:
+        letters = np.array([chr(97 + i) for i in range(n)])
+        rows.append(f"({n}, '{''.join(letters[infer.drawn_slots(n, infer.LEAST_RESAMPLES, seed)].ravel().tolist())}')")
+    return f"drawn(n, letters) as (values {', '.join(rows)}), draws as (select n, list_transform(generate_series(1, n), lambda j: ord(letters[d * n + j]) - 96) as slots from drawn, generate_series(0, {infer.LEAST_RESAMPLES - 1}) g(d))"
+
+
+_BOOT = f"""{_draws_sql()}, bo as (select cell, family, list_reduce(list_transform(slots, lambda j: v[j]), lambda a, b: a + b) / len(v) as m,
+list_reduce(list_transform(slots, lambda j: v[j] * w[j]), lambda a, b: a + b) / list_reduce(list_transform(slots, lambda j: w[j]), lambda a, b: a + b) as mw from v join draws on n = len(v)),
+ci as (select cell, family, quantile_cont(m, 0.025) as ci_low, quantile_cont(m, 0.975) as ci_high, quantile_cont(mw, 0.025) as wci_low, quantile_cont(mw, 0.975) as wci_high from bo group by all)"""
 
 
 @query(f"""with {_EFFECTS}, p as (select model, layer, family, count(*) as n, (count(*) * 37 % 101) / 101e0 as p_value from cells where delta_r2 > 0.2 group by all), k as (select *, row_number() over (partition by model order by p_value) as rk, count(*) over (partition by model) as m from p)
@@ -583,18 +573,24 @@ def bh_adjust(spark, sf_dir):
     return infer.benjamini_hochberg(p, ["model"]).select("model", "layer", "family", rounded("p_value").alias("p_value"), rounded("q_value").alias("q_value"))
 
 
-@query()
+@query(f"""{_FLIPS}, {_BOOT} select cell, family, {_r("ci_low")} as ci_low, {_r("ci_high")} as ci_high from ci""")
 def bootstrap_intervals(spark, sf_dir):
-    """Intervals over all users from NumPy's own draws, which SQL has not; the tests hold them against NumPy."""
-    arrays = infer.value_arrays(_effects(spark, sf_dir), ["family"]).withColumn("users", F.size("v"))  # a size for each family at most
-    return _by_size(arrays, "users", lambda part, n: infer.bootstrap_interval(part, ["family"], n, seed=17))
+    """Intervals of every cell of users from NumPy's draws; cells have one of two sizes, so the broadcast draws are of bounded size."""
+    arrays = infer.value_arrays(_celled_effects(spark, sf_dir), ["cell", "family"]).withColumn("users", F.size("v"))
+    done = _by_size(arrays, "users", lambda part, n: infer.bootstrap_interval(part, ["cell", "family"], n, seed=17))
+    return done.select("cell", "family", rounded("ci_low").alias("ci_low"), rounded("ci_high").alias("ci_high"))
 
 
-@query()
+@query(f"""{_FLIPS}, {_BOOT}, k as (select *, row_number() over (partition by cell order by p_value) as rk, count(*) over (partition by cell) as m from fl),
+q as (select cell, family, least(1e0, min(p_value * m / rk) over (partition by cell order by rk desc rows unbounded preceding)) as q_value from k),
+we as (select cell, family, list_reduce(list_transform(generate_series(1, len(v)), lambda j: v[j] * w[j]), lambda a, b: a + b) / list_reduce(w, lambda a, b: a + b) as weighted_effect, len(v)::bigint as recordings, len(list_filter(v, lambda x: x > 0))::bigint as n_positive, len(list_filter(v, lambda x: x < 0))::bigint as n_negative from v)
+select 'm' || cell as model, family, recordings, n_positive, n_negative, extreme, {_r("effect")} as effect, {_r("p_value")} as p_value, {_r("q_value")} as q_value, {_r("weighted_effect")} as weighted_effect, {_r("ci_low")} as ci_low, {_r("ci_high")} as ci_high, {_r("wci_low")} as weighted_ci_low, {_r("wci_high")} as weighted_ci_high
+from fl join q using (cell, family) join we using (cell, family) join ci using (cell, family)""")
 def group_inference(spark, sf_dir):
     """Sign flips, both intervals and adjusted p over the five families of each model; every cell of users is one."""
     effects = _celled_effects(spark, sf_dir).withColumns({"model": F.concat(F.lit("m"), "cell"), "layer": F.lit("l")}).drop("cell")
-    return _by_size(effects, "users", lambda part, n: infer.analyse(part, n, seed=17))  # cells have one of two sizes
+    done = _by_size(effects, "users", lambda part, n: infer.analyse(part, n, seed=17))  # cells have one of two sizes
+    return done.select("model", "family", "recordings", "n_positive", "n_negative", "extreme", *[rounded(c).alias(c) for c in ("effect", "p_value", "q_value", "weighted_effect", "ci_low", "ci_high", "weighted_ci_low", "weighted_ci_high")])
 
 
 @query(f"with {_EFFECTS}, a as (select model, family, avg(delta_r2) - 0.25 as effect, (count(*) % 10) / 100e0 as q from cells where layer = 'l0' group by all), b as (select model, family, avg(delta_r2) - 0.25 as effect, (count(*) % 10) / 100e0 as q from cells where layer = 'l1' group by all) select model, family, sign(a.effect) <> sign(b.effect) as sign_changed, (a.q < 0.05) <> (b.q < 0.05) as significance_changed, not (sign(a.effect) <> sign(b.effect)) and not ((a.q < 0.05) <> (b.q < 0.05)) as stable from a join b using (model, family)")
@@ -604,16 +600,9 @@ def conclusion_flags(spark, sf_dir):
     return infer.conclusion_flags(part("l0"), part("l1"), ["model", "family"]).select("model", "family", "sign_changed", "significance_changed", "stable")
 
 
-@query(f"with {EVENTS_SQL}, {USERS_SQL} select a.recording_id as held_out, b.recording_id, case when a.recording_id = b.recording_id then 'test' else 'train' end as role from users a, users b where a.recording_id::bigint < 40 and b.recording_id::bigint < 40")
-def loro_splits(spark, sf_dir):
-    ids = [r.recording_id for r in recordings(spark, sf_dir).where("cast(recording_id as long) < 40").orderBy("recording_id").collect()]
-    rows = [(test[0], i, role) for _, _, train, test in encode.outer_splits(dict.fromkeys(ids, 1)) for part, role in ((train, "train"), (test, "test")) for i in part]
-    return spark.createDataFrame(rows, "held_out string, recording_id string, role string")
-
-
 @query(f"with {EVENTS_SQL}, {USERS_SQL}, {_cells_sql(40)} select a.cell, a.recording_id as held_out, b.recording_id, case when a.recording_id = b.recording_id then 'test' else 'train' end as role from cells a join cells b using (cell)")
-def loro_splits_all(spark, sf_dir):
-    """Leave-one-recording-out within cells of at most 40 users that hold every user; loro_splits has the users that its SQL has."""
+def loro_splits(spark, sf_dir):
+    """Leave-one-recording-out within cells of at most 40 users that hold every user."""
 
     def of(rows):
         return pd.DataFrame([(rows["cell"].iloc[0], test[0], i, role) for _, _, train, test in encode.outer_splits(dict.fromkeys(rows["recording_id"], 1)) for part, role in ((train, "train"), (test, "test")) for i in part])
@@ -621,10 +610,13 @@ def loro_splits_all(spark, sf_dir):
     return _cells(spark, sf_dir, 40).groupBy("cell").applyInPandas(of, "cell int, held_out string, recording_id string, role string")
 
 
-@query()
+@query(f"""with recursive {EVENTS_SQL}, n as (select recording_id, count(*)::bigint as weight from ev group by all), o as (select *, row_number() over (order by weight desc, recording_id desc) as k from n),
+st as (select 0::bigint as k, list_transform(generate_series(1, least(5, (select count(*) from n))), lambda i: 0::bigint) as load, null::varchar as recording_id, 0 as fold, 0::bigint as weight
+union all select o.k, list_transform(st.load, lambda x, i: case when i = list_position(st.load, list_min(st.load)) then x + o.weight else x end), o.recording_id, list_position(st.load, list_min(st.load)) - 1, o.weight from st join o on o.k = st.k + 1)
+select recording_id, fold::int as fold, weight from st where k > 0""")
 def group_folds(spark, sf_dir):
     """Grouped folds of users weighed by their events, and each fold's load."""
-    sizes = {r.recording_id: r.n for r in events(spark, sf_dir).groupBy("recording_id").agg(F.count("*").alias("n")).collect()}  # a row for each recording
+    sizes = {r.recording_id: r.n for r in events(spark, sf_dir).groupBy("recording_id").agg(F.count("*").alias("n")).collect()}  # a row for each recording; the lightest fold so far is taken in turn
     return spark.createDataFrame([(i, f, sizes[i]) for i, f in encode.group_folds(sizes, 5).items()], "recording_id string, fold int, weight long")
 
 
@@ -659,6 +651,28 @@ def ridge_fixed_alpha(spark, sf_dir):
     return encode.fit_scores(encode.recording_moments(_fit_frames(spark, sf_dir), plan, unit), plan, unit).drop("full_inner_cv_scores", "reduced_inner_cv_scores")
 
 
+_TWO = f"""{_FAMILY_COUNTS}, {_cells_sql(8)}, d as (select cell, recording_id, frame, acoustic + (frame * 74 % 101) / 101e0 as a, word + (frame * 185 % 101) / 101e0 as w from ff join cells using (recording_id)),
+y as (select *, a + 0.5e0 * w * w + (frame * 3 % 17) / 17e0 as y from d),
+own as (select cell, recording_id, count(*)::double as n, sum(a) as sa, sum(w) as sw, sum(y) as sy, sum(a * a) as saa, sum(w * w) as sww, sum(a * w) as saw, sum(a * y) as say, sum(w * y) as swy from y group by all),
+tr as (select h.cell, h.recording_id, {", ".join(f"sum(o.{c}) as {c}" for c in "n sa sw sy saa sww saw say swy".split())} from own h join own o on h.cell = o.cell and h.recording_id <> o.recording_id group by all),
+c as (select *, sa / n as ma, sw / n as mw, sy / n as my, sqrt(saa / n - pow(sa / n, 2)) as da, sqrt(sww / n - pow(sw / n, 2)) as dw from tr),
+r as (select *, (saw - n * ma * mw) / (da * dw) as g, (say - n * ma * my) / da as ra, (swy - n * mw * my) / dw as rw, n + 10e0 as p from c),
+b as (select *, (p * ra - g * rw) / (p * p - g * g) / da as ba, (p * rw - g * ra) / (p * p - g * g) / dw as bw, ra / p / da as one from r),
+sc as (select y.cell, y.recording_id, 1 - sum(pow(y.y - my - ba * (y.a - ma) - bw * (y.w - mw), 2)) / (var_pop(y.y) * count(*)) as full_r2, 1 - sum(pow(y.y - my - one * (y.a - ma), 2)) / (var_pop(y.y) * count(*)) as reduced_r2 from y join b using (cell, recording_id) group by all)"""
+
+
+@query(f"""{_TWO} select 'l' || cell as layer, recording_id, {_r("full_r2")} as full_r2, {_r("reduced_r2")} as reduced_r2, {_r("full_r2 - reduced_r2")} as delta_r2 from sc""")
+def ridge_two_families(spark, sf_dir):
+    """Ridge at a fixed penalty on two columns, with and without the second, which SQL can solve; every user is held out of its cell's fit."""
+    frames = _family_frames(spark, sf_dir).join(_cells(spark, sf_dir, 8), "recording_id")
+    a, w = (F.get("x", F.lit(i)) + (F.col("frame") * k % 101) / 101.0 for i, k in ((FAMILIES.index("acoustic"), 74), (FAMILIES.index("word"), 185)))
+    rows = frames.select(F.lit("m").alias("model"), F.concat(F.lit("l"), "cell").alias("layer"), "recording_id", "frame", F.array(a, w).alias("x"), F.array(a + 0.5 * w * w + (F.col("frame") * 3 % 17) / 17.0).alias("y"))
+    plan = encode.Plan(["acoustic", "word"], rate=1.0, omitted=("word",), kinds=("primary",), fixed_alphas={f: {"full": 10.0, "word": 10.0} for f in range(8)})
+    unit = ["model", "layer"]
+    done = encode.fit_scores(encode.recording_moments(rows, plan, unit), plan, unit)
+    return done.select("layer", "recording_id", *[rounded(c).alias(c) for c in ("full_r2", "reduced_r2", "delta_r2")])
+
+
 @query()
 def pooled_fit(spark, sf_dir):
     plan, unit = _plan(), ["model", "layer"]
