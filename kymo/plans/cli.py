@@ -9,10 +9,12 @@ import sys
 from typing import Any
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from kymo.functions.canonical import json_sha256
-from kymo.operators import adapters, encode
-from kymo.plans import contract, jobs
+from kymo.operators import adapters, encode, quality, summary
+from kymo.operators.grid import resample_linear
+from kymo.plans import contract, handoff, jobs, scope
 from kymo.sources import publish, tables
 
 
@@ -43,6 +45,16 @@ def parser() -> argparse.ArgumentParser:
     command("registry", "--registry")
     command("verify", "--delivery")
     command("smoke-test")
+    command("run-model", "--features", "--activations", "--durations", "--feature-settings", "--settings", "--out", model=None, variant="original")
+    command("fit-layer", "--features", "--activations", "--settings", "--layer", "--out", model=None, folds=5)
+    command("freeze-reference", "--results", "--ids", "--contract", "--manifest", "--out")
+    command("compare-models", "--root", "--reference", "--out")
+    command("scope", "--layers", "--out", replace=False)
+    command("check-scope", "--layers", "--tasks")
+    command("scope-summary", "--fits", "--out", recordings=12, variant="original")
+    command("pilot", "--fits", "--layers", "--manifest", "--out", nulls=20)
+    command("model-quality", "--documents", "--models", "--extracted", "--manifest", "--activations", "--out")
+    command("refit", "--features", "--activations", "--settings", "--results", "--source-contract", "--contract", "--out", model=None)
     return p
 
 
@@ -64,6 +76,157 @@ def loaded(spark: SparkSession, args: argparse.Namespace):
     return rows.select("model", "layer", "recording_id", "frame", "x", "y"), families, {"features": args.features, "activations": args.activations, "columns": json_sha256(names)}
 
 
+def _json(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def _layers(spark: SparkSession, path: str):
+    return tables.read_csv(spark, path, "model string, layer string, layer_idx int", ["model", "layer", "layer_idx"])
+
+
+def _ids(spark: SparkSession, path: str):
+    return tables.read_csv(spark, path, "recording_id string", ["recording_id"]).select("recording_id")
+
+
+def run_model(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Audit, fit and contract of one model; a finding of the audit ends it."""
+    frames, names, families = tables.read_features(spark, args.features)
+    durations = tables.read_csv(spark, args.durations, "recording_id string, duration_seconds double", ["recording_id", "duration_seconds"])
+    activations = tables.read_activations(spark, args.activations, grid=None)
+    found = jobs.audit(frames, names, activations if args.model is None else activations.where(F.col("model") == args.model), durations.select("recording_id").distinct(), durations)
+    if any(not found[k].where("reason <> 'ok'").isEmpty() for k in ("features", "activations")) or any(not found[k].isEmpty() for k in ("times", "durations")):
+        write_all(found, os.path.join(args.out, "audit"))
+        return 2
+    settings, feature_settings = tables.load_settings(args.settings), tables.load_settings(args.feature_settings)
+    rows, families, sources = loaded(spark, args)
+    print(jobs.fit(rows, plan_of(settings, families), args.variant, args.out, sources))
+    made = contract.build_contract(frames, names, families, feature_settings, settings, None, publish.file_sha256(args.feature_settings), publish.file_sha256(args.settings))
+    publish.write_json(os.path.join(args.out, "comparability_contract.json"), made)
+    return 0
+
+
+def fit_layer(spark: SparkSession, args: argparse.Namespace) -> int:
+    """One layer's native activations, interpolated at the features' own times, fitted over pooled recordings."""
+    frames, _, families = tables.read_features(spark, args.features)
+    native = tables.read_activations(spark, args.activations, args.model, "native").where(F.col("layer") == args.layer).select("model", "layer", "recording_id", "t", "y")
+    times = native.select("model", "layer", "recording_id").distinct().join(frames.select("recording_id", "frame", "t"), "recording_id")
+    rows = resample_linear(native, times, "y", ("model", "layer", "recording_id")).join(frames.select("recording_id", "frame", "x"), ["recording_id", "frame"])
+    plan = plan_of(tables.load_settings(args.settings), families)
+    done = encode.pooled_results(encode.recording_moments(rows.select("model", "layer", "recording_id", "frame", "x", "y"), plan, jobs.UNIT), plan, jobs.UNIT, args.folds)
+    publish.write_table(done, os.path.join(args.out, "results"))
+    return 0
+
+
+def freeze_reference(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Locks a finished run as the reference: its columns, recordings, contract and the digests of its files."""
+    results = spark.read.csv(args.results, header=True)
+    problems = handoff.frozen_reference_problems(results, tuple(_json(args.contract)["result_schema"]), _ids(spark, args.ids), _ids(spark, args.manifest)).collect()
+    for r in problems:
+        print(r.problem, r.name)
+    if problems:
+        return 2
+    digests = {r.path: r.sha256 for r in publish.tree_hashes(spark, os.path.abspath(args.results)).collect()}  # as many as files
+    publish.write_json(os.path.join(args.out, "locked_reference.json"), {"locked_reference": True, "contract": _json(args.contract), "results_sha256": digests, "provenance": publish.provenance()})
+    return 0
+
+
+def compare_models(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Comparison tables of every finished model under a root (NAME/comparability_contract.json and NAME/results)."""
+    names = sorted(n for n in os.listdir(args.root) if os.path.isfile(os.path.join(args.root, n, "comparability_contract.json")) and os.path.isdir(os.path.join(args.root, n, "results")))
+    if args.reference not in names:
+        print(f"{args.reference} is not among the finished models {names}")
+        return 2
+    kind = "layer string, layer_idx int, outer_fold int, feature_family string, full_r2 double, conditional_delta_r2 double"
+    results = {n: tables.read_csv(spark, os.path.join(args.root, n, "results"), kind, [c.split()[0] for c in kind.split(", ")]) for n in names}
+    write_all(handoff.summarise_models(spark, results, {n: _json(os.path.join(args.root, n, "comparability_contract.json")) for n in names}, args.reference), args.out)
+    return 0
+
+
+def _task_tables(layers) -> dict:
+    return {"primary_fast_refits": scope.primary_tasks(layers), "selected_depth_controls": scope.control_tasks(layers), "structured_nulls": scope.null_tasks(layers)}
+
+
+def resolve_scope(spark: SparkSession, args: argparse.Namespace) -> int:
+    for name, rows in _task_tables(_layers(spark, args.layers)).items():
+        print(name, scope.publish_tasks(rows, os.path.join(args.out, name), args.replace))
+    return 0
+
+
+def check_scope(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Whether the task tables on disk are those that the layers give now."""
+    layers, bad = _layers(spark, args.layers), []
+    for name, kind in (("primary_fast_refits", "primary"), ("selected_depth_controls", "controls"), ("structured_nulls", "nulls")):
+        at = os.path.join(args.tasks, name)
+        if not os.path.exists(at) or not scope.tasks_unchanged(spark.read.csv(at, sep="\t", header=True), layers, kind):
+            bad.append(name)
+    print("\n".join(f"{n}: not the tasks of these layers" for n in bad) or "ok")
+    return 2 if bad else 0
+
+
+def scope_summary(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Recording-level results, equal and duration-weighted means, held-out sensitivity and coverage by fold of a variant."""
+    primary, reports = jobs.scores_of(spark, args.fits, args.variant), jobs.table_of(spark, args.fits, args.variant, "reports")
+    flat = primary.drop("full_inner_cv_scores", "reduced_inner_cv_scores", "train_recording_ids", "test_recording_ids")
+    write_all({
+        "primary_recording_level_results": flat, "primary_equal_and_duration_weighted": summary.equal_and_weighted(primary, args.recordings),
+        "hubert_base_loro_sensitivity": jobs.scores_of(spark, args.fits, args.variant, "sensitivity").groupBy("model", "layer", "family").agg(F.avg("delta_r2").alias("mean_delta_r2"), F.count_distinct("recording_id").alias("recordings")),
+        "primary_pca_coverage_by_fold": reports.select("variant", "model", "layer", "split_kind", "outer_fold", "components", "coverage"),
+    }, args.out)
+    return 0
+
+
+def pilot(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Whether a pilot's units are all there with exactly the expected recordings, families and splits."""
+    layers, wanted = _layers(spark, args.layers), None
+    reports = None
+    for v in quality.PILOT_VARIANTS:
+        if not os.path.isdir(publish.unit_path(args.fits, variant=v)):
+            continue
+        s = jobs.table_of(spark, args.fits, v, "scores").select("variant", "layer", F.lit(None).cast("int").alias("null_index"), "recording_id", "family", "split_kind")
+        r = jobs.table_of(spark, args.fits, v, "reports").select("variant", "layer", "split_kind", "coverage")
+        wanted, reports = s if wanted is None else wanted.unionByName(s), r if reports is None else reports.unionByName(r)
+    if wanted is None:
+        print("no unit is there")
+        return 2
+    drawn = publish.unit_path(args.fits, variant="null") + "/scores"
+    if os.path.isdir(drawn):
+        wanted = wanted.unionByName(spark.read.parquet(drawn).select(F.lit("original").alias("variant"), "layer", F.col("null_index").cast("int").alias("null_index"), "recording_id", "family", "split_kind"))
+    found = quality.pilot_findings(quality.pilot_units(layers, args.nulls), wanted, reports, _ids(spark, args.manifest))
+    write_all({"pilot_findings": found, "recording_level_results": wanted, "pca_coverage_by_fold": reports}, args.out)
+    return 0 if found.isEmpty() else 2
+
+
+def model_quality(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Provenance and temporal context of models from their saved metadata (documents: JSON lines of model and document)."""
+    documents = spark.read.schema("model string, document string").json(args.documents)
+    models = tables.read_csv(spark, args.models, "model string, expected_key string, registered_id string", ["model", "expected_key"])
+    layers = tables.read_activations(spark, args.activations, grid="native").groupBy("model", "recording_id").agg(F.array_sort(F.collect_set("layer")).alias("layers"))
+    extracted = tables.read_csv(spark, args.extracted, "model string, recording_id string", ["model", "recording_id"])
+    found = quality.model_quality(documents, models, extracted, _ids(spark, args.manifest), layers)
+    write_all(found, args.out)
+    return 2 if quality.overall_status(*found.values()) == "FAIL" else 0
+
+
+def refit(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Grouped refits under published penalties, allowed only if their contract equals the current one."""
+    problems = scope.alpha_source_problems(spark, _json(args.source_contract), _json(args.contract))
+    if problems:
+        print("the penalties' source differs in", ", ".join(problems))
+        return 2
+    results = tables.read_csv(spark, args.results, "layer string, outer_fold int, feature_family string, alpha double", ["layer", "outer_fold", "feature_family", "alpha"])
+    rows, families, sources = loaded(spark, args)
+    layers = [r.layer for r in rows.select("layer").distinct().collect()]  # some tens
+    print(jobs.fast_refit(rows, plan_of(tables.load_settings(args.settings), families), {x: scope.legacy_alphas(results, x) for x in layers}, args.out, {**sources, "results": publish.file_sha256(args.results)}))
+    return 0
+
+
+MORE = {
+    "run-model": run_model, "fit-layer": fit_layer, "freeze-reference": freeze_reference, "compare-models": compare_models, "scope": resolve_scope, "check-scope": check_scope, "scope-summary": scope_summary,
+    "pilot": pilot, "model-quality": model_quality, "refit": refit,
+}
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "registry":
@@ -108,6 +271,8 @@ def main(argv: list[str] | None = None) -> int:
         problems = publish.verify_delivery(spark, os.path.abspath(args.delivery))
         problems.show(truncate=False)
         return 0 if problems.isEmpty() else 2
+    elif args.command in MORE:
+        return MORE[args.command](spark, args)
     elif args.command == "smoke-test":
         rows, families = jobs.synthetic_recordings(spark)
         plan = encode.Plan(families, (-0.04, 0.0, 0.04), components=4, inner_folds=2)

@@ -50,24 +50,65 @@ def variant_plan(plan: encode.Plan, variant: str) -> encode.Plan:
     return replace(plan, capacity=variant == "capacity", lags=(0.0,) if variant == "zero_lag" else plan.lags)
 
 
-def fit(recordings: DataFrame, plan: encode.Plan, variant: str, root: str, sources: dict[str, str]) -> str:
-    """Scores and reports of every (model, layer) of recordings (model, layer, recording_id, frame, x, y), as one published unit.
+def fit(recordings: DataFrame, plan: encode.Plan, variant: str, root: str, sources: dict[str, str], namespace: str | None = None) -> str:
+    """Scores and reports of every (model, layer) of recordings (model, layer, recording_id, frame, x, y), each a published unit of its own.
 
-    One pass makes the moments; all units are solved in parallel from them.
+    Units that are there and valid stay; the others are computed together, in one pass for the moments and one task for each
+    unit. If that fails they are tried one by one, so that a unit that can't be fitted holds up no other; the failure is then raised.
     """
     p = variant_plan(plan, variant)
     config = {k: v for k, v in vars(p).items() if k != "reports"}
+    name = namespace or variant
+    found = [(r.model, r.layer) for r in recordings.select(*UNIT).distinct().orderBy(*UNIT).collect()]  # models x layers
+    states = {u: publish.unit_problem(publish.unit_path(root, variant=name, model=u[0], layer=u[1]), {"variant": name, "model": u[0], "layer": u[1]}, sources, config) for u in found}
+    open_units = [u for u, s in states.items() if s != "ok"]
+    for u in open_units:
+        if states[u] != "missing":
+            publish.preserve(publish.unit_path(root, variant=name, model=u[0], layer=u[1]), states[u])
+
+    def compute(units: list[tuple[str, str]]) -> None:
+        spark = recordings.sparkSession
+        chosen = recordings.join(F.broadcast(spark.createDataFrame(units, "model string, layer string")), UNIT)  # models x layers
+        moments = encode.recording_moments(chosen, p, UNIT).persist()
+        try:
+            tables = {"moments": moments, "scores": encode.fit_scores(moments, p, UNIT), "reports": encode.fit_reports(moments, p, UNIT)}
+            publish.publish_units(root, {"variant": name}, UNIT, units, tables, sources, config)
+        finally:
+            moments.unpersist()
+
+    failures: dict[tuple[str, str], Exception] = {}
+    if open_units:
+        try:
+            compute(open_units)
+        except Exception as all_failed:
+            if len(open_units) == 1:
+                raise
+            for u in open_units:
+                try:
+                    compute([u])
+                except Exception as e:
+                    failures[u] = e
+            if failures:
+                raise RuntimeError(f"units that can't be fitted: {sorted(failures)}") from all_failed
+    return "resumed" if not open_units else "computed" if all(states[u] == "missing" for u in open_units) else "repaired"
+
+
+def fast_refit(recordings: DataFrame, plan: encode.Plan, alphas: dict[str, dict[int, dict[str, float]]], root: str, sources: dict[str, str]) -> list[str]:
+    """Grouped refits with given penalties, layer by layer (layer -> fold -> family -> penalty): no inner search. Units under primary_fast_refits."""
+    out = []
+    for layer, fixed in sorted(alphas.items()):  # some tens of layers
+        p = replace(plan, kinds=("sensitivity",), sensitivity_folds=len(fixed), fixed_alphas=fixed)
+        out.append(fit(recordings.where(F.col("layer") == layer), p, "original", root, {**sources, "alphas": json_sha256(fixed)}, "primary_fast_refits"))
+    return out
 
-    def make():
-        moments = encode.recording_moments(recordings, p, UNIT).persist()
-        return {"moments": moments, "scores": encode.fit_scores(moments, p, UNIT), "reports": encode.fit_reports(moments, p, UNIT)}, {}
-
-    return publish.run_unit(publish.unit_path(root, variant=variant), {"variant": variant}, sources, config, make)
 
+def fit_nulls(recordings: DataFrame, plan: encode.Plan, root: str, sources: dict[str, str], indices: list[int], seed: int = 0, zero_seconds: float = lags.LEAST_SHIFT_SECONDS, tag: str = lags.SEED_TAG, alphas: dict[int, dict[str, float]] | None = None) -> str:
+    """Scores of every null draw for the three shifted families; the draws are units beside model and layer.
 
-def fit_nulls(recordings: DataFrame, plan: encode.Plan, root: str, sources: dict[str, str], indices: list[int], seed: int = 0, zero_seconds: float = lags.LEAST_SHIFT_SECONDS, tag: str = lags.SEED_TAG) -> str:
-    """Scores of every null draw for the three shifted families, without grouped folds; the draws are units beside model and layer."""
-    p = replace(plan, sensitivity_folds=None, omitted=SUBSTANTIVE, kinds=("primary",))
+    Each recording is held out once, without grouped folds; or, with given penalties (fold -> family -> penalty), grouped folds are refitted under them.
+    """
+    p = replace(plan, sensitivity_folds=None, omitted=SUBSTANTIVE, kinds=("primary",)) if alphas is None else replace(plan, sensitivity_folds=len(alphas), omitted=SUBSTANTIVE, kinds=("sensitivity",), fixed_alphas=alphas)
+    name = "null" if alphas is None else "null_fixed_alpha"
     config = {k: v for k, v in vars(p).items() if k != "reports"} | {"indices": indices, "seed": seed, "tag": tag}
 
     def make():
@@ -79,11 +120,17 @@ def fit_nulls(recordings: DataFrame, plan: encode.Plan, root: str, sources: dict
         unit = [*UNIT, "null_index"]
         return {"shifts": manifest, "scores": encode.fit_scores(encode.recording_moments(rows, p, unit), p, unit).withColumn("null_index", F.col("null_index").cast("int"))}, {}
 
-    return publish.run_unit(publish.unit_path(root, variant="null"), {"variant": "null"}, sources, config, make)
+    return publish.run_unit(publish.unit_path(root, variant=name), {"variant": name}, sources, config, make)
+
+
+def table_of(spark: SparkSession, root: str, variant: str, table: str) -> DataFrame:
+    """One table of all of a variant's units."""
+    rows = spark.read.option("basePath", root).parquet(f"{publish.unit_path(root, variant=variant)}/model=*/layer=*/{table}")
+    return rows.select(*[F.col(c).cast("string").alias(c) if c in ("variant", *UNIT) else F.col(c) for c in rows.columns])
 
 
 def scores_of(spark: SparkSession, root: str, variant: str, split_kind: str = "primary") -> DataFrame:
-    return spark.read.parquet(publish.unit_path(root, variant=variant) + "/scores").where(F.col("split_kind") == split_kind).withColumn("variant", F.lit(variant))
+    return table_of(spark, root, variant, "scores").where(F.col("split_kind") == split_kind)
 
 
 def effects_of(scores: DataFrame) -> DataFrame:
@@ -119,7 +166,7 @@ def summarise(spark: SparkSession, root: str, recordings: int, variants: tuple[s
         out["sensitivity_conclusions"] = infer.conclusion_flags(out[f"primary_{variants[0]}"], sensitivity, ["model", "family"])
     reports = None
     for v in variants:
-        r = spark.read.parquet(publish.unit_path(root, variant=v) + "/reports").withColumn("variant", F.lit(v))
+        r = table_of(spark, root, v, "reports")
         reports = r if reports is None else reports.unionByName(r)
     out["pca_coverage_by_outer_fold"] = reports.select("variant", "model", "layer", "split_kind", "outer_fold", "components", "coverage")
     out["pca_coverage"] = summary.coverage_summary(reports)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kymo.operators.relate import same_rows
 from kymo.operators.summary import depth_layers
+from kymo.schema import FAMILIES
 
 # Models of the primary fits, of depth controls and of structured nulls; shifts of each null model.
 PRIMARY = ("hubert_large_refactor_rerun", "wav2vec2_base", "wav2vec2_large", "wavlm_base_plus", "wavlm_large", "data2vec_audio_base", "xls_r_300m", "whisper_medium_encoder")
@@ -66,6 +67,40 @@ def fixed_alphas(results: DataFrame, fold: str = "outer_fold", family: str = "fe
     return out
 
 
+def legacy_alphas(results: DataFrame, layer: str, folds: int = 5, families: tuple[str, ...] = FAMILIES) -> dict[int, dict[str, float]]:
+    """The penalties of one layer's published fold results: exactly the folds from 0 and, in each, 'full' and every family, once."""
+    rows = results.where(F.col("layer") == layer)
+    wanted = results.sparkSession.createDataFrame([(f, k) for f in range(folds) for k in ("full", *families)], "outer_fold int, feature_family string")
+    counted = rows.groupBy(F.col("outer_fold").cast("int").alias("outer_fold"), "feature_family").agg(F.count("*").alias("n"))
+    wrong = wanted.withColumn("w", F.lit(True)).join(counted, ["outer_fold", "feature_family"], "full_outer").where("w is null or n is null or n <> 1").orderBy("outer_fold", "feature_family").limit(3).collect()
+    if wrong:
+        raise ValueError(f"{layer}: penalties are missing, repeated or unexpected, first at {[(r.outer_fold, r.feature_family) for r in wrong]}")
+    return fixed_alphas(rows)
+
+
+def grouped_alphas(reports: DataFrame, families: tuple[str, ...], kinds: tuple[str, ...] = ("sensitivity", "primary_fast_grouped"), folds: int = 5) -> dict[int, dict[str, float]]:
+    """The penalties of completed grouped splits from reports (split_kind, outer_fold, full_alpha, reduced_alphas map); every fold is needed."""
+    rows = reports.where(F.col("split_kind").isin(*kinds)).groupBy(F.col("outer_fold").cast("int").alias("fold")).agg(F.map_concat(F.create_map(F.lit("full"), F.max("full_alpha")), F.max_by("reduced_alphas", "full_alpha")).alias("alphas"))
+    found = {r.fold: {k: float(r.alphas[k]) for k in ("full", *families)} for r in rows.collect() if set(families) <= set(r.alphas)}  # a row for each fold
+    if set(found) != set(range(folds)):
+        raise ValueError(f"the grouped splits {sorted(found)} are not the {folds} folds")
+    return found
+
+
+def alphas_of_scores(scores: DataFrame) -> DataFrame:
+    """(layer, outer_fold, feature_family, alpha) of score rows, as published fold results hold them."""
+    full = scores.select("layer", "outer_fold", F.lit("full").alias("feature_family"), F.col("full_alpha").alias("alpha"))
+    reduced = scores.select("layer", "outer_fold", F.col("family").alias("feature_family"), F.col("reduced_alpha").alias("alpha"))
+    return full.unionByName(reduced).distinct()
+
+
+def alpha_source_problems(spark: SparkSession, source: dict, current: dict) -> list[str]:
+    """Contract fields in which a source of penalties differs from the current inputs; it may be used only if there are none."""
+    from kymo.plans.contract import compare
+
+    return [r.field for r in compare(spark, source, current)[1].where("not matches").orderBy("field").collect()]  # as many as fields
+
+
 def publish_tasks(tasks: DataFrame, path: str, replace: bool = False) -> str:
     """Writes a task table as TSV: 'unchanged' if the same rows are there; other rows are refused, or set aside with replace."""
     import os

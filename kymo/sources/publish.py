@@ -111,15 +111,52 @@ def publish_unit(destination: str, tables: dict[str, DataFrame], identity: dict,
         df.write.parquet(f"{staged}/{name}")
     for name, value in (reports or {}).items():
         write_json(f"{staged}/{name}.json", value)
-    hashes = {os.path.relpath(p, staged): file_sha256(p) for d, _, names in os.walk(staged) for n in names if not n.startswith(".") for p in [os.path.join(d, n)]}
-    write_json(f"{staged}/{STATUS}", {"schema_version": SCHEMA_VERSION, "state": "complete", "identity": identity, "config_sha256": json_sha256(config), "source_sha256": sources, "artifact_sha256": hashes, "provenance": provenance()})
-    reason = unit_problem(staged, identity, sources, config)
-    if reason != "ok":
-        raise RuntimeError(f"the staged unit is not valid: {reason}")
+    seal_unit(staged, identity, sources, config)
     os.rename(staged, destination)
     return destination
 
 
+def publish_units(root: str, identity: dict, unit: list[str], units: list[tuple], tables: dict[str, DataFrame], sources: dict[str, str], config: Any) -> None:
+    """Publishes many units of one computation: its tables are written once, dealt by unit, and each unit's folders then become a unit."""
+    staged = os.path.join(root, f".staging-{uuid.uuid4().hex}")
+    try:
+        for name, df in tables.items():
+            df.write.partitionBy(*unit).parquet(f"{staged}/{name}")
+        dealt = {name: _dealt_folders(os.path.join(staged, name), len(unit)) for name in tables}
+        for u in units:
+            own = dict(zip(unit, u, strict=True))
+            destination, aside = unit_path(root, **identity, **own), os.path.join(staged, f"unit-{uuid.uuid4().hex}")
+            os.makedirs(aside)
+            for name in tables:
+                if tuple(u) not in dealt[name]:
+                    raise RuntimeError(f"the unit {own} has no {name}")
+                os.rename(dealt[name][tuple(u)], os.path.join(aside, name))
+            seal_unit(aside, {**identity, **own}, sources, config)
+            os.makedirs(os.path.dirname(destination), exist_ok=True)
+            os.rename(aside, destination)
+    finally:
+        shutil.rmtree(staged, ignore_errors=True)
+
+
+def _dealt_folders(folder: str, depth: int) -> dict[tuple, str]:
+    """Values -> folder of a table dealt by so many columns, as the writer escapes them."""
+    from urllib.parse import unquote
+
+    found = {(): folder}
+    for _ in range(depth):
+        found = {(*k, unquote(d.partition("=")[2])): os.path.join(at, d) for k, at in found.items() for d in os.listdir(at) if "=" in d}
+    return found
+
+
+def seal_unit(folder: str, identity: dict, sources: dict[str, str], config: Any) -> None:
+    """Writes the status with the digests of everything in a unit's folder, and checks it."""
+    hashes = {os.path.relpath(p, folder): file_sha256(p) for d, _, names in os.walk(folder) for n in names if not n.startswith(".") for p in [os.path.join(d, n)]}
+    write_json(f"{folder}/{STATUS}", {"schema_version": SCHEMA_VERSION, "state": "complete", "identity": identity, "config_sha256": json_sha256(config), "source_sha256": sources, "artifact_sha256": hashes, "provenance": provenance()})
+    reason = unit_problem(folder, identity, sources, config)
+    if reason != "ok":
+        raise RuntimeError(f"the staged unit is not valid: {reason}")
+
+
 def unit_problem(path: str, identity: dict, sources: dict[str, str], config: Any) -> str:
     """The first thing that is wrong with a unit, 'ok' if nothing, 'missing' if it isn't there."""
     if not os.path.isdir(path):
