@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import functools
+import io
+import wave
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kymo.functions.canonical import json_entries
 from kymo.functions.scalars import first_failure, is_finite, nearest_frame, rounded, worst
+from kymo.operators import audio as audio_features
 from kymo.operators import checks, encode, grid, infer, lags, relate, summary
 from kymo.plans import stand_ins as S
 from kymo.plans.stand_ins import EVENTS_SQL, FRAMES, GRID_SQL, INTERVALS_SQL, RATE, USERS_SQL, events, intervals, recordings, table
 from kymo.schema import FAMILIES
+from kymo.sources import audio
 from kymo.sources.textgrid import parse_intervals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +200,70 @@ def frame_centres(spark, sf_dir):
     return grid.frame_centres(r).select("recording_id", "frame", rounded("t").alias("t"))
 
 
+# --- signals and interval features
+
+_WAVES = "w as (select c_custkey as k, 50 + c_custkey % 50 as n, 1 + c_custkey % 2 as channels from customer), sm as (select *, unnest(generate_series(0, (n - 1)::int))::bigint as i from w)"
+
+
+def _wave_files(spark, sf_dir) -> DataFrame:
+    """(recording_id, path, content): a WAV file for each customer, of one or two channels of 16 bits, its samples from arithmetic on the key."""
+
+    def make(batches):
+        for b in batches:
+            content = []
+            for k, n, channels in zip(*(b.column(c).to_pylist() for c in ("k", "n", "channels")), strict=True):
+                i = np.arange(n, dtype=np.int64)
+                x = np.stack([(k * 31 + i * i * 17 + i * 7) % 65_536 - 32_768, (k * 13 + i * 101) % 65_536 - 32_768], axis=1)[:, :channels]
+                out = io.BytesIO()
+                with wave.open(out, "wb") as f:
+                    f.setnchannels(channels)
+                    f.setsampwidth(2)
+                    f.setframerate(1_000)
+                    f.writeframes(x.astype("<i2").tobytes())
+                content.append(out.getvalue())
+            ids = pa.array([str(k) for k in b.column("k").to_pylist()])
+            yield pa.RecordBatch.from_arrays([ids, ids, pa.array(content, pa.binary())], ["recording_id", "path", "content"])
+
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), (50 + F.col("c_custkey") % 50).cast("int").alias("n"), (1 + F.col("c_custkey") % 2).cast("int").alias("channels"))
+    return rows.mapInArrow(make, "recording_id string, path string, content binary")
+
+
+@query(f"with {_WAVES} select k::varchar as recording_id, 1000 as sample_rate, n::bigint as n_samples, channels::int as channels, n / 1000e0 as duration_seconds, 'PCM_16' as subtype from w")
+def wav_headers(spark, sf_dir):
+    return audio.inspected(_wave_files(spark, sf_dir)).select("recording_id", "sample_rate", "n_samples", "channels", "duration_seconds", "subtype")
+
+
+@query(f"""with {_WAVES}, x as (select k, i, (((k * 31 + i * i * 17 + i * 7) % 65536) - 32768) / 32768e0 as a, (((k * 13 + i * 101) % 65536) - 32768) / 32768e0 as b, channels from sm), m as (select k, i, case when channels = 2 then (a + b) / 2 else a end as x from x)
+select k::varchar as recording_id, count(*)::int as n, {_r("sum(x)")} as total, {_r("sum(x * x)")} as energy, {_r("max_by(x, i)")} as last from m group by k""")
+def wav_samples(spark, sf_dir):
+    """Decoded samples, channels averaged."""
+    done = audio.standardised(_wave_files(spark, sf_dir), 1_000)
+    total = lambda f: F.aggregate(F.transform("samples", f), F.lit(0.0), lambda s, v: s + v)
+    return done.select("recording_id", F.col("n_samples").cast("int").alias("n"), rounded(total(lambda v: v.cast("double"))).alias("total"), rounded(total(lambda v: v.cast("double") * v.cast("double"))).alias("energy"), rounded(F.element_at("samples", -1).cast("double")).alias("last"))
+
+
+_CATEGORIES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"""with {EVENTS_SQL}, {INTERVALS_SQL}, pl as (select *, least(greatest(round_even(start / 3600e0, 0), 0), {FRAMES - 1})::int as fs, least(greatest(round_even("end" / 3600e0, 0), 0), {FRAMES - 1})::int as fe from iv where trim(label) <> ''),
+cells as (select recording_id, fs as frame, 0 as i, 1e0 as w from pl where tier = 'phones' union all select recording_id, fs, list_position({list(_CATEGORIES)}, label), 1e0 from pl where tier = 'phones'
+union all select recording_id, fs, 6, 1e0 from pl where tier = 'words' union all select recording_id, fe, 7, 1e0 from pl where tier = 'words' union all select recording_id, fs, 8, "end" - start from pl where tier = 'words')
+select recording_id, frame, i::int as feature_idx, {_r("sum(w)")} as value from cells group by all""")
+def interval_features(spark, sf_dir):
+    """Counts of phones, of each category, of word onsets and boundaries, and word durations at their nearest frames."""
+    done = audio_features.interval_features(intervals(spark, sf_dir), recordings(spark, sf_dir), list(_CATEGORIES), RATE)
+    return done.select("recording_id", "frame", F.explode("events").alias("feature_idx", "w")).select("recording_id", "frame", "feature_idx", rounded("w").alias("value"))
+
+
+@query(f"""{_FAMILY_COUNTS}, o as (select recording_id, 48 + (recording_id::bigint * 7919) % 625 as k from users)
+select recording_id, ((frame + k) % 720)::int as frame, word as value from ff join o using (recording_id) where word > 0""")
+def circular_shift_sparse(spark, sf_dir):
+    """The shift of one family in long form: only frame numbers change."""
+    cells = _family_frames(spark, sf_dir).select("recording_id", "frame", F.lit(0).alias("feature_idx"), F.lit("word").alias("family"), F.get("x", F.lit(FAMILIES.index("word"))).alias("value")).where("value > 0")
+    offsets = recordings(spark, sf_dir).select("recording_id", F.lit(0).alias("null_index"), F.lit("word").alias("family"), F.lit(FRAMES).alias("frames"), (F.lit(48) + F.pmod(F.col("recording_id").cast("long") * 7919, F.lit(625))).cast("int").alias("offset_frames"))
+    return lags.circular_shift_sparse(cells, offsets).select("recording_id", F.col("frame").cast("int").alias("frame"), "value")
+
+
 # --- checks
 
 
@@ -257,6 +326,13 @@ def annotation_qc(spark, sf_dir):
     return done.select("recording_id", "interval_count", "phone_count", "word_count", "empty_count", "reversed_count", "out_of_bounds_count", "fatal_out_of_bounds_count", "overlap_count", rounded("endpoint_mismatch").alias("endpoint_mismatch"), "status")
 
 
+@query(f"""{_QC} select count(*) as recordings, sum(interval_count)::bigint as intervals, sum(phone_count)::bigint as phones, sum(word_count)::bigint as words, max(endpoint_mismatch) as largest_endpoint_mismatch,
+case max(case status when 'FAIL' then 2 when 'WARN' then 1 else 0 end) when 2 then 'FAIL' when 1 then 'WARN' else 'PASS' end as status, (select count(distinct label) from sp where tier = 'phones' and trim(label) <> '') as phone_categories from st""")
+def annotation_totals(spark, sf_dir):
+    spans, durations = _spans(spark, sf_dir)
+    return checks.annotation_totals(checks.annotation_qc(spans, durations, 2000.0), spans).withColumn("largest_endpoint_mismatch", rounded("largest_endpoint_mismatch"))
+
+
 @query(f"{_QC} select case max(case status when 'FAIL' then 2 when 'WARN' then 1 else 0 end) when 2 then 'FAIL' when 1 then 'WARN' else 'PASS' end as status, sum(interval_count)::bigint as intervals, count(*) as recordings from st")
 def worst_status(spark, sf_dir):
     return checks.annotation_qc(*_spans(spark, sf_dir), 2000.0).agg(worst("status").alias("status"), F.sum("interval_count").alias("intervals"), F.count("*").alias("recordings"))

@@ -61,7 +61,12 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inspect_audio(spark: SparkSession, path: str) -> DataFrame:
-    """(recording_id, path, sample_rate, n_samples, channels, duration_seconds, format, subtype, error) of each file."""
+    """inspected() of the files under a path."""
+    return inspected(_files(spark, path))
+
+
+def inspected(files: DataFrame) -> DataFrame:
+    """(recording_id, path, sample_rate, n_samples, channels, duration_seconds, format, subtype, error) of files (recording_id, path, content)."""
 
     def run(batches):
         for b in batches:
@@ -73,11 +78,16 @@ def inspect_audio(spark: SparkSession, path: str) -> DataFrame:
                     out.append({"recording_id": i, "path": p, "error": str(e) or type(e).__name__})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("recording_id", pa.string()), ("path", pa.string()), ("sample_rate", pa.int32()), ("n_samples", pa.int64()), ("channels", pa.int32()), ("duration_seconds", pa.float64()), ("format", pa.string()), ("subtype", pa.string()), ("error", pa.string())]))
 
-    return _files(spark, path).mapInArrow(run, "recording_id string, path string, sample_rate int, n_samples bigint, channels int, duration_seconds double, format string, subtype string, error string")
+    return files.select("recording_id", "path", "content").mapInArrow(run, "recording_id string, path string, sample_rate int, n_samples bigint, channels int, duration_seconds double, format string, subtype string, error string")
 
 
 def load_standardised(spark: SparkSession, path: str, rate: int) -> DataFrame:
-    """AUDIO rows: channels averaged, resampled to rate; actions tells what was done."""
+    """standardised() of the files under a path."""
+    return standardised(_files(spark, path), rate)
+
+
+def standardised(files: DataFrame, rate: int) -> DataFrame:
+    """AUDIO rows of files (recording_id, path, content): channels averaged, resampled to rate; actions tells what was done."""
 
     def run(batches):
         for b in batches:
@@ -92,4 +102,4 @@ def load_standardised(spark: SparkSession, path: str, rate: int) -> DataFrame:
                 out.append({"recording_id": i, "sample_rate": rate, "n_samples": len(mono), "duration_seconds": meta["duration_seconds"], "samples": mono.astype(np.float32), "actions": actions})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("recording_id", pa.string()), ("sample_rate", pa.int32()), ("n_samples", pa.int64()), ("duration_seconds", pa.float64()), ("samples", pa.list_(pa.float32())), ("actions", pa.list_(pa.string()))]))
 
-    return _files(spark, path).mapInArrow(run, "recording_id string, sample_rate int, n_samples bigint, duration_seconds double, samples array<float>, actions array<string>")
+    return files.select("recording_id", "path", "content").mapInArrow(run, "recording_id string, sample_rate int, n_samples bigint, duration_seconds double, samples array<float>, actions array<string>")
