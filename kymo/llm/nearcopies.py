@@ -9,8 +9,10 @@ under some key. The distance and the chunks follow from the similarity, see dist
 
 Under each key the distances are taken in blocks and only a spanning forest of the pairs under the threshold is
 emitted, so a key's output is linear in its members. The forests' components are families;
-links differ from family links only inside a family. For each family the full shingle sets are
-compared, in blocks, with exact counts, and again only spanning forests of the confirmed links go on.
+links differ from family links only inside a family. There the full shingle sets are compared with exact counts: first
+every member with the family's first, which settles those that are linked with it, as they are of one component;
+then every member that is not settled with all others, in blocks, and again only spanning forests of the confirmed links go on.
+A family of copies of one text thus costs its members, not their pairs.
 Very large keys and families are cut into blocks, and every pair of blocks is a task's work of
 bounded size: nothing is capped or sampled.
 
@@ -246,36 +248,52 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _is_linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    n = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * n >= percent * (len(x) + len(y) - n)
+
+
+def _settled(batches, percent: int):
+    """Rows (family, block, kind, id, shingles), sorted: a family's first member (kind 0) in each of its blocks, then the others. Each other one and whether it is linked with the first."""
+    claim("near-pairs")
+    first, first_id = None, None
+    for batch in batches:
+        family, ids, linked = [], [], []
+        for f, kind, i, raw in zip(*(batch.column(c) for c in ("family", "kind", "id", "shingles")), strict=True):
+            shingles = np.frombuffer(raw.as_py(), dtype=np.uint64)
+            if not kind.as_py():
+                first, first_id = shingles, i.as_py()
+                continue
+            family.append(first_id)
+            ids.append(i.as_py())
+            linked.append(_is_linked(first, shingles, percent))
+        yield pa.RecordBatch.from_arrays([pa.array(family, pa.int64()), pa.array(ids, pa.int64()), pa.array(linked, pa.bool_())], ["family", "id", "linked"])
+
+
 def _confirmed(batches, percent: int):
-    """Groups of (family, bi, bj), sorted: a spanning forest of the pairs whose full sets are similar enough."""
+    """Groups of (family, bi, bj), sorted: a spanning forest of the links between the rows of side 0 and those of side 1 by their full sets."""
     claim("near-pairs")
     for table in whole_groups(batches, ["family", "bi", "bj"]):
-        cols = {c: table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("family", "bi", "bj", "block", "id")}
+        cols = {c: table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("family", "bi", "bj", "side", "id")}
         raw = table["shingles"]
         starts = group_starts([cols["family"], cols["bi"], cols["bj"]])
         ends = np.append(starts[1:], len(cols["id"]))
         a, b = [], []
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            if e - s < 2:
+            rows, others = np.flatnonzero(cols["side"][s:e] == 0), np.flatnonzero(cols["side"][s:e] == 1)
+            if not len(rows) or not len(others):
                 continue
             sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in raw.slice(s, e - s)]
-            if e - s == 2:
-                n = len(np.intersect1d(*sets, assume_unique=True))
-                if 100 * n >= percent * (len(sets[0]) + len(sets[1]) - n):
-                    a.append(cols["id"][s])
-                    b.append(cols["id"][s + 1])
-                continue
-            rows = np.flatnonzero(cols["block"][s:e] == cols["bi"][s])
-            others = np.flatnonzero(cols["block"][s:e] == cols["bj"][s])
             size = np.array([len(x) for x in sets], dtype=np.int64)
+            names, own = np.unique(cols["id"][s:e], return_inverse=True)  # a row may stand on both sides
             forest = Forest(e - s)
             for k in range(0, len(rows), 64):
                 part = rows[k : k + 64]
                 n = overlaps([sets[i] for i in part], [sets[i] for i in others]).astype(np.int64)
                 linked = 100 * n >= percent * (size[part][:, None] + size[others][None, :] - n)
-                for i, j in spanning(linked, forest, part, others):
-                    a.append(cols["id"][s + i])
-                    b.append(cols["id"][s + j])
+                for i, j in spanning(linked, forest, own[part], own[others]):
+                    a.append(int(names[i]))
+                    b.append(int(names[j]))
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -315,16 +333,36 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = families.select("id", F.col("component").alias("family"))
     found = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "family", "text")
     sets = stored(found.mapInArrow(_sets, "id long, family long, shingles binary"), "near-sets")
-    size = sets.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles") / 8).alias("total"))
-    size = stored(size.select("family", "n", F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.ceil(F.col("total") / FAMILY_SHINGLES)).cast("int").alias("blocks")), "near-sizes")
+    blocks_of = lambda n, total: F.greatest(F.ceil(n / FAMILY_BLOCK), F.ceil(total / FAMILY_SHINGLES)).cast("int")
+    width = F.octet_length("shingles") / 8
+    size = sets.groupBy("family").agg(F.count("*").alias("n"), F.sum(width).alias("total"))
+    size = stored(size.select("family", "n", blocks_of(F.col("n"), F.col("total")).alias("blocks")), "near-sizes")
     total = size.agg(F.sum("n")).first()[0] or 0
-    blocked = spread_join(sets, size, ["family"], total).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocked = spread_join(sets, size, ["family"], total)  # a family's name is its first member's id
+    own_block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    order = ["family", "block"]
+    shape = ["family", "block", "kind", "id", "shingles"]
+    first = blocked.where("id = family").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "id", "shingles")
+    rest = blocked.where("id <> family").select("family", own_block.alias("block"), F.lit(1).alias("kind"), "id", "shingles")
+    dealt = first.unionByName(rest).select(*shape).repartition(partitions(spark), *order).sortWithinPartitions(*order, "kind")
+    settled = stored(dealt.mapInArrow(partial(_settled, percent=percent), "family long, id long, linked boolean"), "near-settled")
+    links = settled.where("linked").select(F.col("family").alias("a"), F.col("id").alias("b"))
+    # members that are not settled, against all members of their family
+    left = settled.where("not linked").select("id", F.lit(True).alias("open"))
+    of_left = settled.where("not linked").groupBy("family").agg(F.count("*").alias("left"))
+    wide = size.join(of_left, "family").where("n > 2").select("family", "n", F.ceil(F.col("left") * F.col("blocks") / F.col("n")).cast("int").alias("open_blocks"), "blocks")
+    again = spread_join(sets, wide, ["family"], total).join(left, "id", "left")
+    open_block = F.pmod(F.xxhash64("id", F.lit(5)), F.col("open_blocks")).cast("int")
+    rows = again.where("open").select("family", open_block.alias("bi"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("bj"), F.lit(0).alias("side"), "id", "shingles")
+    others = again.select("family", F.explode(F.sequence(F.lit(0), F.col("open_blocks") - 1)).alias("bi"), own_block.alias("bj"), F.lit(1).alias("side"), "id", "shingles")
     order = ["family", "bi", "bj"]
-    cells = _cells(blocked, "blocks").select(*order, "block", "id", "shingles")
-    links = cells.repartition(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(partial(_confirmed, percent=percent), "a long, b long")
+    cells = rows.unionByName(others)
+    more = cells.repartition(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(partial(_confirmed, percent=percent), "a long, b long")
+    links = links.unionByName(more)
     linked = components(links, "near-copy")
     discard(sets)
     discard(size)
+    discard(settled)
 
     of_class = classes.join(linked, "id", "left").select("d1", "d2", F.col("copies").alias("n"), F.coalesce("component", "id").alias("component_id"))
     joined = spread_join(sketch.select("doc_id", "n_shingles", "d1", "d2").where("n_shingles > 0"), of_class, ["d1", "d2"], sketch.count())
