@@ -245,13 +245,12 @@ class Unit:
         means = {a: float(np.mean(s)) for a, s in scores.items()}
         return max(sorted(means), key=lambda a: means[a]), means
 
-    def fit(self) -> tuple[list[dict], list[dict]]:
-        """Score rows, and a report for each split."""
+    def fit(self, share: int = 0, shares: int = 1) -> tuple[list[dict], list[dict]]:
+        """Score rows, and a report for each split; of the splits only every shares-th, from the share-th on."""
         plan, rows, reports = self.plan, [], []
         frames = {i: m.n for i, m in self.moments.items()}
-        for kind, fold, train, test in outer_splits(frames, plan.sensitivity_folds, plan.groups):
-            if kind not in plan.kinds:
-                continue
+        splits = [x for x in outer_splits(frames, plan.sensitivity_folds, plan.groups) if x[0] in plan.kinds]
+        for kind, fold, train, test in splits[share::shares]:
             total, tests, names, report = self.prepared(train, test)
             reports.append({"split_kind": kind, "outer_fold": fold, "components": report["components"], "coverage": report["coverage"], "capacity_rank": report["capacity"]["rank"] if report["capacity"] else None, "capacity_coverage": {f: r["explained_variance_coverage"] for f, r in report["capacity"]["families"].items()} if report["capacity"] else None})
             fitted = {}
@@ -308,17 +307,23 @@ SCORE_COLUMNS = (
 REPORT_COLUMNS = "split_kind string, outer_fold int, components int, coverage double, capacity_rank int, capacity_coverage map<string,double>"
 
 
-def fit_scores(moments: DataFrame, plan: Plan, unit: list[str]) -> DataFrame:
-    """Score rows of every unit: leave-one-recording-out, and grouped folds if the plan names them."""
+def fit_scores(moments: DataFrame, plan: Plan, unit: list[str], tasks: int = 1) -> DataFrame:
+    """Score rows of every unit: leave-one-recording-out, and grouped folds if the plan names them.
+
+    tasks: a unit's outer splits are shared among so many tasks, each of which gets the unit's moments. All splits need
+    all recordings' moments, so a unit costs its splits times its recordings however it is dealt.
+    """
+    names = [c.split()[0] for c in SCORE_COLUMNS.replace("map<double,double>", "map").split(", ")]
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        scores, _ = _unit_of(rows, plan).fit()
-        out = pd.DataFrame(scores)
+        scores, _ = _unit_of(rows, plan).fit(int(rows["_share"].iloc[0]), tasks)
+        out = pd.DataFrame(scores, columns=names)
         for k in reversed(unit):
             out.insert(0, k, rows[k].iloc[0])
         return out
 
-    return moments.groupBy(*unit).applyInPandas(of, "".join(f"{k} string, " for k in unit) + SCORE_COLUMNS)
+    dealt = moments.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    return dealt.groupBy(*unit, "_share").applyInPandas(of, "".join(f"{k} string, " for k in unit) + SCORE_COLUMNS)
 
 
 def fit_reports(moments: DataFrame, plan: Plan, unit: list[str]) -> DataFrame:

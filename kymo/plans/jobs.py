@@ -16,6 +16,8 @@ from kymo.sources import audio, publish, tables, textgrid
 
 VARIANTS = ("original", "rich", "capacity", "zero_lag")
 UNIT = ["model", "layer"]
+#: Tasks that share the outer splits of a unit.
+FIT_TASKS = 4
 
 
 def validate_inputs(spark: SparkSession, audio_root: str, alignment_root: str, ids: list[str] | None = None, overhang_tolerance: float = 0.03) -> tuple[bool, dict[str, DataFrame]]:
@@ -71,7 +73,7 @@ def fit(recordings: DataFrame, plan: encode.Plan, variant: str, root: str, sourc
         chosen = recordings.join(F.broadcast(spark.createDataFrame(units, "model string, layer string")), UNIT)  # models x layers
         moments = encode.recording_moments(chosen, p, UNIT).persist()
         try:
-            tables = {"moments": moments, "scores": encode.fit_scores(moments, p, UNIT), "reports": encode.fit_reports(moments, p, UNIT)}
+            tables = {"moments": moments, "scores": encode.fit_scores(moments, p, UNIT, FIT_TASKS), "reports": encode.fit_reports(moments, p, UNIT)}
             publish.publish_units(root, {"variant": name}, UNIT, units, tables, sources, config)
         finally:
             moments.unpersist()

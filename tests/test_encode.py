@@ -137,3 +137,15 @@ def test_fixed_penalties_and_predictions(spark):
     for k, g in p.groupby("recording_id"):
         t, y = (np.stack(g[g.kind == kind].sort_values("frame").v.to_numpy()) for kind in ("target", "full"))
         assert 1 - ((t - y) ** 2).sum() / ((t - t.mean(0)) ** 2).sum() == pytest.approx(scores[k])
+
+
+def test_splits_shared_among_tasks_give_the_same_scores(spark):
+    from kymo.plans import jobs
+
+    rows, families = jobs.synthetic_recordings(spark, 4, 2.0)
+    plan = encode.Plan(families, components=2, inner_folds=2, sensitivity_folds=2)
+    moments = encode.recording_moments(rows, plan, jobs.UNIT).persist()
+    columns = ["split_kind", "outer_fold", "recording_id", "family", "full_alpha", "full_r2", "delta_r2"]
+    one, many = (sorted(map(tuple, encode.fit_scores(moments, plan, jobs.UNIT, n).select(columns).collect())) for n in (1, 3))
+    assert one == many and len(one) == 4 * 5 * 2
+    assert len(encode.fit_scores(moments, plan, jobs.UNIT, 9).select(columns).collect()) == len(one)  # more tasks than splits
