@@ -1,7 +1,7 @@
 """Quality rules as learned decision lists.
 
 Each text is measured once (counts of words, symbols, repeated lines and words, letter cases). On a
-bounded sample of labelled rows, sequential covering learns an ordered list of rules: each grows a
+bounded sample of labelled rows that the base rules let through, sequential covering learns an ordered list of rules: each grows a
 conjunction of ratio thresholds by information gain on two thirds of the rows, is pruned on the
 remaining third, and is accepted only if nearly all that it covers is labelled poor; the rows it covers
 are set aside and the next rule grows on the rest. The list becomes one ordered Spark conditional
@@ -198,13 +198,18 @@ def as_column(rules: list[Rule], counts: Column | str = "counts") -> Column:
     return out
 
 
+def base_failed(counts: str) -> Column:
+    """Whether a row of COUNTS has too few words, or too many repeated ones."""
+    return (F.col(f"{counts}.n_words") < LEAST_WORDS) | (100 * F.col(f"{counts}.n_repeat_words") > MOST_REPEATED_PERCENT * F.col(f"{counts}.n_words"))
+
+
 def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = LABELLED_ROWS) -> list[Rule]:
-    """Rules learned on at most bound labelled documents."""
+    """Rules learned on at most bound labelled documents; those that the base rules reject anyway teach nothing."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(bound)
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(known), "label_id").select("label_id", "quality", measured("text").alias("counts"))  # bound rows at most
-    rows = rows.groupBy("label_id").agg(F.min("quality").alias("quality"), F.min("counts").alias("counts")).orderBy("label_id").select("quality", "counts.*").collect()
+    rows = rows.groupBy("label_id").agg(F.min("quality").alias("quality"), F.min("counts").alias("counts")).where(~base_failed("counts")).orderBy("label_id").select("quality", "counts.*").collect()
     if not rows:
         return []
     table = np.array([list(r) for r in rows], dtype=np.int64)
@@ -215,5 +220,4 @@ def judged(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFr
     """A struct column row with the columns of docs, and counts, base_failed, rule and kept."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = packed.select("row", measured(F.col(f"row.{text_col}").cast("string")).alias("counts"))
-    failed = (F.col("counts.n_words") < LEAST_WORDS) | (100 * F.col("counts.n_repeat_words") > MOST_REPEATED_PERCENT * F.col("counts.n_words"))
-    return rows.select("row", "counts", failed.alias("base_failed"), as_column(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    return rows.select("row", "counts", base_failed("counts").alias("base_failed"), as_column(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

@@ -1,6 +1,9 @@
+import os
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from kymo.llm import rules as R
 
@@ -81,3 +84,31 @@ def test_odd_rows(spark, odd_docs, no_docs, no_labels):
     assert R.judged(no_docs, []).collect() == []
     labels = spark.createDataFrame([(1, None, 1), (None, 1, 0), (5, 0, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
     assert R.learn_from(odd_docs, labels) == []
+
+
+def test_what_the_base_rules_reject_teaches_nothing(spark):
+    """Repeated words mark half of the poor documents, which fall to the base rules; only the symbols of the others are learned."""
+    rng = random.Random(2)
+    docs, labels = [], []
+    for i in range(900):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 120))]
+        if i % 6 == 0:
+            words = ["same", "three", "words"] * 30
+        if i % 6 == 1:
+            words = [w + "$" for w in words]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 6 > 1)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    found = R.learn_from(docs, labels)
+    assert [[c.feature for c in r.conditions] for r in found] == [["symbols"]]
+    rows = R.judged(docs, found).select("row.doc_id", "base_failed", "kept").collect()
+    assert all((r.base_failed, r.kept) == (r.doc_id % 6 == 0, r.doc_id % 6 > 1) for r in rows)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the tables")
+def test_held_out_labels_of_the_table(spark):
+    """Rules learned on half of the labels judge the other half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = R.learn_from(docs, labels.where("doc_id % 2 = 0"))
+    rows = R.judged(docs.join(labels.where("doc_id % 2 = 1").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id"), found).where("not base_failed").select("row.quality", "kept").collect()
+    assert len(rows) > 1000 and np.mean([r.kept == (r.quality == 1) for r in rows]) > 0.99
