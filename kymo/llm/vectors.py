@@ -238,17 +238,19 @@ def _search(cosine: float):
 
 
 def _deal(batches, centres_at, probes: int):
-    """Rows (dim, shard, id, guest, unit): each vector in the shards of its OVERLAP nearest centres, and as a guest in more. centres_at: (dim, shard) -> its centres and their numbers."""
+    """Rows (dim, shard, id, guest, unit): each vector in the shards of its OVERLAP nearest centres, and as a guest in more. centres_at: the centres of each length that has several."""
     for batch in batches:
         dims = batch.column("dim").to_numpy(zero_copy_only=False)
         for d in np.unique(dims):
             rows = np.flatnonzero(dims == d)
             units = [batch.column("unit")[i].as_py() for i in rows.tolist()]
-            own = centres_at[int(d)]
-            k = min(max(probes, OVERLAP), len(own))
-            sims = np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(rows), -1) @ own.T
-            near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1, kind="stable"), axis=1)
+            own = centres_at.get(int(d))
+            k = 1 if own is None else min(max(probes, OVERLAP), len(own))
+            near = np.zeros((len(rows), 1), dtype=np.int64)  # few vectors are one shard
+            if own is not None:
+                sims = np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(rows), -1) @ own.T
+                near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1, kind="stable"), axis=1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(near.size, d, dtype=np.int32)), pa.array(near.ravel().astype(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(zero_copy_only=False)[rows], k)), pa.array(np.tile(np.arange(k) >= OVERLAP, len(rows))), pa.array([u for u in units for _ in range(k)], pa.binary())],
                 ["dim", "shard", "id", "guest", "unit"],
@@ -364,7 +366,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     base = stored(one.mapInArrow(_units, "vec_id long, ok boolean, dim int, d1 long, d2 long, unit binary"), "vec-base")
     classes = stored(base.where("ok and vec_id is not null").groupBy("dim", "d1", "d2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("unit").alias("unit")), "vec-classes")
     centres = {}
-    for r in classes.groupBy("dim").count().collect():  # the lengths of vectors that occur
+    for r in classes.groupBy("dim").count().where(F.col("count") * OVERLAP > SHARD).collect():  # lengths of vectors that need more than one shard
         sample = classes.where(F.col("dim") == r["dim"]).orderBy("d1").select("unit").limit(SAMPLE).collect()
         points = np.array([np.frombuffer(x.unit, dtype=np.float64) for x in sample])
         centres[r["dim"]] = centres_of(points, min(MOST_CENTRES, -(-r["count"] * OVERLAP // SHARD)))

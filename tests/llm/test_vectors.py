@@ -90,3 +90,14 @@ def test_large_shards_are_dealt_again(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in result.collect()} == brute(rows)
     found, true = audit.first()
     assert found == true > 0
+
+
+def test_many_lengths(spark):
+    """Vectors of three hundred lengths: no centres, and no driver job for each."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(2, 302):
+        v = rng.normal(size=d)
+        rows += [(len(rows), v.tolist()), (len(rows) + 1, (v * 1.5 + 1e-3).tolist())]
+    result, _ = V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in result.collect()} == brute(rows)
