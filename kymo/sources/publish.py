@@ -44,9 +44,15 @@ def flat_cells(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in df.dtypes])
 
 
+#: Columns by which published tables are sorted, as far as a table has them.
+ORDER = ("task_id", "table", "component", "variant", "model", "layer_idx", "layer", "depth", "split_kind", "outer_fold", "null_index", "recording_id", "family", "feature_family", "feature_idx", "frame", "path", "line", "field", "name")
+
+
 def write_table(df: DataFrame, path: str, form: str = "csv", sep: str = ",") -> None:
-    """A published table as a folder of CSV (or TSV) or Parquet files, staged and renamed; an existing one is refused."""
+    """A published table as a folder of CSV (or TSV) or Parquet files in the order of its key columns, staged and renamed; an existing one is refused."""
     staged = f"{path}.staging-{uuid.uuid4().hex}"
+    if keys := [c for c in ORDER if c in df.columns]:
+        df = df.orderBy(*keys)
     if form == "csv":
         flat_cells(df).write.csv(staged, header=True, sep=sep)
     else:

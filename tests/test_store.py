@@ -273,3 +273,12 @@ def test_canonical_states_of_several_layers(spark):
     for r in done:
         at = min(max(r.t, 0.1), 0.7)
         assert r.y == pytest.approx([at * (k + 1) for k in range(2 if r.layer == "a" else 3)], abs=1e-6)
+
+
+def test_published_tables_are_sorted(spark, tmp_path):
+    rows = spark.createDataFrame([("m", f"l{i % 3}", f"r{i}", i) for i in range(50)], "model string, layer string, recording_id string, n int").repartition(7, "n")
+    at = str(tmp_path / "t")
+    publish.write_table(rows, at)
+    names = sorted(n for n in os.listdir(at) if n.startswith("part"))
+    got = [line.split(",")[:3] for n in names for line in open(os.path.join(at, n), encoding="utf-8").read().splitlines()[1:]]
+    assert got == sorted(got) and len(got) == 50
