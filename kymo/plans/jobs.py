@@ -62,7 +62,11 @@ def fit(recordings: DataFrame, plan: encode.Plan, variant: str, root: str, sourc
     config = {k: v for k, v in vars(p).items() if k != "reports"}
     name = namespace or variant
     found = [(r.model, r.layer) for r in recordings.select(*UNIT).distinct().orderBy(*UNIT).collect()]  # models x layers
-    states = {u: publish.unit_problem(publish.unit_path(root, variant=name, model=u[0], layer=u[1]), {"variant": name, "model": u[0], "layer": u[1]}, sources, config) for u in found}
+
+    def state(u: tuple[str, str]) -> str:
+        return publish.unit_problem(publish.unit_path(root, variant=name, model=u[0], layer=u[1]), {"variant": name, "model": u[0], "layer": u[1]}, sources, config)
+
+    states = {u: state(u) for u in found}
     open_units = [u for u, s in states.items() if s != "ok"]
     for u in open_units:
         if states[u] != "missing":
@@ -86,6 +90,8 @@ def fit(recordings: DataFrame, plan: encode.Plan, variant: str, root: str, sourc
             if len(open_units) == 1:
                 raise
             for u in open_units:
+                if state(u) == "ok":  # published before the failure
+                    continue
                 try:
                     compute([u])
                 except Exception as e:
