@@ -633,7 +633,7 @@ def _draws_sql(sizes: tuple[int, ...] = (11, 12), seed: int = 17) -> str:
     for n in sizes:
         letters = np.array([chr(97 + i) for i in range(n)])
         rows.append(f"({n}, '{''.join(letters[infer.drawn_slots(n, infer.LEAST_RESAMPLES, seed)].ravel().tolist())}')")
-    return f"drawn(n, letters) as (values {', '.join(rows)}), draws as (select n, list_transform(generate_series(1, n), lambda j: ord(letters[d * n + j]) - 96) as slots from drawn, generate_series(0, {infer.LEAST_RESAMPLES - 1}) g(d))"
+    return f"drawn(n, letters) as (values {', '.join(rows)}), draws as (select n, list_transform(generate_series(1, n), lambda j: ord(s[j]) - 96) as slots from (select n, unnest(regexp_extract_all(letters, '.{{' || n || '}}')) as s from drawn))"
 
 
 _BOOT = f"""{_draws_sql()}, bo as (select cell, family, list_reduce(list_transform(slots, lambda j: v[j]), lambda a, b: a + b) / len(v) as m,
