@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import bpe, chat, html_text, licences, lines, mixing, nearcopies, rules, shards, vectors
+from kymo.llm import bpe, chat, html_text, licences, lines, mixing, nearcopies, periodic, rules, shards, vectors
 from kymo.llm.common import table_of
 
 
@@ -67,6 +67,33 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table_of(spark, sf_dir, "documents"), percent=nearcopies.PERCENT)
 
 
+def with_stretches(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of a tenth of the ids, by checksum, the text repeats its words with one period from some word on.
+
+    With h the checksum of the decimal id, h % 10 = 0 and g = floor(h / 10): word i >= a becomes word a + (i - a) % p, where a = g % n and
+    p = 1 + floor((n - a) / (3 + g % 8)) for n words. A row without id or words stays as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, h.cast("long")).alias("h"))
+    cut = chosen.withColumn("words", F.when(F.col("h").isNotNull(), words)).withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10"))
+    placed = cut.withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)"))).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, element_at(words, a + (i - a) % p + 1))), ' ')")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of repeated words, the greatest of them, and digests of all and of the text without the repeats."""
+    docs = with_stretches(table_of(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = periodic.with_runs(docs).select("row.doc_id", "found.*")
+    most = done.withColumn("most", periodic.foremost(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return most.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "most.start", "most.length", "most.period", F.expr("1000 * most.length div most.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_html": op2_html,
@@ -78,12 +105,18 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_mixing": op9_mixing,
     "op10_near_copies": op10_near_copies,
+    "op12_periodic": op12_periodic,
 }
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: The checksum of the decimal doc_id, a bit at a time.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+    "lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, case when a % 2 = 1 then 3988292384 else 0 end) end), 4294967295)"
+)
 
 # The licence SQL's own table of spellings and of known lines; digests of entire texts as of their files.
 _SPELLINGS = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in (x.split("/") for x in (
@@ -203,4 +236,35 @@ with recursive worded as (
 )
 select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, l.component_id, d.doc_id = l.component_id as kept
 from documents d left join sized s on d.doc_id = s.doc_id join least l on d.doc_id = l.start""",
+    "op12_periodic": f"""
+with split as (
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[' || {_BLANK} || ']+'), lambda w: w <> '') as given, {_CRC} as h from documents
+), sized as (
+    select *, len(given) as n, h // 10 as g from split
+), planned as (
+    select *, case when n > 0 and h % 10 = 0 then g % n end as a from sized
+), worded as (
+    select doc_id, n, case when a is null then given else list_transform(generate_series(0, n - 1), lambda i: case when i < a then given[i + 1] else given[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] end) end as words from planned
+), placed as (
+    select doc_id, unnest(words) as word, unnest(generate_series(0, n - 1)) as i from worded
+), matched as (
+    select x.doc_id, y.i - x.i as q, x.i from placed x join placed y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i
+), stretched as (
+    select doc_id, q, min(i) as start, count(*) + q as length from (select *, i - row_number() over (partition by doc_id, q order by i) as island from matched) group by doc_id, q, island having count(*) >= q
+), runs as (
+    select doc_id, start, length, min(q) as period from stretched group by doc_id, start, length having length >= greatest(6, 4 * min(q))
+), covered as (
+    select distinct doc_id, unnest(generate_series(start + period, start + length - 1)) as i from runs
+), collapsed as (
+    select p.doc_id, sha256(string_agg(p.word, ' ' order by p.i)) as digest from placed p left join covered c on p.doc_id = c.doc_id and p.i = c.i where c.i is null group by p.doc_id
+), ranked as (
+    select *, row_number() over (partition by doc_id order by length / period desc, start, period) as place from runs
+), listed as (
+    select doc_id, count(*) as n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period)) as digest,
+        max(start) filter (where place = 1) as start, max(length) filter (where place = 1) as length, max(period) filter (where place = 1) as period
+    from ranked group by doc_id
+)
+select w.doc_id, coalesce(l.n_runs, 0)::bigint as n_runs, l.start::bigint as start, l.length::bigint as length, l.period::bigint as period, (1000 * l.length // l.period)::bigint as exponent_milli,
+    coalesce(l.digest, sha256('')) as runs_sha256, coalesce(c.digest, sha256('')) as collapsed_sha256
+from worded w left join listed l on w.doc_id = l.doc_id left join collapsed c on w.doc_id = c.doc_id""",
 }
