@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import bpe, chat, html_text, licences, lines, mixing, nearcopies, periodic, rules, shards, vectors
+from kymo.llm import bpe, chat, html_text, licences, lines, mixing, nearcopies, periodic, rules, shards, vectors, voting
 from kymo.llm.common import table_of
 
 
@@ -67,6 +67,13 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table_of(spark, sf_dir, "documents"), percent=nearcopies.PERCENT)
 
 
+def op11_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, the vote of its nearest labelled documents."""
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    done = voting.scored(docs, voting.learn(docs, table_of(spark, sf_dir, "labels")))
+    return done.select("row.doc_id", voting.held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= voting.GOOD_FROM).cast("int").alias("predicted"))
+
+
 def with_stretches(docs: DataFrame) -> DataFrame:
     """doc_id and text; of a tenth of the ids, by checksum, the text repeats its words with one period from some word on.
 
@@ -105,6 +112,7 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_mixing": op9_mixing,
     "op10_near_copies": op10_near_copies,
+    "op11_votes": op11_votes,
     "op12_periodic": op12_periodic,
 }
 
