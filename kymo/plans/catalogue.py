@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import io
 import wave
 from collections.abc import Callable
@@ -608,12 +607,6 @@ def _celled_effects(spark, sf_dir) -> DataFrame:
     return _effects(spark, sf_dir).join(cells.join(cells.groupBy("cell").agg(F.count("*").alias("users")), "cell"), "recording_id")
 
 
-def _by_size(rows: DataFrame, size: str, of: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """of() each part of rows with an equal size, as one table; there are few sizes."""
-    out = [of(rows.where(F.col(size) == n).drop(size), n) for n in sorted(r[0] for r in rows.select(size).distinct().collect())]
-    return functools.reduce(DataFrame.unionByName, out)
-
-
 _FLIPS = f"""with {_CENTS}, v as (select cell, family, list(effect order by r) as v, list(w order by r) as w from ef group by all),
 s as (select cell, family, v, m, list_reduce(list_transform(generate_series(1, len(v)), lambda i: case when (m >> (i - 1)) & 1 = 1 then v[i] else -v[i] end), lambda a, b: a + b) as total from (select *, unnest(generate_series(0, (1 << len(v)) - 1)) as m from v)),
 o as (select cell, family, len(v) as n, list_reduce(v, lambda a, b: a + b) as observed from v),
@@ -627,17 +620,16 @@ def sign_flip_exact(spark, sf_dir):
     return done.select("cell", "family", rounded("effect").alias("effect"), "extreme", "assignments", rounded("p_value").alias("p_value"))
 
 
-def _draws_sql(sizes: tuple[int, ...] = (11, 12), seed: int = 17) -> str:
-    """The bootstrap's draws for cells of those sizes, a letter for each slot: NumPy's generator has no like in SQL. Those are the sizes at 150 and at 1,500 users."""
-    rows = []
-    for n in sizes:
-        letters = np.array([chr(97 + i) for i in range(n)])
-        rows.append(f"({n}, '{''.join(letters[infer.drawn_slots(n, infer.LEAST_RESAMPLES, seed)].ravel().tolist())}')")
-    return f"drawn(n, letters) as (values {', '.join(rows)}), draws as (select n, list_transform(generate_series(1, n), lambda j: ord(s[j]) - 96) as slots from (select n, unnest(regexp_extract_all(letters, '.{{' || n || '}}')) as s from drawn))"
+def _draws(slots: int = 64) -> np.ndarray:
+    """Bootstrap draws that SQL can make as well, a row each; slot j of n recordings is the number at j, modulo n."""
+    d, j = np.arange(infer.LEAST_RESAMPLES, dtype=np.int64)[:, None], np.arange(slots, dtype=np.int64)
+    return (d * 7919 + j * 104729 + 12345) * 2654435761 % 2**32 // 2**16
 
 
-_BOOT = f"""{_draws_sql()}, bo as (select cell, family, list_reduce(list_transform(slots, lambda j: v[j]), lambda a, b: a + b) / len(v) as m,
-list_reduce(list_transform(slots, lambda j: v[j] * w[j]), lambda a, b: a + b) / list_reduce(list_transform(slots, lambda j: w[j]), lambda a, b: a + b) as mw from v join draws on n = len(v)),
+_BOOT = f"""draws as (select generate_series as d from generate_series(0, {infer.LEAST_RESAMPLES - 1})),
+slotted as (select cell, family, v, w, list_transform(generate_series(0, len(v) - 1), lambda j: ((d * 7919 + j * 104729 + 12345) * 2654435761 % 4294967296 // 65536 % len(v) + 1)::int) as slots from v cross join draws),
+bo as (select cell, family, list_reduce(list_transform(slots, lambda j: v[j]), lambda a, b: a + b) / len(v) as m,
+list_reduce(list_transform(slots, lambda j: v[j] * w[j]), lambda a, b: a + b) / list_reduce(list_transform(slots, lambda j: w[j]), lambda a, b: a + b) as mw from slotted),
 ci as (select cell, family, quantile_cont(m, 0.025) as ci_low, quantile_cont(m, 0.975) as ci_high, quantile_cont(mw, 0.025) as wci_low, quantile_cont(mw, 0.975) as wci_high from bo group by all)"""
 
 
@@ -651,9 +643,8 @@ def bh_adjust(spark, sf_dir):
 
 @query(f"""{_FLIPS}, {_BOOT} select cell, family, {_r("ci_low")} as ci_low, {_r("ci_high")} as ci_high from ci""")
 def bootstrap_intervals(spark, sf_dir):
-    """Intervals of every cell of users from NumPy's draws; cells have one of two sizes, so the broadcast draws are of bounded size."""
-    arrays = infer.value_arrays(_celled_effects(spark, sf_dir), ["cell", "family"]).withColumn("users", F.size("v"))
-    done = _by_size(arrays, "users", lambda part, n: infer.bootstrap_interval(part, ["cell", "family"], n, seed=17))
+    """Intervals of every cell of users, whatever its size, from given draws."""
+    done = infer.bootstrap_interval(infer.value_arrays(_celled_effects(spark, sf_dir), ["cell", "family"]), ["cell", "family"], draws=_draws())
     return done.select("cell", "family", rounded("ci_low").alias("ci_low"), rounded("ci_high").alias("ci_high"))
 
 
@@ -663,9 +654,9 @@ we as (select cell, family, list_reduce(list_transform(generate_series(1, len(v)
 select 'm' || cell as model, family, recordings, n_positive, n_negative, extreme, {_r("effect")} as effect, {_r("p_value")} as p_value, {_r("q_value")} as q_value, {_r("weighted_effect")} as weighted_effect, {_r("ci_low")} as ci_low, {_r("ci_high")} as ci_high, {_r("wci_low")} as weighted_ci_low, {_r("wci_high")} as weighted_ci_high
 from fl join q using (cell, family) join we using (cell, family) join ci using (cell, family)""")
 def group_inference(spark, sf_dir):
-    """Sign flips, both intervals and adjusted p over the five families of each model; every cell of users is one."""
-    effects = _celled_effects(spark, sf_dir).withColumns({"model": F.concat(F.lit("m"), "cell"), "layer": F.lit("l")}).drop("cell")
-    done = _by_size(effects, "users", lambda part, n: infer.analyse(part, n, seed=17))  # cells have one of two sizes
+    """Sign flips, both intervals and adjusted p over the five families of each model; every cell of users is one, of eleven or twelve users as a rule."""
+    effects = _celled_effects(spark, sf_dir).withColumns({"model": F.concat(F.lit("m"), "cell"), "layer": F.lit("l")})
+    done = infer.infer(effects, ["model", "family"], ["model"], "users", draws=_draws())
     return done.select("model", "family", "recordings", "n_positive", "n_negative", "extreme", *[rounded(c).alias(c) for c in ("effect", "p_value", "q_value", "weighted_effect", "ci_low", "ci_high", "weighted_ci_low", "weighted_ci_high")])
 
 

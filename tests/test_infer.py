@@ -75,3 +75,66 @@ def test_conclusions(spark):
     b = spark.createDataFrame([("m", "x", 2.0, 0.04), ("m", "y", -1.0, 0.01), ("m", "z", 1.0, 0.01)], t)
     got = {r.family: (r.sign_changed, r.significance_changed, r.stable) for r in infer.conclusion_flags(a, b, ["model", "family"]).collect()}
     assert got == {"x": (False, False, True), "y": (True, False, False), "z": (False, True, False)}
+
+
+def listed(values):
+    """The extreme assignments by listing all of them, in whole numbers or floats added from left to right."""
+    from itertools import product
+
+    observed = abs(sum(values))
+    return sum(abs(sum(s * v for s, v in zip(signs, values, strict=True))) >= observed for signs in product((1, -1), repeat=len(values)))
+
+
+def test_halves_equal_the_list(monkeypatch):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 7, 12):
+        for values in (rng.integers(-9, 10, n), rng.integers(0, 2, n), np.zeros(n), rng.integers(-3, 3, n) * 0.25, np.full(n, 3)):
+            values = values.astype(float)
+            want = listed(values.tolist())
+            assert infer.extreme_assignments(values) == want
+            monkeypatch.setattr(infer, "MOST_ENUMERATED", 0)
+            if n > 1:
+                assert infer.extreme_assignments(values) == want
+            monkeypatch.undo()
+    values = rng.normal(size=16)
+    want = infer.extreme_assignments(values)
+    monkeypatch.setattr(infer, "MOST_ENUMERATED", 0)
+    assert infer.extreme_assignments(values) == want == listed(values.tolist())
+
+
+def test_forty_recordings_are_exact(spark):
+    """Of 40 equal values the extreme assignments are the two equal ones; of one large value among zeros all are; the rest by a binomial tail."""
+    from math import comb
+
+    assert infer.extreme_assignments(np.ones(40)) == 2 and infer.extreme_assignments(np.array([5.0] + [0.0] * 39)) == 2**40
+    values = np.array([1.0] * 30 + [-1.0] * 10)  # the sum is 20: at least 30 signs agree
+    r = infer.sign_flip(arrays(spark, values), ["k"]).first()
+    assert r.extreme == 2 * sum(comb(40, k) for k in range(30, 41)) and r.assignments == 2**40 and r.p_value == r.extreme / 2**40
+    with pytest.raises(Exception, match="recordings are needed"):
+        infer.sign_flip(arrays(spark, [1.0] * 45), ["k"]).collect()
+
+
+def test_draws_do_not_depend_on_blocks(monkeypatch):
+    whole = np.concatenate([np.stack([np.bincount(r, minlength=7) for r in infer.drawn_slots(7, 10_000, 3)])])
+    for size in (4_000_000, 7 * 1000, 1):
+        monkeypatch.setattr(infer, "COUNTS_AT_ONCE", size)
+        assert np.array_equal(np.concatenate(list(infer.Resampling(seed=3).counts(7))), whole)
+
+
+def test_cells_of_many_sizes_in_one_pass(spark):
+    rng = np.random.default_rng(8)
+    cells = {f"k{i}": (rng.normal(size=n), rng.uniform(1, 2, n)) for i, n in enumerate((1, 2, 5, 5, 9, 20, 5))}
+    df = spark.createDataFrame([(k, v.tolist(), w.tolist()) for k, (v, w) in cells.items()], "k string, v array<double>, w array<double>")
+    draws = rng.integers(0, 10**9, (10_000, 20))
+    for given in (None, draws):
+        for weighted in (False, True):
+            got = {r.k: (r.ci_low, r.ci_high) for r in infer.bootstrap_interval(df, ["k"], seed=6, weighted=weighted, draws=given).collect()}
+            for k, (v, w) in cells.items():
+                at = infer.drawn_slots(len(v), 10_000, 6) if given is None else given[:, : len(v)] % len(v)
+                means = (v[at] * w[at]).sum(1) / w[at].sum(1) if weighted else v[at].mean(1)
+                assert got[k] == pytest.approx(np.quantile(means, [0.025, 0.975]).tolist(), abs=1e-12)
+    with pytest.raises(ValueError):
+        list(infer.Resampling(given=draws[:, :3]).counts(4))
+    for bad in ({"resamples": 9_999}, {"confidence": 1.0}):
+        with pytest.raises(ValueError):
+            infer.Resampling(**bad)
