@@ -1,345 +1,332 @@
 """Encoding models: nested grouped cross-validated ridge from one pass of moments.
 
-Every fold, reduced model and penalty depends only on each recording's sums. One pass over (recording, frame)
-gives the moments of lagged predictors and targets for each recording; what the reference refits from rows,
-here sums the training recordings' moments and solves small dense systems. The moments are made in
-Arrow batches, combined by a tree of partial sums, and the solves of all (model, layer) units run in parallel,
-a unit a task; a unit's moments are bounded by its column counts and recordings, not by its frames.
+One pass over (recording, frame) gives the moments of lagged predictors and targets for each recording. A unit, a (model, layer), then is
+
+1. placed: its recordings get positions, those of an inner fold side by side, and its splits are planned from ids and frame counts alone;
+2. a segment tree: moments of 2, 4, 8, … neighbours are merged, eight nodes to a task;
+3. summed: each part of each split is merged from the few nodes that cover it (two a level for a run of positions), passing by one at a time;
+4. solved: a split a group gives the maps of all reduced models and penalties for each inner fold and for the whole training set;
+5. scored: the unit's recordings pass by a few splits' maps, one recording at a time; penalties are chosen from the scores.
+
+No task holds more moments than a split has inner folds, and one batch, so a unit may have any number of recordings. Merges are exact
+sums and nothing is subtracted: a held-out recording is in no number that its fit depends on.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.operators.lags import lagged_families, shift_of
-from kymo.schema import CAPACITY, FAMILIES
+from kymo.functions.streams import grouped_rows
+from kymo.operators.moments import (
+    Models, Moments, Plan, Unit, best_penalty, capacity_basis, cover, group_folds, lag_rows, maps, merged, models, outer_splits, projection, r2, ridge, side_by_side,
+)
 
-#: Largest common rank of the capacity control.
-CAPACITY_RANK = 3
+__all__ = ["Models", "Moments", "Plan", "Unit", "capacity_basis", "fit_reports", "fit_scores", "group_folds", "lag_rows", "merged", "outer_splits", "pooled_results", "predictions", "projection", "r2", "recording_moments", "ridge"]
 
+#: Splits whose maps a task holds while a unit's recordings pass by.
+SPLITS_AT_ONCE = 8
+#: Levels of the tree that one shuffle adds, and shuffles: above that the tree is a row of trees of 512 recordings.
+LEVELS_AT_ONCE, ROUNDS = 3, 3
 
-def group_folds(sizes: dict[str, int], folds: int) -> dict[str, int]:
-    """Fold of each group: the largest group goes to the lightest fold, as grouped k-fold splitting does.
+_MOMENTS = "{keys}recording_id string, n bigint, mean array<double>, cross array<double>, raw_n bigint, raw_mean array<double>, raw_cross array<double>"
 
-    Groups of equal size are taken in descending order of their id, and the first of equally light folds gets them.
-    """
-    k = min(folds, len(sizes))
-    if k < 2:
-        raise ValueError("at least two groups are needed")
-    load, out = [0] * k, {}
-    names = sorted(sizes)
-    for i in np.argsort([sizes[n] for n in names], kind="stable")[::-1]:
-        fold = int(np.argmin(load))
-        load[fold] += sizes[names[i]]
-        out[names[i]] = fold
-    return out
 
+def recording_moments(frames: DataFrame, plan: Plan, unit: list[str]) -> DataFrame:
+    """Moments of each (unit, recording) of frames (unit columns, recording_id, frame, x, y). One shuffle, by unit and recording."""
 
-def outer_splits(frames: dict[str, int], sensitivity_folds: int | None = None, groups: dict[str, str] | None = None) -> list[tuple[str, int, list[str], list[str]]]:
-    """(kind, fold, training ids, held-out ids): each recording held out once, then folds of whole groups."""
-    ids = sorted(frames)
-    out = [("primary", n, [i for i in ids if i != held], [held]) for n, held in enumerate(ids)]
-    if sensitivity_folds is not None:
-        if sensitivity_folds < 2:
-            raise ValueError("sensitivity_folds must be at least two or None")
-        label = {i: (groups or {}).get(i, i) for i in ids}
-        if groups is not None and set(ids) - set(groups):
-            raise ValueError(f"groups are missing for {sorted(set(ids) - set(groups))}")
-        sizes: dict[str, int] = {}
-        for i in ids:
-            sizes[label[i]] = sizes.get(label[i], 0) + frames[i]
-        fold = group_folds(sizes, sensitivity_folds)
-        out += [("sensitivity", f, [i for i in ids if fold[label[i]] != f], [i for i in ids if fold[label[i]] == f]) for f in range(max(fold.values()) + 1)]
-    return out
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("frame")
+        x, y = np.stack(rows["x"].to_numpy()).astype(float), np.stack(rows["y"].to_numpy()).astype(float)
+        z, r = Moments.of(np.concatenate([lag_rows(x, plan.lags, plan.rate), y], axis=1)), Moments.of(x)
+        one = {k: rows[k].iloc[0] for k in [*unit, "recording_id"]}
+        return pd.DataFrame([one | {"n": z.n, "mean": z.mean, "cross": z.cross.ravel(), "raw_n": r.n, "raw_mean": r.mean, "raw_cross": r.cross.ravel()}])
+
+    keys = [*unit, "recording_id"]
+    schema = _MOMENTS.format(keys="".join(f"{k} string, " for k in unit))
+    typed = frames.select(*[F.col(k).cast("string").alias(k) for k in keys], "frame", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
+    return typed.groupBy(*keys).applyInPandas(of, schema)
 
 
-@dataclass
-class Moments:
-    """Counts, means and centred cross products of [predictors | targets]; sums of such are exact merges."""
 
-    n: int
-    mean: np.ndarray
-    cross: np.ndarray
 
-    @staticmethod
-    def of(z: np.ndarray) -> Moments:
-        mean = z.mean(axis=0) if len(z) else np.zeros(z.shape[1])
-        c = z - mean
-        return Moments(len(z), mean, c.T @ c)
+#: Splits of a unit: from its ids and frame counts (kind, fold, training ids, held-out ids, parts), a part being ids whose moments are summed.
+Splits = Callable[[dict[str, int]], Iterable[tuple[str, int, list[str], list[str], list[list[str]]]]]
 
-    def __add__(self, other: Moments) -> Moments:
-        n = self.n + other.n
-        if not n:
-            return self
-        d = other.mean - self.mean
-        return Moments(n, self.mean + d * (other.n / n), self.cross + other.cross + np.outer(d, d) * (self.n * other.n / n))
 
-    def columns(self, at: np.ndarray) -> Moments:
-        return Moments(self.n, self.mean[at], self.cross[np.ix_(at, at)])
+def nested_splits(plan: Plan) -> Splits:
+    """Outer splits, whose parts are the inner folds of the training recordings; or these as a whole, if nothing is to be chosen."""
 
-    def mapped(self, basis: np.ndarray) -> Moments:
-        """Moments of z @ basis."""
-        return Moments(self.n, self.mean @ basis, basis.T @ self.cross @ basis)
+    def of(frames: dict[str, int]):
+        for kind, fold, train, test in outer_splits(frames, plan.sensitivity_folds, plan.groups):
+            if kind in plan.kinds:
+                inner = group_folds({i: frames[i] for i in train}, plan.inner_folds) if plan.fixed_alphas is None else dict.fromkeys(train, 0)
+                yield kind, fold, train, test, [[i for i in train if inner[i] == f] for f in range(max(inner.values()) + 1)]
 
+    return of
 
-def merged(parts: Sequence[Moments]) -> Moments:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out + p
-    return out
 
+def training_splits(plan: Plan) -> Splits:
+    """Outer splits whose only part is the training set."""
+    return lambda frames: ((kind, fold, train, test, [train]) for kind, fold, train, test in outer_splits(frames, plan.sensitivity_folds, plan.groups) if kind in plan.kinds)
 
-def lag_rows(x: np.ndarray, lags: Sequence[float], rate: float) -> np.ndarray:
-    """The lagged design of one recording: lag after lag, zeros beyond the ends."""
-    blocks = []
-    for lag in lags:
-        k = shift_of(lag, rate)
-        b = np.zeros_like(x)
-        if abs(k) < len(x):
-            b[max(k, 0) : len(x) + min(k, 0)] = x[max(-k, 0) : len(x) - max(k, 0)]
-        blocks.append(b)
-    return np.concatenate(blocks, axis=1)
-
-
-@dataclass
-class Plan:
-    """What to fit: column families, lags, penalties, folds, variants."""
-
-    families: list[str]
-    lags: Sequence[float] = (0.0,)
-    rate: float = 50.0
-    alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0)
-    inner_folds: int = 4
-    components: int | None = None
-    capacity: bool = False
-    sensitivity_folds: int | None = None
-    groups: dict[str, str] | None = None
-    omitted: Sequence[str] = FAMILIES
-    fixed_alphas: dict[int, dict[str, float]] | None = None
-    kinds: Sequence[str] = ("primary", "sensitivity")
-    reports: dict = field(default_factory=dict)
-
-    def __post_init__(self):
-        if not self.alphas or any(a < 0 or not math.isfinite(a) for a in self.alphas):
-            raise ValueError("alphas must be finite and non-negative")
-
-
-def projection(total: Moments, width_x: int, components: int | None) -> tuple[np.ndarray, float, list[float]]:
-    """Basis of the targets' leading components, their share of the variance, and the cumulated shares."""
-    cross = total.cross[width_x:, width_x:]
-    width = cross.shape[0]
-    if components is None:
-        return np.eye(width), 1.0, [1.0]
-    k = min(components, width, total.n - 1)
-    values, vectors = np.linalg.eigh(cross)
-    order = np.argsort(values)[::-1]
-    values = np.maximum(values[order], 0)
-    whole = values.sum()
-    shares = np.cumsum(values[:k]) / whole if whole > 0 else np.zeros(k)
-    return vectors[:, order[:k]], float(shares[-1]) if k else 0.0, shares.tolist()
-
-
-def capacity_basis(raw: Moments, families: list[str], lags: int) -> tuple[np.ndarray, list[str], dict]:
-    """Basis that reduces every substantive block to a common rank, for lagged columns; raw: moments of unlagged ones.
-
-    Leading right singular vectors of the uncentred block. Lags and linear maps commute, so one map serves every lag.
-    """
-    second = raw.cross + raw.n * np.outer(raw.mean, raw.mean)
-    at = {f: [i for i, g in enumerate(families) if g == f] for f in FAMILIES}
-    eig, available = {}, {}
-    for f in CAPACITY:
-        block = second[np.ix_(at[f], at[f])]
-        values, vectors = np.linalg.eigh(block)
-        order = np.argsort(values)[::-1]
-        eig[f] = np.maximum(values[order], 0), vectors[:, order]
-        available[f] = int((eig[f][0] > eig[f][0].max(initial=0) * max(raw.n, len(at[f])) * np.finfo(float).eps).sum())
-    rank = min([CAPACITY_RANK, *available.values()])
-    if rank < 1:
-        raise ValueError("every family needs a positive training rank")
-    columns, names, report = [], [], {}
-    for f in CAPACITY:
-        basis = np.zeros((len(families), rank))
-        basis[at[f]] = eig[f][1][:, :rank]
-        columns.append(basis)
-        names += [f] * rank
-        centred = raw.cross[np.ix_(at[f], at[f])]
-        part = np.trace(basis[at[f]].T @ centred @ basis[at[f]])
-        report[f] = {"input_columns": len(at[f]), "available_training_rank": available[f], "rank": rank, "explained_variance_coverage": float(part / np.trace(centred)) if np.trace(centred) > 0 else 0.0}
-    onset = np.zeros((len(families), len(at["onset"])))
-    onset[at["onset"], range(len(at["onset"]))] = 1
-    columns.append(onset)
-    names += ["onset"] * len(at["onset"])
-    one = np.concatenate(columns, axis=1)
-    return np.kron(np.eye(lags), one), names, {"enabled": True, "rank": rank, "families": report}
-
-
-def ridge(total: Moments, width_x: int, keep: np.ndarray, alphas: Sequence[float]) -> dict[float, tuple[np.ndarray, np.ndarray]]:
-    """(weights, intercept) on unstandardised columns for each penalty; predictors are standardised for the fit."""
-    scale = np.sqrt(np.diag(total.cross)[:width_x][keep] / max(total.n, 1))
-    scale = np.where(scale > 10 * np.finfo(float).eps * np.maximum(1.0, np.abs(total.mean[:width_x][keep])), scale, 1.0)
-    y = np.arange(width_x, len(total.mean))
-    gram = total.cross[np.ix_(keep, keep)] / np.outer(scale, scale)
-    right = total.cross[np.ix_(keep, y)] / scale[:, None]
-    values, vectors = np.linalg.eigh(gram)
-    rotated = vectors.T @ right
-    out = {}
-    for a in alphas:
-        d = np.maximum(values, 0) + a
-        inverse = np.where(d > values.max(initial=0) * 1e-13, 1 / np.where(d > 0, d, 1), 0.0)
-        w = (vectors @ (rotated * inverse[:, None])) / scale[:, None]
-        out[a] = w, total.mean[y] - total.mean[:width_x][keep] @ w
-    return out
 
+def pooled_splits(plan: Plan, outer_folds: int) -> Splits:
+    """Grouped outer folds; parts are the inner folds of the training recordings, and last the held-out ones."""
 
-def r2(test: Moments, width_x: int, keep: np.ndarray, weights: np.ndarray, intercept: np.ndarray) -> float:
-    """Variance-weighted R2 of a linear model on the rows behind test, from their moments."""
-    y = np.arange(width_x, len(test.mean))
-    total = float(np.diag(test.cross)[y].sum())
-    residual_mean = test.mean[y] - test.mean[:width_x][keep] @ weights - intercept
-    xy = test.cross[np.ix_(keep, y)]
-    error = float(np.diag(test.cross)[y].sum() - 2 * (weights * xy).sum() + (weights * (test.cross[np.ix_(keep, keep)] @ weights)).sum() + test.n * (residual_mean**2).sum())
-    if total > 0:
-        return 1 - error / total
-    return 1.0 if error <= 0 else 0.0
-
-
-class Unit:
-    """One (model, layer): the moments of its recordings, and fits on any of them."""
-
-    def __init__(self, plan: Plan, moments: dict[str, Moments], raw: dict[str, Moments]):
-        self.plan, self.moments, self.raw = plan, moments, raw
-        self.lagged = lagged_families(plan.families, list(plan.lags))
-        self.width_x = len(self.lagged)
-
-    def prepared(self, train: list[str], test: list[str]) -> tuple[Moments, dict[str, Moments], list[str], dict]:
-        """Training moments and each held-out recording's, after maps that are fitted on the training recordings only."""
-        total = merged([self.moments[i] for i in train])
-        basis_y, coverage, shares = projection(total, self.width_x, self.plan.components)
-        report = {"components": basis_y.shape[1], "coverage": coverage, "shares": shares, "capacity": None}
-        basis_x, names = np.eye(self.width_x), self.lagged
-        if self.plan.capacity:
-            basis_x, one, report["capacity"] = capacity_basis(merged([self.raw[i] for i in train]), self.plan.families, len(self.plan.lags))
-            names = one * len(self.plan.lags)
-        whole = np.zeros((self.width_x + basis_y.shape[0], basis_x.shape[1] + basis_y.shape[1]))
-        whole[: self.width_x, : basis_x.shape[1]] = basis_x
-        whole[self.width_x :, basis_x.shape[1] :] = basis_y
-        return total.mapped(whole), {i: self.moments[i].mapped(whole) for i in test}, names, report
-
-    def choose(self, train: list[str], omitted: str | None) -> tuple[float, dict[float, float]]:
-        """The penalty with the best mean score over recordings of the inner folds; the smallest on ties."""
-        fold = group_folds({i: self.moments[i].n for i in train}, self.plan.inner_folds)
-        scores: dict[float, list[float]] = {float(a): [] for a in self.plan.alphas}
+    def of(frames: dict[str, int]):
+        fold = group_folds(frames, outer_folds)
         for f in range(max(fold.values()) + 1):
-            inner, held = [i for i in train if fold[i] != f], [i for i in train if fold[i] == f]
-            total, tests, names, _ = self.prepared(inner, held)
-            keep = np.array([k for k, n in enumerate(names) if n != omitted])
-            for a, (w, b) in ridge(total, len(names), keep, list(scores)).items():
-                scores[a] += [r2(tests[i], len(names), keep, w, b) for i in held]
-        means = {a: float(np.mean(s)) for a, s in scores.items()}
-        return max(sorted(means), key=lambda a: means[a]), means
-
-    def fit(self, share: int = 0, shares: int = 1) -> tuple[list[dict], list[dict]]:
-        """Score rows, and a report for each split; of the splits only every shares-th, from the share-th on."""
-        plan, rows, reports = self.plan, [], []
-        frames = {i: m.n for i, m in self.moments.items()}
-        splits = [x for x in outer_splits(frames, plan.sensitivity_folds, plan.groups) if x[0] in plan.kinds]
-        for kind, fold, train, test in splits[share::shares]:
-            total, tests, names, report = self.prepared(train, test)
-            reports.append({"split_kind": kind, "outer_fold": fold, "components": report["components"], "coverage": report["coverage"], "capacity_rank": report["capacity"]["rank"] if report["capacity"] else None, "capacity_coverage": {f: r["explained_variance_coverage"] for f, r in report["capacity"]["families"].items()} if report["capacity"] else None})
-            fitted = {}
-            for omitted in (None, *plan.omitted):
-                if plan.fixed_alphas is None:
-                    alpha, inner = self.choose(train, omitted)
-                else:
-                    alpha, inner = plan.fixed_alphas[fold]["full" if omitted is None else omitted], {}
-                keep = np.array([k for k, n in enumerate(names) if n != omitted])
-                w, b = ridge(total, len(names), keep, [alpha])[alpha]
-                fitted[omitted] = alpha, inner, {i: r2(tests[i], len(names), keep, w, b) for i in test}
-            for i in test:
-                for omitted in plan.omitted:
-                    full, reduced = fitted[None][2][i], fitted[omitted][2][i]
-                    rows.append({
-                        "split_kind": kind, "outer_fold": fold, "recording_id": i, "family": omitted, "full_alpha": float(fitted[None][0]), "reduced_alpha": float(fitted[omitted][0]), "full_r2": full, "reduced_r2": reduced, "delta_r2": full - reduced,
-                        "frames": frames[i], "duration_seconds": frames[i] / plan.rate, "train_recording_ids": train, "test_recording_ids": test, "full_inner_cv_scores": fitted[None][1], "reduced_inner_cv_scores": fitted[omitted][1],
-                    })
-        return rows, reports
+            train, test = [i for i in sorted(fold) if fold[i] != f], [i for i in sorted(fold) if fold[i] == f]
+            inner = group_folds({i: frames[i] for i in train}, plan.inner_folds)
+            yield "pooled", f, train, test, [*([i for i in train if inner[i] == g] for g in range(max(inner.values()) + 1)), test]
 
+    return of
 
-_MOMENTS = "{keys}recording_id string, n bigint, mean array<double>, cross array<double>, raw_n bigint, raw_mean array<double>, raw_cross array<double>"
 
+def _order(frames: dict[str, int], folds: int) -> list[str]:
+    """A unit's ids by the inner fold that they had if none were held out, so that most parts are a few runs of positions."""
+    if len(frames) < 2:
+        return list(frames)
+    fold = group_folds(frames, folds)
+    return sorted(fold, key=fold.__getitem__)  # stable: within a fold in the order of dealing
 
-def recording_moments(frames: DataFrame, plan: Plan, unit: list[str]) -> DataFrame:
-    """Moments of each (unit, recording) of frames (unit columns, recording_id, frame, x, y). One shuffle, by unit and recording."""
 
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        x, y = np.stack(rows["x"].to_numpy()).astype(float), np.stack(rows["y"].to_numpy()).astype(float)
-        z, r = Moments.of(np.concatenate([lag_rows(x, plan.lags, plan.rate), y], axis=1)), Moments.of(x)
-        one = {k: rows[k].iloc[0] for k in [*unit, "recording_id"]}
-        return pd.DataFrame([one | {"n": z.n, "mean": z.mean, "cross": z.cross.ravel(), "raw_n": r.n, "raw_mean": r.mean, "raw_cross": r.cross.ravel()}])
+def _planned(moments: DataFrame, plan: Plan, unit: list[str], splits: Splits) -> tuple[DataFrame, DataFrame]:
+    """(unit, recording_id, n, at, recordings, splits) of each recording, and each split with the nodes that its parts need. From ids and counts only."""
+    sizes = moments.select(*unit, "recording_id", F.col("n").alias("frames"))
+    keys = "".join(f"{k} string, " for k in unit)
 
-    keys = [*unit, "recording_id"]
-    schema = _MOMENTS.format(keys="".join(f"{k} string, " for k in unit))
-    typed = frames.select(*[F.col(k).cast("string").alias(k) for k in keys], "frame", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
-    return typed.groupBy(*keys).applyInPandas(of, schema)
+    def of_unit(rows: pd.DataFrame) -> tuple[dict[str, int], list[str], list]:
+        frames = dict(zip(rows["recording_id"], (int(n) for n in rows["frames"]), strict=True))
+        return frames, _order(frames, plan.inner_folds), list(splits(frames))
+
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        frames, order, found = of_unit(rows)
+        out = pd.DataFrame({"recording_id": order, "at": range(len(order)), "recordings": len(order), "splits": len(found)})
+        for k in reversed(unit):
+            out.insert(0, k, rows[k].iloc[0])
+        return out
+
+    def plan_parts(rows: pd.DataFrame) -> pd.DataFrame:
+        frames, order, found = of_unit(rows)
+        at = {i: k for k, i in enumerate(order)}
+
+        def part(ids: list[str]) -> dict:
+            chosen = np.zeros(len(order), dtype=bool)
+            chosen[[at[i] for i in ids]] = True
+            nodes = cover(chosen, LEVELS_AT_ONCE * ROUNDS)
+            return {"members": np.flatnonzero(chosen).tolist(), "levels": [n[0] for n in nodes], "nodes": [n[1] for n in nodes]}
 
+        out = [(k, kind, fold, train, test, [at[i] for i in test], [part(p) for p in parts]) for k, (kind, fold, train, test, parts) in enumerate(found)]
+        done = pd.DataFrame(out, columns=["split", "kind", "fold", "train", "test", "held", "parts"])
+        for k in reversed(unit):
+            done.insert(0, k, rows[k].iloc[0])
+        return done
 
-def _unit_of(rows: pd.DataFrame, plan: Plan) -> Unit:
-    moments, raw = {}, {}
-    for r in rows.itertuples():
-        k, j = len(r.mean), len(r.raw_mean)
-        moments[r.recording_id] = Moments(int(r.n), np.asarray(r.mean), np.asarray(r.cross).reshape(k, k))
-        raw[r.recording_id] = Moments(int(r.raw_n), np.asarray(r.raw_mean), np.asarray(r.raw_cross).reshape(j, j))
-    return Unit(plan, moments, raw)
+    placed = sizes.groupBy(*unit).applyInPandas(place, keys + "recording_id string, at int, recordings int, splits int")
+    parts = "array<struct<members: array<int>, levels: array<int>, nodes: array<int>>>"
+    return placed, sizes.groupBy(*unit).applyInPandas(plan_parts, keys + f"split int, kind string, fold int, train array<string>, test array<string>, held array<int>, parts {parts}")
 
 
-SCORE_COLUMNS = (
-    "split_kind string, outer_fold int, recording_id string, family string, full_alpha double, reduced_alpha double, full_r2 double, reduced_r2 double, delta_r2 double, frames bigint, duration_seconds double, "
-    "train_recording_ids array<string>, test_recording_ids array<string>, full_inner_cv_scores map<double,double>, reduced_inner_cv_scores map<double,double>"
-)
-REPORT_COLUMNS = "split_kind string, outer_fold int, components int, coverage double, capacity_rank int, capacity_coverage map<string,double>"
+Pair = tuple[Moments, Moments | None]
+
 
+def _pair(row: dict) -> Pair:
+    k, j = len(row["mean"]), len(row["raw_mean"]) if "raw_mean" in row else 0
+    return Moments(row["n"], row["mean"], row["cross"].reshape(k, k)), Moments(row["raw_n"], row["raw_mean"], row["raw_cross"].reshape(j, j)) if j else None
 
-def fit_scores(moments: DataFrame, plan: Plan, unit: list[str], tasks: int = 1) -> DataFrame:
-    """Score rows of every unit: leave-one-recording-out, and grouped folds if the plan names them.
 
-    tasks: a unit's outer splits are shared among so many tasks, each of which gets the unit's moments. All splits need
-    all recordings' moments, so a unit costs its splits times its recordings however it is dealt.
+def _plus(a: Pair | None, b: Pair) -> Pair:
+    return b if a is None else (a[0] + b[0], a[1] + b[1] if a[1] is not None else None)
+
+
+def _sum(pairs: Iterable[Pair]) -> Pair:
+    out = None
+    for p in pairs:
+        out = _plus(out, p)
+    return out
+
+
+def _fields(pair: Pair) -> dict:
+    out = {"n": pair[0].n, "mean": pair[0].mean, "cross": pair[0].cross.ravel()}
+    return out if pair[1] is None else out | {"raw_n": pair[1].n, "raw_mean": pair[1].mean, "raw_cross": pair[1].cross.ravel()}
+
+
+def _tree(moments: DataFrame, placed: DataFrame, plan: Plan, unit: list[str]) -> DataFrame:
+    """(unit, level, node, moments) of every node: leaves are recordings in the order of their positions."""
+    columns = ["n", "mean", "cross", *(("raw_n", "raw_mean", "raw_cross") if plan.capacity else ())]
+    schema = "".join(f"{k} string, " for k in unit) + "recordings int, level int, node int, n bigint, mean array<double>, cross array<double>" + (", raw_n bigint, raw_mean array<double>, raw_cross array<double>" if plan.capacity else "")
+    keys = [*unit, "recordings", "level", "node"]
+    base = moments.join(placed, [*unit, "recording_id"]).select(*unit, "recordings", F.lit(0).alias("level"), F.col("at").alias("node"), *columns)
+    nodes = base
+
+    def merge(key: tuple, rows: Iterator[dict]) -> Iterator[dict]:
+        known, level = {}, 0
+        for row in rows:  # eight at most
+            level, known[row["node"]] = row["level"], _pair(row)
+        for _ in range(LEVELS_AT_ONCE):
+            level += 1
+            above: dict[int, Pair] = {}
+            for node in sorted(known):
+                above[node >> 1] = _plus(above.get(node >> 1), known[node])
+            known = above
+            for node, pair in known.items():
+                yield {**dict(zip(keys[:-2], key[: len(unit) + 1], strict=True)), "level": level, "node": node, **_fields(pair)}
+
+    for k in range(ROUNDS):
+        several = base.where((F.col("level") == LEVELS_AT_ONCE * k) & (F.col("recordings") > 1 << (LEVELS_AT_ONCE * k)))
+        base = grouped_rows(several.withColumn("above", F.shiftright("node", LEVELS_AT_ONCE)), [*unit, "recordings", "above"], ["node"], merge, schema)
+        nodes = nodes.unionByName(base)
+    return nodes.drop("recordings")
+
+
+def _sums(moments: DataFrame, placed: DataFrame, planned: DataFrame, plan: Plan, unit: list[str]) -> DataFrame:
+    """The nodes of every part of every split: (unit, split, kind, fold, held, part, members, moments); a part's nodes need only be added."""
+    parts = planned.select(*unit, "split", "kind", "fold", "held", F.posexplode("parts").alias("part", "p"))
+    each = parts.select(*unit, "split", "kind", "fold", "held", "part", "p.members", F.posexplode(F.arrays_zip("p.levels", "p.nodes")).alias("k", "e"))
+    first = F.col("k") == 0  # ids go with a part's first node only
+    needs = each.select(*unit, "split", "kind", "fold", "part", "k", F.when(first, F.col("members")).alias("members"), F.when(first & (F.col("part") == 0), F.col("held")).alias("held"), F.col("e.levels").alias("level"), F.col("e.nodes").alias("node"))
+    return needs.join(_tree(moments, placed, plan, unit), [*unit, "level", "node"])
+
+
+def _read_parts(rows: Iterator[dict]) -> tuple[list[Pair], list[list[int]], dict]:
+    """The summed parts of a split, their members, and what all its rows share."""
+    sums: list[Pair] = []
+    members: list[list[int]] = []
+    shared: dict = {}
+    for row in rows:
+        if row["part"] == len(sums):
+            sums.append(_pair(row))
+            members.append(row["members"])
+        else:
+            sums[-1] = _plus(sums[-1], _pair(row))
+        if row["part"] == 0 and row["k"] == 0:
+            shared = {"kind": row["kind"], "fold": row["fold"], "held": row["held"]}
+    return sums, members, shared
+
+
+_MODELS = "split int, kind string, fold int, inner int, members array<int>, penalties array<double>, weights array<double>, intercepts array<double>, basis array<double>, shape array<int>"
+#: The inner fold's number of maps of the whole training set.
+OUTER = -1
+
+
+def _models(moments: DataFrame, plan: Plan, unit: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Placed recordings, planned splits, and the maps of each split: one row for each inner fold and one for the training set."""
+    placed, planned = _planned(moments, plan, unit, nested_splits(plan))
+
+    def fields(found: Models) -> dict:
+        return {"weights": found.weights.ravel(), "intercepts": found.intercepts.ravel(), "basis": found.basis.ravel(), "shape": [*found.weights.shape, found.basis.shape[0]]}
+
+    def solve(key: tuple, rows: Iterator[dict]) -> Iterator[dict]:
+        sums, members, shared = _read_parts(rows)
+        same = dict(zip([*unit, "split"], key, strict=True)) | {"kind": shared["kind"], "fold": shared["fold"]}
+        given = None
+        if plan.fixed_alphas is not None:
+            given = [[plan.fixed_alphas[shared["fold"]]["full" if f is None else f]] for f in (None, *plan.omitted)]
+        elif len(sums) > 1:
+            for f in range(len(sums)):
+                yield {**same, "inner": f, "members": members[f], "penalties": None, **fields(models(plan, *_sum(s for g, s in enumerate(sums) if g != f)))}
+        penalties = [a[0] for a in given] if given else [float(a) for a in plan.alphas]
+        yield {**same, "inner": OUTER, "members": shared["held"], "penalties": penalties, **fields(models(plan, *_sum(sums), given))}
+
+    done = grouped_rows(_sums(moments, placed, planned, plan, unit), [*unit, "split"], ["part", "k"], solve, "".join(f"{k} string, " for k in unit) + _MODELS)
+    return placed, planned, done
+
+
+def _read_models(row: dict) -> Models:
+    omitted, penalties, predictors, components, targets = row["shape"]
+    return Models(row["weights"].reshape(omitted, penalties, predictors, components), row["intercepts"].reshape(omitted, penalties, components), row["basis"].reshape(targets, components))
+
+
+def _selected(moments: DataFrame, placed: DataFrame, solved: DataFrame, plan: Plan, unit: list[str], splits_at_once: int) -> DataFrame:
+    """Of each split and held-out recording the penalty, score and inner scores of each model: (unit, split, kind, fold, recording_id, frames, alpha, r2, inner)."""
+    keys = "".join(f"{k} string, " for k in unit)
+    block = (F.col("split") / splits_at_once).cast("int").alias("block")
+    maps_ = solved.select(*unit, block, F.lit(0).alias("turn"), "split", "kind", "fold", "inner", "members", "penalties", "weights", "intercepts", "basis", "shape")
+    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col("splits") - 1) / splits_at_once).cast("int"))).alias("block")
+    passing = moments.join(placed, [*unit, "recording_id"]).select(*unit, blocks, F.lit(1).alias("turn"), "recording_id", "at", "n", "mean", "cross")
+
+    def score(key: tuple, rows: Iterator[dict]) -> Iterator[dict]:
+        wanted: dict[int, list[tuple[dict, Models]]] = {}
+        for row in rows:
+            if row["turn"] == 0:
+                found = {**dict(zip(unit, key, strict=False)), **{k: row[k] for k in ("split", "kind", "fold", "inner", "penalties")}}, _read_models(row)
+                for at in row["members"]:
+                    wanted.setdefault(int(at), []).append(found)
+            elif row["at"] in wanted:
+                pair = _pair(row)
+                for same, maps_of in wanted[row["at"]]:
+                    yield {**same, "at": row["at"], "recording_id": row["recording_id"], "frames": pair[0].n, "scores": maps_of.scores(pair[0]).ravel()}
+
+    scored = grouped_rows(maps_.unionByName(passing, allowMissingColumns=True), [*unit, "block"], ["turn", "at"], score, keys + "split int, kind string, fold int, inner int, penalties array<double>, at int, recording_id string, frames bigint, scores array<double>")
+    many = 1 + len(plan.omitted)
+
+    def choose(key: tuple, rows: Iterator[dict]) -> Iterator[dict]:
+        inner, held = [], []
+        for row in rows:
+            (held if row["inner"] == OUTER else inner).append(row)
+        means = np.mean([r["scores"].reshape(many, -1) for r in inner], axis=0) if inner else np.zeros((many, 0))
+        for row in held:
+            scores = row["scores"].reshape(many, -1)
+            if plan.fixed_alphas is not None:
+                alphas = row["penalties"].tolist()
+                at = [0] * many
+            else:
+                alphas = [best_penalty(plan.alphas, m)[0] for m in means]
+                at = [[float(a) for a in plan.alphas].index(a) for a in alphas]
+            yield {**dict(zip(unit, key, strict=False)), **{k: row[k] for k in ("split", "kind", "fold", "recording_id", "frames")}, "alpha": alphas, "chosen": at, "r2": [scores[m, k] for m, k in enumerate(at)], "inner": [m.tolist() for m in means]}
+
+    return grouped_rows(scored, [*unit, "split"], ["inner", "at"], choose, keys + "split int, kind string, fold int, recording_id string, frames bigint, alpha array<double>, chosen array<int>, r2 array<double>, inner array<array<double>>")
+
+
+def fit_scores(moments: DataFrame, plan: Plan, unit: list[str], splits_at_once: int = SPLITS_AT_ONCE) -> DataFrame:
+    """Score rows of every unit: leave-one-recording-out, and grouped folds if the plan names them. Moments are read several times: persist or store them first.
+
+    splits_at_once: the maps of so many splits are held by a task while a unit's recordings pass by; more of them move less data and take more memory.
     """
-    names = [c.split()[0] for c in SCORE_COLUMNS.replace("map<double,double>", "map").split(", ")]
+    placed, planned, solved = _models(moments, plan, unit)
+    found = _selected(moments, placed, solved, plan, unit, splits_at_once)
+    alphas = F.array(*[F.lit(float(a)) for a in sorted(set(map(float, plan.alphas)))])
+    order = np.argsort([float(a) for a in plan.alphas], kind="stable").tolist()
+    by_alpha = lambda m: F.map_from_arrays(alphas, F.array(*[F.get(F.get("inner", F.lit(m)), F.lit(k)) for k in order])) if plan.fixed_alphas is None else F.create_map().cast("map<double,double>")
+    get = lambda c, m: F.get(c, F.lit(m))
+    families = [
+        F.struct(F.lit(f).alias("family"), get("alpha", m + 1).alias("reduced_alpha"), get("r2", m + 1).alias("reduced_r2"), by_alpha(m + 1).alias("reduced_inner_cv_scores"))
+        for m, f in enumerate(plan.omitted)
+    ]
+    rows = found.withColumn("f", F.explode(F.array(*families))).join(planned.select(*unit, "split", "train", "test"), [*unit, "split"])
+    return rows.select(
+        *unit, F.col("kind").alias("split_kind"), F.col("fold").alias("outer_fold"), "recording_id", "f.family", get("alpha", 0).alias("full_alpha"), "f.reduced_alpha", get("r2", 0).alias("full_r2"), "f.reduced_r2", (get("r2", 0) - F.col("f.reduced_r2")).alias("delta_r2"),
+        "frames", (F.col("frames") / plan.rate).alias("duration_seconds"), F.col("train").alias("train_recording_ids"), F.col("test").alias("test_recording_ids"), by_alpha(0).alias("full_inner_cv_scores"), "f.reduced_inner_cv_scores",
+    )
 
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        scores, _ = _unit_of(rows, plan).fit(int(rows["_share"].iloc[0]), tasks)
-        out = pd.DataFrame(scores, columns=names)
-        for k in reversed(unit):
-            out.insert(0, k, rows[k].iloc[0])
-        return out
 
-    dealt = moments.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    return dealt.groupBy(*unit, "_share").applyInPandas(of, "".join(f"{k} string, " for k in unit) + SCORE_COLUMNS)
+REPORT_COLUMNS = "split_kind string, outer_fold int, components int, coverage double, capacity_rank int, capacity_coverage map<string,double>"
 
 
 def fit_reports(moments: DataFrame, plan: Plan, unit: list[str]) -> DataFrame:
     """Projection and capacity reports of every unit's outer splits."""
+    placed, planned = _planned(moments, plan, unit, training_splits(plan))
+
+    def report(key: tuple, rows: Iterator[dict]) -> Iterator[dict]:
+        sums, _, shared = _read_parts(rows)
+        found = maps(plan, *_sum(sums))[3]
+        c = found["capacity"]
+        yield {
+            **dict(zip(unit, key, strict=False)), "split_kind": shared["kind"], "outer_fold": shared["fold"], "components": found["components"], "coverage": found["coverage"],
+            "capacity_rank": c["rank"] if c else None, "capacity_coverage": list({f: x["explained_variance_coverage"] for f, x in c["families"].items()}.items()) if c else None,
+        }
+
+    return grouped_rows(_sums(moments, placed, planned, plan, unit), [*unit, "split"], ["part", "k"], report, "".join(f"{k} string, " for k in unit) + REPORT_COLUMNS)
 
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        u = _unit_of(rows, plan)
-        out = []
-        for kind, fold, train, test in outer_splits({i: m.n for i, m in u.moments.items()}, plan.sensitivity_folds, plan.groups):
-            if kind in plan.kinds:
-                *_, r = u.prepared(train, test)
-                c = r["capacity"]
-                out.append({**{k: rows[k].iloc[0] for k in unit}, "split_kind": kind, "outer_fold": fold, "components": r["components"], "coverage": r["coverage"], "capacity_rank": c["rank"] if c else None, "capacity_coverage": {f: x["explained_variance_coverage"] for f, x in c["families"].items()} if c else None})
-        return pd.DataFrame(out).astype({"capacity_rank": "Int32"})
 
-    return moments.groupBy(*unit).applyInPandas(of, "".join(f"{k} string, " for k in unit) + REPORT_COLUMNS)
+_POOLED = "outer_fold int, feature_family string, alpha double, full_r2 double, reduced_r2 double, conditional_delta_r2 double, conditional_proportion double"
 
 
 def pooled_results(moments: DataFrame, plan: Plan, unit: list[str], outer_folds: int, epsilon: float = 0.0) -> DataFrame:
@@ -347,78 +334,49 @@ def pooled_results(moments: DataFrame, plan: Plan, unit: list[str], outer_folds:
 
     (unit, outer_fold, feature_family, alpha, full_r2, reduced_r2, conditional_delta_r2, conditional_proportion); the full model's rows have NaN.
     """
-
-    def choose(u: Unit, train: list[str], omitted: str | None) -> float:
-        fold = group_folds({i: u.moments[i].n for i in train}, plan.inner_folds)
-        scores: dict[float, list[float]] = {float(a): [] for a in plan.alphas}
-        keep = np.array([k for k, n in enumerate(u.lagged) if n != omitted])
-        for f in range(max(fold.values()) + 1):
-            total = merged([u.moments[i] for i in train if fold[i] != f])
-            held = merged([u.moments[i] for i in train if fold[i] == f])
-            for a, (w, b) in ridge(total, u.width_x, keep, list(scores)).items():
-                scores[a].append(r2(held, u.width_x, keep, w, b))
-        return max(scores, key=lambda a: float(np.mean(scores[a])))
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        u, out = _unit_of(rows, plan), []
-        fold = group_folds({i: m.n for i, m in u.moments.items()}, outer_folds)
-        for f in range(max(fold.values()) + 1):
-            train, test = [i for i in sorted(fold) if fold[i] != f], [i for i in sorted(fold) if fold[i] == f]
-            basis, _, _ = projection(merged([u.moments[i] for i in train]), u.width_x, plan.components)
-            whole = np.zeros((u.width_x + basis.shape[0], u.width_x + basis.shape[1]))
-            whole[: u.width_x, : u.width_x], whole[u.width_x :, u.width_x :] = np.eye(u.width_x), basis
-            v = Unit(plan, {i: m.mapped(whole) for i, m in u.moments.items()}, u.raw)
-            total, held = merged([v.moments[i] for i in train]), merged([v.moments[i] for i in test])
-            score = {}
-            for omitted in (None, *sorted(set(plan.families))):
-                alpha = choose(v, train, omitted)
-                keep = np.array([k for k, n in enumerate(v.lagged) if n != omitted])
-                score[omitted] = alpha, r2(held, v.width_x, keep, *ridge(total, v.width_x, keep, [alpha])[alpha])
-            nan = float("nan")
-            out.append((f, "full", score[None][0], score[None][1], nan, nan, nan))
-            for family in sorted(set(plan.families)):
-                d = score[None][1] - score[family][1]
-                out.append((f, family, score[family][0], score[None][1], score[family][1], d, d / score[None][1] if score[None][1] > epsilon else nan))
-        done = pd.DataFrame(out, columns=["outer_fold", "feature_family", "alpha", "full_r2", "reduced_r2", "conditional_delta_r2", "conditional_proportion"])
-        for k in reversed(unit):
-            done.insert(0, k, rows[k].iloc[0])
-        return done
-
-    done = moments.groupBy(*unit).applyInPandas(of, "".join(f"{k} string, " for k in unit) + "outer_fold int, feature_family string, alpha double, full_r2 double, reduced_r2 double, conditional_delta_r2 double, conditional_proportion double")
-    # pandas hands NaN over as null; here it tells of an undefined figure
-    return done.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("reduced_r2", "conditional_delta_r2", "conditional_proportion")})
+    placed, planned = _planned(moments, plan, unit, pooled_splits(plan, outer_folds))
+    names, nan, width = sorted(set(plan.families)), float("nan"), len(plan.families) * len(plan.lags)
+    whole = replace(plan, components=None, capacity=False, omitted=names)
+
+    def pooled(key: tuple, rows: Iterator[dict]) -> Iterator[dict]:
+        sums, _, shared = _read_parts(rows)
+        basis = side_by_side(np.eye(width), projection(_sum(sums[:-1])[0], width, plan.components)[0])
+        *parts, held = [s[0].mapped(basis) for s in sums]
+        total = merged(parts)
+        inner = [models(whole, merged([p for g, p in enumerate(parts) if g != f]), None).scores(parts[f]) for f in range(len(parts))]
+        means = np.mean(inner, axis=0)
+        alphas = [float(plan.alphas[int(np.argmax(m))]) for m in means]
+        score = models(whole, total, None, [[a] for a in alphas]).scores(held)[:, 0].tolist()
+        for m, family in enumerate(["full", *names]):
+            d = score[0] - score[m]
+            row = (alphas[m], score[0], *((nan, nan, nan) if not m else (score[m], d, d / score[0] if score[0] > epsilon else nan)))
+            yield {**dict(zip(unit, key, strict=False)), "outer_fold": shared["fold"], "feature_family": family, **dict(zip(("alpha", "full_r2", "reduced_r2", "conditional_delta_r2", "conditional_proportion"), row, strict=True))}
+
+    return grouped_rows(_sums(moments, placed, planned, plan, unit), [*unit, "split"], ["part", "k"], pooled, "".join(f"{k} string, " for k in unit) + _POOLED)
 
 
 def predictions(frames: DataFrame, moments: DataFrame, plan: Plan, unit: list[str]) -> DataFrame:
     """Held-out target and full-model prediction of every frame under leave-one-recording-out: (unit, recording_id, frame, kind, v).
 
-    The weights of each (unit, recording) are solved from moments and joined to its frames; only this needs a second pass.
+    The chosen map of each (unit, recording) is joined to its frames; only this needs a second pass over them.
     """
-
-    def weights(rows: pd.DataFrame) -> pd.DataFrame:
-        u, out = _unit_of(rows, plan), []
-        for kind, _, train, test in outer_splits({i: m.n for i, m in u.moments.items()}):
-            if kind != "primary" or plan.capacity:
-                continue
-            total, _, names, _ = u.prepared(train, test)
-            basis, _, _ = projection(merged([u.moments[i] for i in train]), u.width_x, plan.components)
-            alpha, _ = u.choose(train, None)
-            w, b = ridge(total, len(names), np.arange(len(names)), [alpha])[alpha]
-            out.append({**{k: rows[k].iloc[0] for k in unit}, "recording_id": test[0], "w": w.ravel(), "b": b, "basis": basis.ravel(), "components": basis.shape[1]})
-        return pd.DataFrame(out)
-
     keys = [*unit, "recording_id"]
-    solved = moments.groupBy(*unit).applyInPandas(weights, "".join(f"{k} string, " for k in keys) + "w array<double>, b array<double>, basis array<double>, components int")
+    typed = frames.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col("frame").cast("int").alias("frame"), "x", "y")
+    schema = "".join(f"{k} string, " for k in keys) + "frame int, kind string, v array<double>"
+    if plan.capacity:
+        return frames.sparkSession.createDataFrame([], schema)
+    only = replace(plan, omitted=(), kinds=("primary",), sensitivity_folds=None)
+    placed, _, solved = _models(moments, only, unit)
+    chosen = _selected(moments, placed, solved, only, unit, SPLITS_AT_ONCE).select(*unit, "split", "recording_id", F.get("chosen", F.lit(0)).alias("chosen"))
+    maps_ = solved.where(F.col("inner") == OUTER).join(chosen, [*unit, "split"]).select(*keys, "chosen", "weights", "intercepts", "basis", "shape")
 
     def predict(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=[*keys, "frame", "kind", "v"])
-        left, r = left.sort_values("frame"), right.iloc[0]
+        left, row = left.sort_values("frame"), right.iloc[0]
+        found, k = _read_models(row), int(row["chosen"])
         x, y = np.stack(left["x"].to_numpy()).astype(float), np.stack(left["y"].to_numpy()).astype(float)
-        z = lag_rows(x, plan.lags, plan.rate)
-        full = z @ np.asarray(r["w"]).reshape(z.shape[1], -1) + np.asarray(r["b"])
-        target = y @ np.asarray(r["basis"]).reshape(y.shape[1], -1)
-        return pd.concat([pd.DataFrame({**{k: left[k].iloc[0] for k in keys}, "frame": left["frame"].to_numpy(), "kind": kind, "v": list(v)}) for kind, v in (("target", target), ("full", full))])
+        full = lag_rows(x, plan.lags, plan.rate) @ found.weights[0, k] + found.intercepts[0, k]
+        return pd.concat([pd.DataFrame({**{c: left[c].iloc[0] for c in keys}, "frame": left["frame"].to_numpy(), "kind": kind, "v": list(v)}) for kind, v in (("target", y @ found.basis), ("full", full))])
 
-    typed = frames.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col("frame").cast("int").alias("frame"), "x", "y")
-    return typed.groupBy(*keys).cogroup(solved.groupBy(*keys)).applyInPandas(predict, "".join(f"{k} string, " for k in keys) + "frame int, kind string, v array<double>")
+    return typed.groupBy(*keys).cogroup(maps_.groupBy(*keys)).applyInPandas(predict, schema)

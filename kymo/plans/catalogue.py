@@ -703,11 +703,16 @@ def _plan(**options) -> encode.Plan:
     return encode.Plan(list(FAMILIES), lags=(-1.0, 0.0, 1.0), rate=1.0, **options)
 
 
+def _moments(frames: DataFrame, plan: encode.Plan) -> DataFrame:
+    """Moments by recording, kept: a fit reads them several times."""
+    return encode.recording_moments(frames, plan, ["model", "layer"]).persist()
+
+
 @query()
 def ridge_nested_cv(spark, sf_dir):
     plan = _plan(sensitivity_folds=4, components=2)
     unit = ["model", "layer"]
-    return encode.fit_scores(encode.recording_moments(_fit_frames(spark, sf_dir), plan, unit), plan, unit)
+    return encode.fit_scores(_moments(_fit_frames(spark, sf_dir), plan), plan, unit)
 
 
 @query()
@@ -715,7 +720,7 @@ def ridge_fixed_alpha(spark, sf_dir):
     alphas = {f: dict.fromkeys(("full", *FAMILIES), 10.0) for f in range(4)}
     plan = _plan(sensitivity_folds=4, components=2, kinds=("sensitivity",), fixed_alphas=alphas)
     unit = ["model", "layer"]
-    return encode.fit_scores(encode.recording_moments(_fit_frames(spark, sf_dir), plan, unit), plan, unit).drop("full_inner_cv_scores", "reduced_inner_cv_scores")
+    return encode.fit_scores(_moments(_fit_frames(spark, sf_dir), plan), plan, unit).drop("full_inner_cv_scores", "reduced_inner_cv_scores")
 
 
 _TWO = f"""{_FAMILY_COUNTS}, {_cells_sql(8)}, d as (select cell, recording_id, frame, acoustic + (frame * 74 % 101) / 101e0 as a, word + (frame * 185 % 101) / 101e0 as w from ff join cells using (recording_id)),
@@ -736,27 +741,61 @@ def ridge_two_families(spark, sf_dir):
     rows = frames.select(F.lit("m").alias("model"), F.concat(F.lit("l"), "cell").alias("layer"), "recording_id", "frame", F.array(a, w).alias("x"), F.array(a + 0.5 * w * w + (F.col("frame") * 3 % 17) / 17.0).alias("y"))
     plan = encode.Plan(["acoustic", "word"], rate=1.0, omitted=("word",), kinds=("primary",), fixed_alphas={f: {"full": 10.0, "word": 10.0} for f in range(8)})
     unit = ["model", "layer"]
-    done = encode.fit_scores(encode.recording_moments(rows, plan, unit), plan, unit)
+    done = encode.fit_scores(_moments(rows, plan), plan, unit)
     return done.select("layer", "recording_id", *[rounded(c).alias(c) for c in ("full_r2", "reduced_r2", "delta_r2")])
 
 
+_SUMS = "n sa sw sy saa sww saw say swy".split()
+#: Moments in SQL: sums of a held-out recording's cell, by inner fold, solved for either penalty, and scored from sums alone.
+_NESTED = f"""{_FAMILY_COUNTS}, {_cells_sql(8)}, d as (select cell, recording_id, frame, acoustic + (frame * 74 % 101) / 101e0 as a, word + (frame * 185 % 101) / 101e0 as w from ff join cells using (recording_id)),
+y as (select *, a + 0.5e0 * w * w + (frame * 3 % 17) / 17e0 as y from d),
+own as (select cell, recording_id, count(*)::double as n, sum(a) as sa, sum(w) as sw, sum(y) as sy, sum(a * a) as saa, sum(w * w) as sww, sum(a * w) as saw, sum(a * y) as say, sum(w * y) as swy, sum(y * y) as syy from y group by all),
+pairs as (select h.cell, h.recording_id as held, o.recording_id, (row_number() over (partition by h.cell, h.recording_id order by o.recording_id desc) - 1) % 3 as fold from own h join own o on h.cell = o.cell and h.recording_id <> o.recording_id),
+sets as (select p.cell, p.held, f.fold, {", ".join(f"sum(o.{c}) as {c}" for c in _SUMS)} from pairs p join own o using (cell, recording_id) join (select unnest([-1, 0, 1, 2]) as fold) f on p.fold <> f.fold group by all),
+c as (select *, sa / n as ma, sw / n as mw, sy / n as my, sqrt(saa / n - pow(sa / n, 2)) as da, sqrt(sww / n - pow(sw / n, 2)) as dw from sets),
+r as (select *, (saw - n * ma * mw) / (da * dw) as g, (say - n * ma * my) / da as ra, (swy - n * mw * my) / dw as rw, unnest([1e0, 5000e0]) as alpha from c),
+b as (select *, ((n + alpha) * ra - g * rw) / (pow(n + alpha, 2) - g * g) / da as ba, ((n + alpha) * rw - g * ra) / (pow(n + alpha, 2) - g * g) / dw as bw, ra / (n + alpha) / da as one from r),
+maps as (select cell, held, fold, alpha, unnest(['full', 'reduced']) as model, unnest([ba, one]) as wa, unnest([bw, 0e0]) as ww, unnest([my - ba * ma - bw * mw, my - one * ma]) as k from b),
+tested as (select m.*, t.recording_id, 1 - (t.syy + pow(wa, 2) * t.saa + pow(ww, 2) * t.sww + t.n * k * k - 2 * wa * t.say - 2 * ww * t.swy - 2 * k * t.sy + 2 * wa * ww * t.saw + 2 * wa * k * t.sa + 2 * ww * k * t.sw) / (t.syy - t.sy * t.sy / t.n) as r2
+    from maps m join pairs p on m.cell = p.cell and m.held = p.held and m.fold = p.fold join own t on t.cell = p.cell and t.recording_id = p.recording_id),
+inner_means as (select cell, held, model, alpha, avg(r2) as mean_r2 from tested group by all),
+best as (select cell, held, model, arg_max(alpha, {{'m': mean_r2, 'a': -alpha}}) as alpha from inner_means group by all),
+final as (select m.cell, m.held, m.model, m.alpha, 1 - (t.syy + pow(wa, 2) * t.saa + pow(ww, 2) * t.sww + t.n * k * k - 2 * wa * t.say - 2 * ww * t.swy - 2 * k * t.sy + 2 * wa * ww * t.saw + 2 * wa * k * t.sa + 2 * ww * k * t.sw) / (t.syy - t.sy * t.sy / t.n) as r2
+    from maps m join best using (cell, held, model, alpha) join own t on t.cell = m.cell and t.recording_id = m.held where m.fold = -1),
+means as (select cell, held, model, max(mean_r2) filter (where alpha = 1) as low, max(mean_r2) filter (where alpha = 5000) as high from inner_means group by all)"""
+
+
+@query(f"""{_NESTED} select 'l' || f.cell as layer, f.held as recording_id, f.alpha as full_alpha, r.alpha as reduced_alpha, {_r("f.r2")} as full_r2, {_r("r.r2")} as reduced_r2,
+{_r("fm.low")} as full_inner_low, {_r("fm.high")} as full_inner_high, {_r("rm.low")} as reduced_inner_low, {_r("rm.high")} as reduced_inner_high
+from final f join final r on f.cell = r.cell and f.held = r.held and f.model = 'full' and r.model = 'reduced' join means fm on fm.cell = f.cell and fm.held = f.held and fm.model = 'full' join means rm on rm.cell = f.cell and rm.held = f.held and rm.model = 'reduced'""")
+def ridge_nested_two_penalties(spark, sf_dir):
+    """The nested fit in full on two columns: every user held out of its cell, either penalty scored on three inner folds, the better one refitted."""
+    frames = _family_frames(spark, sf_dir).join(_cells(spark, sf_dir, 8), "recording_id")
+    a, w = (F.get("x", F.lit(i)) + (F.col("frame") * k % 101) / 101.0 for i, k in ((FAMILIES.index("acoustic"), 74), (FAMILIES.index("word"), 185)))
+    rows = frames.select(F.lit("m").alias("model"), F.concat(F.lit("l"), "cell").alias("layer"), "recording_id", "frame", F.array(a, w).alias("x"), F.array(a + 0.5 * w * w + (F.col("frame") * 3 % 17) / 17.0).alias("y"))
+    plan = encode.Plan(["acoustic", "word"], rate=1.0, omitted=("word",), kinds=("primary",), alphas=(1.0, 5000.0), inner_folds=3)
+    done = encode.fit_scores(_moments(rows, plan), plan, ["model", "layer"])
+    inner = [rounded(F.element_at(f"{m}_inner_cv_scores", F.lit(a))).alias(f"{m}_inner_{name}") for m in ("full", "reduced") for a, name in ((1.0, "low"), (5000.0, "high"))]
+    return done.select("layer", "recording_id", "full_alpha", "reduced_alpha", rounded("full_r2").alias("full_r2"), rounded("reduced_r2").alias("reduced_r2"), *inner)
+
+
 @query()
 def pooled_fit(spark, sf_dir):
     plan, unit = _plan(), ["model", "layer"]
-    return encode.pooled_results(encode.recording_moments(_fit_frames(spark, sf_dir), plan, unit), plan, unit, 4)
+    return encode.pooled_results(_moments(_fit_frames(spark, sf_dir), plan), plan, unit, 4)
 
 
 @query()
 def capacity_reports(spark, sf_dir):
     plan, unit = _plan(capacity=True, components=2), ["model", "layer"]
-    return encode.fit_reports(encode.recording_moments(_fit_frames(spark, sf_dir), plan, unit), plan, unit)
+    return encode.fit_reports(_moments(_fit_frames(spark, sf_dir), plan), plan, unit)
 
 
 @query()
 def held_out_predictions(spark, sf_dir):
     plan, unit = _plan(components=2), ["model", "layer"]
     frames = _fit_frames(spark, sf_dir)
-    return encode.predictions(frames, encode.recording_moments(frames, plan, unit), plan, unit)
+    return encode.predictions(frames, _moments(frames, plan), plan, unit)
 
 
 @query(f"select l_returnflag as k, count(*) as n, {_r('avg(l_quantity)')} as mean_x, {_r('avg(l_tax)')} as mean_y, {_r('stddev_pop(l_quantity)')} as scale_x, {_r('sum((l_quantity - mx) * (l_tax - my)) / count(*)')} as cov_xy, {_r('sum((l_quantity - mx) * (l_discount - md)) / count(*)')} as cov_xd from lineitem join (select l_returnflag as k, avg(l_quantity) as mx, avg(l_tax) as my, avg(l_discount) as md from lineitem group by all) on k = l_returnflag group by all")

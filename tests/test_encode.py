@@ -149,3 +149,56 @@ def test_splits_shared_among_tasks_give_the_same_scores(spark):
     one, many = (sorted(map(tuple, encode.fit_scores(moments, plan, jobs.UNIT, n).select(columns).collect())) for n in (1, 3))
     assert one == many and len(one) == 4 * 5 * 2
     assert len(encode.fit_scores(moments, plan, jobs.UNIT, 9).select(columns).collect()) == len(one)  # more tasks than splits
+
+
+def tree_nodes(chosen, levels):
+    from kymo.operators.moments import cover
+
+    chosen = np.array(chosen, dtype=bool)
+    nodes = cover(chosen, levels)
+    held = [i for level, node in nodes for i in range(node << level, min((node + 1) << level, len(chosen)))]
+    assert sorted(held) == np.flatnonzero(chosen).tolist()  # each position once
+    return nodes
+
+
+def test_cover_of_positions():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 5, 8, 9, 64, 500):
+        for share in (0.0, 0.3, 0.9, 1.0):
+            tree_nodes(rng.random(n) < share, 9)
+    assert tree_nodes([True] * 500, 9) == [(9, 0)] and tree_nodes([True] * 5 + [False], 9) == [(0, 4), (2, 0)]
+    for a, b in ((3, 490), (0, 499), (1, 500), (250, 251)):
+        assert len(tree_nodes([a <= i < b for i in range(500)], 9)) <= 18
+
+
+@pytest.mark.parametrize("options", [{"components": 2, "sensitivity_folds": 3}, {"capacity": True, "lags": (0.0, 0.02)}, {"omitted": ("word",), "groups": {f"r{i}": f"g{i % 7}" for i in range(70)}, "sensitivity_folds": 3}])
+def test_large_units_equal_fits_in_memory(spark, options):
+    """Scores, penalties and reports of 70 recordings of different lengths against the same algebra on one dictionary of moments."""
+    rng = np.random.default_rng(7)
+    d = data(tuple(rng.integers(8, 30, 70).tolist()))
+    plan = encode.Plan(SIX, alphas=(10.0, 0.1, 3.0), **options)
+    moments = encode.recording_moments(frames(spark, d), plan, ["model", "layer"]).persist()
+    rows = encode.fit_scores(moments, plan, ["model", "layer"]).collect()
+    u = unit(d, alphas=plan.alphas, **options)
+    splits = {(kind, fold): (train, test) for kind, fold, train, test in encode.outer_splits({k: len(x) for k, (x, _) in d.items()}, plan.sensitivity_folds, plan.groups)}
+    assert len(rows) == sum(len(test) for _, test in splits.values()) * len(plan.omitted)
+    checked = 0
+    for r in rows:
+        if r.split_kind == "sensitivity" or r.outer_fold % 17 == 3:
+            train, test = splits[r.split_kind, r.outer_fold]
+            assert r.train_recording_ids == train and r.test_recording_ids == test and r.frames == len(d[r.recording_id][0])
+            total, tests, names, _ = u.prepared(train, [r.recording_id])
+            for omitted, alpha, inner, score in ((None, r.full_alpha, r.full_inner_cv_scores, r.full_r2), (r.family, r.reduced_alpha, r.reduced_inner_cv_scores, r.reduced_r2)):
+                if checked < 60:
+                    best, means = u.choose(train, omitted)
+                    assert best == alpha and means == pytest.approx(inner)
+                    keep = np.array([k for k, n in enumerate(names) if n != omitted])
+                    w, b = encode.ridge(total, len(names), keep, [alpha])[alpha]
+                    assert encode.r2(tests[r.recording_id], len(names), keep, w, b) == pytest.approx(score, abs=1e-9)
+            checked += 1
+    assert checked >= 20
+    for r in encode.fit_reports(moments, plan, ["model", "layer"]).collect():
+        if r.outer_fold % 9 == 0:
+            want = u.prepared(splits[r.split_kind, r.outer_fold][0], [])[3]
+            assert r.coverage == pytest.approx(want["coverage"]) and r.capacity_rank == (want["capacity"] or {}).get("rank")
+    moments.unpersist()
