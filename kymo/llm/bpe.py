@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from kymo.llm.common import claim, slices
 
 #: Words in each of the two generations that a worker remembers between blocks: when the younger is full, the older goes.
-REMEMBERED = 260_000
+REMEMBERED = 140_000
 #: Words whose merges are replayed together.
 REPLAYED = 2_000
 #: Longest word, in characters, that is remembered.
