@@ -14,6 +14,8 @@ from kymo.schema import SUBSTANTIVE
 
 #: Ensemble sizes: production draws exactly PRODUCTION_NULLS, a dry run at least DRY_NULLS.
 PRODUCTION_NULLS, DRY_NULLS = 100, 20
+#: Draws for which a task holds a recording's rolled frames.
+DRAWS_AT_ONCE = 8
 #: Least circular distance of a shift, in seconds.
 LEAST_SHIFT_SECONDS = 2.0
 #: First part of the text from which a shift's seed is derived. Ensembles drawn under another tag need that tag.
@@ -136,23 +138,37 @@ def shift_manifest(
 def circular_shift(frames: DataFrame, offsets: DataFrame, column_families: list[str], array: str = "x", shifted: tuple[str, ...] = SUBSTANTIVE) -> DataFrame:
     """frames (recording_id, frame, t, array) with each shifted family's columns rolled by its offset as one block.
 
-    offsets: (null_index, recording_id, family, frames, offset_frames). Every frame is cut into blocks, the columns that stay and
-    one for each shifted family; a block is sent to the frame that it moves to, where the blocks are put together. Frames are
-    dealt by recording once, and that serves the grouping as well.
+    offsets: (null_index, recording_id, family, frames, offset_frames). A recording and DRAWS_AT_ONCE of its draws are one group, whose matrix
+    is rolled block by block; frames are copied once for each such group. Fits need no shifted frames: see nulls.null_moments().
     """
-    moving = [f for f in shifted if f in column_families]
-    staying = [i for i, f in enumerate(column_families) if f not in shifted]
-    draws = offsets.groupBy("recording_id", "null_index").agg(F.max("frames").alias("n"), F.map_from_entries(F.collect_list(F.struct("family", "offset_frames"))).alias("by")).groupBy("recording_id").agg(F.collect_list(F.struct("null_index", "n", "by")).alias("draws"))
-    block = lambda number, by, positions: F.struct(F.lit(number).alias("block"), by.alias("by"), picked(array, positions).alias("v"))
-    each = frames.join(draws, "recording_id").select("recording_id", "frame", "t", array, F.explode("draws").alias("d"))
-    blocks = [block(0, F.lit(0), staying)] + [block(k, F.element_at("d.by", F.lit(f)), [i for i, c in enumerate(column_families) if c == f]) for k, f in enumerate(moving, 1)]
-    sent = each.select("recording_id", "d.null_index", "d.n", "frame", "t", F.explode(F.array(*blocks)).alias("b"))
-    at = F.when(F.col("b.block") == 0, F.col("frame")).otherwise(F.pmod(F.col("frame") + F.col("b.by"), F.col("n"))).cast("int")
-    sent = sent.select("null_index", "recording_id", at.alias("frame"), F.when(F.col("b.block") == 0, F.col("t")).alias("t"), "b.block", "b.v")
-    whole = sent.groupBy("null_index", "recording_id", "frame").agg(F.max("t").alias("t"), F.map_from_entries(F.collect_list(F.struct("block", "v"))).alias("m"))
-    # where each column stands: its block, and its place in that
-    places = {i: (0, n) for n, i in enumerate(staying)} | {i: (k, n) for k, f in enumerate(moving, 1) for n, i in enumerate(j for j, c in enumerate(column_families) if c == f)}
-    return whole.select("null_index", "recording_id", "frame", "t", F.array(*[F.get(F.element_at("m", F.lit(places[i][0])), F.lit(places[i][1])) for i in range(len(column_families))]).alias(array))
+    group = (F.col("null_index") / DRAWS_AT_ONCE).cast("int").alias("_group")
+    draws = offsets.where(F.col("family").isin(*shifted)).select("recording_id", group, F.col("null_index").cast("int").alias("null_index"), "family", F.col("offset_frames").cast("int").alias("offset_frames"))
+    every = offsets.select("recording_id", group, F.col("null_index").cast("int").alias("null_index"), F.lit(None).cast("string").alias("family"), F.lit(0).alias("offset_frames")).distinct()
+    copies = frames.select("recording_id", F.col("frame").cast("int").alias("frame"), F.col("t").cast("double").alias("t"), F.col(array).cast("array<double>").alias("x")).join(every.select("recording_id", "_group").distinct(), "recording_id")
+    at = {f: [i for i, c in enumerate(column_families) if c == f] for f in shifted}
+    kind = frames.schema["recording_id"].dataType.simpleString()
+
+    def roll(rows: pa.Table, moves: pa.Table) -> pa.Table:
+        rows = rows.sort_by("frame").combine_chunks()
+        n, width = rows.num_rows, len(column_families)
+        schema = pa.schema([("null_index", pa.int32()), moves.schema.field("recording_id"), ("frame", pa.int32()), ("t", pa.float64()), (array, pa.list_(pa.float64()))])
+        if not n or not moves.num_rows:
+            return schema.empty_table()
+        x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, width)
+        by: dict[int, dict[str, int]] = {}
+        for number, family, offset in zip(*(moves[c].to_pylist() for c in ("null_index", "family", "offset_frames")), strict=True):
+            by.setdefault(number, {})[family] = offset
+        out = np.repeat(x[None], len(by), axis=0)
+        for done, own in zip(out, by.values(), strict=True):
+            for family, offset in own.items():
+                if family is not None and at[family]:
+                    done[:, at[family]] = np.roll(x[:, at[family]], offset, axis=0)
+        same = lambda c: pa.concat_arrays([rows[c].combine_chunks()] * len(by))
+        lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, width, dtype=np.int32), pa.array(out.ravel()))
+        return pa.Table.from_arrays([pa.array(np.repeat(list(by), n), pa.int32()), *map(same, ("recording_id", "frame", "t")), lists], schema=schema)
+
+    keys = ["recording_id", "_group"]
+    return copies.groupBy(*keys).cogroup(draws.unionByName(every).groupBy(*keys)).applyInArrow(roll, f"null_index int, recording_id {kind}, frame int, t double, {array} array<double>")
 
 
 def circular_shift_sparse(cells: DataFrame, offsets: DataFrame, shifted: tuple[str, ...] = SUBSTANTIVE) -> DataFrame:

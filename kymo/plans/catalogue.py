@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kymo.functions.canonical import json_entries
 from kymo.functions.scalars import first_failure, is_finite, nearest_frame, rounded, worst
 from kymo.operators import audio as audio_features
-from kymo.operators import checks, encode, grid, infer, lags, relate, summary
+from kymo.operators import checks, encode, grid, infer, lags, nulls, relate, summary
 from kymo.plans import stand_ins as S
 from kymo.plans.stand_ins import EVENTS_SQL, FRAMES, GRID_SQL, INTERVALS_SQL, RATE, USERS_SQL, events, intervals, recordings, table
 from kymo.schema import FAMILIES
@@ -177,6 +177,28 @@ def circular_shift(spark, sf_dir):
     return done.select("recording_id", "frame", *[F.get("x", F.lit(i)).alias(f) for i, f in enumerate(FAMILIES)])
 
 
+@query(f"""{_FAMILY_COUNTS}, o as (select recording_id, null_index, 48 + (recording_id::bigint * 7919 + null_index * 101) % 620 as k from users, (select unnest([0, 1, 2, 3]) as null_index)),
+series as (select recording_id, {", ".join(f"list({f} order by frame) as {f}" for f in FAMILIES)} from ff group by all),
+each as (select s.*, null_index, k, unnest(generate_series(0, {FRAMES - 1}))::int as frame from series s join o using (recording_id)),
+z as (select recording_id, null_index, acoustic[frame + 1] as y, case when frame < {FRAMES - 1} then prosodic[(frame + 1 - k + 1440) % 720 + 1] else 0 end as before, case when frame > 0 then prosodic[(frame - 1 - k + 1440) % 720 + 1] else 0 end as after,
+    phonetic[(frame - k + 1439) % 720 + 1] as now, case when frame > 0 then word[(frame - k + 1437) % 720 + 1] else 0 end as late from each)
+select recording_id, null_index, count(*) as n, {_r("avg(after)")} as mean_after, {_r("sum(before * late) - sum(before) * sum(late) / count(*)")} as before_late, {_r("sum(now * y) - sum(now) * sum(y) / count(*)")} as now_y, {_r("sum(before * after) - sum(before) * sum(after) / count(*)")} as before_after from z group by all""")
+def null_moments(spark, sf_dir):
+    """Four null draws' moments of lagged columns, for every user from one pass and no moved frame; offsets by arithmetic, as above."""
+    frames = _family_frames(spark, sf_dir).select(F.lit("m").alias("model"), "recording_id", "frame", "x", F.slice("x", FAMILIES.index("acoustic") + 1, 1).alias("y"))
+    offset = lambda n: F.lit(48) + F.pmod(F.col("recording_id").cast("long") * 7919 + F.col("null_index") * 101, F.lit(620)) + n
+    draws = recordings(spark, sf_dir).select("recording_id", F.explode(F.array(*map(F.lit, range(4)))).alias("null_index"))
+    offsets = draws.select("recording_id", "null_index", F.inline(F.array(*[F.struct(F.lit(f).alias("family"), offset(n).cast("int").alias("offset_frames")) for n, f in enumerate(lags.SUBSTANTIVE)])))
+    done = nulls.null_moments(frames, offsets, encode.Plan(list(FAMILIES), lags=(-1.0, 0.0, 1.0), rate=1.0), ["model"])
+    column = lambda lag, f: (lag + 1) * len(FAMILIES) + FAMILIES.index(f)
+    y, width = 3 * len(FAMILIES), 3 * len(FAMILIES) + 1
+    cross = lambda i, j: rounded(F.get("cross", F.lit(i * width + j)))
+    return done.select(
+        "recording_id", F.col("null_index").cast("int").alias("null_index"), "n", rounded(F.get("mean", F.lit(column(1, "prosodic")))).alias("mean_after"), cross(column(-1, "prosodic"), column(1, "word")).alias("before_late"),
+        cross(column(0, "phonetic"), y).alias("now_y"), cross(column(-1, "prosodic"), column(1, "prosodic")).alias("before_after"),
+    )
+
+
 @query()
 def null_shift_exact(spark, sf_dir):
     """Offsets of three draws, from NumPy's generator."""

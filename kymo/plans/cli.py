@@ -189,9 +189,9 @@ def pilot(spark: SparkSession, args: argparse.Namespace) -> int:
     if wanted is None:
         print("no unit is there")
         return 2
-    drawn = publish.unit_path(args.fits, variant="null") + "/scores"
-    if os.path.isdir(drawn):
-        wanted = wanted.unionByName(spark.read.parquet(drawn).select(F.lit("original").alias("variant"), "layer", F.col("null_index").cast("int").alias("null_index"), "recording_id", "family", "split_kind"))
+    if os.path.isdir(publish.unit_path(args.fits, variant="null")):
+        drawn = jobs.table_of(spark, args.fits, "null", "scores")
+        wanted = wanted.unionByName(drawn.select(F.lit("original").alias("variant"), "layer", "null_index", "recording_id", "family", "split_kind"))
     found = quality.pilot_findings(quality.pilot_units(layers, args.nulls), wanted, reports, _ids(spark, args.manifest))
     write_all({"pilot_findings": found, "recording_level_results": wanted, "pca_coverage_by_fold": reports}, args.out)
     return 0 if found.isEmpty() else 2

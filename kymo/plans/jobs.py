@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from kymo.functions.canonical import flattened, json_sha256
 from kymo.operators import audio as audio_features
 from kymo.operators import checks, encode, infer, lags, relate, summary
+from kymo.operators.nulls import null_moments
 from kymo.schema import FAMILIES, SUBSTANTIVE
 from kymo.sources import audio, publish, tables, textgrid
 
@@ -50,37 +52,19 @@ def variant_plan(plan: encode.Plan, variant: str) -> encode.Plan:
     return replace(plan, capacity=variant == "capacity", lags=(0.0,) if variant == "zero_lag" else plan.lags)
 
 
-def fit(recordings: DataFrame, plan: encode.Plan, variant: str, root: str, sources: dict[str, str], namespace: str | None = None) -> str:
-    """Scores and reports of every (model, layer) of recordings (model, layer, recording_id, frame, x, y), each a published unit of its own.
-
-    Units that are there and valid stay; the others are computed together, in one pass for the moments and one task for each
-    unit. If that fails they are tried one by one, so that a unit that can't be fitted holds up no other; the failure is then raised.
-    """
-    p = variant_plan(plan, variant)
-    config = {k: v for k, v in vars(p).items() if k != "reports"}
-    name = namespace or variant
-    found = [(r.model, r.layer) for r in recordings.select(*UNIT).distinct().orderBy(*UNIT).collect()]  # models x layers
+def _published(root: str, name: str, unit: list[str], found: list[tuple], sources: dict[str, str], config: dict[str, Any], compute: Callable[[list[tuple]], None]) -> str:
+    """Computes those of the found units that are not there and valid: together, and one by one if that fails; a failure is then raised."""
+    identity = lambda u: {"variant": name, **dict(zip(unit, u, strict=True))}
 
-    def state(u: tuple[str, str]) -> str:
-        return publish.unit_problem(publish.unit_path(root, variant=name, model=u[0], layer=u[1]), {"variant": name, "model": u[0], "layer": u[1]}, sources, config)
+    def state(u: tuple) -> str:
+        return publish.unit_problem(publish.unit_path(root, **identity(u)), identity(u), sources, config)
 
     states = {u: state(u) for u in found}
     open_units = [u for u, s in states.items() if s != "ok"]
     for u in open_units:
         if states[u] != "missing":
-            publish.preserve(publish.unit_path(root, variant=name, model=u[0], layer=u[1]), states[u])
-
-    def compute(units: list[tuple[str, str]]) -> None:
-        spark = recordings.sparkSession
-        chosen = recordings.join(F.broadcast(spark.createDataFrame(units, "model string, layer string")), UNIT)  # models x layers
-        moments = encode.recording_moments(chosen, p, UNIT).persist()
-        try:
-            tables = {"moments": moments, "scores": encode.fit_scores(moments, p, UNIT), "reports": encode.fit_reports(moments, p, UNIT)}
-            publish.publish_units(root, {"variant": name}, UNIT, units, tables, sources, config)
-        finally:
-            moments.unpersist()
-
-    failures: dict[tuple[str, str], Exception] = {}
+            publish.preserve(publish.unit_path(root, **identity(u)), states[u])
+    failures: dict[tuple, Exception] = {}
     if open_units:
         try:
             compute(open_units)
@@ -99,6 +83,35 @@ def fit(recordings: DataFrame, plan: encode.Plan, variant: str, root: str, sourc
     return "resumed" if not open_units else "computed" if all(states[u] == "missing" for u in open_units) else "repaired"
 
 
+def _units_of(recordings: DataFrame) -> list[tuple[str, str]]:
+    return [(r.model, r.layer) for r in recordings.select(*UNIT).distinct().orderBy(*UNIT).collect()]  # models x layers
+
+
+def _chosen(recordings: DataFrame, units: list[tuple[str, str]]) -> DataFrame:
+    return recordings.join(F.broadcast(recordings.sparkSession.createDataFrame(sorted(set(units)), "model string, layer string")), UNIT)  # models x layers
+
+
+def fit(recordings: DataFrame, plan: encode.Plan, variant: str, root: str, sources: dict[str, str], namespace: str | None = None) -> str:
+    """Scores and reports of every (model, layer) of recordings (model, layer, recording_id, frame, x, y), each a published unit of its own.
+
+    Units that are there and valid stay; the others are computed together, in one pass for the moments and a task for each
+    split. If that fails they are tried one by one, so that a unit that can't be fitted holds up no other; the failure is then raised.
+    """
+    p = variant_plan(plan, variant)
+    config = {k: v for k, v in vars(p).items() if k != "reports"}
+    name = namespace or variant
+
+    def compute(units: list[tuple]) -> None:
+        moments = encode.recording_moments(_chosen(recordings, units), p, UNIT).persist()
+        try:
+            tables = {"moments": moments, "scores": encode.fit_scores(moments, p, UNIT), "reports": encode.fit_reports(moments, p, UNIT)}
+            publish.publish_units(root, {"variant": name}, UNIT, units, tables, sources, config)
+        finally:
+            moments.unpersist()
+
+    return _published(root, name, UNIT, _units_of(recordings), sources, config, compute)
+
+
 def fast_refit(recordings: DataFrame, plan: encode.Plan, alphas: dict[str, dict[int, dict[str, float]]], root: str, sources: dict[str, str]) -> list[str]:
     """Grouped refits with given penalties, layer by layer (layer -> fold -> family -> penalty): no inner search. Units under primary_fast_refits."""
     out = []
@@ -108,31 +121,46 @@ def fast_refit(recordings: DataFrame, plan: encode.Plan, alphas: dict[str, dict[
     return out
 
 
-def fit_nulls(recordings: DataFrame, plan: encode.Plan, root: str, sources: dict[str, str], indices: list[int], seed: int = 0, zero_seconds: float = lags.LEAST_SHIFT_SECONDS, tag: str = lags.SEED_TAG, alphas: dict[int, dict[str, float]] | None = None) -> str:
-    """Scores of every null draw for the three shifted families; the draws are units beside model and layer.
+def fit_nulls(
+    recordings: DataFrame, plan: encode.Plan, root: str, sources: dict[str, str], indices: list[int], seed: int = 0, zero_seconds: float = lags.LEAST_SHIFT_SECONDS, tag: str = lags.SEED_TAG,
+    alphas: dict[int, dict[str, float]] | None = None, draws_at_once: int = lags.PRODUCTION_NULLS,
+) -> str:
+    """Scores of every null draw for the three shifted families, each (model, layer, null_index) a published unit of its own.
 
     Each recording is held out once, without grouped folds; or, with given penalties (fold -> family -> penalty), grouped folds are refitted under them.
+    The moments of so many draws are made in one pass over the frames; a run that was broken off goes on with the units that are missing.
     """
     p = replace(plan, sensitivity_folds=None, omitted=SUBSTANTIVE, kinds=("primary",)) if alphas is None else replace(plan, sensitivity_folds=len(alphas), omitted=SUBSTANTIVE, kinds=("sensitivity",), fixed_alphas=alphas)
     name = "null" if alphas is None else "null_fixed_alpha"
-    config = {k: v for k, v in vars(p).items() if k != "reports"} | {"indices": indices, "seed": seed, "tag": tag}
-
-    def make():
-        sizes = recordings.groupBy("recording_id").agg(F.count_distinct("frame").alias("frames"))
-        manifest = lags.shift_manifest(sizes, indices, seed=seed, rate=p.rate, lags=tuple(p.lags), zero_seconds=zero_seconds, tag=tag)
-        x = recordings.select("recording_id", "frame", "x").dropDuplicates(["recording_id", "frame"]).withColumn("t", F.col("frame") / p.rate)
-        shifted = lags.circular_shift(x, manifest, p.families).drop("t")
-        rows = recordings.drop("x").join(shifted, ["recording_id", "frame"])
-        unit = [*UNIT, "null_index"]
-        return {"shifts": manifest, "scores": encode.fit_scores(encode.recording_moments(rows, p, unit), p, unit).withColumn("null_index", F.col("null_index").cast("int"))}, {}
-
-    return publish.run_unit(publish.unit_path(root, variant=name), {"variant": name}, sources, config, make)
+    config = {k: v for k, v in vars(p).items() if k != "reports"} | {"seed": seed, "tag": tag, "zero_seconds": zero_seconds}
+    unit = [*UNIT, "null_index"]
+    sizes = recordings.groupBy("recording_id").agg(F.count_distinct("frame").alias("frames")).persist()
+
+    def compute(units: list[tuple]) -> None:
+        drawn = sorted({int(u[2]) for u in units})
+        for begin in range(0, len(drawn), draws_at_once):
+            part = [u for u in units if int(u[2]) in drawn[begin : begin + draws_at_once]]
+            manifest = lags.shift_manifest(sizes, drawn[begin : begin + draws_at_once], seed=seed, rate=p.rate, lags=tuple(p.lags), zero_seconds=zero_seconds, tag=tag).persist()
+            wanted = F.broadcast(recordings.sparkSession.createDataFrame(part, "model string, layer string, null_index string"))  # models x layers x draws
+            moments = null_moments(_chosen(recordings, [u[:2] for u in part]), manifest, p, UNIT).join(wanted, unit).persist()
+            try:
+                tables = {"shifts": manifest.withColumn("null_index", F.col("null_index").cast("string")).join(wanted, "null_index"), "scores": encode.fit_scores(moments, p, unit)}
+                publish.publish_units(root, {"variant": name}, unit, part, tables, sources, config)
+            finally:
+                moments.unpersist()
+                manifest.unpersist()
+
+    try:
+        return _published(root, name, unit, [(*u, str(n)) for u in _units_of(recordings) for n in indices], sources, config, compute)
+    finally:
+        sizes.unpersist()
 
 
 def table_of(spark: SparkSession, root: str, variant: str, table: str) -> DataFrame:
     """One table of all of a variant's units."""
-    rows = spark.read.option("basePath", root).parquet(f"{publish.unit_path(root, variant=variant)}/model=*/layer=*/{table}")
-    return rows.select(*[F.col(c).cast("string").alias(c) if c in ("variant", *UNIT) else F.col(c) for c in rows.columns])
+    units = "/model=*/layer=*" + "/null_index=*" * variant.startswith("null")
+    rows = spark.read.option("basePath", root).parquet(f"{publish.unit_path(root, variant=variant)}{units}/{table}")
+    return rows.select(*[F.col(c).cast("string").alias(c) if c in ("variant", *UNIT) else F.col(c).cast("int").alias(c) if c == "null_index" else F.col(c) for c in rows.columns])
 
 
 def scores_of(spark: SparkSession, root: str, variant: str, split_kind: str = "primary") -> DataFrame:
@@ -184,7 +212,7 @@ def summarise(spark: SparkSession, root: str, recordings: int, variants: tuple[s
         a, b = (summary.aggregate_effects(effects_of(scores[v])) for v in (variants[0], "zero_lag"))
         out["zero_vs_longer_lag"] = infer.lag_contrast(a, b, recordings, **options)
     if nulls:
-        drawn = spark.read.parquet(publish.unit_path(root, variant="null") + "/scores")
+        drawn = table_of(spark, root, "null", "scores")
         observed = scores[variants[0]].where(F.col("family").isin(*SUBSTANTIVE))
         out["null_completeness"] = summary.null_completeness(drawn, nulls)
         out["null_observed_minus_mean"] = infer.summarise_nulls(observed, drawn, nulls, recordings, **options)
