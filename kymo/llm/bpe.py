@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from kymo.llm.common import claim, slices
 
 #: Words in each of the two generations that a worker remembers between blocks: when the younger is full, the older goes.
-REMEMBERED = 140_000
+REMEMBERED = 260_000
 #: Words whose merges are replayed together.
 REPLAYED = 2_000
 #: Longest word, in characters, that is remembered.
@@ -60,7 +60,8 @@ class _PairRanks(dict):
 class Codec:
     """The rank file's contents and the split pattern; encodes words and decodes ids."""
 
-    def __init__(self, rank_lines: bytes, pattern: str):
+    def __init__(self, rank_lines: bytes, pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_lines.splitlines() if line.strip())}
         size = max(self.ranks.values()) + 1
         self.tokens = [b""] * size
@@ -178,7 +179,7 @@ class Codec:
                 packed = table[word] = np.array(ids, dtype="<u4").tobytes()
                 if len(word) <= REMEMBERED_CHARS:
                     young[word] = packed
-        if len(young) > REMEMBERED:
+        if len(young) > self.remembered:
             self.young, self.old = {}, young
         return table
 
@@ -211,15 +212,15 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec_of(rank_lines: bytes, pattern: str) -> Codec:
+def codec_of(rank_lines: bytes, pattern: str, remembered: int = REMEMBERED) -> Codec:
     """A codec that lives as long as the worker process."""
     claim("bpe", _codecs.clear)
-    key = (hashlib.sha256(rank_lines).hexdigest(), pattern)
+    key = (hashlib.sha256(rank_lines).hexdigest(), pattern, remembered)
     if key not in _codecs:
-        _codecs[key] = Codec(rank_lines, pattern)
+        _codecs[key] = Codec(rank_lines, pattern, remembered)
     return _codecs[key]
 
 
@@ -256,12 +257,15 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode and digest in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256. No shuffle."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """Encode, decode and digest in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256. No shuffle.
+
+    remembered: words that a worker keeps in each generation, about 250 bytes a word; fewer take less memory and more time.
+    """
     lines = _vocabulary(docs, ranks_path)
 
     def run(batches):
-        codec = codec_of(lines.value, pattern)
+        codec = codec_of(lines.value, pattern, remembered)
         for batch in slices(batches):
             n, ids, decoded = [], [], []
             for packed in codec.encode(batch.column(1).to_pylist()):
