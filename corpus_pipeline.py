@@ -56,12 +56,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, table_of(spark, sf_dir, "labels"))
 
 
+#: Words that the tokens stage remembers: fewer than the operator's own number, since executors hold what the stages before have left.
+REMEMBERED = 140_000
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token count and the digests of its ids and of what they decode to.
 
     A null text is an empty one; repeated rows are encoded each; an empty table gives none.
     """
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, remembered=REMEMBERED)
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_copies", near_copies), ("mix", mix), ("tokens", tokens)]
