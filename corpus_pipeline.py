@@ -57,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Words that the tokens stage remembers: fewer than the operator's own number, since executors hold what the stages before have left.
-REMEMBERED = 140_000
+REMEMBERED = 100_000
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import claim, slices
+from kymo.llm.common import claim, hand_back, slices
 
 #: Words in each of the two generations that a worker remembers between blocks: when the younger is full, the older goes.
 REMEMBERED = 260_000
@@ -273,6 +273,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 ids.append(hashlib.sha256(packed).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(packed)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            hand_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

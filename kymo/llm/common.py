@@ -99,12 +99,17 @@ def claim(owner: str, forget: Callable[[], None] = lambda: None) -> None:
     if _holder and _holder[0] != owner:
         _holder[1]()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if _trim is not None:
-            _trim(0)
+        hand_back()
     _holder[:] = [owner, forget]
 
 
+def hand_back() -> None:
+    """What a worker has freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches in pieces of so many rows, so that a piece's Python objects are few."""
     for batch in batches:
