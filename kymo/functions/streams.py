@@ -24,7 +24,8 @@ def _values(column: pa.Array) -> list[Any]:
     return column.to_pylist()
 
 
-def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
+    """Rows as dictionaries, one batch of them at a time."""
     for batch in batches:
         columns = [_values(c) for c in batch.columns]
         for row in zip(*columns, strict=True):
@@ -40,7 +41,7 @@ def grouped_rows(df: DataFrame, keys: list[str], order: list[str], of: Callable[
 
     def run(batches):
         out, numbers = [], 0
-        for key, rows in itertools.groupby(_rows(batches), key=lambda r: tuple(r[k] for k in keys)):
+        for key, rows in itertools.groupby(rows_of(batches), key=lambda r: tuple(r[k] for k in keys)):
             for done in of(key, rows):
                 out.append(done)
                 numbers += sum(v.size for v in done.values() if isinstance(v, np.ndarray))

@@ -19,15 +19,17 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kymo.functions.streams import grouped_rows
 from kymo.operators.moments import (
-    Models, Moments, Plan, Unit, best_penalty, capacity_basis, cover, group_folds, lag_rows, maps, merged, models, outer_splits, projection, r2, ridge, side_by_side,
+    Dealing, Models, Moments, Plan, Unit, best_penalty, capacity_basis, cover, group_folds, lag_rows, maps, merged, models, outer_splits, projection, r2, ridge, side_by_side,
 )
+from kymo.operators.relate import ranked
 
-__all__ = ["Models", "Moments", "Plan", "Unit", "capacity_basis", "fit_reports", "fit_scores", "group_folds", "lag_rows", "merged", "outer_splits", "pooled_results", "predictions", "projection", "r2", "recording_moments", "ridge"]
+__all__ = ["Models", "Moments", "Plan", "Unit", "capacity_basis", "dealt_folds", "fit_reports", "fit_scores", "group_folds", "lag_rows", "merged", "outer_splits", "pooled_results", "predictions", "projection", "r2", "recording_moments", "ridge"]
 
 #: Splits whose maps a task holds while a unit's recordings pass by.
 SPLITS_AT_ONCE = 8
@@ -55,6 +57,33 @@ def recording_moments(frames: DataFrame, plan: Plan, unit: list[str]) -> DataFra
 
 
 
+def dealt_folds(sizes: DataFrame, folds: int) -> DataFrame:
+    """(recording_id, weight, fold) as group_folds() gives them, for any number of recordings (recording_id, weight).
+
+    The driver deals weights, not recordings: a row of (weight, how many) for each distinct weight, by levels. Where a recording comes
+    among those of its weight is ranked by ranges of ids, and its fold follows from that and the loads before.
+    """
+    counts = sorted(((int(r.weight), r.n) for r in sizes.groupBy("weight").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # distinct weights
+    k = min(folds, sum(n for _, n in counts))
+    if k < 2:
+        raise ValueError("at least two groups are needed")
+    loads, before = np.zeros(k, dtype=np.int64), []
+    for weight, n in counts:
+        before.append((weight, loads.tolist()))
+        loads = Dealing(weight, loads).after(n)
+    table = sizes.sparkSession.createDataFrame(before, "weight long, loads array<long>")  # distinct weights x folds
+
+    def fold(weight: pa.Array, loads: pa.Array, rank: pa.Array) -> pa.Array:
+        rows = pa.table({"weight": weight, "rank": rank, "at": pa.array(np.arange(len(rank)))}).to_pandas()
+        out = np.zeros(len(rows), dtype=np.int32)
+        for w, part in rows.groupby("weight"):
+            out[part["at"]] = Dealing(int(w), np.array(loads[int(part["at"].iloc[0])].as_py(), dtype=np.int64)).fold(part["rank"].to_numpy())
+        return pa.array(out)
+
+    placed = ranked(sizes.select("recording_id", F.col("weight").cast("long").alias("weight")), "recording_id", ("weight",), descending=True)
+    return placed.join(table, "weight").select("recording_id", "weight", F.arrow_udf(fold, "int")("weight", "loads", "rank").alias("fold"))
+
+
 #: Splits of a unit: from its ids and frame counts (kind, fold, training ids, held-out ids, parts), a part being ids whose moments are summed.
 Splits = Callable[[dict[str, int]], Iterable[tuple[str, int, list[str], list[str], list[list[str]]]]]
 

@@ -37,6 +37,49 @@ def group_folds(sizes: dict[str, int], folds: int) -> dict[str, int]:
     return out
 
 
+@dataclass
+class Dealing:
+    """How recordings of one weight are dealt to folds with given loads, the lightest first, the first of equally light ones.
+
+    Fold i is chosen for the m-th time at load loads[i] + m weight. Those loads, cut into whole weights and rest, come level by level: at a
+    level all folds that have reached it take one recording each, in the order of their rests.
+    """
+
+    weight: int
+    loads: np.ndarray
+
+    def __post_init__(self):
+        self.level, rest = np.divmod(self.loads, max(self.weight, 1))
+        self.order = np.lexsort((np.arange(len(rest)), rest))
+
+    def _found(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The level of the recordings so far dealt, and how many were dealt below it."""
+        start = np.sort(self.level)
+        i = np.arange(1, len(start) + 1)
+        below = i * start - np.cumsum(start)  # dealt below the level at which the i-th lowest fold joins
+        joined = np.searchsorted(below, rank, side="right")
+        level = start[joined - 1] + (rank - below[joined - 1]) // joined
+        return level, below[joined - 1] + (level - start[joined - 1]) * joined
+
+    def fold(self, rank: np.ndarray) -> np.ndarray:
+        """The fold of the recordings of these ranks, from 0."""
+        if not self.weight:
+            return np.full(len(rank), int(np.argmin(self.loads)))
+        level, before = self._found(rank)
+        taking = self.level[self.order] <= level[:, None]  # in the order in which a level's folds take
+        return self.order[(np.cumsum(taking, axis=1) <= (rank - before)[:, None]).sum(axis=1)]
+
+    def after(self, count: int) -> np.ndarray:
+        """The loads after so many recordings."""
+        if not self.weight or not count:
+            return self.loads
+        level, before = (int(x[0]) for x in self._found(np.array([count])))
+        taken = np.maximum(level - self.level, 0)
+        last = self.order[self.level[self.order] <= level][: count - before]
+        taken[last] += 1
+        return self.loads + taken * self.weight
+
+
 def outer_splits(frames: dict[str, int], sensitivity_folds: int | None = None, groups: dict[str, str] | None = None) -> list[tuple[str, int, list[str], list[str]]]:
     """(kind, fold, training ids, held-out ids): each recording held out once, then folds of whole groups."""
     ids = sorted(frames)

@@ -100,3 +100,26 @@ def complete_layers(activations: DataFrame) -> DataFrame:
     n = activations.agg(F.count_distinct("recording_id").alias("all"))
     layers = activations.groupBy("layer").agg(F.count_distinct("recording_id").alias("n")).crossJoin(n)  # one row
     return layers.withColumn("_ok", F.assert_true(F.col("n") == F.col("all"), F.lit("recordings have different layers"))).where("_ok is null").select("layer").orderBy("layer")
+
+
+#: Rows of the sample that places the cuts of ranked(), and cuts.
+CUT_SAMPLE, CUTS = 4_096, 64
+
+
+def ranked(rows: DataFrame, order: str, within: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+    """rows with their rank, from 0, in the order of a column whose values differ, among the rows that agree in within.
+
+    Rows are cut into ranges of that column at values of a bounded sample, counted, and numbered within their range from the number of those
+    before it: no window holds more than a range of a group. Where the cuts lie makes the ranges even and changes no rank.
+    """
+    sample = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(CUT_SAMPLE).collect())
+    cuts = sorted({sample[i] for i in range(len(sample) // CUTS, len(sample), max(1, len(sample) // CUTS))})
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    cut = rows.withColumn("_range", F.coalesce(place, F.lit(-1)))
+    keys = [*within, "_range"]
+    by = Window.partitionBy(*within).orderBy(F.col("_range").desc() if descending else F.col("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(by), F.lit(0))).drop("_n")  # a row for each range
+    one = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc() if descending else F.col(order)))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    joined = cut.withColumn("_one", one).alias("c").join(before.alias("b"), same)
+    return joined.select(*[F.col(f"c.{c}") for c in rows.columns], (F.col("b._before") + F.col("c._one") - 1).alias("rank"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,9 +125,23 @@ def storage_bytes(recordings: DataFrame, rate: float, layers: int, width: int, i
 
 
 def manifest_sha256(manifest: DataFrame, columns: list[str]) -> DataFrame:
-    """SHA-256 of the sorted rows' text; for manifests, which are small."""
+    """SHA-256 of the sorted rows' text, a row a line.
+
+    A digest of this kind has one reader: rows are made and sorted to it by the engine, which spills, and run through the digest a batch
+    at a time, none kept. A null is an empty text; an empty table has the digest of nothing.
+    """
     row = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return manifest.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(row))), 256).alias("sha256"))
+
+    def digest(batches):
+        done, any_row = hashlib.sha256(), False
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                done.update((b"\n" if any_row else b"") + text.encode())
+                any_row = True
+        yield pa.RecordBatch.from_arrays([pa.array([done.hexdigest()])], ["sha256"])
+
+    done = manifest.select(row.alias("row")).repartition(1).sortWithinPartitions("row").mapInArrow(digest, "sha256 string")
+    return done.agg(F.coalesce(F.max("sha256"), F.lit(hashlib.sha256().hexdigest())).alias("sha256"))  # a table without rows may have no partition
 
 
 def family_order(effects: DataFrame) -> DataFrame:

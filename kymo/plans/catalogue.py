@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kymo.functions.canonical import json_entries
 from kymo.functions.scalars import first_failure, is_finite, nearest_frame, rounded, worst
 from kymo.operators import audio as audio_features
-from kymo.operators import checks, encode, grid, infer, lags, nulls, relate, summary
+from kymo.operators import adapters, checks, encode, grid, infer, lags, nulls, relate, summary
 from kymo.plans import stand_ins as S
 from kymo.plans.stand_ins import EVENTS_SQL, FRAMES, GRID_SQL, INTERVALS_SQL, RATE, USERS_SQL, events, intervals, recordings, table
 from kymo.schema import FAMILIES
@@ -263,6 +263,25 @@ def wav_samples(spark, sf_dir):
     return done.select("recording_id", F.col("n_samples").cast("int").alias("n"), rounded(total(lambda v: v.cast("double"))).alias("total"), rounded(total(lambda v: v.cast("double") * v.cast("double"))).alias("energy"), rounded(F.element_at("samples", -1).cast("double")).alias("last"))
 
 
+_UP, _DOWN, _HALF = 8, 5, audio.HALF_CROSSINGS * 8
+#: The windowed sinc filter in SQL; the modified Bessel function by its series.
+_FILTER = f"""bessel as (select t, sqrt(1 - pow(t / {_HALF}e0, 2)) * {audio.KAISER_BETA}e0 as z from (select unnest(generate_series({-_HALF}, {_HALF})) as t)),
+raw as (select t, (case when t = 0 then 1 else sin(pi() * t / 8e0) / (pi() * t / 8e0) end) * list_sum(list_transform(generate_series(0, 40), lambda k: pow(z / 2, 2 * k) / pow(gamma(k + 1e0), 2))) as h from bessel),
+taps as (select list(h * {_UP} / (select sum(h) from raw) order by t) as h from raw)"""
+
+
+@query(f"""with {_WAVES}, x as (select k, i, (((k * 31 + i * i * 17 + i * 7) % 65536) - 32768) / 32768e0 as a, (((k * 13 + i * 101) % 65536) - 32768) / 32768e0 as b, channels from sm),
+m as (select k, list((case when channels = 2 then (a + b) / 2 else a end)::double order by i) as x, count(*)::int as n from x group by k), {_FILTER},
+o as (select k, n, x, unnest(generate_series(0, (n * {_UP} + {_DOWN - 1}) // {_DOWN} - 1)) as i from m),
+y as (select k, i, coalesce(list_sum(list_transform(generate_series(greatest(0, (i * {_DOWN} - {_HALF} + {_UP - 1}) // {_UP}), least(n - 1, (i * {_DOWN} + {_HALF}) // {_UP})), lambda j: x[j + 1] * h[(i * {_DOWN} + {_HALF} - j * {_UP} + 1)::int])), 0)::float::double as v from o, taps)
+select k::varchar as recording_id, count(*)::int as n, {_r("sum(v)")} as total, {_r("sum(v * v)")} as energy, {_r("max_by(v, i)")} as last from y group by k""")
+def resampled_samples(spark, sf_dir):
+    """Decoded samples, channels averaged, resampled from 1,000 to 1,600 a second by a polyphase filter."""
+    done = audio.standardised(_wave_files(spark, sf_dir), 1_600)
+    total = lambda f: F.aggregate(F.transform("samples", f), F.lit(0.0), lambda s, v: s + v)
+    return done.select("recording_id", F.col("n_samples").cast("int").alias("n"), rounded(total(lambda v: v.cast("double"))).alias("total"), rounded(total(lambda v: v.cast("double") * v.cast("double"))).alias("energy"), rounded(F.element_at("samples", -1).cast("double")).alias("last"))
+
+
 _CATEGORIES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -285,6 +304,28 @@ def circular_shift_sparse(spark, sf_dir):
     return lags.circular_shift_sparse(cells, offsets).select("recording_id", F.col("frame").cast("int").alias("frame"), "value")
 
 
+class _Letters:
+    """Stands for a text model: a piece for each letter, whose state is its code."""
+
+    unknown, longest = 0, 10**6
+
+    def pieces(self, words):
+        return [ord(c) for w in words for c in w], [n for n, w in enumerate(words) for _ in w]
+
+    def encode(self, ids):
+        return {"layer_00_embeddings": np.array(ids, dtype=float)[:, None]}
+
+
+@query(f"""with {EVENTS_SQL}, {USERS_SQL}, {GRID_SQL}, {INTERVALS_SQL}, wd as (select *, list_avg(list_transform(string_split(label, ''), lambda c: ascii(c)::double)) as code from iv where tier = 'words' and trim(label) <> ''),
+held as (select g.recording_id, g.frame, max_by(w.code, w.interval_idx) as code from grid g join wd w on g.recording_id = w.recording_id and g.frame / (1e0 / 3600e0) >= w.start and g.frame / (1e0 / 3600e0) < w."end" group by all)
+select g.recording_id, g.frame, {_r("coalesce(h.code, 0e0)::float::double")} as state from grid g left join held h using (recording_id, frame)""")
+def text_activations(spark, sf_dir):
+    """States of words, a task with one model, held over their words on the grid; users stand for recordings."""
+    words = intervals(spark, sf_dir).select("recording_id", "interval_idx", "tier", "start", "end", "label")
+    done, _ = adapters.text_activations(words, recordings(spark, sf_dir), _Letters, gap=7200.0, rate=RATE)
+    return done.select("recording_id", "frame", rounded(F.get("y", F.lit(0)).cast("double")).alias("state"))
+
+
 # --- checks
 
 
@@ -583,6 +624,11 @@ def manifest_sha256(spark, sf_dir):
     return summary.manifest_sha256(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
 
 
+@query("select sha256(string_agg(r, chr(10) order by r)) as sha256 from (select o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || o_orderpriority as r from orders)")
+def manifest_sha256_large(spark, sf_dir):
+    return summary.manifest_sha256(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
 @query(f"with {_EFFECTS}, e as (select model, family, avg(delta_r2) as effect from cells group by all) select model, string_agg(family, '>' order by effect desc, family) as family_order from e group by all")
 def family_order(spark, sf_dir):
     _, cells, _ = _scores(spark, sf_dir)
@@ -603,10 +649,9 @@ def middle_layer(spark, sf_dir):
 
 def _cells(spark, sf_dir, most: int) -> DataFrame:
     """(recording_id, cell): all users dealt by rank into cells of equal size, but for one, and at most so many."""
-    ids = recordings(spark, sf_dir).select(F.col("recording_id").cast("long").alias("id")).orderBy("id")
-    ranked = spark.createDataFrame(ids.rdd.map(lambda r: r.id).zipWithIndex(), "id long, rank long")  # no partition holds all ids
+    ids = recordings(spark, sf_dir).select(F.col("recording_id").cast("long").alias("id"))
     cells = max(1, -(-ids.count() // most))
-    return ranked.select(F.col("id").cast("string").alias("recording_id"), (F.col("rank") % cells).cast("int").alias("cell"))
+    return relate.ranked(ids, "id").select(F.col("id").cast("string").alias("recording_id"), (F.col("rank") % cells).cast("int").alias("cell"))
 
 
 def _cells_sql(most: int) -> str:
@@ -705,8 +750,7 @@ union all select o.k, list_transform(st.load, lambda x, i: case when i = list_po
 select recording_id, fold::int as fold, weight from st where k > 0""")
 def group_folds(spark, sf_dir):
     """Grouped folds of users weighed by their events, and each fold's load."""
-    sizes = {r.recording_id: r.n for r in events(spark, sf_dir).groupBy("recording_id").agg(F.count("*").alias("n")).collect()}  # a row for each recording; the lightest fold so far is taken in turn
-    return spark.createDataFrame([(i, f, sizes[i]) for i, f in encode.group_folds(sizes, 5).items()], "recording_id string, fold int, weight long")
+    return encode.dealt_folds(events(spark, sf_dir).groupBy("recording_id").agg(F.count("*").alias("weight")), 5).select("recording_id", "fold", "weight")
 
 
 # --- encoding

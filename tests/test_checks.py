@@ -151,3 +151,33 @@ def test_depth_layers_and_summary(spark):
     got = {r.model: (r.input, r.middle, r.final) for r in summary.depth_layers(spark.createDataFrame(rows, "model string, layer string, layer_idx int")).collect()}
     assert got == {"m": ("layer_00_input", "layer_06", "layer_12"), "n": ("input", "encoder_1", "encoder_3")}
     assert summary.storage_bytes(length(spark, 10), 50, 3, 4, 2).first().bytes == 12_000
+
+
+def test_ranks_by_ranges(spark, monkeypatch):
+    import random
+
+    from kymo.operators import relate
+
+    rng = random.Random(1)
+    rows = [(f"g{rng.randrange(3)}" if rng.random() < 0.95 else None, i) for i in rng.sample(range(10_000), 500)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    for sample, cuts in ((4_096, 64), (10, 3), (1, 1)):
+        monkeypatch.setattr(relate, "CUT_SAMPLE", sample)
+        monkeypatch.setattr(relate, "CUTS", cuts)
+        order = sorted(v for _, v in rows)
+        assert {r.v: r["rank"] for r in relate.ranked(df, "v").collect()} == {v: n for n, v in enumerate(order)}
+        got = {(r.g, r.v): r["rank"] for r in relate.ranked(df, "v", ("g",), descending=True).collect()}
+        assert got == {(g, v): sum(h == g and w > v for h, w in rows) for g, v in rows}
+    assert relate.ranked(df.limit(0), "v").collect() == []
+
+
+def test_manifest_digest_is_that_of_its_text(spark):
+    import hashlib
+
+    from kymo.operators import summary
+
+    rows = [(i, None if i % 7 == 0 else f"ü{i}") for i in range(3_000)]
+    df = spark.createDataFrame(rows, "i int, s string").repartition(5)
+    want = hashlib.sha256("\n".join(sorted((f"{i},{s or ''}" for i, s in rows), key=str.encode)).encode()).hexdigest()
+    assert summary.manifest_sha256(df, ["i", "s"]).first().sha256 == want
+    assert summary.manifest_sha256(df.limit(0), ["i"]).first().sha256 == hashlib.sha256(b"").hexdigest()

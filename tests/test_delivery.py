@@ -155,3 +155,41 @@ def test_pilot_and_scope_commands(spark, tmp_path):
     (tmp_path / "fewer.csv").write_text("model,layer,layer_idx\n" + "\n".join(every.split("\n")[:-2]) + "\n")
     assert cli.main(["check-scope", "--layers", str(tmp_path / "fewer.csv"), "--tasks", str(tmp_path / "tasks")]) == 2
     assert plan.components == 2
+
+
+def test_a_delivery_from_units_by_one_command(spark, tmp_path):
+    """All tables from published units; afterwards only what a changed variant feeds is made again."""
+    import shutil
+
+    from kymo.plans import deliver
+
+    rows, families = jobs.synthetic_recordings(spark, 4, 2.0)
+    rows = rows.persist()
+    root, out = str(tmp_path / "fits"), str(tmp_path / "out")
+    plan = encode.Plan(families, components=2, inner_folds=2, sensitivity_folds=2, alphas=(1.0, 10.0))
+    loro = encode.Plan(families, components=2, inner_folds=2, alphas=(1.0, 10.0))
+    jobs.fit(rows, plan, "original", root, {})
+    for v in handoff.CONTROLS:
+        jobs.fit(rows, loro, v, root, {})
+    jobs.fit_nulls(rows, encode.Plan(families, inner_folds=2, rate=5.0, alphas=(1.0, 10.0)), root, {}, [0, 1], zero_seconds=2.0)
+    (tmp_path / "layers.csv").write_text("model,layer,layer_idx\nsynthetic,layer_01,1\n")
+    (tmp_path / "features.json").write_text('{"bands": [1, 2]}')
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("fine\nan error here\n")
+    args = ["deliver", "--fits", root, "--layers", str(tmp_path / "layers.csv"), "--feature-settings", str(tmp_path / "features.json"), "--out", out, "--logs", str(tmp_path / "logs"), "--recordings", "4", "--reference", "synthetic", "--primary", "original", "--null-variant", "null"]
+    assert cli.main([*args, "--nulls", "2"]) == 0
+    table = lambda name: deliver.delivered(spark, out, name)
+    assert table("primary_inference").count() == 5 and table("structured_null_inference").count() == 3 and table("warnings_errors").first().line == 2
+    assert {(r.variant, r.state) for r in deliver.unit_states(spark, root).select("variant", "state").distinct().collect()} == {(v, "complete") for v in (None, "original", *handoff.CONTROLS)}
+    layers = spark.createDataFrame([("synthetic", "layer_01")], "model string, layer string")
+    again = lambda draws: deliver.deliver(spark, root, out, layers, {"bands": [1, 2]}, 4, draws, "synthetic", ("original", "sensitivity"), nulls="null", logs=str(tmp_path / "logs"), seed=17, resamples=10_000)
+    assert set(again(2).values()) == {"resumed"} and len(again(2)) == 37
+    # one lost table, and one variant fitted anew
+    shutil.rmtree(tmp_path / "out" / "table=primary_inference")
+    assert [n for n, state in again(2).items() if state != "resumed"] == ["primary_inference"]
+    shutil.rmtree(tmp_path / "fits" / "variant=zero_lag")
+    jobs.fit(rows, loro, "zero_lag", root, {})
+    done = again(2)
+    assert {n for n, state in done.items() if state == "resumed"} == {n for n in handoff.TABLES if deliver.made_from(n, "original", "original", "null") is not None and not n.startswith("zero_lag")}
+    # a draw more than there is
+    assert again(3)["missing_incomplete_units"] == "repaired" and [(r.component, r.null_index, r.reason) for r in table("missing_incomplete_units").collect()] == [("null", 2, "missing")]

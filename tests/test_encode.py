@@ -202,3 +202,25 @@ def test_large_units_equal_fits_in_memory(spark, options):
             want = u.prepared(splits[r.split_kind, r.outer_fold][0], [])[3]
             assert r.coverage == pytest.approx(want["coverage"]) and r.capacity_rank == (want["capacity"] or {}).get("rank")
     moments.unpersist()
+
+
+def test_dealing_by_weights_equals_dealing_one_by_one(spark):
+    from kymo.operators.moments import Dealing
+
+    rng = np.random.default_rng(3)
+    for k in (2, 3, 5):
+        for weight in (0, 1, 4, 50):
+            loads = rng.integers(0, 60, k)
+            one, want = loads.copy(), []
+            for _ in range(70):
+                f = int(np.argmin(one))
+                one[f] += weight
+                want.append(f)
+            d = Dealing(weight, loads)
+            assert d.fold(np.arange(70)).tolist() == want and d.after(70).tolist() == one.tolist() and d.after(0).tolist() == loads.tolist()
+    for n, weights in ((2, [5]), (40, [3]), (200, range(20)), (150, range(1000))):
+        sizes = {f"r{i:03d}" if i % 2 else f"x{i}": int(rng.choice(list(weights))) for i in range(n)}
+        df = spark.createDataFrame(list(sizes.items()), "recording_id string, weight long")
+        assert {r.recording_id: r.fold for r in encode.dealt_folds(df, 4).collect()} == encode.group_folds(sizes, 4)
+    with pytest.raises(ValueError):
+        encode.dealt_folds(spark.createDataFrame([("a", 1)], "recording_id string, weight long"), 3)
