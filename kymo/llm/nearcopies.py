@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import claim, discard, group_starts, partitions, slices, spread_join, stored, whole_groups
+from kymo.llm.common import claim, discard, group_starts, hand_back, partitions, slices, spread_join, stored, whole_groups
 from kymo.llm.components import components
 
 #: Words of a shingle; similarity in percent from which sets are linked: where no contract says otherwise, and by op10's.
@@ -136,6 +136,8 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(d, dtype=np.uint64).view(np.int64)) for d in (first, second)), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "signature"]
         )
+    _hashes.clear()  # an idle worker holds little
+    hand_back()
 
 
 def _postings(batches, chunks: int, most: int):
@@ -147,6 +149,7 @@ def _postings(batches, chunks: int, most: int):
         signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, PLACES)
         keys = signature_keys(signs, chunks, most).astype(np.int64).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), width))], ["key", "id"])
+    hand_back()
 
 
 class Forest:
@@ -229,6 +232,7 @@ def _near_by_signature(batches, percent: int, most: int):
                     found_b.append(cols["id"][at[:, 1]])
         if found_a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+    hand_back()
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -268,6 +272,7 @@ def _settled(batches, percent: int):
             ids.append(i.as_py())
             linked.append(_is_linked(first, shingles, percent))
         yield pa.RecordBatch.from_arrays([pa.array(family, pa.int64()), pa.array(ids, pa.int64()), pa.array(linked, pa.bool_())], ["family", "id", "linked"])
+    hand_back()
 
 
 def _confirmed(batches, percent: int):
@@ -296,6 +301,7 @@ def _confirmed(batches, percent: int):
                     b.append(int(names[j]))
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    hand_back()
 
 
 def _sets(batches):
@@ -303,6 +309,8 @@ def _sets(batches):
     for batch in slices(batches):
         raw = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("family"), pa.array(raw, pa.binary())], ["id", "family", "shingles"])
+    _hashes.clear()  # an idle worker holds little
+    hand_back()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
