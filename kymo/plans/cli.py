@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kymo.functions.canonical import json_sha256
 from kymo.operators import adapters, encode, quality, summary
 from kymo.operators.grid import resample_linear
-from kymo.plans import contract, deliver, handoff, jobs, scope
+from kymo.plans import contract, deliver, handoff, jobs, pins, scope
 from kymo.sources import publish, tables
 
 
@@ -53,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     command("check-scope", "--layers", "--tasks")
     command("scope-summary", "--fits", "--out", recordings=12, variant="original")
     command("pilot", "--fits", "--layers", "--manifest", "--out", nulls=20)
+    command("check-settings", "--settings")
     command("deliver", "--fits", "--layers", "--feature-settings", "--out", logs=None, recordings=12, nulls=100, reference="hubert_base", primary="primary_fast_refits", null_variant="null_fixed_alpha", seed=17, resamples=10_000)
     command("model-quality", "--documents", "--models", "--extracted", "--manifest", "--activations", "--out")
     command("refit", "--features", "--activations", "--settings", "--results", "--source-contract", "--contract", "--out", model=None)
@@ -198,6 +199,13 @@ def pilot(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0 if found.isEmpty() else 2
 
 
+def check_settings(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Whether settings are the pinned ones of the revision."""
+    found = list(pins.settings_problems(tables.load_settings(args.settings)))
+    print("\n".join(f"{where}: {found!r} instead of {wanted!r}" for where, wanted, found in found) or "ok")
+    return 2 if found else 0
+
+
 def make_delivery(spark: SparkSession, args: argparse.Namespace) -> int:
     """All tables of a delivery from the units under fits; only those whose units or settings changed are made."""
     done = deliver.deliver(
@@ -233,7 +241,7 @@ def refit(spark: SparkSession, args: argparse.Namespace) -> int:
 
 MORE = {
     "run-model": run_model, "fit-layer": fit_layer, "freeze-reference": freeze_reference, "compare-models": compare_models, "scope": resolve_scope, "check-scope": check_scope, "scope-summary": scope_summary,
-    "pilot": pilot, "deliver": make_delivery, "model-quality": model_quality, "refit": refit,
+    "pilot": pilot, "deliver": make_delivery, "check-settings": check_settings, "model-quality": model_quality, "refit": refit,
 }
 
 
