@@ -687,16 +687,17 @@ def sign_flip_exact(spark, sf_dir):
     return done.select("cell", "family", rounded("effect").alias("effect"), "extreme", "assignments", rounded("p_value").alias("p_value"))
 
 
-def _draws(slots: int = 64) -> np.ndarray:
-    """Bootstrap draws that SQL can make as well, a row each; slot j of n recordings is the number at j, modulo n."""
-    d, j = np.arange(infer.LEAST_RESAMPLES, dtype=np.int64)[:, None], np.arange(slots, dtype=np.int64)
-    return (d * 7919 + j * 104729 + 12345) * 2654435761 % 2**32 // 2**16
+def _draws_sql(sizes: tuple[int, ...] = tuple(range(1, 13)), seed: int = 17) -> str:
+    """The bootstrap's draws as a table for cells of those sizes, a letter for each slot: NumPy's generator has no like in SQL. A cell has at most twelve users."""
+    rows = []
+    for n in sizes:
+        letters = np.array([chr(97 + i) for i in range(n)])
+        rows.append(f"({n}, '{''.join(letters[infer.drawn_slots(n, infer.LEAST_RESAMPLES, seed)].ravel().tolist())}')")
+    return f"drawn(n, letters) as (values {', '.join(rows)}), draws as (select n, list_transform(generate_series(1, n), lambda j: ord(s[j]) - 96) as slots from (select n, unnest(regexp_extract_all(letters, '.{{' || n || '}}')) as s from drawn))"
 
 
-_BOOT = f"""draws as (select generate_series as d from generate_series(0, {infer.LEAST_RESAMPLES - 1})),
-slotted as (select cell, family, v, w, list_transform(generate_series(0, len(v) - 1), lambda j: ((d * 7919 + j * 104729 + 12345) * 2654435761 % 4294967296 // 65536 % len(v) + 1)::int) as slots from v cross join draws),
-bo as (select cell, family, list_reduce(list_transform(slots, lambda j: v[j]), lambda a, b: a + b) / len(v) as m,
-list_reduce(list_transform(slots, lambda j: v[j] * w[j]), lambda a, b: a + b) / list_reduce(list_transform(slots, lambda j: w[j]), lambda a, b: a + b) as mw from slotted),
+_BOOT = f"""{_draws_sql()}, bo as (select cell, family, list_reduce(list_transform(slots, lambda j: v[j]), lambda a, b: a + b) / len(v) as m,
+list_reduce(list_transform(slots, lambda j: v[j] * w[j]), lambda a, b: a + b) / list_reduce(list_transform(slots, lambda j: w[j]), lambda a, b: a + b) as mw from v join draws on n = len(v)),
 ci as (select cell, family, quantile_cont(m, 0.025) as ci_low, quantile_cont(m, 0.975) as ci_high, quantile_cont(mw, 0.025) as wci_low, quantile_cont(mw, 0.975) as wci_high from bo group by all)"""
 
 
@@ -710,8 +711,8 @@ def bh_adjust(spark, sf_dir):
 
 @query(f"""{_FLIPS}, {_BOOT} select cell, family, {_r("ci_low")} as ci_low, {_r("ci_high")} as ci_high from ci""")
 def bootstrap_intervals(spark, sf_dir):
-    """Intervals of every cell of users, whatever its size, from given draws."""
-    done = infer.bootstrap_interval(infer.value_arrays(_celled_effects(spark, sf_dir), ["cell", "family"]), ["cell", "family"], draws=_draws())
+    """Intervals of every cell of users, whatever its size, from NumPy's draws."""
+    done = infer.bootstrap_interval(infer.value_arrays(_celled_effects(spark, sf_dir), ["cell", "family"]), ["cell", "family"], seed=17)
     return done.select("cell", "family", rounded("ci_low").alias("ci_low"), rounded("ci_high").alias("ci_high"))
 
 
@@ -723,7 +724,7 @@ from fl join q using (cell, family) join we using (cell, family) join ci using (
 def group_inference(spark, sf_dir):
     """Sign flips, both intervals and adjusted p over the five families of each model; every cell of users is one, of eleven or twelve users as a rule."""
     effects = _celled_effects(spark, sf_dir).withColumns({"model": F.concat(F.lit("m"), "cell"), "layer": F.lit("l")})
-    done = infer.infer(effects, ["model", "family"], ["model"], "users", draws=_draws())
+    done = infer.infer(effects, ["model", "family"], ["model"], "users", seed=17)
     return done.select("model", "family", "recordings", "n_positive", "n_negative", "extreme", *[rounded(c).alias(c) for c in ("effect", "p_value", "q_value", "weighted_effect", "ci_low", "ci_high", "weighted_ci_low", "weighted_ci_high")])
 
 
