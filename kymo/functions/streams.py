@@ -16,6 +16,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 ROWS_AT_ONCE, NUMBERS_AT_ONCE = 1_000, 4_000_000
 
 
+#: Tasks for each core in a shuffle before Python.
+TASKS_A_CORE = 3
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df shuffled by keys to a stated number of tasks: adaptive execution would join them by their bytes, to one task often, where the work is in the tasks."""
+    return df.repartition(TASKS_A_CORE * max(df.sparkSession.sparkContext.defaultParallelism, 2), *keys)
+
+
 def _values(column: pa.Array) -> list[Any]:
     """Python values; lists of numbers as NumPy arrays, null as None."""
     if pa.types.is_list(column.type) and not pa.types.is_nested(column.type.value_type) and not pa.types.is_string(column.type.value_type):
@@ -51,4 +60,9 @@ def grouped_rows(df: DataFrame, keys: list[str], order: list[str], of: Callable[
         if out:
             yield batch(out)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def matrix_of(frames: pa.ListScalar) -> np.ndarray:
+    """A list of equally long lists of numbers as a matrix."""
+    return frames.values.flatten().to_numpy(zero_copy_only=False).reshape(len(frames.values), -1)

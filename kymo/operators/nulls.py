@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kymo.functions.streams import matrix_of, spread
 from kymo.operators.lags import shift_of
 from kymo.operators.moments import Moments, Plan
 from kymo.schema import SUBSTANTIVE
@@ -63,19 +64,32 @@ def null_moments(frames: DataFrame, offsets: DataFrame, plan: Plan, unit: list[s
     """Moments of each (unit, null_index, recording) of frames (unit columns, recording_id, frame, x, y) under offsets (null_index, recording_id, family, offset_frames).
 
     Offsets come as a row beside a recording's frames, which are shuffled once; no draw moves any. A task holds one recording and one
-    block of draws' moments.
+    block of draws' moments. Frames may be a row for each recording, without the column frame, x and y being arrays of its frames' arrays: then they are not sorted either.
     """
     moving = [f for f in shifted if f in plan.families]
     draws = offsets.groupBy(F.col("recording_id").cast("string").alias("recording_id"), "null_index").agg(F.map_from_entries(F.collect_list(F.struct("family", "offset_frames"))).alias("by"))
     listed = draws.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct(F.col("null_index").cast("int").alias("null_index"), F.array(*[F.element_at("by", F.lit(f)).cast("int") for f in moving]).alias("by")))).alias("draws"))
     keys = [*unit, "recording_id"]
-    typed = frames.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col("frame").cast("int").alias("frame"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
-    first = typed.groupBy(*keys).agg(F.min("frame").alias("frame")).join(listed, "recording_id").select(*keys, "frame", F.col("draws.null_index").alias("draws"), F.flatten("draws.by").alias("by"))
     family = [moving.index(f) if f in moving else len(moving) for f in plan.families]
     lags = [shift_of(lag, plan.rate) for lag in plan.lags]
 
+    names = [*keys, "null_index", "n", "mean", "cross", "raw_n", "raw_mean", "raw_cross"]
     schema = "".join(f"{k} string, " for k in keys) + "null_index int, n bigint, mean array<double>, cross array<double>, raw_n bigint, raw_mean array<double>, raw_cross array<double>"
 
+    def moments_of(x: np.ndarray, y: np.ndarray, draws: np.ndarray, shifts: np.ndarray, key: list[pa.Scalar]) -> Iterator[pa.RecordBatch]:
+        by = np.append(shifts.reshape(len(draws), len(moving)), np.zeros((len(draws), 1), dtype=np.int64), axis=1)[:, family].astype(np.int64)
+        raw = shifted_moments(x, y[:, :0], by, [0]) if plan.capacity else iter(())
+        for draw, m in zip(draws, shifted_moments(x, y, by, lags), strict=True):
+            r = next(raw, Moments(0, np.zeros(0), np.zeros((0, 0))))
+            moments = [pa.array([v], kind) for v, kind in ((m.n, pa.int64()), (m.mean, _LIST), (m.cross.ravel(), _LIST), (r.n, pa.int64()), (r.mean, _LIST), (r.cross.ravel(), _LIST))]
+            yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], pa.string()) for k in key), pa.array([draw], pa.int32()), *moments], names)
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = lambda c: c.values.to_numpy(zero_copy_only=False)
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from moments_of(matrix_of(b["x"][i]), matrix_of(b["y"][i]), whole(b["draws"][i]), whole(b["by"][i]), [b[k][i] for k in keys])
+
     def of(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches).sort_by("frame")
         matrix = lambda c: rows[c].combine_chunks().drop_null().flatten().to_numpy(zero_copy_only=False)
@@ -84,12 +98,14 @@ def null_moments(frames: DataFrame, offsets: DataFrame, plan: Plan, unit: list[s
         if not n or not len(draws):
             return
         x, y = matrix("x").reshape(n, -1), matrix("y").reshape(n, -1)
-        by = np.append(matrix("by").reshape(len(draws), len(moving)), np.zeros((len(draws), 1), dtype=np.int64), axis=1)[:, family].astype(np.int64)
-        raw = shifted_moments(x, y[:, :0], by, [0]) if plan.capacity else iter(())
-        for draw, m in zip(draws, shifted_moments(x, y, by, lags), strict=True):
-            r = next(raw, Moments(0, np.zeros(0), np.zeros((0, 0))))
-            moments = [pa.array([v], kind) for v, kind in ((m.n, pa.int64()), (m.mean, _LIST), (m.cross.ravel(), _LIST), (r.n, pa.int64()), (r.mean, _LIST), (r.cross.ravel(), _LIST))]
-            yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], pa.string()) for k in key), pa.array([draw], pa.int32()), *moments], [*keys, "null_index", "n", "mean", "cross", "raw_n", "raw_mean", "raw_cross"])
+        yield from moments_of(x, y, draws, matrix("by"), list(key))
 
-    done = typed.unionByName(first, allowMissingColumns=True).groupBy(*keys).applyInArrow(of, schema)
+    offered = lambda rows, *more: rows.join(spread(listed, "recording_id").hint("shuffle_hash"), "recording_id").select(*keys, *more, F.col("draws.null_index").alias("draws"), F.flatten("draws.by").alias("by"))
+    many = "array<double>" if "frame" in frames.columns else "array<array<double>>"
+    typed = frames.select(*[F.col(k).cast("string").alias(k) for k in keys], *[F.col("frame").cast("int").alias("frame")] * ("frame" in frames.columns), F.col("x").cast(many).alias("x"), F.col("y").cast(many).alias("y"))
+    if "frame" in frames.columns:
+        first = offered(typed.groupBy(*keys).agg(F.min("frame").alias("frame")), "frame")
+        done = spread(typed.unionByName(first, allowMissingColumns=True), *keys).groupBy(*keys).applyInArrow(of, schema)
+    else:
+        done = offered(typed.where(F.size("x") > 0), "x", "y").mapInArrow(of_rows, schema)
     return done.select(*unit, F.col("null_index").cast("string").alias("null_index"), *[c for c in done.columns if c not in (*unit, "null_index")])
