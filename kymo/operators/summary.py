@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kymo.functions.scalars import is_finite, nan_to_null
+from kymo.functions.streams import TASKS_A_CORE
+
+#: Sorted rows of a manifest that are handed to its digest together.
+ROWS_A_PACKAGE = 10_000
 
 
 def layer_summary(results: DataFrame) -> DataFrame:
@@ -127,20 +133,32 @@ def storage_bytes(recordings: DataFrame, rate: float, layers: int, width: int, i
 def manifest_sha256(manifest: DataFrame, columns: list[str]) -> DataFrame:
     """SHA-256 of the sorted rows' text, a row a line.
 
-    A digest of this kind has one reader: rows are made and sorted to it by the engine, which spills, and run through the digest a batch
-    at a time, none kept. A null is an empty text; an empty table has the digest of nothing.
+    A digest of this kind has one reader. Rows are sorted in ranges, many tasks at once, and packed there; the reader gets a row for each
+    package, in order, and holds the packages of one batch. A null is an empty text; an empty table has the digest of nothing.
     """
     row = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
+    def pack(batches):
+        at, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for s in range(0, len(texts), ROWS_A_PACKAGE):
+                packed = zlib.compress("".join(t + "\n" for t in texts[s : s + ROWS_A_PACKAGE]).encode(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([packed], pa.binary())], ["part", "at", "packed"])
+                at += 1
+
     def digest(batches):
-        done, any_row = hashlib.sha256(), False
+        done, end = hashlib.sha256(), b""
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                done.update((b"\n" if any_row else b"") + text.encode())
-                any_row = True
+            for packed in batch.column(0):
+                text = zlib.decompress(packed.as_py())
+                done.update(end + text[:-1])
+                end = b"\n"
         yield pa.RecordBatch.from_arrays([pa.array([done.hexdigest()])], ["sha256"])
 
-    done = manifest.select(row.alias("row")).repartition(1).sortWithinPartitions("row").mapInArrow(digest, "sha256 string")
+    tasks = TASKS_A_CORE * max(manifest.sparkSession.sparkContext.defaultParallelism, 2)
+    packages = manifest.select(row.alias("row")).repartitionByRange(tasks, "row").sortWithinPartitions("row").mapInArrow(pack, "part int, at long, packed binary")
+    done = packages.repartition(1).sortWithinPartitions("part", "at").select("packed").mapInArrow(digest, "sha256 string")
     return done.agg(F.coalesce(F.max("sha256"), F.lit(hashlib.sha256().hexdigest())).alias("sha256"))  # a table without rows may have no partition
 
 

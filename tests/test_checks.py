@@ -181,3 +181,13 @@ def test_manifest_digest_is_that_of_its_text(spark):
     want = hashlib.sha256("\n".join(sorted((f"{i},{s or ''}" for i, s in rows), key=str.encode)).encode()).hexdigest()
     assert summary.manifest_sha256(df, ["i", "s"]).first().sha256 == want
     assert summary.manifest_sha256(df.limit(0), ["i"]).first().sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_large_manifest_is_sorted_in_ranges(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(summary, "ROWS_A_PACKAGE", 100)
+    df = spark.range(2_500).selectExpr("id * 7919 % 2500 as i", "'a\\nb' as s")
+    done = summary.manifest_sha256(df, ["i", "s"])
+    assert done.first().sha256 == hashlib.sha256("\n".join(sorted(f"{i},a\nb" for i in range(2_500))).encode()).hexdigest()
+    assert "rangepartitioning(row" in done._jdf.queryExecution().toString()
