@@ -138,3 +138,17 @@ def test_cells_of_many_sizes_in_one_pass(spark):
     for bad in ({"resamples": 9_999}, {"confidence": 1.0}):
         with pytest.raises(ValueError):
             infer.Resampling(**bad)
+
+
+def test_resampled_means_are_held_once():
+    import tracemalloc
+
+    values = np.random.default_rng(2).normal(size=(512, 12))
+    plan = infer.Resampling(seed=17)
+    tracemalloc.start()
+    found = plan.intervals(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 8 * plan.resamples * len(values)
+    want = np.quantile(np.concatenate([c @ values.T / 12 for c in plan.counts(12)]), [0.025, 0.975], axis=0).T
+    np.testing.assert_allclose(found, want, atol=1e-12)
