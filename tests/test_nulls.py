@@ -83,3 +83,26 @@ def test_each_draw_is_a_unit_of_its_own(spark, recordings, tmp_path):
     assert jobs.fit_nulls(recordings, plan, root, {}, [0, 1, 2, 3]) == "resumed"
     (tmp_path / "variant=null/model=m/layer=a/null_index=0/status.json").write_text("{}")
     assert jobs.fit_nulls(recordings, plan, root, {}, [0, 1, 2, 3]) == "repaired"
+
+
+def test_whole_recordings_give_the_same_as_their_frames(spark):
+    """Null moments and held-out predictions of rows of whole recordings, against those of a row for each frame."""
+    from pyspark.sql import functions as F
+
+    from kymo.operators import encode, nulls
+    from kymo.schema import SUBSTANTIVE
+
+    rng = np.random.default_rng(7)
+    data = [("m", "l", f"r{i}", rng.normal(size=(12 + i, 2)).tolist(), rng.normal(size=(12 + i, 1)).tolist()) for i in range(4)]
+    whole = spark.createDataFrame(data, "model string, layer string, recording_id string, x array<array<double>>, y array<array<double>>")
+    frames = whole.select("model", "layer", "recording_id", F.posexplode(F.arrays_zip("x", "y")).alias("frame", "z")).select("model", "layer", "recording_id", "frame", "z.x", "z.y")
+    plan, unit = encode.Plan(list(SUBSTANTIVE[:2]), lags=(-1.0, 0.0), rate=1.0, alphas=(1.0, 10.0), inner_folds=2), ["model", "layer"]
+    offsets = spark.createDataFrame([(d, f"r{i}", f, 1 + i + d) for d in range(2) for i in range(4) for f in SUBSTANTIVE[:2]], "null_index int, recording_id string, family string, offset_frames int")
+    a, b = ({(r.recording_id, r.null_index): r for r in nulls.null_moments(df, offsets, plan, unit).collect()} for df in (whole, frames))
+    assert set(a) == set(b) and len(a) == 8
+    for k in a:
+        np.testing.assert_allclose(a[k].cross, b[k].cross, atol=1e-9)
+    a, b = ({(r.recording_id, r.frame, r.kind): r.v for r in encode.predictions(df, encode.recording_moments(df, plan, unit).persist(), plan, unit).collect()} for df in (whole, frames))
+    assert set(a) == set(b) and len(a) == 2 * sum(12 + i for i in range(4))
+    for k in a:
+        np.testing.assert_allclose(a[k], b[k], atol=1e-9)
