@@ -17,13 +17,18 @@ from kymo.schema import WORD_TIERS
 SENTENCE_ENDS = ".!?。！？；;"
 
 
-def time_grid(recordings: DataFrame, rate: float = 50.0) -> DataFrame:
-    """(recording_id, frame, t) of recordings (recording_id, duration_seconds); a recording shorter than a frame has none."""
+def frame_counts(recordings: DataFrame, rate: float = 50.0, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """(keys, n): frames of recordings (keys, duration_seconds) that have any."""
     if rate <= 0:
         raise ValueError("rate must be positive")
     n = frame_count(F.col("duration_seconds"), rate)
     checked = F.when(F.col("duration_seconds") < 0, F.raise_error(F.lit("duration must not be negative")).cast("int")).otherwise(n)
-    rows = recordings.select("recording_id", checked.alias("n")).where("n > 0")
+    return recordings.select(*keys, checked.alias("n")).where("n > 0")
+
+
+def time_grid(recordings: DataFrame, rate: float = 50.0) -> DataFrame:
+    """(recording_id, frame, t) of recordings (recording_id, duration_seconds); a recording shorter than a frame has none."""
+    rows = frame_counts(recordings, rate)
     return rows.select("recording_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("frame")).select("recording_id", "frame", (F.col("frame") / F.lit(float(rate))).alias("t"))
 
 
@@ -35,26 +40,61 @@ def events_to_grid(events: DataFrame, recordings: DataFrame, rate: float = 50.0,
     return time_grid(recordings, rate).join(placed, ["recording_id", "frame"], "left").select("recording_id", "frame", "t", F.coalesce(name, F.lit(0.0)).alias(name))
 
 
-def resample_linear(samples: DataFrame, targets: DataFrame, value: str = "value", keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
-    """Linear interpolation of samples (keys, t, value) at targets (keys, frame, t); value is a number or an array of them.
-
-    Beyond the first and last sample their values are held; a series without samples is zero (an array of it empty). Each side's
-    neighbour is the last sample seen in a sort by time, up or down: an as-of join that passes over a series once in either direction.
-    """
+def _drawn(samples: DataFrame, value: str) -> Column:
+    """The value at t on the line from sample a to its next b, structs (st, sv); that of the only one of them, zero (an array empty) without either."""
     many = isinstance(samples.schema[value].dataType, T.ArrayType)
     kind = "array<double>" if many else "double"
-    both = samples.select(*keys, "t", F.struct(F.col("t").alias("st"), F.col(value).cast(kind).alias("sv")).alias("s"), F.lit(None).cast("int").alias("frame")).unionByName(
-        targets.select(*keys, "t", F.lit(None).cast(f"struct<st:double,sv:{kind}>").alias("s"), F.col("frame").cast("int").alias("frame"))
-    )
-    is_target = F.col("frame").isNotNull()  # at equal times samples come first, so that they are neighbours behind
-    seen = lambda *order: F.last("s", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    near = both.select(*keys, "frame", "t", seen("t", is_target).alias("a"), seen(F.col("t").desc(), is_target.desc()).alias("b")).where("frame is not null")
+    before, after = F.col("a.sv").cast(kind), F.col("b.sv").cast(kind)
     slope = lambda x, y: (y - x) / (F.col("b.st") - F.col("a.st"))
     line = lambda x, y: x + (F.col("t") - F.col("a.st")) * slope(x, y)
-    between = F.zip_with("a.sv", "b.sv", line) if many else line(F.col("a.sv"), F.col("b.sv"))
+    between = F.zip_with(before, after, line) if many else line(before, after)
     none = F.array().cast(kind) if many else F.lit(0.0)
-    out = F.when(F.col("a").isNull() & F.col("b").isNull(), none).when(F.col("a").isNull(), F.col("b.sv")).when(F.col("b").isNull() | (F.col("a.st") == F.col("t")), F.col("a.sv")).otherwise(between)
-    return near.select(*keys, "frame", "t", out.alias(value))
+    out = F.when(F.col("a").isNull() & F.col("b").isNull(), none).when(F.col("a").isNull(), after).when(F.col("b").isNull() | (F.col("a.st") == F.col("t")), before).otherwise(between)
+    return out.alias(value)
+
+
+def _timed(samples: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
+    """Samples that have a time: (keys, t, a), a struct of time and value."""
+    return samples.where("t is not null").select(*keys, F.col("t").cast("double").alias("t"), F.struct(F.col("t").cast("double").alias("st"), F.col(value).alias("sv")).alias("a"))
+
+
+def resample_linear(samples: DataFrame, targets: DataFrame, value: str = "value", keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """Linear interpolation of samples (keys, t, value) at targets (keys, frame, t); value is a number or an array of them.
+
+    Beyond the first and last sample their values are held; a series without samples is zero (an array of it empty). Samples without
+    a time are passed over. Each sample knows its next before targets are sorted among them, once: the last one seen is the as-of join.
+    """
+    order = Window.partitionBy(*keys).orderBy("t")
+    pairs = _timed(samples, value, keys).select(*keys, "t", "a", F.lead("a").over(order).alias("b"), F.lag("t").over(order).isNull().alias("first"))
+    near = F.struct("t", "a", "b")
+    ahead = F.struct(F.lit(None).cast("double").alias("t"), F.when(F.lit(False), F.col("a")).alias("a"), F.col("a").alias("b"))  # what lies before the first sample
+    pairs = pairs.select(*keys, F.explode(F.when(F.col("first"), F.array(ahead, near)).otherwise(F.array(near))).alias("near"))
+    rows = pairs.select(*keys, "near.t", F.struct("near.a", "near.b").alias("near"), F.lit(None).cast("int").alias("frame"))
+    both = rows.unionByName(targets.select(*keys, F.col("t").cast("double").alias("t"), F.lit(None).cast(rows.schema["near"].dataType).alias("near"), F.col("frame").cast("int").alias("frame")))
+    # at equal times samples come first, so that they are neighbours behind
+    seen = F.last("near", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("t", F.col("frame").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.select(*keys, "frame", "t", seen.alias("near")).where("frame is not null")
+    return found.select(*keys, "frame", "t", F.col("near.a").alias("a"), F.col("near.b").alias("b")).select(*keys, "frame", "t", _drawn(samples, value))
+
+
+def resample_on_grid(samples: DataFrame, recordings: DataFrame, rate: float = 50.0, value: str = "value", keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """resample_linear() at the time grid of recordings (keys, duration_seconds), of which a recording has one row: (keys, frame, t, value).
+
+    Only samples are shuffled and sorted; the frames of a gap are made from the two samples around it.
+    """
+    counts = frame_counts(recordings, rate, keys).groupBy(*keys).agg(F.max("n").alias("n"))
+    timed = _timed(samples, value, keys).withColumn("n", F.lit(None).cast("int"))
+    # a recording's own row sorts before its samples: the gap that ends at the first one
+    both = timed.unionByName(counts.select(*keys, F.lit(None).cast("double").alias("t"), F.lit(None).cast(timed.schema["a"].dataType).alias("a"), F.col("n").cast("int").alias("n")))
+    order = Window.partitionBy(*keys).orderBy("t")
+    size = F.last("n", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    gaps = both.select(*keys, "a", F.lead("a").over(order).alias("b"), size.alias("n")).where("n is not null")
+    edge = lambda x: F.ceil(F.least(F.greatest(x, F.lit(0.0)), F.col("n").cast("double"))).cast("int")
+    first = F.when(F.col("a").isNull(), 0).otherwise(edge(F.col("a.st") * rate - 1e-6))
+    last = F.when(F.col("b").isNull(), F.col("n")).otherwise(edge(F.col("b.st") * rate + 1e-6))
+    rows = gaps.select(*keys, "a", "b", "n", F.explode(F.sequence(first, last)).alias("frame")).withColumn("t", F.col("frame") / F.lit(float(rate)))
+    inside = (F.col("frame") < F.col("n")) & (F.col("a").isNull() | (F.col("t") >= F.col("a.st"))) & (F.col("b").isNull() | (F.col("t") < F.col("b.st")))
+    return rows.where(inside).select(*keys, "frame", "t", _drawn(samples, value))
 
 
 def held_frames(intervals: DataFrame, rate: float) -> DataFrame:

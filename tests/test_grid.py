@@ -96,3 +96,42 @@ def test_interpolation_grows_with_the_length_only(spark):
 
     seconds(2_000)
     assert seconds(64_000) < 20 * max(seconds(8_000), 0.25)
+
+
+def test_frames_are_made_from_gaps(spark):
+    """Equals the general operator and NumPy, for samples off the grid, outside it, without a time or a series, and series without samples."""
+    schema = "recording_id string, t double, value double"
+    rng = np.random.default_rng(2)
+    rows = [("r", float(t), float(v)) for t, v in zip(np.sort(rng.uniform(-1, 4, 30)), rng.normal(size=30))]
+    rows += [("s", 0.5, 7.0), ("far", -1e300, 1.0), ("far", 1e300, 3.0), ("on", 0.1, 1.0), ("on", 0.3, 2.0), (None, 0.2, 4.0), ("short", 0.0, 9.0), ("unknown", 0.0, 9.0)]
+    rows += [("r", None, 99.0), ("s", None, 99.0), ("untimed", None, 99.0)]
+    names = ["r", "s", "far", "on", "empty", "untimed", None]
+    series = spark.createDataFrame([(n, 3.0) for n in names] + [("short", 0.01)], "recording_id string, duration_seconds double")
+    samples = spark.createDataFrame(rows, schema)
+    got = grid.resample_on_grid(samples, series, 10).collect()
+    plain = {(r.recording_id, r.frame): (r.t, r.value) for r in grid.resample_linear(samples, grid.time_grid(series, 10)).collect()}
+    assert len(got) == len(plain) == 30 * len(names) and {(r.recording_id, r.frame): (r.t, r.value) for r in got} == plain
+    for name in names:
+        at = sorted((t, v) for i, t, v in rows if i == name and t is not None)
+        want = np.interp(np.arange(30) / 10, *zip(*at)) if at and name != "far" else np.full(30, plain["far", 0][1] if name == "far" else 0.0)
+        assert np.allclose([plain[name, i][1] for i in range(30)], want)
+    arrays = samples.select("recording_id", "t", F.array("value", F.lit(1.0)).cast("array<float>").alias("value"))
+    many = {(r.recording_id, r.frame): r.value for r in grid.resample_on_grid(arrays, series, 10).collect()}
+    assert many["empty", 3] == [] and many["on", 2] == pytest.approx([1.5, 1.0]) and many["s", 0] == [7.0, 1.0]
+
+
+def test_no_frame_of_the_query_is_sorted(spark, capsys):
+    from kymo.plans import catalogue
+
+    catalogue.QUERIES["resample_linear"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out.splitlines()
+    at = lambda node: [i for i, line in enumerate(plan) if node in line]
+    assert len(at("Generate ")) == 1 and at("Generate ")[0] < min(at("Sort ") + at("Exchange "))
+
+
+def test_targets_are_sorted_once(spark, capsys):
+    samples = spark.createDataFrame([("r", 0.0, 0.0), ("r", 1.0, 1.0)], "recording_id string, t double, value double")
+    grid.resample_linear(samples, grid.time_grid(one(spark, 1.0), 50)).explain()
+    plan = capsys.readouterr().out.splitlines()
+    union = next(i for i, line in enumerate(plan) if "Union" in line)
+    assert sum("Sort " in line for line in plan[:union]) == 1
